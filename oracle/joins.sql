@@ -1,0 +1,11 @@
+-- name: hash_match
+-- uses: v1
+SELECT r.doc_id AS request_id, r.sha256,
+  CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'verified' ELSE 'ambiguous' END AS status,
+  n IS NOT NULL AS verified, coalesce(n, 0) AS match_count,
+  CASE WHEN n = 1 THEN m.asset_uid END AS asset_uid,
+  CASE WHEN n = 1 THEN m.trust_score END AS trust_score,
+  CASE WHEN n = 1 THEN m.content_label END AS content_label
+FROM (SELECT doc_id, CASE WHEN doc_id % 16 = 0 THEN sha256('unknown' || doc_id) ELSE sha256 END AS sha256 FROM v1) r
+LEFT JOIN (SELECT sha256, count(*) AS n, min(asset_uid) AS asset_uid, min(trust_score) AS trust_score, min(content_label) AS content_label
+  FROM (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY asset_uid ORDER BY doc_id) = 1) GROUP BY 1) m USING (sha256)
