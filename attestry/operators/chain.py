@@ -339,3 +339,61 @@ def public_event_redaction(events: DataFrame) -> DataFrame:
         "location",
         F.coalesce(kept, F.when(level.isNotNull(), F.struct(level.alias("level"), summary.alias("public_summary")))),
     ).drop("payload", "source_name", "creator_id", "location_level", "location_summary", "privacy_mode")
+
+
+def public_record(
+    sessions: DataFrame,
+    events: DataFrame,
+    workflow_events: DataFrame,
+    publications: DataFrame,
+    workflows: list[str],
+) -> tuple[DataFrame, DataFrame]:
+    """(one public record per asset, its redacted timeline rows).
+
+    The record adds the evidence rollup to the session summary; optional
+    fields show only where the creator opted in.
+    """
+    from attestry.functions import disclosure
+    from attestry.operators import aggregates
+
+    summary = public_session_summary(sessions, events)
+    shown = summary.select("session_id")
+    rollup = aggregates.session_evidence_rollup(
+        workflow_events.join(shown, "session_id", "left_semi"), workflows
+    )
+    settings = disclosure.opt_in_fields(publications).select(
+        "session_id",
+        F.array_intersect("fields", F.array(*[F.lit(f) for f in disclosure.PUBLIC_FIELDS])).alias("fields"),
+    )
+    nothing = F.array().cast("array<string>")
+    record = (
+        summary.join(rollup, "session_id", "left")
+        .join(settings, "session_id", "left")
+        .withColumn("fields", F.coalesce("fields", nothing))
+        .select(
+            "asset_id",
+            "session_id",
+            "status",
+            "privacy_mode",
+            "event_count",
+            "chain_valid",
+            F.col("fields").alias("published_fields"),
+            "workflow",
+            disclosure.published("production_environment", F.col("production_environment")).alias(
+                "production_environment"
+            ),
+            "automatic_project_detected",
+            "automatic_revisions",
+            "automatic_exports",
+            "contributor_declarations",
+            "verified",
+            disclosure.published("source_asset_uid", F.col("source_lineage.source_asset_uid")).alias("source_asset_uid"),
+            F.coalesce("transformations", nothing).alias("transformations"),
+            disclosure.published("transformation_statement", F.col("statement")).alias("statement"),
+            "final_provenance_disclosure",
+        )
+    )
+    timeline = public_event_redaction(events).join(
+        summary.select("session_id", F.col("asset_id").alias("bound")), "session_id"
+    )
+    return record, timeline.where(F.col("bound") == F.col("asset_id")).drop("bound")

@@ -319,6 +319,46 @@ class Views:
             F.when((u % 10 == 0) & (seq == 3), F.lit('{"k": 999}')).otherwise(F.col("payload")),
         )
 
+    @cached_property
+    def workflow_events(self) -> DataFrame:
+        """Session events whose payload carries workflow checkpoints."""
+        k, u = F.col("k"), F.col("user_id")
+        point = _case(
+            k % 6,
+            [
+                "automatic_project_revision",
+                "automatic_audio_export",
+                "source_asset_linked",
+                "human_transformation_declared",
+                "automatic_project_detected",
+                None,
+            ],
+        )
+        is_start = F.col("sequence") == 1
+        device = F.struct(
+            F.concat(F.lit(" Device "), (k % 4).cast("string")).alias("name"),
+            F.when(k % 8 < 4, F.lit("keyboard")).alias("category"),
+        )
+        payload = F.struct(
+            point.alias("checkpoint"),
+            F.when(is_start, _case(u % 3, ["Studio", "Auto detect", "Other"])).alias("workflow"),
+            F.when(is_start & (u % 2 == 0), F.lit("Workstation")).alias("daw_name"),
+            F.when(k % 6 == 4, F.array(device, F.struct(F.lit(" ").alias("name"), F.lit("x").alias("category")))).alias(
+                "connected_production_hardware"
+            ),
+            F.when(
+                k % 6 == 4, F.array(F.concat(F.lit("App "), (k % 3).cast("string")), F.lit(" App 0 "))
+            ).alias("process_only_environments"),
+            F.when(k % 6 == 2, F.concat(F.lit("AU-"), k.cast("string"))).alias("source_asset_uid"),
+            F.when(k % 6 == 2, k % 4 == 0).alias("history_mutated"),
+            F.when(
+                (k % 6 == 3) & (k % 5 != 0), F.array(F.lit("edited"), F.concat(F.lit("t"), (k % 4).cast("string")))
+            ).alias("transformations"),
+            F.when((k % 6 == 3) & (k % 2 == 1), F.concat(F.lit("statement "), k.cast("string"))).alias("statement"),
+            F.when(k % 3 == 0, F.concat(F.lit("final "), k.cast("string"))).alias("final_provenance_disclosure"),
+        )
+        return self.session_inputs.withColumn("payload", F.to_json(payload))
+
     @cached_property
     def sessions(self) -> DataFrame:
         u = F.col("user_id")

@@ -336,3 +336,40 @@ SELECT doc_id, 'as-' || doc_id AS asset_id,
   || '"},{"note":"none"}]}},{"label":"hash","data":{"actions":[{"action":"hidden"}]}}],"validation_status":[{"code":"c' || (doc_id % 3) || '","success":'
   || CASE WHEN doc_id % 9 = 0 THEN 'false' ELSE 'true' END || '}]}}}' AS store
 FROM documents
+
+-- name: v3w
+-- uses: v3i
+SELECT * EXCLUDE (payload),
+  ['automatic_project_revision','automatic_audio_export','source_asset_linked','human_transformation_declared','automatic_project_detected',NULL][k % 6 + 1] AS checkpoint,
+  CASE WHEN sequence = 1 THEN ['Studio','Auto detect','Other'][user_id % 3 + 1] END AS workflow,
+  CASE WHEN sequence = 1 AND user_id % 2 = 0 THEN 'Workstation' END AS daw_name,
+  CASE WHEN k % 6 = 2 THEN 'AU-' || k END AS source_asset_uid,
+  CASE WHEN k % 6 = 2 THEN k % 4 = 0 END AS history_mutated,
+  CASE WHEN k % 6 = 3 AND k % 5 <> 0 THEN 'edited|t' || (k % 4) END AS transformations,
+  CASE WHEN k % 6 = 3 AND k % 2 = 1 THEN 'statement ' || k END AS statement,
+  CASE WHEN k % 3 = 0 AND event_type = 'ai_tool_disclosed' THEN 'final ' || k END AS final_disclosure
+FROM v3i
+
+-- name: v3r
+-- uses: v3w
+SELECT session_id,
+  CASE WHEN max(workflow) IN ('Studio','Auto detect') THEN max(workflow) END AS workflow,
+  coalesce(max(daw_name), max(source_name) FILTER (sequence = 1)) AS production_environment,
+  count(*) FILTER (checkpoint = 'automatic_project_detected') > 0 AS automatic_project_detected,
+  count(*) FILTER (checkpoint = 'automatic_project_revision') AS automatic_revisions,
+  count(*) FILTER (checkpoint = 'automatic_audio_export') AS automatic_exports,
+  0 AS contributor_declarations,
+  max_by(source_asset_uid, sequence) FILTER (checkpoint = 'source_asset_linked') AS source_asset_uid,
+  max_by(NOT history_mutated, sequence) FILTER (checkpoint = 'source_asset_linked') AS history_preserved,
+  max_by(transformations, sequence) FILTER (transformations IS NOT NULL) AS transformations,
+  max_by(statement, sequence) FILTER (statement IS NOT NULL) AS statement,
+  max_by(final_disclosure, sequence) FILTER (final_disclosure IS NOT NULL) AS final_provenance_disclosure
+FROM v3w GROUP BY 1
+
+-- name: vfacts
+-- uses: v1, v5
+SELECT v1.*, nullif(trim(creator_name), '') AS creator_clean, nullif(trim(human_authorship_summary), '') AS summary,
+  t.total AS ownership_total_pct, copyright_owner IS NOT NULL OR t.asset_id IS NOT NULL AS ownership_declared, coalesce(t.n, 0) AS split_count,
+  coalesce(h1, false)::INT + coalesce(h2, false)::INT + coalesce(h3, false)::INT + coalesce(h4, false)::INT + coalesce(h5, false)::INT + coalesce(h6, false)::INT AS forms
+FROM v1 LEFT JOIN (SELECT asset_id, count(*) AS n, floor(sum(ownership_split_pct) * 10000 + 0.5) / 10000 AS total
+  FROM v5 WHERE ownership_split_pct IS NOT NULL GROUP BY 1) t USING (asset_id)
