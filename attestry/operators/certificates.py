@@ -19,15 +19,22 @@ CLASS_LABELS = {
 }
 
 
+# Facts a metadata lock holds.
+LOCK_FIELDS = [
+    "asset_uid",
+    "asset_id",
+    "filename",
+    "sha256",
+    "second_fingerprint",
+    "creator_name",
+    "copyright_owner",
+    "license_type",
+    "ai_disclosure",
+]
+
+
 def _lock_hash() -> Column:
-    return digests.record_digest(
-        {
-            "asset_id": F.col("lock_asset_id"),
-            "filename": F.col("lock_filename"),
-            "subject_name": F.col("lock_subject"),
-            "copyright_owner": F.col("lock_owner"),
-        }
-    )
+    return digests.record_digest({name: F.col(f"metadata_lock.{name}") for name in LOCK_FIELDS})
 
 
 def _unsigned_hash() -> Column:
@@ -44,16 +51,15 @@ def _unsigned_hash() -> Column:
 
 
 def lock_and_sign(certs: DataFrame, key: bytes, key_id: str) -> DataFrame:
-    """Add the metadata lock, both hashes and the keyed signature."""
+    """Add the metadata lock, both hashes and the keyed signature.
+
+    A lock field the table does not have is locked as null.
+    """
+    held = [
+        (F.col(name) if name in certs.columns else F.lit(None).cast("string")).alias(name) for name in LOCK_FIELDS
+    ]
     return (
-        certs.withColumns(
-            {
-                "lock_asset_id": F.col("asset_id"),
-                "lock_filename": F.col("filename"),
-                "lock_subject": F.col("subject_name"),
-                "lock_owner": F.col("copyright_owner"),
-            }
-        )
+        certs.withColumn("metadata_lock", F.struct(*held))
         .withColumn("metadata_hash", _lock_hash())
         .withColumn("certificate_hash", _unsigned_hash())
         .withColumn("signature", digests.keyed_mac(F.col("certificate_hash"), key))
@@ -64,7 +70,7 @@ def lock_and_sign(certs: DataFrame, key: bytes, key_id: str) -> DataFrame:
 def metadata_lock(certs: DataFrame, key: bytes) -> DataFrame:
     """Recompute lock, certificate hash and signature; first failing one is the reason."""
     reason = (
-        F.when(F.col("lock_asset_id").isNull(), F.lit("certificate has no metadata lock"))
+        F.when(F.col("metadata_lock").isNull(), F.lit("certificate has no metadata lock"))
         .when(~F.col("signature_algorithm").eqNullSafe(ALGORITHM), F.lit("unknown signature algorithm"))
         .when(~_lock_hash().eqNullSafe(F.col("metadata_hash")), F.lit("metadata hash mismatch"))
         .when(~_unsigned_hash().eqNullSafe(F.col("certificate_hash")), F.lit("certificate hash mismatch"))

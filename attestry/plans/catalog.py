@@ -28,3 +28,4 @@ def query(key: str):
 
 from attestry.plans import scalar_queries  # noqa: E402,F401
 from attestry.plans import registry_queries  # noqa: E402,F401
+from attestry.plans import score_queries  # noqa: E402,F401

@@ -450,6 +450,33 @@ class Views:
             F.col("l_shipdate").alias("added_at"),
         )
 
+    @cached_property
+    def split_sessions(self) -> DataFrame:
+        """Locked split documents; a sheet continues in a new one every 256 rows."""
+        row = F.struct(
+            "position",
+            F.col("sheet_name").alias("name"),
+            "role",
+            "contribution_type",
+            F.format_string("%.4f", "ownership_split_pct").alias("ownership_split_pct"),
+            F.when(F.col("position") % 2 == 0, F.lit("wallet")).alias("wallet_address"),
+        )
+        return (
+            self.split_rows.withColumn("volume", F.floor((F.col("position") - 1) / 256))
+            .groupBy("sheet_id", "asset_id", "volume")
+            .agg(F.to_json(F.array_sort(F.collect_list(row))).alias("body"))
+            .select(
+                F.concat_ws("-", F.lit("LS"), F.col("sheet_id").cast("string"), F.col("volume").cast("string")).alias(
+                    "session_id"
+                ),
+                "sheet_id",
+                "asset_id",
+                F.when(F.col("sheet_id") % 3 == 0, "open").when(F.col("sheet_id") % 3 == 1, "locked").otherwise("finalized").alias("status"),
+                F.when(F.col("sheet_id") % 19 == 0, F.lit("{broken")).otherwise(F.col("body")).alias("contributors_json"),
+                F.when(F.col("sheet_id") % 7 != 0, F.sha2("body", 256)).alias("session_hash"),
+            )
+        )
+
     # V6 ---------------------------------------------------------------
     @cached_property
     def certificates(self) -> DataFrame:
@@ -466,15 +493,16 @@ class Views:
                 F.concat(F.lit("src"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
                 F.col("o_orderdate").alias("issued_at"),
                 F.col("c_name").alias("subject_name"),
+                F.col("c_name").alias("creator_name"),
                 F.col("o_orderpriority").alias("certificate_class"),
                 F.concat(F.lit("Owner "), (F.col("o_custkey") % 31).cast("string")).alias("copyright_owner"),
                 F.concat(F.lit("file-"), F.col("o_custkey").cast("string")).alias("filename"),
             )
         )
         signed = certs.lock_and_sign(rows, MAC_KEY, "key-1")
+        owner = F.when(k % 50 == 0, F.lit("Someone else")).otherwise(F.col("metadata_lock.copyright_owner"))
         return signed.withColumn(
-            "lock_owner",
-            F.when(k % 50 == 0, F.lit("Someone else")).otherwise(F.col("lock_owner")),
+            "metadata_lock", F.col("metadata_lock").withField("copyright_owner", owner)
         ).withColumn(
             "signature",
             F.when(k % 70 == 0, F.reverse("signature")).otherwise(F.col("signature")),

@@ -257,7 +257,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
 SELECT * REPLACE (CASE WHEN o_orderkey % 50 = 0 THEN 'Someone else' ELSE lock_owner END AS lock_owner,
   CASE WHEN o_orderkey % 70 = 0 THEN reverse(signature) ELSE signature END AS signature)
 FROM (SELECT *, sha256(opad || unhex(sha256(ipad || encode(certificate_hash)))) AS signature, 'HMAC-SHA256' AS signature_algorithm, 'key-1' AS public_key_id
-  FROM (SELECT *, sha256(to_json({'asset_id': asset_id, 'copyright_owner': lock_owner, 'filename': filename, 'subject_name': subject_name})::VARCHAR) AS metadata_hash,
+  FROM (SELECT *, sha256(to_json({'ai_disclosure': NULL, 'asset_id': asset_id, 'asset_uid': NULL, 'copyright_owner': lock_owner, 'creator_name': subject_name, 'filename': filename, 'license_type': NULL, 'second_fingerprint': NULL, 'sha256': NULL})::VARCHAR) AS metadata_hash,
     sha256(to_json({'asset_id': asset_id, 'cert_id': cert_id, 'certificate_class': certificate_class,
       'issued_at': strftime(issued_at, '%Y-%m-%dT%H:%M:%S'), 'subject_name': subject_name})::VARCHAR) AS certificate_hash
   FROM (SELECT o_orderkey, 'ct-' || o_orderkey AS cert_id, 'as-' || o_custkey AS asset_id, o_custkey, 'src' || c_nationkey AS tenant_id,
@@ -373,3 +373,201 @@ SELECT v1.*, nullif(trim(creator_name), '') AS creator_clean, nullif(trim(human_
   coalesce(h1, false)::INT + coalesce(h2, false)::INT + coalesce(h3, false)::INT + coalesce(h4, false)::INT + coalesce(h5, false)::INT + coalesce(h6, false)::INT AS forms
 FROM v1 LEFT JOIN (SELECT asset_id, count(*) AS n, floor(sum(ownership_split_pct) * 10000 + 0.5) / 10000 AS total
   FROM v5 WHERE ownership_split_pct IS NOT NULL GROUP BY 1) t USING (asset_id)
+
+-- name: v5s
+-- uses: v5
+SELECT 'LS-' || sheet_id || '-' || ((position - 1) // 256) AS session_id, sheet_id, asset_id, count(*) AS n,
+  sum(round(ownership_split_pct, 4)) AS total, string_agg(trim(sheet_name), '|' ORDER BY position) AS names,
+  list({'position': position, 'name': sheet_name, 'role': role, 'contribution_type': contribution_type, 'ownership_split_pct': printf('%.4f', ownership_split_pct),
+    'wallet_address': CASE WHEN position % 2 = 0 THEN 'wallet' END} ORDER BY position) AS body
+FROM v5 GROUP BY sheet_id, asset_id, (position - 1) // 256
+
+-- name: vsig
+-- uses: vfacts
+SELECT *, CASE WHEN doc_id % 3 = 0 THEN true END AS s_second, watermark_invisible AS s_mark,
+  CASE WHEN doc_id % 4 = 0 THEN 0.87::DOUBLE ELSE 1.0::DOUBLE END AS s_conf, doc_id % 4 = 1 AS s_phash,
+  CASE WHEN doc_id % 10 <> 0 THEN doc_id % 3 <> 0 END AS s_exif, doc_id % 5 = 0 AS s_gps, creator_clean IS NOT NULL AS s_creator, doc_id % 6 = 0 AS s_org,
+  doc_id % 4 = 2 AS s_copyright, license_type IS NOT NULL AS s_license,
+  CASE WHEN ai_disclosure IN ('human','ai_assisted','ai_generated') THEN ai_disclosure = 'ai_generated' END AS is_generated,
+  CASE WHEN ai_disclosure IN ('human','ai_assisted','ai_generated') THEN ai_disclosure = 'ai_assisted' END AS is_assisted,
+  coalesce(ai_disclosure IN ('ai_assisted','ai_generated'), false) AS is_disclosed,
+  ['substantial','moderate','minor',NULL,NULL][doc_id % 5 + 1] AS s_level, doc_id % 7 = 3 AS s_daw, doc_id % 41 = 0 AS s_collision,
+  doc_id % 4 AS contributor_n
+FROM vfacts
+
+-- name: vtrust
+-- uses: vsig
+SELECT *, floor(greatest(0e0, least(1e0, 5e-1 + CASE WHEN s_second THEN 5e-2 ELSE 0e0 END
+    + CASE WHEN s_mark THEN 1e-1 WHEN NOT s_mark THEN -3e-1 ELSE 0e0 END + CASE WHEN s_phash THEN 3e-2 ELSE 0e0 END
+    + CASE WHEN s_exif THEN 8e-2 WHEN NOT s_exif THEN -3e-2 ELSE 0e0 END + CASE WHEN s_gps THEN 6e-2 ELSE 0e0 END
+    + CASE WHEN s_creator THEN 6e-2 ELSE 0e0 END + CASE WHEN s_org THEN 5e-2 ELSE 0e0 END + CASE WHEN s_copyright THEN 5e-2 ELSE 0e0 END
+    + CASE WHEN s_license THEN 4e-2 ELSE 0e0 END
+    + CASE WHEN ai_detection_score >= 0.9 THEN -25e-2 WHEN ai_detection_score >= 0.7 THEN -15e-2 WHEN ai_detection_score >= 0.4 THEN -5e-2 WHEN ai_detection_score < 0.2 THEN 5e-2 ELSE 0e0 END
+    + CASE WHEN is_generated THEN -5e-2 ELSE 0e0 END
+    + CASE s_level WHEN 'substantial' THEN 12e-2 WHEN 'moderate' THEN 7e-2 WHEN 'minor' THEN 3e-2 ELSE 0e0 END
+    + CASE WHEN forms > 0 THEN least(forms * 3e-2, 1e-1) ELSE 0e0 END + CASE WHEN s_daw THEN 4e-2 ELSE 0e0 END)) * 10000 + 0.5) / 10000 AS score,
+  concat_ws('|', CASE WHEN s_second THEN 'BLAKE3 cryptographic hash verified' END,
+    CASE WHEN s_mark THEN 'Invisible watermark verified (' || CAST(floor(s_conf * 100) AS BIGINT) || '% confidence)' WHEN NOT s_mark THEN 'Invisible watermark FAILED' END,
+    CASE WHEN s_phash THEN 'Perceptual fingerprint generated' END,
+    CASE WHEN s_exif THEN 'Authentic EXIF metadata present' WHEN NOT s_exif THEN 'No EXIF metadata detected' END,
+    CASE WHEN s_gps THEN 'GPS location data present' END, CASE WHEN s_creator THEN 'Creator name registered' END,
+    CASE WHEN s_org THEN 'Creator organisation registered' END, CASE WHEN s_copyright THEN 'Copyright notice registered' END,
+    CASE WHEN s_license THEN 'License URL provided' END,
+    CASE WHEN ai_detection_score >= 0.9 THEN 'AI generation detected high confidence (' WHEN ai_detection_score >= 0.7 THEN 'AI generation likely ('
+      WHEN ai_detection_score >= 0.4 THEN 'Possible AI involvement (' WHEN ai_detection_score < 0.2 THEN 'Likely human-created, AI score low (' END
+      || CAST(floor(ai_detection_score * 100) AS BIGINT) || '%)',
+    CASE WHEN is_generated THEN 'Creator disclosed AI-generated content' WHEN is_assisted THEN 'Creator disclosed AI-assisted content' END,
+    CASE s_level WHEN 'substantial' THEN 'Substantial human creative transformation declared' WHEN 'moderate' THEN 'Moderate human transformation declared'
+      WHEN 'minor' THEN 'Minor human transformation declared' END,
+    CASE WHEN forms > 0 THEN forms || ' human contribution signals' END, CASE WHEN s_daw THEN 'DAW software declared' END) AS reasons
+FROM vsig
+
+-- name: vready
+-- uses: vsig
+SELECT *, CASE WHEN readiness_score >= 0.75 THEN 'strong' WHEN readiness_score >= 0.5 THEN 'moderate' WHEN readiness_score >= 0.25 THEN 'limited' ELSE 'insufficient' END AS readiness_label,
+  CASE WHEN contributor_n > 1 THEN 'live_split' WHEN NOT (detected OR has_tool OR is_disclosed) THEN 'standard'
+    WHEN modified AND coalesce(h1, false) THEN 'ai_assisted' WHEN forms > 0 THEN 'hybrid_authorship' ELSE 'ai_assisted' END AS class
+FROM (SELECT *, floor(greatest(0e0, least(1e0, 0e0
+    + CASE WHEN h1 THEN 12e-2 ELSE 0e0 END + CASE WHEN h2 THEN 12e-2 ELSE 0e0 END + CASE WHEN h3 THEN 12e-2 ELSE 0e0 END
+    + CASE WHEN h4 THEN 12e-2 ELSE 0e0 END + CASE WHEN h5 THEN 12e-2 ELSE 0e0 END + CASE WHEN h6 THEN 12e-2 ELSE 0e0 END
+    + CASE WHEN forms = 0 THEN -1e-1 ELSE 0e0 END
+    + CASE WHEN detected AND is_disclosed THEN 8e-2 WHEN detected THEN -2e-1 WHEN form_done THEN 5e-2 ELSE 0e0 END
+    + CASE WHEN modified THEN 8e-2 ELSE 0e0 END + CASE WHEN unsupported THEN -2e-1 ELSE 0e0 END
+    + CASE WHEN contributor_n > 0 THEN least(contributor_n * 3e-2, 9e-2) ELSE 0e0 END)) * 10000 + 0.5) / 10000 AS readiness_score
+  FROM (SELECT *, coalesce(ai_detection_score, 0) >= 0.85 AND forms = 0 AND NOT modified AS unsupported FROM (
+    SELECT *, coalesce(ai_detection_score, 0) >= 0.4 AS detected, coalesce(ai_disclosure_complete, false) AS form_done, coalesce(ai_modification_by_human, false) AS modified FROM vsig)))
+
+-- name: vanom
+-- uses: v2
+SELECT *, list_filter([
+  CASE WHEN t_created > t_modified THEN 'timestamp_order_reversed' END,
+  CASE WHEN t_created LIKE '2999%' THEN 'timestamp_future' END,
+  CASE WHEN f_mime IN ('image/jpeg','application/pdf') AND t_created IS NULL THEN 'timestamp_missing' END,
+  CASE WHEN f_mime = 'image/jpeg' AND make IS NULL AND model IS NULL AND lat IS NULL AND lon IS NULL THEN 'exif_stripped' END,
+  CASE WHEN coalesce(make, model, creator, copyright, software, a_artist) IS NULL THEN 'creator_missing' END,
+  CASE WHEN f_mime = 'image/jpeg' AND r_gpslat IS NOT NULL AND lat IS NULL AND lon IS NULL THEN 'gps_removed' END,
+  CASE WHEN f_mime <> c_mime THEN 'mime_mismatch' END,
+  CASE WHEN f_ext <> c_ext THEN 'extension_mismatch' END,
+  CASE WHEN coalesce(length(h_sha), 0) <> 64 THEN 'hash_missing' END,
+  CASE WHEN h_sha = 'abc123' THEN 'hash_malformed' END,
+  CASE WHEN lat > 90 THEN 'gps_impossible_coordinates' END,
+  CASE WHEN (lat IS NULL) <> (lon IS NULL) THEN 'gps_partial' END,
+  CASE WHEN software = 'Adobe Photoshop' AND coalesce(make, model) IS NULL THEN 'software_conflict' END], lambda f: f IS NOT NULL) AS flags
+FROM v2
+
+-- name: vanoms
+-- uses: vanom
+SELECT vanom.*, coalesce(points, 0) AS raw_points, least(100, coalesce(points, 0)) AS anomaly_score, coalesce(n, 0) AS n_flags, listed, fields
+FROM vanom LEFT JOIN (
+  SELECT asset_id, sum(CASE severity WHEN 'High' THEN 30 WHEN 'Medium' THEN 15 ELSE 5 END) AS points, count(*) AS n,
+    string_agg(flag || ' (' || severity || ')', ', ' ORDER BY rank) AS listed,
+    string_agg(field, '|' ORDER BY rank) AS fields
+  FROM (SELECT asset_id, unnest(flags) AS flag FROM vanom) f JOIN (VALUES
+    (1, 'timestamp_order_reversed', 'Medium', 'timestamps.created|timestamps.modified'), (2, 'timestamp_future', 'High', 'timestamps.created'),
+    (3, 'timestamp_missing', 'Low', 'timestamps'), (4, 'exif_stripped', 'High', 'camera|exif|gps'),
+    (5, 'creator_missing', 'Medium', 'camera.make|copyright.creator|software.editing_software|audio_tags.artist'),
+    (6, 'gps_removed', 'Low', 'gps.latitude|gps.longitude'), (7, 'mime_mismatch', 'High', 'file.mime_type|container.mime_type'),
+    (8, 'extension_mismatch', 'Medium', 'file.extension|container.extension'), (9, 'hash_missing', 'Medium', 'hashes.sha256'),
+    (10, 'hash_malformed', 'High', 'hashes.sha256'), (11, 'gps_impossible_coordinates', 'High', 'gps.latitude|gps.longitude'),
+    (12, 'gps_partial', 'Low', 'gps.latitude|gps.longitude'), (13, 'software_conflict', 'Medium', 'software.editing_software|camera.make')) r(rank, flag, severity, field) USING (flag)
+  GROUP BY 1) USING (asset_id)
+
+-- name: vcont
+-- uses: vfacts, v2e, v6
+SELECT asset_id, f.creator_clean, f.ownership_total_pct, coalesce(total_events, 0) AS total_events, coalesce(total_certificates, 0) AS total_certificates, created_at, first_upload, first_certificate_event,
+  ai_disclosure, ai_detection_score, first_issued, last_issued, latest_cert_id,
+  floor(least(1e0, 0e0 + CASE WHEN has_upload THEN 2e-1 ELSE 0e0 END + CASE WHEN has_cert OR total_certificates IS NOT NULL THEN 2e-1 ELSE 0e0 END
+    + CASE WHEN second_fingerprint IS NOT NULL AND phash IS NOT NULL THEN 15e-2 WHEN second_fingerprint IS NOT NULL THEN 15e-2 * 7e-1 ELSE 0e0 END
+    + CASE WHEN has_mark THEN 1e-1 ELSE 0e0 END + CASE WHEN manifest_path IS NOT NULL THEN 1e-1 ELSE 0e0 END + CASE WHEN ownership_declared THEN 1e-1 ELSE 0e0 END
+    + CASE WHEN total_events > 0 THEN 1e-1 * (hashed / total_events) ELSE 0e0 END + CASE WHEN chronological THEN 5e-2 ELSE 0e0 END) * 10000 + 0.5) / 10000 AS score,
+  concat_ws('|', CASE WHEN NOT coalesce(has_upload, false) THEN 'upload_event' END, CASE WHEN NOT coalesce(has_cert, false) AND total_certificates IS NULL THEN 'certificate_event' END,
+    CASE WHEN second_fingerprint IS NULL THEN 'hashes' WHEN phash IS NULL THEN 'perceptual_hash' END, CASE WHEN manifest_path IS NULL THEN 'manifest' END,
+    CASE WHEN NOT ownership_declared THEN 'ownership' END, CASE WHEN hashed < total_events THEN 'event_hashes' END, CASE WHEN NOT chronological THEN 'event_order' END) AS gaps
+FROM vfacts f
+LEFT JOIN (SELECT asset_id, count(*) AS total_events, count(event_hash) AS hashed, bool_or(event_type = 'upload') AS has_upload, bool_or(event_type = 'certificate_issued') AS has_cert,
+    bool_or(event_type = 'watermark') AS has_mark, bool_and(before IS NULL OR before <= "timestamp") AS chronological,
+    min("timestamp") FILTER (event_type = 'upload') AS first_upload, min("timestamp") FILTER (event_type = 'certificate_issued') AS first_certificate_event
+  FROM (SELECT *, lag("timestamp") OVER (PARTITION BY asset_id ORDER BY event_id) AS before FROM v2e) GROUP BY 1) e USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS total_certificates, min(issued_at) AS first_issued, max(issued_at) AS last_issued, arg_max(cert_id, {'t': issued_at, 'c': cert_id}) AS latest_cert_id FROM v6 GROUP BY 1) c USING (asset_id)
+
+-- name: vforensic
+-- uses: v1, vanoms, v3u, v4l
+SELECT a.asset_id, n.anomaly_score IS NOT NULL AS metadata_available, n.anomaly_score,
+  CASE WHEN n.anomaly_score IS NULL THEN 'unknown' WHEN n.anomaly_score >= 60 THEN 'high' WHEN n.anomaly_score >= 30 THEN 'elevated' ELSE 'low' END AS metadata_risk,
+  state <> 'unknown' AS credentials_available, state AS credentials_state,
+  CASE state WHEN 'invalid' THEN 'high' WHEN 'unknown' THEN 'unknown' WHEN 'not_present' THEN 'neutral' ELSE 'low' END AS credentials_risk,
+  true AS watermark_available, CASE WHEN watermark_applied THEN 'low' ELSE 'neutral' END AS watermark_risk,
+  u.status IS NOT NULL AS session_available,
+  CASE WHEN u.status IS NULL THEN 'neutral' WHEN NOT chain_valid OR u.status = 'integrity_failed' THEN 'high' WHEN u.status = 'complete' AND chain_valid THEN 'low' ELSE 'elevated' END AS session_risk,
+  coalesce(o.n, 0) AS observation_count, coalesce(o.providers, 0) AS provider_count, coalesce(o.risk, 'unknown') AS detector_risk,
+  p IS NOT NULL AS synthetic_available, p AS synthetic_probability,
+  CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.5 THEN 'elevated' WHEN p IS NOT NULL THEN 'low' ELSE 'unknown' END AS synthetic_risk
+FROM (SELECT v1.*, o.*  EXCLUDE (asset_id, n, providers, risk), coalesce(ai_detection_score, best) AS p,
+    CASE WHEN doc_id % 10 = 7 THEN 'unknown' WHEN doc_id % 16 = 0 THEN 'source_unavailable' WHEN doc_id % 12 = 0 THEN 'not_present' WHEN doc_id % 9 = 0 THEN 'invalid' ELSE 'no_reported_errors' END AS state
+  FROM v1 LEFT JOIN (SELECT asset_id, 0 AS n, 0 AS providers, '' AS risk, max(probability) AS best FROM v4l GROUP BY 1) o USING (asset_id)) a
+LEFT JOIN (SELECT asset_id, anomaly_score FROM vanoms WHERE doc_id % 6 <> 0) n USING (asset_id)
+LEFT JOIN v3u u USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS n, count(DISTINCT provider) AS providers, CASE WHEN max(probability) >= 0.8 THEN 'high' WHEN max(probability) >= 0.5 THEN 'elevated' ELSE 'low' END AS risk FROM v4l GROUP BY 1) o USING (asset_id)
+
+-- name: vissued
+-- uses: v1
+SELECT asset_id, CASE WHEN doc_id % 25 <> 0 THEN 'ct-' || asset_id END AS cert_id,
+  list_filter([CASE WHEN doc_id % 33 = 0 THEN 'sha256' END, CASE WHEN nullif(trim(creator_name), '') IS NULL THEN 'creator_name' END,
+    CASE WHEN doc_id % 13 = 0 THEN 'copyright_owner' END, CASE WHEN splits THEN 'ownership_splits' END, CASE WHEN doc_id % 33 = 0 THEN 'metadata_lock.sha256' END,
+    CASE WHEN doc_id % 13 = 0 THEN 'metadata_lock.copyright_owner' END, CASE WHEN doc_id % 27 = 0 THEN 'metadata_lock.license_type' END,
+    CASE WHEN doc_id % 27 = 0 THEN 'signature' END], lambda x: x IS NOT NULL) AS bad
+FROM (SELECT *, certificate_class <> 'live_split' AND asset_id IN (SELECT 'as-' || l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 OR l_orderkey % 33 <> 0) AS splits FROM v1)
+
+-- name: vmanifest
+-- uses: v1, v1m
+SELECT v1.asset_id, v1m.asset_id IS NOT NULL AS present, list_filter([
+    CASE WHEN doc_id % 47 = 0 THEN 'filename' END, CASE WHEN doc_id % 59 = 0 THEN 'sha256' END, CASE WHEN doc_id % 61 = 0 THEN 'second_fingerprint' END,
+    CASE WHEN doc_id % 13 = 0 THEN 'copyright_owner' END, CASE WHEN doc_id % 67 = 0 THEN 'trust_score' END], lambda x: x IS NOT NULL) AS bad
+FROM v1 LEFT JOIN (SELECT asset_id FROM v1m) v1m USING (asset_id)
+
+-- name: vbatch
+-- uses: v1, v1m
+SELECT event_id AS request_id, 'as-' || (user_id * 11) AS asset_id, ts AS requested_at, '10.0.0.' || (event_id % 9) AS requester,
+  a.asset_id IS NOT NULL AS verified, CASE WHEN m.asset_id IS NOT NULL THEN m.bad = 0 END AS manifest_valid, m.bad AS mismatches
+FROM events e LEFT JOIN v1 a ON a.doc_id = e.user_id * 11
+LEFT JOIN (SELECT asset_id, (doc_id % 47 = 0)::INT + (doc_id % 61 = 0)::INT AS bad FROM v1m) m ON m.asset_id = a.asset_id
+
+-- name: vnodes
+-- uses: v1, v5, v5s, v10, v6, v2e, vanoms, v4l, v3u
+SELECT asset_id, 'asset:' || asset_id AS id, 'asset' AS type, 'cryptographic_identity' AS evidence_class, sha256 AS detail, NULL AS provider FROM v1
+UNION ALL SELECT asset_id, 'declaration:' || asset_id, 'creator_declaration', 'declaration', CAST(h4 AS VARCHAR), NULL FROM v1
+UNION ALL SELECT asset_id, 'rights:' || asset_id, 'rights_claim', 'rights_claim', license_type, NULL FROM v1 WHERE copyright_owner IS NOT NULL OR license_type IS NOT NULL
+UNION ALL SELECT asset_id, 'contributor:' || contributor_id, 'contributor', 'attribution', contribution_type, NULL FROM v5 WHERE asset_id IN (SELECT asset_id FROM v1)
+UNION ALL SELECT asset_id, 'rights-record:live-split:' || session_id, 'live_split_record', 'rights_record', CAST(CASE WHEN sheet_id % 19 = 0 THEN 0 ELSE n END AS VARCHAR), NULL FROM v5s WHERE asset_id IN (SELECT asset_id FROM v1)
+UNION ALL SELECT asset_id, 'dpp:' || passport_id, 'digital_product_passport', 'product_passport_record', brand_name, NULL FROM v10 WHERE asset_id IN (SELECT asset_id FROM v1)
+UNION ALL SELECT asset_id, 'certificate:' || cert_id, 'certificate', 'certificate_attestation', certificate_hash, NULL FROM v6 WHERE asset_id IN (SELECT asset_id FROM v1)
+UNION ALL SELECT asset_id, 'provenance:' || event_id, 'provenance_event', 'provenance', event_type, NULL FROM v2e WHERE asset_id IN (SELECT asset_id FROM v1)
+UNION ALL SELECT asset_id, 'forensic:metadata:' || asset_id, 'forensic_observation', 'forensic_observation', CAST(anomaly_score AS VARCHAR), NULL FROM vanoms WHERE doc_id % 6 <> 0
+UNION ALL SELECT asset_id, 'forensic:synthetic:' || observation_id, 'forensic_observation', 'forensic_observation', provider, provider FROM v4l WHERE asset_id IN (SELECT asset_id FROM v1)
+UNION ALL SELECT asset_id, 'forensic:synthetic:legacy:' || asset_id, 'forensic_observation', 'forensic_observation', 'sightengine', 'sightengine' FROM v1
+  WHERE ai_detection_score IS NOT NULL AND asset_id NOT IN (SELECT asset_id FROM v4l WHERE provider = 'sightengine' AND model = 'genai')
+UNION ALL SELECT asset_id, 'session:' || asset_id, 'session_summary', 'creation_process_evidence', privacy_mode, NULL FROM v3u WHERE asset_id IN (SELECT asset_id FROM v1)
+
+-- name: vedges
+-- uses: vnodes, v1, v5, v5s
+SELECT asset_id, id AS source, 'asset:' || asset_id AS target, CASE type WHEN 'creator_declaration' THEN 'declares_about' WHEN 'rights_claim' THEN 'claims_rights_in'
+  WHEN 'contributor' THEN 'attributed_to' WHEN 'live_split_record' THEN 'records_rights_for' WHEN 'digital_product_passport' THEN 'documents_product_identity_for'
+  WHEN 'certificate' THEN 'attests_to' WHEN 'provenance_event' THEN 'records_event_for' WHEN 'forensic_observation' THEN 'observes' ELSE 'binds_creation_process_to' END AS relation
+FROM vnodes WHERE type <> 'asset'
+UNION ALL SELECT s.asset_id, 'rights-record:live-split:' || session_id, 'rights:' || s.asset_id, 'documents_declared_rights' FROM v5s s JOIN v1 USING (asset_id) WHERE copyright_owner IS NOT NULL OR license_type IS NOT NULL
+UNION ALL SELECT DISTINCT c.asset_id, 'contributor:' || c.contributor_id, 'rights-record:live-split:LS-' || s.sheet_id || '-' || ((s.position - 1) // 256), 'included_in_rights_record'
+FROM v5 c JOIN v5 s ON s.asset_id = c.asset_id AND lower(trim(s.sheet_name)) = lower(trim(c.name)) WHERE trim(s.sheet_name) <> '' AND c.asset_id IN (SELECT asset_id FROM v1) AND s.sheet_id % 19 <> 0
+
+-- name: vnote
+-- uses: v1
+SELECT asset_id, CASE WHEN ai_detection_score IS NULL THEN CASE ai_disclosure
+      WHEN 'ai_generated' THEN 'Creator declared AI-generated content; detector result is not available.' WHEN 'ai_assisted' THEN 'Creator declared AI-assisted content; detector result is not available.'
+      WHEN 'human' THEN 'Creator declared human-created content; detector result is not available.' WHEN 'unknown' THEN 'Creator marked AI status unknown; detector result is not available.'
+      ELSE 'No creator AI-status declaration or detector result is available.' END
+    WHEN NOT uses AND ai_detection_score >= 0.85 THEN 'High synthetic-media probability is present without a matching AI-use declaration.'
+    WHEN NOT uses AND ai_detection_score >= 0.4 THEN 'Synthetic-media probability indicates possible AI involvement; disclosure may be incomplete.'
+    WHEN ai_detection_score >= 0.4 THEN 'AI involvement is both declared and supported by a detector signal.'
+    WHEN uses THEN 'AI use is declared; the available detector score is below the review threshold.'
+    WHEN ai_disclosure = 'human' THEN 'Human-created status is declared; detector probability is reported separately and is not proof of authorship.'
+    ELSE 'Detector probability is reported as a forensic signal, not a determination.' END AS note
+FROM (SELECT *, coalesce(ai_disclosure IN ('ai_generated','ai_assisted'), false) AS uses FROM v1)
