@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "*", app: str = "attestry", **conf: str) -> SparkSession:
@@ -47,3 +47,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     A machine-local folder is used only by a local session that names none.
     """
     return f"{_checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that is read more than once to the shared folder and read it back.
+
+    Unlike a cache, the table outlives lost executors.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

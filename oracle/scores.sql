@@ -1,27 +1,6 @@
 -- name: metadata_trust_score
--- uses: v2
-SELECT asset_id, completeness + consistency + hash_integrity + container + creator_points + timestamp_points AS metadata_trust_score,
-  completeness, consistency, hash_integrity, container, creator_points AS creator, timestamp_points AS timestamps,
-  missing_sections, consistency_failures, attribution_signals, timing
-FROM (SELECT asset_id,
-    CAST(round_even((14 - len(missing)) / 14e0 * 25, 0) AS INT) AS completeness,
-    CAST(round_even((5 - len(failures)) / 5e0 * 20, 0) AS INT) AS consistency,
-    CAST(round_even((CASE WHEN sha_ok THEN 5e-1 ELSE 0e0 END + CASE WHEN h_md5 IS NOT NULL THEN 25e-2 ELSE 0e0 END + CASE WHEN d_sha IS NOT NULL THEN 25e-2 ELSE 0e0 END) * 20, 0) AS INT) AS hash_integrity,
-    CAST(round_even((4e-1 + 3e-1 + CASE WHEN f_mime = c_mime OR f_ext = c_ext THEN 3e-1 ELSE 0e0 END) * 15, 0) AS INT) AS container,
-    CAST(round_even(least(1e0, len(signals) / 2e0) * 10, 0) AS INT) AS creator_points,
-    CAST(round_even(CASE WHEN t_created IS NULL THEN 0e0 WHEN t_created <= t_modified THEN 1e0 ELSE 75e-2 END * 10, 0) AS INT) AS timestamp_points,
-    array_to_string(missing, '|') AS missing_sections, array_to_string(failures, '|') AS consistency_failures, array_to_string(signals, '|') AS attribution_signals,
-    CASE WHEN t_created IS NULL THEN 'no timestamps' WHEN t_created <= t_modified THEN 'created before modified' ELSE 'created later than modified' END AS timing
-  FROM (SELECT *, coalesce(length(h_sha), 0) = 64 AS sha_ok,
-    list_filter([CASE WHEN h_sha IS NULL AND h_md5 IS NULL THEN 'hashes' END, CASE WHEN codec_audio IS NULL THEN 'codec' END, CASE WHEN t_created IS NULL THEN 'timestamps' END,
-      CASE WHEN make IS NULL AND model IS NULL THEN 'camera' END, CASE WHEN creator IS NULL AND copyright IS NULL THEN 'copyright' END,
-      CASE WHEN software IS NULL THEN 'software' END, CASE WHEN make IS NULL THEN 'exif' END, CASE WHEN a_title IS NULL AND a_artist IS NULL THEN 'audio_tags' END,
-      CASE WHEN creator IS NULL THEN 'xmp' END, CASE WHEN byline IS NULL THEN 'iptc' END], lambda x: x IS NOT NULL) AS missing,
-    list_filter([CASE WHEN f_ext <> c_ext THEN 'file/container extension mismatch' END, CASE WHEN f_mime <> c_mime THEN 'file/container MIME mismatch' END,
-      CASE WHEN f_size <= 0 THEN 'file size missing or non-positive' END, CASE WHEN coalesce(length(h_sha), 0) <> 64 THEN 'SHA-256 absent or malformed' END], lambda x: x IS NOT NULL) AS failures,
-    list_filter([CASE WHEN creator IS NOT NULL OR copyright IS NOT NULL THEN 'copyright/creator' END, CASE WHEN make IS NOT NULL OR model IS NOT NULL THEN 'camera device' END,
-      CASE WHEN software IS NOT NULL THEN 'software/tool' END, CASE WHEN creator IS NOT NULL THEN 'XMP rights' END, CASE WHEN a_artist IS NOT NULL THEN 'audio artist' END], lambda x: x IS NOT NULL) AS signals
-  FROM v2))
+-- uses: vmts
+SELECT * FROM vmts
 
 -- name: metadata_anomaly_rules
 -- uses: vanoms
