@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import digests, text
-from attestry.operators import ordering
+from attestry.operators import links, ordering
 
 SCHEMA_VERSION = "1.0"
 # Session event types, public statuses, privacy modes.
@@ -33,13 +30,12 @@ SEQUENCE_BLOCK = 65536
 
 
 def evidence_body_digest() -> Column:
-    """Digest of everything an event states except its link to the chain."""
+    """Digest of everything an event states except its place in the chain."""
     return digests.record_digest(
         {
             "event_id": F.col("event_id"),
             "session_id": F.col("session_id"),
             "asset_id": F.col("asset_id"),
-            "sequence": F.col("sequence"),
             "event_type": F.col("event_type"),
             "occurred_at": text.iso_utc(F.col("occurred_at")),
             "recorded_at": text.iso_utc(F.col("recorded_at")),
@@ -56,26 +52,9 @@ def evidence_body_digest() -> Column:
     )
 
 
-def link_hash(previous: Column, body_digest: Column) -> Column:
-    return F.sha2(F.concat_ws(":", F.coalesce(previous, F.lit("")), body_digest), 256)
-
-
-def _fold_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk sorted rows, carrying only the last hash of the current session."""
-    import hashlib
-
-    session, previous = None, None
-    for rows in batches:
-        before, after = [], []
-        for current, body in zip(rows["session_id"], rows["body_digest"]):
-            if current != session:
-                session, previous = current, None
-            before.append(previous)
-            previous = hashlib.sha256(f"{previous or ''}:{body}".encode()).hexdigest()
-            after.append(previous)
-        yield pd.DataFrame(
-            {"event_id": rows["event_id"], "previous_event_hash": before, "evidence_hash": after}
-        )
+def link_hash(previous: Column, sequence: Column, body_digest: Column) -> Column:
+    parts = F.concat_ws(":", F.coalesce(previous, F.lit("")), sequence.cast("string"), body_digest)
+    return F.sha2(parts, 256)
 
 
 def number_events(events: DataFrame) -> DataFrame:
@@ -98,15 +77,15 @@ def chain_build(events: DataFrame) -> DataFrame:
     """
     if "sequence" not in events.columns:
         events = number_events(events)
-    links = (
+    hashed = (
         events.select("event_id", "session_id", "sequence", evidence_body_digest().alias("body_digest"))
         .repartition("session_id")
         .sortWithinPartitions("session_id", "sequence")
         .mapInPandas(
-            _fold_links, "event_id bigint, previous_event_hash string, evidence_hash string"
+            links.fold, "event_id bigint, previous_event_hash string, evidence_hash string"
         )
     )
-    return events.join(links, "event_id")
+    return events.join(hashed, "event_id")
 
 
 def chain_failures(events: DataFrame) -> DataFrame:
@@ -124,7 +103,7 @@ def chain_failures(events: DataFrame) -> DataFrame:
         position="expected_sequence",
         previous={"stored_previous": F.col("evidence_hash")},
     )
-    recomputed = link_hash(F.col("previous_event_hash"), evidence_body_digest())
+    recomputed = link_hash(F.col("previous_event_hash"), F.col("sequence"), evidence_body_digest())
     reasons = F.array(
         F.when(F.col("sequence") != F.col("expected_sequence"), F.lit("sequence_gap")),
         F.when(
@@ -241,7 +220,7 @@ def session_close(sessions: DataFrame, events: DataFrame, closed_at: Column) ->
             "missing",
             "event_failures",
         )
-        .withColumn("evidence_hash", link_hash(F.col("previous_event_hash"), evidence_body_digest()))
+        .withColumn("evidence_hash", link_hash(F.col("previous_event_hash"), F.col("sequence"), evidence_body_digest()))
     )
     status = (
         F.when(F.col("event_failures") > 0, "integrity_failed")

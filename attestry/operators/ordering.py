@@ -24,21 +24,23 @@ def ordered(
     position: str | None = None,
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
+    running_max: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add a 1..n position and the neighbours' values per key.
+    """Add a 1..n position, the neighbours' values and running maxima per key.
 
     ``block`` must grow with ``order`` and never be null.  Only the row work
     shuffles full rows, by (keys, block); the border rows are pre-aggregated.
     """
-    previous, following = dict(previous or {}), dict(following or {})
+    previous, following, running = dict(previous or {}), dict(following or {}), dict(running_max or {})
     rows = df.withColumn(_BLOCK, block)
-    for name, value in {**previous, **following}.items():
+    for name, value in {**previous, **following, **running}.items():
         rows = rows.withColumn(f"__v_{name}", value)
     at = F.struct(*order)
 
     summary = [F.count(F.lit(1)).alias("__n")]
     summary += [F.max_by(F.struct(f"__v_{n}"), at).alias(f"__edge_{n}") for n in previous]
     summary += [F.min_by(F.struct(f"__v_{n}"), at).alias(f"__edge_{n}") for n in following]
+    summary += [F.max(f"__v_{n}").alias(f"__edge_{n}") for n in running]
     blocks = Window.partitionBy(*keys).orderBy(_BLOCK)
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
@@ -50,6 +52,7 @@ def ordered(
             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
             *[F.lag(f"__edge_{n}").over(blocks)[f"__v_{n}"].alias(f"__over_{n}") for n in previous],
             *[F.lead(f"__edge_{n}").over(blocks)[f"__v_{n}"].alias(f"__over_{n}") for n in following],
+            *[F.max(f"__edge_{n}").over(before).alias(f"__over_{n}") for n in running],
         )
     )
 
@@ -59,6 +62,9 @@ def ordered(
         out = out.withColumn(f"__near_{name}", F.lag(f"__v_{name}").over(local))
     for name in following:
         out = out.withColumn(f"__near_{name}", F.lead(f"__v_{name}").over(local))
+    so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name in running:
+        out = out.withColumn(f"__near_{name}", F.max(f"__v_{name}").over(so_far))
     if following:
         out = out.withColumn("__last", F.lead(F.lit(1)).over(local).isNull())
 
@@ -68,9 +74,10 @@ def ordered(
         F.when(edge, F.col(f"__over_{n}")).otherwise(F.col(f"__near_{n}")).alias(n)
         for n, edge in added.items()
     ]
+    picks += [F.greatest(f"__over_{n}", f"__near_{n}").alias(n) for n in running]
     if position:
         picks.append((F.col("__start") + F.col("__local")).cast("int").alias(position))
-    kept = [c for c in df.columns if c not in added and c != position]
+    kept = [c for c in df.columns if c not in {*added, *running, position}]
     return out.select(*kept, *picks)
 
 

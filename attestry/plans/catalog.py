@@ -30,3 +30,4 @@ from attestry.plans import scalar_queries  # noqa: E402,F401
 from attestry.plans import registry_queries  # noqa: E402,F401
 from attestry.plans import score_queries  # noqa: E402,F401
 from attestry.plans import io_queries  # noqa: E402,F401
+from attestry.plans import stream_queries  # noqa: E402,F401

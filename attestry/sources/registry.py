@@ -68,7 +68,9 @@ def keyed_upsert(
     Several updates of one identity leave the last one in ``order``.
     """
     newest_first = [o.desc() for o in order]
-    latest = ordering.first_per_key(updates, alt_keys, newest_first)
+    lacks_alt = F.greatest(*[F.col(k).isNull() for k in alt_keys])
+    apart = updates.withColumn("__apart", F.when(lacks_alt, F.col(key)))
+    latest = ordering.first_per_key(apart, [*alt_keys, "__apart"], newest_first).drop("__apart")
     latest = ordering.first_per_key(latest, [key], newest_first)
     by_key = latest.select(F.col(key), F.lit(True).alias("__hit_key"))
     by_alt = latest.join(target.select(key), key, "left_anti").select(

@@ -126,16 +126,16 @@ FROM (
 SELECT *, sha256(to_json({'ai_used': ai_used, 'asset_id': asset_id, 'creator_id': creator_id, 'event_id': event_id, 'event_type': event_type,
   'location_level': location_level, 'location_summary': location_summary,
   'occurred_at': strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'payload': payload, 'privacy_mode': privacy_mode,
-  'recorded_at': strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'schema_version': '1.0', 'sequence': sequence,
+  'recorded_at': strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'schema_version': '1.0',
   'session_id': session_id, 'source_name': source_name, 'source_type': source_type})::VARCHAR) AS body_digest
 FROM v3i
 
 -- name: v3l
 -- uses: v3b
-SELECT session_id, sequence, CAST(NULL AS VARCHAR) AS previous_event_hash, sha256(':' || body_digest) AS evidence_hash
+SELECT session_id, sequence, CAST(NULL AS VARCHAR) AS previous_event_hash, sha256(':1:' || body_digest) AS evidence_hash
 FROM v3b WHERE sequence = 1
 UNION ALL
-SELECT b.session_id, b.sequence, l.evidence_hash, sha256(l.evidence_hash || ':' || b.body_digest)
+SELECT b.session_id, b.sequence, l.evidence_hash, sha256(l.evidence_hash || ':' || b.sequence || ':' || b.body_digest)
 FROM v3l l JOIN v3b b ON b.session_id = l.session_id AND b.sequence = l.sequence + 1
 
 -- name: v3c
@@ -160,10 +160,10 @@ FROM v3c GROUP BY user_id, session_id, tenant_id, asset_id
 -- name: v3f
 -- uses: v3e
 SELECT e.*, row_number() OVER w AS expected, lag(evidence_hash) OVER w AS stored_previous,
-  sha256(coalesce(previous_event_hash, '') || ':' || sha256(to_json({'ai_used': ai_used, 'asset_id': asset_id, 'creator_id': creator_id, 'event_id': event_id, 'event_type': event_type,
+  sha256(coalesce(previous_event_hash, '') || ':' || sequence || ':' || sha256(to_json({'ai_used': ai_used, 'asset_id': asset_id, 'creator_id': creator_id, 'event_id': event_id, 'event_type': event_type,
   'location_level': location_level, 'location_summary': location_summary,
   'occurred_at': strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'payload': payload, 'privacy_mode': privacy_mode,
-  'recorded_at': strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'schema_version': '1.0', 'sequence': sequence,
+  'recorded_at': strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'schema_version': '1.0',
   'session_id': session_id, 'source_name': source_name, 'source_type': source_type})::VARCHAR)) AS recomputed
 FROM v3e e WINDOW w AS (PARTITION BY session_id ORDER BY sequence, event_id)
 
@@ -596,3 +596,61 @@ FROM (SELECT asset_id,
     list_filter([CASE WHEN creator IS NOT NULL OR copyright IS NOT NULL THEN 'copyright/creator' END, CASE WHEN make IS NOT NULL OR model IS NOT NULL THEN 'camera device' END,
       CASE WHEN software IS NOT NULL THEN 'software/tool' END, CASE WHEN creator IS NOT NULL THEN 'XMP rights' END, CASE WHEN a_artist IS NOT NULL THEN 'audio artist' END], lambda x: x IS NOT NULL) AS signals
   FROM v2))
+
+-- name: s1
+SELECT event_id, 'S-' || user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, kind, event_id % 2 = 0 AS by_close,
+  sha256(to_json({'ai_used': CAST(NULL AS BOOLEAN), 'asset_id': 'as-' || user_id, 'creator_id': CAST(NULL AS VARCHAR), 'event_id': event_id, 'event_type': kind,
+    'location_level': CAST(NULL AS VARCHAR), 'location_summary': CAST(NULL AS VARCHAR), 'occurred_at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'payload': props,
+    'privacy_mode': CAST(NULL AS VARCHAR), 'recorded_at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'schema_version': '1.0', 'session_id': 'S-' || user_id,
+    'source_name': CAST(NULL AS VARCHAR), 'source_type': 'web'})::VARCHAR) AS body
+FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'unknown_type' WHEN event_id % 211 = 0 THEN 'session_closed' WHEN event_type = 'signup' THEN 'session_started'
+    WHEN event_type = 'view' THEN 'work_saved' WHEN event_type = 'click' THEN 'work_exported' WHEN event_type = 'purchase' THEN 'ai_tool_disclosed' ELSE 'asset_registered' END AS kind FROM events)
+
+-- name: s1r
+-- uses: s1
+SELECT *, CASE WHEN kind = 'unknown_type' THEN 'unsupported event type' WHEN closed_before THEN 'session is closed'
+  WHEN kind = 'session_started' AND earlier > 0 THEN 'session already started' WHEN kind = 'session_closed' AND NOT by_close THEN 'use the close operation' END AS reason
+FROM (SELECT *, coalesce(bool_or(kind = 'session_closed' AND by_close) OVER w, false) AS closed_before,
+    coalesce(sum(CASE WHEN kind = 'unknown_type' OR (kind = 'session_closed' AND NOT by_close) THEN 0 ELSE 1 END) OVER w, 0) AS earlier
+  FROM s1 WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+
+-- name: s1l
+-- uses: s1r
+SELECT session_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS sequence, false AS accepted, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS head FROM s1r WHERE pos = 1
+UNION ALL
+SELECT r.session_id, r.event_id, r.pos, CASE WHEN r.reason IS NULL THEN l.sequence + 1 ELSE l.sequence END, r.reason IS NULL, r.reason, l.head,
+  CASE WHEN r.reason IS NULL THEN sha256(coalesce(l.head, '') || ':' || (l.sequence + 1) || ':' || r.body) ELSE l.head END
+FROM s1l l JOIN s1r r ON r.session_id = l.session_id AND r.pos = l.pos + 1
+
+-- name: s3
+SELECT project, since AS changed_at, since + 7200000000 AS emitted_at, signature FROM (
+  SELECT *, lag(signature) OVER (PARTITION BY project ORDER BY since) AS emitted FROM (
+    SELECT *, lead(since) OVER (PARTITION BY project ORDER BY since) AS next FROM (
+      SELECT user_id AS project, epoch_us(ts) AS since, event_type AS signature, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
+    WHERE before IS NULL OR before <> signature)
+  WHERE before IS NULL OR CASE WHEN next IS NOT NULL THEN next - since >= 7200000000
+    ELSE (since + 7200000000 + 999) // 1000 * 1000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) END)
+WHERE before IS NOT NULL AND emitted <> signature
+
+-- name: s4
+SELECT path, min(t) AS emitted_at, min_by(size, t) AS size FROM (
+  SELECT *, max(start) OVER (PARTITION BY path ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM (
+    SELECT *, CASE WHEN lag(size) OVER w IS NULL OR lag(size) OVER w <> size OR lag(changed) OVER w <> changed THEN t END AS start FROM (
+      SELECT 'export-' || user_id || ['.wav','.txt','.MP3','.flac'][user_id % 4 + 1] AS path, epoch_us(ts) AS t, CASE WHEN event_type = 'click' THEN 0 ELSE 100 END AS size, date_trunc('day', ts) AS changed
+      FROM events WHERE user_id % 4 <> 1 AND date_trunc('day', ts) >= TIMESTAMP '2024-01-03 00:00:00') WINDOW w AS (PARTITION BY path ORDER BY t)))
+WHERE size > 0 AND t - since >= 3600000000 GROUP BY 1
+
+-- name: s5
+SELECT event_id AS request_id, CASE WHEN user_id % 3 <> 0 THEN 'tenant-key:' || left(sha256('key-' || (user_id % 10)), 24) ELSE 'ip:10.0.0.' || (user_id % 5) END AS key,
+  event_type AS route, ts, epoch_us(ts) // 21600000000 AS w, CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 1 END AS lim
+FROM events WHERE event_type IN ('view','click','purchase')
+
+-- name: s5w
+-- uses: s5
+SELECT key, route, w * 21600000000 AS window_start, count(*) AS requests, count(*) > min(lim) AS over_limit FROM s5 GROUP BY 1, 2, 3
+
+-- name: s6
+SELECT sha256('/projects/' || user_id) AS project_key, event_id, session_started, start IS NULL AS reused FROM (
+  SELECT *, max(start) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_started FROM (
+    SELECT *, CASE WHEN event_type <> 'error' AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'error', true) THEN epoch_us(ts) END AS start FROM events))
+WHERE event_type <> 'error'
