@@ -89,27 +89,6 @@ SECTION_TAGS = {
 }
 
 
-def _named(name: str, tail: bool = False):
-    """Predicate on map entries: the key, or its part after the last colon, is ``name``."""
-
-    def matches(entry: Column) -> Column:
-        key = F.lower(entry["key"])
-        return (F.substring_index(key, ":", -1) if tail else key) == name
-
-    return matches
-
-
-def first_tag(tags: Column, names: list[str]) -> Column:
-    """First non-empty value among the names: the exact key, else a key ending in ``:name``."""
-    present = F.filter(F.map_entries(tags), lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    candidates = []
-    for name in names:
-        exact = F.filter(present, _named(name))
-        tail = F.filter(present, _named(name, tail=True))
-        candidates += [F.try_element_at(exact, F.lit(-1))["value"], F.try_element_at(tail, F.lit(1))["value"]]
-    return F.coalesce(*candidates)
-
-
 def _last_wins(entries: Column) -> Column:
     """Map of entries whose keys may repeat; a later entry replaces an earlier one."""
     kept = F.filter(
@@ -121,6 +100,32 @@ def _last_wins(entries: Column) -> Column:
     return F.map_from_entries(kept)
 
 
+def tag_lookup(tags: Column) -> Column:
+    """struct(exact, tail): tags by lower-case key, and by the part after the last colon.
+
+    Built once per row; every candidate name is then a map lookup.
+    """
+    lowered = F.transform(
+        F.map_entries(tags), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
+    )
+    exact = F.map_filter(_last_wins(lowered), lambda _, value: F.coalesce(value, F.lit("")) != "")
+    tails = F.transform(
+        F.map_entries(exact),
+        lambda e: F.struct(F.substring_index(e["key"], ":", -1).alias("key"), e["value"].alias("value")),
+    )
+    first = F.filter(tails, lambda e, at: ~F.exists(F.slice(tails, 1, at), lambda o: o["key"] == e["key"]))
+    return F.struct(exact.alias("exact"), F.map_from_entries(first).alias("tail"))
+
+
+def first_tag(lookup: str, names: list[str]) -> Column:
+    """First non-empty value among the names: the exact key, else a key ending in ``:name``."""
+    candidates = []
+    for name in names:
+        for kind in ("exact", "tail"):
+            candidates.append(F.try_element_at(F.col(f"{lookup}.{kind}"), F.lit(name.lower())))
+    return F.coalesce(*candidates)
+
+
 def tag_group_partition(tags: Column) -> Column:
     """struct(exif, iptc, xmp, audio_tags) of maps without their group prefix."""
     grouped = F.filter(F.map_entries(tags), lambda e: e["key"].contains(":"))
@@ -158,9 +163,10 @@ def normalize_audio_tags(tags: Column) -> Column:
 
 def normalize_sections(df: DataFrame, tags: str, extension: str, mime: str) -> DataFrame:
     """Add the eight sections that are read from raw tags."""
-    raw, ext, kind = F.col(tags), F.nullif(F.col(extension), F.lit("")), F.col(mime)
+    df = df.withColumn("__tags", tag_lookup(F.col(tags)))
+    ext, kind = F.nullif(F.col(extension), F.lit("")), F.col(mime)
     found = {
-        section: {field: first_tag(raw, names) for field, names in fields.items()}
+        section: {field: first_tag("__tags", names) for field, names in fields.items()}
         for section, fields in SECTION_TAGS.items()
     }
     technical, container, gps, codec = (found[s] for s in ("technical", "container", "gps", "codec"))
@@ -184,7 +190,7 @@ def normalize_sections(df: DataFrame, tags: str, extension: str, mime: str) -> D
             section: F.struct(*[value.alias(field) for field, value in fields.items()])
             for section, fields in found.items()
         }
-    )
+    ).drop("__tags")
 
 
 def flatten_nested(df: DataFrame, key: str, document: str, max_depth: int) -> DataFrame:

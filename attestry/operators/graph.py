@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text
+from attestry.functions.media import literal_map
 from attestry.operators import aggregates, asset_scores, matching
 from attestry.operators.facts import HUMAN_FORMS
 
@@ -86,15 +88,15 @@ def _has_rights() -> Column:
     return (F.coalesce("copyright_owner", F.lit("")) != "") | (F.coalesce("license_type", F.lit("")) != "")
 
 
-def _node_parts(reg: Registry) -> dict[str, DataFrame]:
+def _node_parts(reg: Registry) -> list[DataFrame]:
     """Node rows per source; children are limited to known assets."""
     known = reg.assets.select("asset_id")
     own = lambda df: df.join(known, "asset_id", "left_semi")
     stamp = lambda name: text.iso_utc(F.col(name)).alias(name)
     observed = matching.legacy_observation_fallback(reg.assets, own(reg.observations))
     passports = asset_scores.passport_readiness(own(reg.passports))
-    return {
-        "asset": _node(
+    return [
+        _node(
             reg.assets,
             _id("asset"),
             "asset",
@@ -112,7 +114,7 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
                 stamp("created_at"),
             ],
         ),
-        "declaration": _node(
+        _node(
             reg.assets,
             _id("declaration"),
             "creator_declaration",
@@ -127,14 +129,14 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
                 F.struct(*[F.col(c).alias(f) for f, c in HUMAN_FORMS.items()]).alias("human_contributions"),
             ],
         ),
-        "rights": _node(
+        _node(
             reg.assets.where(_has_rights()),
             _id("rights"),
             "rights_claim",
             "rights_claim",
             ["copyright_owner", "license_type", "copyright_readiness_score", "copyright_readiness_label"],
         ),
-        "contributor": _node(
+        _node(
             own(reg.contributors),
             _id("contributor", "contributor_id"),
             "contributor",
@@ -150,7 +152,7 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
                 stamp("added_at"),
             ],
         ),
-        "split": _node(
+        _node(
             split_record(own(reg.split_sessions)),
             _id("rights-record:live-split", "session_id"),
             "live_split_record",
@@ -166,7 +168,7 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
                 "session_hash_present",
             ],
         ),
-        "passport": _node(
+        _node(
             passports,
             _id("dpp", "passport_id"),
             "digital_product_passport",
@@ -184,7 +186,7 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
                 "gaps",
             ],
         ),
-        "certificate": _node(
+        _node(
             own(reg.certificates),
             _id("certificate", "cert_id"),
             "certificate",
@@ -199,7 +201,7 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
                 "public_key_id",
             ],
         ),
-        "event": _node(
+        _node(
             own(reg.events),
             _id("provenance", "event_id"),
             "provenance_event",
@@ -215,14 +217,14 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
                 "event_hash",
             ],
         ),
-        "anomaly": _node(
+        _node(
             own(reg.anomalies).where("anomaly_score is not null"),
             _id("forensic:metadata"),
             "forensic_observation",
             "forensic_observation",
             [F.lit("metadata_anomaly").alias("signal"), F.col("anomaly_score").alias("score"), "flags"],
         ),
-        "observation": _node(
+        _node(
             observed,
             F.when(
                 F.col("status") == "legacy_persisted_score", _id("forensic:synthetic:legacy")
@@ -231,53 +233,44 @@ def _node_parts(reg: Registry) -> dict[str, DataFrame]:
             "forensic_observation",
             ["signal", "probability", "provider", "model", "status"],
         ),
-        "session": _node(
+        _node(
             own(reg.sessions),
             _id("session"),
             "session_summary",
             "creation_process_evidence",
             ["status", "privacy_mode", "event_count", "chain_valid"],
         ),
-    }
+    ]
 
 
-# Relation of each node source to its asset.
+# Relation of each node type to its asset.
 RELATIONS = {
-    "declaration": "declares_about",
-    "rights": "claims_rights_in",
+    "creator_declaration": "declares_about",
+    "rights_claim": "claims_rights_in",
     "contributor": "attributed_to",
-    "split": "records_rights_for",
-    "passport": "documents_product_identity_for",
+    "live_split_record": "records_rights_for",
+    "digital_product_passport": "documents_product_identity_for",
     "certificate": "attests_to",
-    "event": "records_event_for",
-    "anomaly": "observes",
-    "observation": "observes",
-    "session": "binds_creation_process_to",
+    "provenance_event": "records_event_for",
+    "forensic_observation": "observes",
+    "session_summary": "binds_creation_process_to",
 }
 
 
 def evidence_nodes(reg: Registry) -> DataFrame:
     """All nodes of all assets; evidence classes stay separate."""
-    parts = list(_node_parts(reg).values())
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, _node_parts(reg))
 
 
-def evidence_edges(reg: Registry) -> DataFrame:
-    """Edges to the asset, plus rights record -> claim and contributor -> record."""
-    edges = None
-    for name, nodes in _node_parts(reg).items():
-        if name not in RELATIONS:
-            continue
-        part = nodes.select(
-            "asset_id",
-            F.col("id").alias("source"),
-            _id("asset").alias("target"),
-            F.lit(RELATIONS[name]).alias("relation"),
-        )
-        edges = part if edges is None else edges.unionByName(part)
+def evidence_edges(reg: Registry, nodes: DataFrame) -> DataFrame:
+    """Edges to the asset, plus rights record -> claim and contributor -> record.
+
+    ``nodes`` is the output of ``evidence_nodes``; store it when both are needed.
+    """
+    relation = F.try_element_at(literal_map(RELATIONS), F.col("type"))
+    edges = nodes.select(
+        "asset_id", F.col("id").alias("source"), _id("asset").alias("target"), relation.alias("relation")
+    ).where("relation is not null")
     records = reg.split_sessions.join(reg.assets.where(_has_rights()).select("asset_id"), "asset_id", "left_semi")
     claims = records.select(
         "asset_id",

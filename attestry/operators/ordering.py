@@ -1,9 +1,10 @@
 """Ordered work inside groups that may hold a third of all rows.
 
-A window over a whole key puts that key in one task.  ``ordered`` splits a key
-into blocks along its order (an hour, a run of sequence numbers), does the row
-work per block, and carries one summary row per block across block borders.
-The result equals that of an unsplit window.
+A window over a whole key puts that key in one task.  ``ordered`` looks for hot
+keys first; only those are split into blocks along their order (an hour, a run
+of sequence numbers).  The row work runs per block, and one summary row per
+block is carried across block borders, so the result equals that of an unsplit
+window.
 """
 
 from __future__ import annotations
@@ -13,9 +14,27 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A key with more rows than this is split into blocks.
+HOT_ROWS = 1_000_000
+# Size bound of the broadcast list of hot keys.  Further hot keys stay unsplit,
+# which changes the work of a task, not the result.
+HOT_KEYS = 100_000
+
 _BLOCK = "__block"
 
 
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """At most HOT_KEYS keys with more than HOT_ROWS rows."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > HOT_ROWS)
+        .orderBy(F.col("__n").desc())
+        .limit(HOT_KEYS)
+        .select(*keys, F.lit(True).alias("__hot"))
+    )
+
+
 def ordered(
     df: DataFrame,
     keys: list[str],
@@ -28,11 +47,12 @@ def ordered(
 ) -> DataFrame:
     """Add a 1..n position, the neighbours' values and running maxima per key.
 
-    ``block`` must grow with ``order`` and never be null.  Only the row work
-    shuffles full rows, by (keys, block); the border rows are pre-aggregated.
+    ``block`` must grow with ``order`` and never be null.  Full rows shuffle
+    once, by (keys, block); counts and border rows are pre-aggregated.
     """
     previous, following, running = dict(previous or {}), dict(following or {}), dict(running_max or {})
-    rows = df.withColumn(_BLOCK, block)
+    rows = df.join(F.broadcast(hot_keys(df, keys)), keys, "left")
+    rows = rows.withColumn(_BLOCK, F.when(F.col("__hot"), block))
     for name, value in {**previous, **following, **running}.items():
         rows = rows.withColumn(f"__v_{name}", value)
     at = F.struct(*order)
@@ -44,7 +64,8 @@ def ordered(
     blocks = Window.partitionBy(*keys).orderBy(_BLOCK)
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        rows.groupBy(*keys, _BLOCK)
+        rows.where("__hot")
+        .groupBy(*keys, _BLOCK)
         .agg(*summary)
         .select(
             *keys,
@@ -57,27 +78,24 @@ def ordered(
     )
 
     local = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    out = rows.withColumn("__local", F.row_number().over(local))
-    for name in previous:
-        out = out.withColumn(f"__near_{name}", F.lag(f"__v_{name}").over(local))
-    for name in following:
-        out = out.withColumn(f"__near_{name}", F.lead(f"__v_{name}").over(local))
     so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for name in running:
-        out = out.withColumn(f"__near_{name}", F.max(f"__v_{name}").over(so_far))
+    work = {"__local": F.row_number().over(local)}
+    work |= {f"__near_{n}": F.lag(f"__v_{n}").over(local) for n in previous}
+    work |= {f"__near_{n}": F.lead(f"__v_{n}").over(local) for n in following}
+    work |= {f"__near_{n}": F.max(f"__v_{n}").over(so_far) for n in running}
     if following:
-        out = out.withColumn("__last", F.lead(F.lit(1)).over(local).isNull())
+        work["__last"] = F.lead(F.lit(1)).over(local).isNull()
+    out = rows.withColumns(work).join(borders, [*keys, _BLOCK], "left")
 
-    out = out.join(borders, [*keys, _BLOCK])
-    added = {n: F.col("__local") == 1 for n in previous} | {n: F.col("__last") for n in following}
+    at_border = {n: F.col("__local") == 1 for n in previous} | {n: F.col("__last") for n in following}
     picks = [
         F.when(edge, F.col(f"__over_{n}")).otherwise(F.col(f"__near_{n}")).alias(n)
-        for n, edge in added.items()
+        for n, edge in at_border.items()
     ]
     picks += [F.greatest(f"__over_{n}", f"__near_{n}").alias(n) for n in running]
     if position:
-        picks.append((F.col("__start") + F.col("__local")).cast("int").alias(position))
-    kept = [c for c in df.columns if c not in {*added, *running, position}]
+        picks.append((F.coalesce("__start", F.lit(0)) + F.col("__local")).cast("int").alias(position))
+    kept = [c for c in df.columns if c not in {*at_border, *running, position}]
     return out.select(*kept, *picks)
 
 

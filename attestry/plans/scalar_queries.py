@@ -143,13 +143,13 @@ def _populated_predicates(v: Views) -> DataFrame:
 
 @query("first_tag")
 def _first_tag(v: Views) -> DataFrame:
-    raw = F.col("raw_tags")
-    return v.metadata.select(
+    looked = v.metadata.select("asset_id", tags.tag_lookup(F.col("raw_tags")).alias("t"))
+    return looked.select(
         "asset_id",
-        tags.first_tag(raw, ["creator", "artist", "by-line"]).alias("creator"),
-        tags.first_tag(raw, ["software"]).alias("software"),
-        tags.first_tag(raw, ["gpslatitude"]).alias("latitude"),
-        tags.first_tag(raw, ["nothing", "make"]).alias("make"),
+        tags.first_tag("t", ["creator", "artist", "by-line"]).alias("creator"),
+        tags.first_tag("t", ["software"]).alias("software"),
+        tags.first_tag("t", ["gpslatitude"]).alias("latitude"),
+        tags.first_tag("t", ["nothing", "make"]).alias("make"),
     )
 
 

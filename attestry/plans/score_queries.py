@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions import detectors, responses, tags, text
+from attestry.functions import detectors, responses, text
 from attestry.operators import (
     aggregates,
     asset_scores,
@@ -23,6 +23,7 @@ from attestry.operators import (
 )
 from attestry.plans.catalog import query
 from attestry.plans.views import MAC_KEY, Views, provenance_event_digest, verification_log_digest
+from attestry.session import stored
 
 AS_OF_YEAR = 2026
 
@@ -418,7 +419,8 @@ def _evidence_nodes(v: Views) -> DataFrame:
 
 @query("evidence_edges")
 def _evidence_edges(v: Views) -> DataFrame:
-    return graph.evidence_edges(_registry(v))
+    reg = _registry(v)
+    return graph.evidence_edges(reg, graph.evidence_nodes(reg))
 
 
 @query("evidence_class_counts")
@@ -429,7 +431,9 @@ def _evidence_class_counts(v: Views) -> DataFrame:
 @query("graph_document")
 def _graph_document(v: Views) -> DataFrame:
     reg = _registry(v)
-    documents = graph.graph_document(graph.evidence_nodes(reg), graph.evidence_edges(reg), per_part=50)
+    nodes = stored(graph.evidence_nodes(reg), "evidence-nodes")
+    edges = stored(graph.evidence_edges(reg, nodes), "evidence-edges")
+    documents = graph.graph_document(nodes, edges, per_part=50)
     return documents.groupBy("asset_id", "parts").agg(
         F.sum(F.size("nodes")).alias("nodes"),
         F.sum(F.size("edges")).alias("edges"),

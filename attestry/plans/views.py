@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import digests, text
 from attestry.operators import chain, ordering
+from attestry.session import stored
 
 MAC_KEY = b"registry-signing-key"
 SEGMENTS_PER_RESPONSE = 1024
@@ -262,7 +263,7 @@ class Views:
     # V3 ---------------------------------------------------------------
     @cached_property
     def session_inputs(self) -> DataFrame:
-        """Submitted session events before sequence and hash are assigned."""
+        """Submitted session events, numbered, before hashes are assigned."""
         u, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("int")
         numbered = ordering.with_position(
             self.table("events"),
@@ -307,8 +308,11 @@ class Views:
 
     @cached_property
     def session_chain(self) -> DataFrame:
-        """Session events with their hash links, before any tampering."""
-        return chain.chain_build(self.session_inputs)
+        """Session events with their hash links, before any tampering.
+
+        Stored once, as a registry stores its events; sessions and checks read it.
+        """
+        return stored(chain.chain_build(self.session_inputs), "session-chain")
 
     @cached_property
     def session_events(self) -> DataFrame:
@@ -422,14 +426,14 @@ class Views:
         numbered = ordering.with_position(
             self.table("lineitem"),
             ["l_orderkey"],
-            F.struct(F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1024).alias("part_range")),
+            F.struct("l_linenumber", F.floor(F.col("l_partkey") / 1024).alias("part_range")),
             order,
         )
         totals = self.table("lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"))
         share = text.rounded(F.lit(100.0) * F.col("l_extendedprice") / F.col("total"), 4)
         first = F.col("position") == 1
         name = F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string"))
-        return numbered.join(totals, "l_orderkey").select(
+        rows = numbered.join(totals, "l_orderkey").select(
             key.alias("sheet_id"),
             F.concat(F.lit("as-"), key.cast("string")).alias("asset_id"),
             F.concat_ws("-", key.cast("string"), F.col("position").cast("string")).alias("contributor_id"),
@@ -449,6 +453,7 @@ class Views:
             F.when(first, F.lit(0.0)).otherwise(text.rounded(F.col("l_tax") * 100, 2)).alias("ai_assisted_pct"),
             F.col("l_shipdate").alias("added_at"),
         )
+        return stored(rows, "split-rows")
 
     @cached_property
     def split_sessions(self) -> DataFrame:

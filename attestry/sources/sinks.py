@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import detectors, digests, text
 from attestry.operators import certificates, reports, timeline
+from attestry.session import stored
 
 EXPORT_BUCKETS = 64
 
@@ -58,7 +59,7 @@ def export_artefacts(
     Histories and contributor lists are one row per entry, so an asset with a
     long history spreads over many rows instead of one document.
     """
-    report = reports.copyright_report(assets, events, certs, contributors)
+    report = stored(reports.copyright_report(assets, events, certs, contributors), "report")
     as_json = lambda *cols: F.to_json(F.struct(*cols)).alias("body")
     known = assets.select("asset_id")
     latest = certificates.latest_certificate(certs).select("asset_id", certificates.certificate_json().alias("latest"))
