@@ -84,15 +84,17 @@ def metadata_lock(certs: DataFrame, key: bytes) -> DataFrame:
 
 def latest_certificate(certs: DataFrame) -> DataFrame:
     """Newest certificate row per asset, with the first and last issue time."""
-    span = certs.groupBy("asset_id").agg(
-        F.min("issued_at").alias("first_issued_at"),
-        F.max("issued_at").alias("latest_issued_at"),
-        F.count(F.lit(1)).alias("certificate_count"),
-    )
-    newest = ordering.first_per_key(
-        certs, ["asset_id"], [F.col("issued_at").desc_nulls_last(), F.col("cert_id").desc()]
+    rest = [c for c in certs.columns if c != "asset_id"]
+    return (
+        certs.groupBy("asset_id")
+        .agg(
+            F.max_by(F.struct(*rest), F.struct("issued_at", "cert_id")).alias("newest"),
+            F.min("issued_at").alias("first_issued_at"),
+            F.max("issued_at").alias("latest_issued_at"),
+            F.count(F.lit(1)).alias("certificate_count"),
+        )
+        .select("asset_id", "newest.*", "first_issued_at", "latest_issued_at", "certificate_count")
     )
-    return newest.join(span, "asset_id")
 
 
 def certificate_asset_join(certs: DataFrame, assets: DataFrame, tenant: str, limit: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from attestry.functions import text
 from attestry.operators import chain, ordering
-from attestry.session import shared_dir
+from attestry.session import shared_dir, stored
 from attestry.streaming import processors
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,11 +86,16 @@ def _micros(name: str) -> Column:
 
 
 def debounced_revisions_batch(changes: DataFrame, debounce_s: int, delay_s: int = 0) -> DataFrame:
-    """The same revisions from a stored table: islands of equal signatures."""
+    """The same revisions from a stored table: islands of equal signatures.
+
+    Each ordered pass reads its input several times, so the islands are stored
+    between passes.
+    """
     wait = debounce_s * 1_000_000
     block, order = ordering.hour_of("at"), [F.col("at")]
     seen = ordering.ordered(changes, ["project"], block, order, previous={"before": F.col("signature")})
     starts = seen.where("before is null or before <> signature").withColumn("is_first", F.col("before").isNull())
+    starts = stored(starts.drop("before"), "islands")
     timed = ordering.ordered(
         starts.withColumn("since", _micros("at")), ["project"], block, order, following={"next": F.col("since")}
     )
@@ -99,6 +104,7 @@ def debounced_revisions_batch(changes: DataFrame, debounce_s: int, delay_s: int
     due = F.ceil((F.col("since") + wait) / 1000) * 1000 <= F.col("watermark")
     stays = F.when(F.col("next").isNotNull(), F.col("next") - F.col("since") >= wait).otherwise(due)
     kept = timed.join(F.broadcast(watermark), F.lit(True), "left").where(F.col("is_first") | stays)
+    kept = stored(kept.drop("next", "watermark"), "settled-islands")
     out = ordering.ordered(kept, ["project"], block, order, previous={"emitted": F.col("signature")})
     return out.where("not is_first and emitted <> signature").select(
         "project", F.col("since").alias("changed_at"), (F.col("since") + wait).alias("emitted_at"), "signature"
@@ -134,6 +140,7 @@ def stable_export_batch(files: DataFrame, newer_than: Column, stability_s: int)
     ).withColumn(
         "start", F.when(~F.col("before").eqNullSafe(F.struct("size", "changed")), F.col("at"))
     )
+    marked = stored(marked.drop("before"), "marked-scans")
     timed = ordering.ordered(marked, ["path"], block, order, running_max={"since": F.col("start")})
     stable = timed.where((F.col("size") > 0) & (F.col("at") - F.col("since") >= stability_s * 1_000_000))
     return stable.groupBy("path").agg(F.min("at").alias("emitted_at"), F.min_by("size", "at").alias("size"))
@@ -225,7 +232,7 @@ def project_session_reuse_batch(detections: DataFrame) -> DataFrame:
     block, order = ordering.hour_of("at"), [F.col("at"), F.col("event_id")]
     marked = ordering.ordered(rows, ["project_key"], block, order, previous={"closed_before": F.col("closes")})
     starts = ~F.col("closes") & F.coalesce("closed_before", F.lit(True))
-    marked = marked.withColumn("start", F.when(starts, F.col("micros")))
+    marked = stored(marked.withColumn("start", F.when(starts, F.col("micros"))), "marked-detections")
     timed = ordering.ordered(marked, ["project_key"], block, order, running_max={"session_started": F.col("start")})
     return timed.where("not closes").select(
         "project_key", "event_id", "session_started", F.col("start").isNull().alias("reused")
