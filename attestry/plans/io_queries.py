@@ -92,7 +92,7 @@ def _document_sink(v: Views) -> DataFrame:
 @query("evidence_export")
 def _evidence_export(v: Views) -> DataFrame:
     path = shared_dir(v.spark, "export")
-    artefacts = sinks.export_artefacts(v.assets, v.provenance_events, v.certificates, v.split_rows)
+    artefacts = sinks.export_artefacts(v.assets, v.provenance_events, v.certificates, v.stored_split_rows)
     sinks.evidence_export(artefacts, path)
     written = sinks.read_export(v.spark, path, list(artefacts))
     return written.groupBy("artefact").agg(

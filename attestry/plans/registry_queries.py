@@ -190,7 +190,7 @@ def _source_lineage_snapshot(v: Views) -> DataFrame:
 
 @query("name_match_join")
 def _name_match_join(v: Views) -> DataFrame:
-    return matching.name_match_join(v.split_rows, v.split_rows)
+    return matching.name_match_join(v.stored_split_rows, v.stored_split_rows)
 
 
 def _persisted(v: Views) -> DataFrame:
@@ -362,7 +362,7 @@ def _set_gap(v: Views) -> DataFrame:
 
 @query("chain_build")
 def _chain_build(v: Views) -> DataFrame:
-    return v.session_chain.select("event_id", "session_id", "sequence", "previous_event_hash", "evidence_hash")
+    return chain.chain_build(v.session_inputs).select("event_id", "session_id", "sequence", "previous_event_hash", "evidence_hash")
 
 
 @query("chain_verify")

@@ -231,7 +231,7 @@ def _passport_readiness(v: Views) -> DataFrame:
 
 @query("copyright_report")
 def _copyright_report(v: Views) -> DataFrame:
-    out = reports.copyright_report(v.assets, v.provenance_events, v.certificates, v.split_rows)
+    out = reports.copyright_report(v.assets, v.provenance_events, v.certificates, v.stored_split_rows)
     return out.select(
         "asset_id",
         "report_type",
@@ -286,9 +286,9 @@ def _issued(v: Views) -> DataFrame:
 
 
 def _split_diffs(v: Views) -> DataFrame:
-    stored = facts.ownership_splits(v.split_rows).withColumnRenamed("name", "owner_name")
+    stored = facts.ownership_splits(v.stored_split_rows).withColumnRenamed("name", "owner_name")
     stored = stored.join(v.assets.select("asset_id"), "asset_id", "left_semi")
-    certified = v.split_rows.join(
+    certified = v.stored_split_rows.join(
         v.assets.where("certificate_class = 'live_split'").select("asset_id"), "asset_id", "left_semi"
     ).select(
         "asset_id",
@@ -377,7 +377,7 @@ def _verify_batch_deltas(v: Views) -> DataFrame:
 def _registry(v: Views) -> graph.Registry:
     return graph.Registry(
         assets=v.assets,
-        contributors=v.split_rows,
+        contributors=v.stored_split_rows,
         split_sessions=v.split_sessions,
         passports=v.passports,
         certificates=v.certificates,

@@ -433,7 +433,7 @@ class Views:
         share = text.rounded(F.lit(100.0) * F.col("l_extendedprice") / F.col("total"), 4)
         first = F.col("position") == 1
         name = F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string"))
-        rows = numbered.join(totals, "l_orderkey").select(
+        return numbered.join(totals, "l_orderkey").select(
             key.alias("sheet_id"),
             F.concat(F.lit("as-"), key.cast("string")).alias("asset_id"),
             F.concat_ws("-", key.cast("string"), F.col("position").cast("string")).alias("contributor_id"),
@@ -453,7 +453,11 @@ class Views:
             F.when(first, F.lit(0.0)).otherwise(text.rounded(F.col("l_tax") * 100, 2)).alias("ai_assisted_pct"),
             F.col("l_shipdate").alias("added_at"),
         )
-        return stored(rows, "split-rows")
+
+    @cached_property
+    def stored_split_rows(self) -> DataFrame:
+        """The same rows as a stored table, for queries that read them several times."""
+        return stored(self.split_rows, "split-rows")
 
     @cached_property
     def split_sessions(self) -> DataFrame:
@@ -467,7 +471,7 @@ class Views:
             F.when(F.col("position") % 2 == 0, F.lit("wallet")).alias("wallet_address"),
         )
         return (
-            self.split_rows.withColumn("volume", F.floor((F.col("position") - 1) / 256))
+            self.stored_split_rows.withColumn("volume", F.floor((F.col("position") - 1) / 256))
             .groupBy("sheet_id", "asset_id", "volume")
             .agg(F.to_json(F.array_sort(F.collect_list(row))).alias("body"))
             .select(

@@ -22,6 +22,8 @@ def con(sf_dir):
 def test_query_equals_twin(spark, sf_dir, con, key):
     df = QUERIES[key](spark, sf_dir)
     assert {f.dataType.simpleString() for f in df.schema} <= PLAIN
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(trap in plan for trap in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython"))
     if key in TWINS:
         assert compare.compare(df, con, TWINS[key]) == []
     else:

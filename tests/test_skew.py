@@ -148,15 +148,6 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
-def test_plans_have_no_cartesian_product(spark, sf_dir, key):
-    if key in {"evidence_log_stream", "debounced_revisions", "stable_export", "project_session_reuse", "fixed_window_limit"}:
-        pytest.skip("the stored result of a stream")
-    plan = _plan(contract.queries()[key](spark, sf_dir))
-    assert "CartesianProduct" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-
-
 def test_scans_are_pruned_and_filtered(spark, sf_dir):
     plan = _plan(contract.queries()["tenant_scope"](spark, sf_dir))
     assert "EqualTo(source,src3)" in plan
