@@ -457,7 +457,7 @@ FROM v2
 
 -- name: vanoms
 -- uses: vanom
-SELECT vanom.*, coalesce(points, 0) AS raw_points, least(100, coalesce(points, 0)) AS anomaly_score, coalesce(n, 0) AS n_flags, listed, fields
+SELECT vanom.*, coalesce(points, 0) AS raw_points, CAST(least(100, coalesce(points, 0)) AS INTEGER) AS anomaly_score, coalesce(n, 0) AS n_flags, listed, fields
 FROM vanom LEFT JOIN (
   SELECT asset_id, sum(CASE severity WHEN 'High' THEN 30 WHEN 'Medium' THEN 15 ELSE 5 END) AS points, count(*) AS n,
     string_agg(flag || ' (' || severity || ')', ', ' ORDER BY rank) AS listed,
