@@ -25,15 +25,16 @@ def _store(v: Views, table: str, df: DataFrame) -> str:
 @query("registry_scan")
 def _registry_scan(v: Views) -> DataFrame:
     root = _store(v, "assets", v.assets.withColumn("sha256", F.when(F.col("doc_id") % 101 != 7, F.col("sha256"))))
-    assets = registry.registry_scan(v.spark, root, "assets").where("tenant_id in ('src1', 'src2', 'src7')")
-    return assets.select("asset_id", "tenant_id", "asset_uid", "file_size_bytes", "trust_score", "human_lyrics_present")
+    return registry.registry_scan(v.spark, root, "assets").select(
+        "asset_id", "tenant_id", "asset_uid", "file_size_bytes", "trust_score", "human_lyrics_present"
+    )
 
 
 @query("registry_scan_events")
 def _registry_scan_events(v: Views) -> DataFrame:
     root = _store(v, "provenance_events", v.provenance_events)
     events = registry.registry_scan(v.spark, root, "provenance_events")
-    return events.where("event_type = 'upload'").select(
+    return events.select(
         "event_id", "asset_id", text.iso_utc(F.col("timestamp")).alias("timestamp"), "event_hash"
     )
 
@@ -121,12 +122,16 @@ def _records(rows: DataFrame, asset_id: Column, version: Column) -> DataFrame:
 
 @query("keyed_upsert")
 def _keyed_upsert(v: Views) -> DataFrame:
+    """Re-analysis of all assets: known keys, moved keys and new identities."""
     i = F.col("doc_id")
-    base = v.assets.withColumn("metadata_sha256", F.sha2(F.concat("asset_uid", "filename"), 256))
-    registered = v.registered.withColumn("metadata_sha256", F.sha2(F.concat("asset_uid", "filename"), 256))
-    target = _records(registered.where(i % 4 != 0), F.col("asset_id"), F.lit(1))
-    moved = F.when(i % 3 == 0, F.concat(F.lit("re-"), i.cast("string"))).otherwise(F.col("asset_id"))
-    updates = _records(base.where(i % 2 == 0), moved, F.lit(2))
+    digest = F.sha2(F.concat("asset_uid", "filename"), 256)
+    target = _records(v.registered.withColumn("metadata_sha256", digest), F.col("asset_id"), F.lit(1))
+    fresh = lambda prefix: F.concat(F.lit(prefix), i.cast("string"))
+    key = F.when(i % 5 == 0, fresh("new-")).when(i % 3 == 0, fresh("re-")).otherwise(F.col("asset_id"))
+    analysed = v.assets.withColumn(
+        "asset_uid", F.when(i % 5 == 0, fresh("AU-new-")).otherwise(F.col("asset_uid"))
+    ).withColumn("metadata_sha256", digest)
+    updates = _records(analysed, key, F.lit(2))
     return registry.keyed_upsert(target, updates, "asset_id", ["asset_uid", "tenant_id"], [i]).select(
         "asset_id", "asset_uid", "tenant_id", "version", "metadata_sha256"
     )

@@ -205,9 +205,11 @@ def _legacy_observation_fallback(v: Views) -> DataFrame:
 @query("certificate_fallback_lookup")
 def _certificate_fallback_lookup(v: Views) -> DataFrame:
     i = F.col("doc_id")
-    files = v.assets.where(i % 4 < 2).select(
+    files = v.assets.select(
         "asset_id",
-        F.when(i % 4 == 0, F.concat(F.lit('{"file":'), i.cast("string"), F.lit("}"))).otherwise("{broken").alias("document"),
+        F.when(i % 4 == 0, F.concat(F.lit('{"file":'), i.cast("string"), F.lit("}")))
+        .when(i % 4 == 1, F.lit("{broken"))
+        .alias("document"),
     )
     certs = v.certificates.withColumn("document", certificates.certificate_json())
     return certificates.certificate_fallback_lookup(files, certs)
@@ -351,7 +353,9 @@ def _strongest_detector(v: Views) -> DataFrame:
 
 @query("set_gap")
 def _set_gap(v: Views) -> DataFrame:
-    seen = detectors.normalize_observations(v.observations, lower_provider=True).where("model = 'm1'")
+    seen = detectors.normalize_observations(v.observations, lower_provider=True).withColumn(
+        "provider", F.when(F.col("model") == "m1", F.col("provider"))
+    )
     return aggregates.set_gap(seen, ["asset_id"], "provider", ["sightengine", "hive", "third"]).withColumn(
         "missing", _joined("missing")
     )

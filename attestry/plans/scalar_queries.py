@@ -44,7 +44,8 @@ def _asset_uid(v: Views) -> DataFrame:
 
 @query("tenant_uid")
 def _tenant_uid(v: Views) -> DataFrame:
-    clients = v.applications.where("application_id % 97 = 0").select("email")
+    key = F.col("s_suppkey").cast("string")
+    clients = v.table("supplier").select(F.concat(F.lit("C"), key, F.lit("@Example.com")).alias("email"))
     ok, rejected = tenants.tenant_uid(v.applications, clients)
     return ok.select("application_id", "email", "tenant_id", F.lit(None).cast("string").alias("reason")).unionByName(
         rejected.select("application_id", "email", F.lit(None).cast("string").alias("tenant_id"), "reason")

@@ -80,6 +80,11 @@ def _anomalies(v: Views) -> DataFrame:
     return metadata_scores.metadata_anomaly_rules(v.metadata, AS_OF_YEAR)
 
 
+def _stored_anomalies(v: Views) -> DataFrame:
+    """Anomaly results; every sixth record is not scored yet."""
+    return _anomalies(v).withColumn("anomaly_score", F.when(F.col("doc_id") % 6 != 0, F.col("anomaly_score")))
+
+
 @query("metadata_anomaly_rules")
 def _metadata_anomaly_rules(v: Views) -> DataFrame:
     return _anomalies(v).select(
@@ -180,12 +185,12 @@ def _disclosure_note(v: Views) -> DataFrame:
 
 
 def _credentials(v: Views) -> DataFrame:
-    """Manifest summaries; every sixteenth source file is unavailable."""
-    gone = F.col("doc_id") % 16 == 0
+    """Manifest summaries; some source files are gone, some were never read."""
+    gone, read = F.col("doc_id") % 16 == 0, F.col("doc_id") % 10 != 7
     return responses.manifest_summary(v.manifest_stores).select(
         "asset_id",
-        F.when(gone, "source_unavailable").otherwise(F.col("validation_state")).alias("validation_state"),
-        F.when(~gone, F.col("manifest_present")).alias("manifest_present"),
+        F.when(read, F.when(gone, "source_unavailable").otherwise(F.col("validation_state"))).alias("validation_state"),
+        F.when(read & ~gone, F.col("manifest_present")).alias("manifest_present"),
         F.when(gone, 0).otherwise(F.col("validation_error_count")).alias("validation_error_count"),
     )
 
@@ -197,8 +202,8 @@ def _persisted(v: Views) -> DataFrame:
 def _forensic(v: Views) -> DataFrame:
     return forensics.forensic_signals(
         v.assets,
-        _anomalies(v).where("doc_id % 6 <> 0"),
-        _credentials(v).where("substring(asset_id, -1, 1) <> '7'"),
+        _stored_anomalies(v),
+        _credentials(v),
         chain.public_session_summary(v.sessions, v.session_events),
         _persisted(v),
     )
@@ -261,9 +266,9 @@ def _flat_facts(v: Views) -> DataFrame:
 def _issued(v: Views) -> DataFrame:
     """Certificates of the stored facts, with drift, missing rows and bad signatures."""
     i = F.col("doc_id")
-    rows = v.assets.where(i % 25 != 0).select(
+    rows = v.assets.select(
         "doc_id",
-        F.concat(F.lit("ct-"), "asset_id").alias("cert_id"),
+        F.when(i % 25 != 0, F.concat(F.lit("ct-"), "asset_id")).alias("cert_id"),
         "asset_id",
         "asset_uid",
         "created_at",
@@ -382,7 +387,7 @@ def _registry(v: Views) -> graph.Registry:
         passports=v.passports,
         certificates=v.certificates,
         events=v.provenance_events,
-        anomalies=_anomalies(v).where("doc_id % 6 <> 0"),
+        anomalies=_stored_anomalies(v),
         observations=_persisted(v),
         sessions=chain.public_session_summary(v.sessions, v.session_events),
     )

@@ -1,10 +1,10 @@
 -- name: registry_scan
 -- uses: v1
-SELECT asset_id, tenant_id, asset_uid, file_size_bytes, trust_score, h4 AS human_lyrics_present FROM v1 WHERE tenant_id IN ('src1','src2','src7') AND doc_id % 101 <> 7
+SELECT asset_id, tenant_id, asset_uid, file_size_bytes, trust_score, h4 AS human_lyrics_present FROM v1 WHERE doc_id % 101 <> 7
 
 -- name: registry_scan_events
 -- uses: v2e
-SELECT event_id, asset_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') AS "timestamp", event_hash FROM v2e WHERE event_type = 'upload'
+SELECT event_id, asset_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') AS "timestamp", event_hash FROM v2e
 
 -- name: json_object_gate
 SELECT event_id, CASE event_id % 10 WHEN 0 THEN '[1,2]' WHEN 1 THEN '{"k": ' WHEN 2 THEN '{}' WHEN 3 THEN '"text"' WHEN 4 THEN '{}' ELSE props END AS body,
@@ -39,13 +39,12 @@ SELECT artefact, n AS "rows", a AS assets, 0 AS empty FROM (
 SELECT observation_id, CASE WHEN observation_id % 3 = 0 THEN 1 ELSE 2 END AS run, lower(provider) AS provider, model, probability, status FROM v4n
 
 -- name: keyed_upsert
--- uses: v1, v1r
+-- uses: v1r, u8
 SELECT asset_id, asset_uid, tenant_id, version, sha256(asset_uid || filename) AS metadata_sha256 FROM (
-  SELECT new_id AS asset_id, asset_uid, tenant_id, 2 AS version, filename FROM (
-    SELECT *, CASE WHEN doc_id % 3 = 0 THEN 're-' || doc_id ELSE asset_id END AS new_id FROM v1 WHERE doc_id % 2 = 0
-    QUALIFY row_number() OVER (PARTITION BY asset_uid, tenant_id ORDER BY doc_id DESC) = 1)
+  SELECT asset_id, asset_uid, tenant_id, 2 AS version, filename FROM u8
   UNION ALL
-  SELECT asset_id, asset_uid, tenant_id, 1, filename FROM v1r WHERE doc_id % 4 <> 0 AND asset_uid NOT IN (SELECT asset_uid FROM v1 WHERE doc_id % 2 = 0))
+  SELECT asset_id, asset_uid, tenant_id, 1, filename FROM v1r WHERE asset_id NOT IN (SELECT asset_id FROM u8)
+    AND asset_uid NOT IN (SELECT asset_uid FROM u8 WHERE asset_id NOT IN (SELECT asset_id FROM v1r)))
 
 -- name: schema_evolve
 -- uses: v1

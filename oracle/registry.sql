@@ -206,7 +206,7 @@ FROM (SELECT a.asset_id, legacy, b.provider, b.model, b.signal, b.probability, c
 -- name: set_gap
 -- uses: v4n
 SELECT asset_id, array_to_string(list_filter(['hive','sightengine','third'], lambda e: NOT list_contains(seen, e)), '|') AS missing
-FROM (SELECT asset_id, list(DISTINCT lower(provider)) AS seen FROM v4n WHERE model = 'm1' GROUP BY 1)
+FROM (SELECT asset_id, coalesce(list(DISTINCT lower(provider)) FILTER (model = 'm1'), []) AS seen FROM v4n GROUP BY 1)
 
 -- name: chain_build
 -- uses: v3c

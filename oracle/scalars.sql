@@ -11,7 +11,7 @@ SELECT application_id, email,
   CASE WHEN reason IS NULL THEN slug || CASE WHEN nth > 1 THEN '_' || lpad(CAST(nth - 1 AS VARCHAR), 4, '0') ELSE '' END END AS tenant_id, reason
 FROM (SELECT *, row_number() OVER (PARTITION BY slug, reason IS NULL ORDER BY application_id) AS nth
   FROM (SELECT v9.*, 'tn_' || upper(left(md5(lower(email)), 8)) AS slug,
-      CASE WHEN email IN (SELECT email FROM v9 WHERE application_id % 97 = 0) OR application_id > first_application THEN 'email already registered'
+      CASE WHEN email IN (SELECT 'C' || s_suppkey || '@Example.com' FROM supplier) OR application_id > first_application THEN 'email already registered'
         WHEN plan NOT IN ('founder','creator','label','enterprise') THEN 'unknown plan' END AS reason
     FROM v9 LEFT JOIN (SELECT email, min(application_id) AS first_application FROM v9 WHERE plan <> 'gold' GROUP BY 1) USING (email)))
 

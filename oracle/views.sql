@@ -654,3 +654,9 @@ SELECT sha256('/projects/' || user_id) AS project_key, event_id, session_started
   SELECT *, max(start) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_started FROM (
     SELECT *, CASE WHEN event_type <> 'error' AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'error', true) THEN epoch_us(ts) END AS start FROM events))
 WHERE event_type <> 'error'
+
+-- name: u8
+-- uses: v1
+SELECT * FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'new-' || doc_id WHEN doc_id % 3 = 0 THEN 're-' || doc_id ELSE asset_id END AS asset_id,
+  CASE WHEN doc_id % 5 = 0 THEN 'AU-new-' || doc_id ELSE asset_uid END AS asset_uid, tenant_id, doc_id, filename FROM v1)
+QUALIFY row_number() OVER (PARTITION BY asset_uid, tenant_id ORDER BY doc_id DESC) = 1
