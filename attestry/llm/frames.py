@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,20 @@ def with_columns(
     return df.mapInArrow(apply, schema)
 
 
+def with_words_sha256(df: DataFrame, text: str, name: str) -> DataFrame:
+    """SHA-256 of the words of a text joined by one space."""
+
+    def compute(batch, data, offsets):
+        found = words.find(data, offsets, ~words.SPACE)
+        plain, low, high = words.joined(found)
+        out = []
+        for first, last in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
+            out.append(hashlib.sha256(plain[low[first] : high[last - 1]] if last > first else b"").hexdigest())
+        return {name: pa.array(out, pa.string())}
+
+    return with_columns(df, compute, f"{name} string", text)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray]]:
     """Whole runs of rows sorted by their first ``keys`` columns, no key cut in two.
 

@@ -38,22 +38,11 @@ BUCKET = 4096
 ROUNDS = 100
 
 
-def _joined(data: np.ndarray, found: words.Words) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The text with one space between words, and the words' places in it."""
-    on = ~words.SPACE[data]
-    keep = on.copy()
-    gaps = found.end[found.end < len(data)]
-    keep[gaps] = True
-    place = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep, out=place[1:])
-    return np.where(on, data, 0x20)[keep].astype(np.uint8).tobytes(), place[found.start], place[found.end]
-
-
 def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     texts = len(offsets) - 1
     found = words.find(words.LOWER[data], offsets, ~words.SPACE)
     counts = found.counts
-    raw, low, high = _joined(found.data, found)
+    raw, low, high = words.joined(found)
     # the last word of the shingle that starts at each word; short texts have one shingle
     at = np.flatnonzero(found.inside(shingle))
     short = np.flatnonzero((counts > 0) & (counts < shingle))

@@ -164,7 +164,18 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, lengths, total: int) -> np.ndarray:
     """Mask of places inside any of the spans."""
-    steps = np.zeros(total + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + lengths, -1)
-    return np.cumsum(steps[:-1]) > 0
+    steps = np.bincount(starts, minlength=total + 1) - np.bincount(starts + lengths, minlength=total + 1)
+    return np.cumsum(steps[:total]) > 0
+
+
+def joined(found: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts with one space between the words of each, and the words' places in it."""
+    on = np.zeros(len(found.data) + 1, bool)
+    on[:-1] = covered(found.start, found.end - found.start, len(found.data))
+    keep = on[:-1].copy()
+    gaps = found.end[found.end < len(found.data)]
+    keep[gaps] = True
+    place = np.zeros(len(found.data) + 1, np.int64)
+    np.cumsum(keep, out=place[1:])
+    plain = np.where(on[:-1], found.data, 0x20)[keep].astype(np.uint8).tobytes()
+    return plain, place[found.start], place[found.end]
