@@ -200,15 +200,13 @@ def _with_group(ids: DataFrame, groups: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each near-duplicate group, the one with the smallest id (nulls last)
-    and then the smallest hash of its text; all its columns stay."""
-    marked = fingerprints(docs.select("doc_id", text), text).select(
-        "doc_id", "fingerprint", F.xxhash64(text).alias("digest")
-    )
-    ids = stored(marked, "fingerprints")
+    and then the smallest digest of id and text; all its columns stay."""
+    keys = {"__k1": F.xxhash64("doc_id", text), "__k2": F.xxhash64(text, F.lit(1), "doc_id")}
+    keyed = docs.withColumns(keys)
+    ids = stored(fingerprints(keyed.select("doc_id", text, "__k1", "__k2"), text).drop(text), "fingerprints")
     groups = group_roots(ids.select("doc_id", "fingerprint")).select("fingerprint", "root")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("digest"))).alias("best")
-    first = ids.join(groups, "fingerprint").groupBy("root").agg(best).select("best.id", "best.digest")
-    keys = first.select(F.xxhash64("id", "digest").alias("__keep")).distinct()
-    rows = docs.withColumn("__keep", F.xxhash64("doc_id", F.xxhash64(text)))
-    kept = rows.join(keys, "__keep", "left_semi")
-    return kept.dropDuplicates(["__keep"]).drop("__keep")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__k1", "__k2")
+    first = ids.join(groups, "fingerprint").groupBy("root").agg(F.min(order).alias("best"))
+    best = first.select("best.__k1", "best.__k2")
+    # a repeated row has the keys of its twin
+    return keyed.join(best, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(docs.columns)
