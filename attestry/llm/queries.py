@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontamination, frames, lm_score, packing, quality, simhash, substring
+from attestry.llm import (
+    decontamination,
+    frames,
+    length_histogram,
+    lm_score,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,3 +73,14 @@ def op1_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram.histogram(length_histogram.lengths(table(spark, sf_dir, "documents")))
