@@ -11,6 +11,7 @@ from attestry.llm import (
     chat,
     decontamination,
     frames,
+    html_text,
     length_histogram,
     lm_score,
     packing,
@@ -127,3 +128,8 @@ SELECT conv_id,
 FROM marked
 GROUP BY conv_id
 """
+
+
+@query
+def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
