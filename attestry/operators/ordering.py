@@ -1,10 +1,10 @@
 """Ordered work inside groups that may hold a third of all rows.
 
-A window over a whole key puts that key in one task.  ``ordered`` looks for hot
-keys first; only those are split into blocks along their order (an hour, a run
-of sequence numbers).  The row work runs per block, and one summary row per
-block is carried across block borders, so the result equals that of an unsplit
-window.
+A window over a whole key puts that key in one task.  ``ordered`` always works
+by (key, block), where a block is a stretch of the key's order (an hour, a run of
+sequence numbers): rows are shuffled once by both, and one summary row for each
+block is carried across block borders.  The result equals that of an unsplit
+window, and a small table takes the same path as a large one.
 """
 
 from __future__ import annotations
@@ -14,25 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split into blocks.
-HOT_ROWS = 1_000_000
-# Size bound of the broadcast list of hot keys.  Further hot keys stay unsplit,
-# which changes the work of a task, not the result.
-HOT_KEYS = 100_000
-
-_BLOCK = "__block"
-
-
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """At most HOT_KEYS keys with more than HOT_ROWS rows."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > HOT_ROWS)
-        .orderBy(F.col("__n").desc())
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
+_GROUP = "__group"
 
 
 def ordered(
@@ -47,12 +29,13 @@ def ordered(
 ) -> DataFrame:
     """Add a 1..n position, the neighbours' values and running maxima per key.
 
-    ``block`` must grow with ``order`` and never be null.  Full rows shuffle
-    once, by (keys, block); counts and border rows are pre-aggregated.
+    ``block`` must grow with ``order``; a null block is one of its own, before
+    all others.  Null keys are a key.  Full rows shuffle once, by (keys, block);
+    counts and border rows are pre-aggregated.
     """
     previous, following, running = dict(previous or {}), dict(following or {}), dict(running_max or {})
-    rows = df.join(F.broadcast(hot_keys(df, keys)), keys, "left")
-    rows = rows.withColumn(_BLOCK, F.when(F.col("__hot"), block))
+    # a struct is never null, so null keys and blocks join their border rows
+    rows = df.withColumn(_GROUP, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], block.alias("at")))
     for name, value in {**previous, **following, **running}.items():
         rows = rows.withColumn(f"__v_{name}", value)
     at = F.struct(*order)
@@ -61,15 +44,13 @@ def ordered(
     summary += [F.max_by(F.struct(f"__v_{n}"), at).alias(f"__edge_{n}") for n in previous]
     summary += [F.min_by(F.struct(f"__v_{n}"), at).alias(f"__edge_{n}") for n in following]
     summary += [F.max(f"__v_{n}").alias(f"__edge_{n}") for n in running]
-    blocks = Window.partitionBy(*keys).orderBy(_BLOCK)
+    blocks = Window.partitionBy(*[f"{_GROUP}.k{i}" for i in range(len(keys))]).orderBy(f"{_GROUP}.at")
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        rows.where("__hot")
-        .groupBy(*keys, _BLOCK)
+        rows.groupBy(_GROUP)
         .agg(*summary)
         .select(
-            *keys,
-            _BLOCK,
+            _GROUP,
             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
             *[F.lag(f"__edge_{n}").over(blocks)[f"__v_{n}"].alias(f"__over_{n}") for n in previous],
             *[F.lead(f"__edge_{n}").over(blocks)[f"__v_{n}"].alias(f"__over_{n}") for n in following],
@@ -77,7 +58,7 @@ def ordered(
         )
     )
 
-    local = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    local = Window.partitionBy(_GROUP).orderBy(*order)
     so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     work = {"__local": F.row_number().over(local)}
     work |= {f"__near_{n}": F.lag(f"__v_{n}").over(local) for n in previous}
@@ -85,7 +66,7 @@ def ordered(
     work |= {f"__near_{n}": F.max(f"__v_{n}").over(so_far) for n in running}
     if following:
         work["__last"] = F.lead(F.lit(1)).over(local).isNull()
-    out = rows.withColumns(work).join(borders, [*keys, _BLOCK], "left")
+    out = rows.withColumns(work).join(borders, _GROUP)
 
     at_border = {n: F.col("__local") == 1 for n in previous} | {n: F.col("__last") for n in following}
     picks = [
@@ -94,7 +75,7 @@ def ordered(
     ]
     picks += [F.greatest(f"__over_{n}", f"__near_{n}").alias(n) for n in running]
     if position:
-        picks.append((F.coalesce("__start", F.lit(0)) + F.col("__local")).cast("int").alias(position))
+        picks.append((F.col("__start") + F.col("__local")).cast("int").alias(position))
     kept = [c for c in df.columns if c not in {*at_border, *running, position}]
     return out.select(*kept, *picks)
 

@@ -12,7 +12,6 @@ from attestry.streaming import jobs
 
 @pytest.fixture
 def tiny_blocks(monkeypatch):
-    monkeypatch.setattr(ordering, "HOT_ROWS", 20)
     monkeypatch.setattr(chain, "SEQUENCE_BLOCK", 7)
 
 
@@ -52,10 +51,22 @@ def test_split_equals_plain_window(skewed, tiny_blocks):
     assert rows(got) == rows(want)
 
 
-def test_hot_list_is_bounded(skewed, monkeypatch):
-    monkeypatch.setattr(ordering, "HOT_ROWS", 1)
-    monkeypatch.setattr(ordering, "HOT_KEYS", 3)
-    assert ordering.hot_keys(skewed, ["key"]).count() == 3
+def test_null_keys_and_null_blocks_keep_their_borders(spark):
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 4 != 0, F.col("id") % 2).alias("key"),
+        F.when(F.col("id") >= 100, F.col("id")).alias("at"),
+        F.col("id"),
+    )
+    got = ordering.ordered(
+        rows, ["key"], F.floor(F.col("at") / 50), [F.col("at"), F.col("id")], "n",
+        previous={"before": F.col("id")}, following={"after": F.col("id")}, running_max={"top": F.col("id")},
+    )
+    w = Window.partitionBy("key").orderBy("at", "id")
+    want = rows.select(
+        "key", "at", "id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"),
+        F.max("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"), F.row_number().over(w).alias("n"),
+    )
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 @pytest.mark.parametrize(
