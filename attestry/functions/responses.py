@@ -1,21 +1,20 @@
 """Nested detector responses and content-credential stores, row by row.
 
-A document is one row, so its classes, statuses and actions are read with
-array expressions: no explode, no shuffle.
+A document is one row, so its classes, statuses and actions are read inside it:
+no explode, no shuffle.  Detector responses nest to any depth, which column
+expressions cannot follow; a short Arrow function walks them.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text
 
-RESPONSE_SCHEMA = (
-    "status array<struct<response: struct<output: array<struct<"
-    "classes: array<struct<class: string, score: string>>>>>>>"
-)
-
 # Generator classes an attribution may name.
 GENERATORS = [
     "ace_step",
@@ -35,20 +34,53 @@ GENERATORS = [
 ]
 
 
+def _walk(document: str | None) -> tuple[int, list[tuple[str, str | None]]]:
+    """Output rows and (class, score) rows of a JSON text, in document order.
+
+    A class row is any object with a class and a score; an output row is any
+    object in a list named output.  The stack is explicit, so depth is no limit.
+    """
+    try:
+        stack = [json.loads(document or "null")]
+    except (ValueError, RecursionError):
+        return 0, []
+    outputs, classes = 0, []
+    while stack:
+        node = stack.pop()
+        if isinstance(node, dict):
+            if "class" in node and "score" in node:
+                score = node["score"]
+                score = float(score) if isinstance(score, bool) else score
+                plain = isinstance(score, (str, int, float))
+                classes.append((str(node["class"] or "").strip().lower(), str(score) if plain else None))
+            rows = node.get("output")
+            if isinstance(rows, list):
+                outputs += sum(isinstance(r, dict) for r in rows)
+            stack += reversed(node.values())
+        elif isinstance(node, list):
+            stack += reversed(node)
+    return outputs, classes
+
+
+def _walked(documents: pd.Series) -> pd.DataFrame:
+    rows = [_walk(d) for d in documents]
+    classes = [[{"class": c, "score": s} for c, s in found] for _, found in rows]
+    return pd.DataFrame({"segments": [n for n, _ in rows], "classes": classes})
+
+
 def parse_response(responses: DataFrame, col: str = "response") -> DataFrame:
-    """Add ``segments`` and ``classes`` (class, score) in document order."""
-    outputs = F.flatten(F.transform(F.col("__doc.status"), lambda s: s["response"]["output"]))
-    classes = F.flatten(F.transform("segments", lambda o: o["classes"]))
+    """Add ``segments``, the number of output rows, and ``classes`` (class, score) in document order."""
+    walked = F.pandas_udf(_walked, "segments int, classes array<struct<class: string, score: string>>")
+    score = lambda c: text.as_number(c["score"])
     scored = F.transform(
-        classes,
+        "__doc.classes",
         lambda c: F.struct(
-            F.lower(text.stripped(c["class"])).alias("class"),
-            F.when(text.as_number(c["score"]).isNotNull(), text.clamp01(text.as_number(c["score"]))).alias("score"),
+            c["class"].alias("class"), F.when(score(c).isNotNull(), text.clamp01(score(c))).alias("score")
         ),
     )
     return (
-        responses.withColumn("__doc", F.from_json(col, RESPONSE_SCHEMA))
-        .withColumn("segments", outputs)
+        responses.withColumn("__doc", walked(F.col(col)))
+        .withColumn("segments", F.col("__doc.segments"))
         .withColumn("classes", scored)
         .drop("__doc")
     )
@@ -61,7 +93,7 @@ def class_max(name: str) -> Column:
 
 
 def segment_count() -> Column:
-    return F.greatest(F.size("segments"), F.lit(0))
+    return F.col("segments")
 
 
 def class_max_score(responses: DataFrame, name: str) -> DataFrame:

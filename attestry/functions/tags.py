@@ -193,13 +193,30 @@ def normalize_sections(df: DataFrame, tags: str, extension: str, mime: str) -> D
     ).drop("__tags")
 
 
-def flatten_nested(df: DataFrame, key: str, document: str, max_depth: int) -> DataFrame:
+def nesting(document: Column) -> Column:
+    """Depth of the containers of a JSON text, by its brackets outside strings."""
+    bare = F.regexp_replace(document, r'"(?:[^"\\]|\\.)*"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    step = lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walked = F.aggregate(
+        brackets,
+        start,
+        lambda at, c: F.struct(
+            (at["now"] + step(c)).alias("now"), F.greatest(at["most"], at["now"] + step(c)).alias("most")
+        ),
+    )
+    return walked["most"]
+
+
+def flatten_nested(df: DataFrame, key: str, document: str) -> DataFrame:
     """(key, path, value) of every leaf of a JSON document, like ``a.b[0].c``.
 
     Every level opens the containers and passes leaves through, so the job is
-    one chain of generators without a shuffle.  Containers below ``max_depth``
-    are kept as JSON text.
+    one chain of generators without a shuffle.  It has as many levels as the
+    deepest document, which one aggregate finds beforehand.
     """
+    max_depth = df.agg(F.max(nesting(F.col(document)))).first()[0] or 0
     spark = df.sparkSession
     shape = lambda c: F.schema_of_variant(c)
     opens = lambda c: F.coalesce(shape(c).startswith("OBJECT") | shape(c).startswith("ARRAY"), F.lit(False))

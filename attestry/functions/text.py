@@ -18,9 +18,14 @@ def clean_text(col: Column) -> Column:
     return F.nullif(stripped(col), F.lit(""))
 
 
+# Decimal numbers as text; a cast alone would also take suffixes like 5f.
+NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
 def as_number(col: Column) -> Column:
-    """Double if the text parses, else null; blank is null as well."""
-    return stripped(col).try_cast("double")
+    """Double if the text is a decimal number, else null; blank is null as well."""
+    plain = stripped(col)
+    return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
 def zero_safe_percentage(primary: Column, legacy: Column | None = None) -> Column:

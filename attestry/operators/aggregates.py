@@ -209,13 +209,14 @@ def app_items() -> Column:
     return F.transform(named, lambda a: F.struct(text.stripped(a).alias("name")))
 
 
-def set_gap(df: DataFrame, keys: list[str], value: str, expected: list[str]) -> DataFrame:
-    """Expected values a key never shows, sorted.
+def set_gap(df: DataFrame, keys: list[str], value: str, expected: list[str], everyone: DataFrame) -> DataFrame:
+    """Expected values that each key of ``everyone`` or ``df`` never shows, sorted.
 
     Only the expected values can matter, so at most that many are kept per key.
     """
     wanted = F.array(*[F.lit(e) for e in expected])
-    seen = df.groupBy(*keys).agg(
+    rows = df.select(*keys, value).unionByName(everyone.select(*keys, F.lit(None).cast("string").alias(value)))
+    seen = rows.groupBy(*keys).agg(
         F.collect_set(F.when(F.col(value).isin(expected), F.col(value))).alias("seen")
     )
     return seen.select(*keys, F.array_sort(F.array_except(wanted, F.col("seen"))).alias("missing"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import digests, text
-from attestry.operators import certificates
+from attestry.operators import certificates, ordering
 
 FLOAT_TOLERANCE = 0.0001
 
@@ -57,13 +57,15 @@ def split_differences(stored: DataFrame, certified: DataFrame) -> DataFrame:
 def certificate_fact_diff(
     facts: DataFrame, certs: DataFrame, split_diffs: DataFrame, key: bytes
 ) -> DataFrame:
-    """Latest certificate against the facts: ten fields, eight lock fields, signature.
+    """Latest certificate of each asset against the facts: ten fields, eight lock fields, signature.
 
     ``facts`` are flat (asset_id, asset_uid, filename, sha256, ...); ``certs``
     carry the certified fields and the metadata_lock struct.
     """
     c = lambda name: F.col(f"c.{name}")
-    judged = certificates.metadata_lock(certs, key).withColumnRenamed("valid", "signature_valid")
+    order = [F.col("issued_at").desc_nulls_last(), F.col("cert_id").desc_nulls_last()]
+    latest = ordering.first_per_key(certs.where("cert_id is not null"), ["asset_id"], order)
+    judged = certificates.metadata_lock(latest, key).withColumnRenamed("valid", "signature_valid")
     joined = (
         facts.alias("f")
         .join(judged.alias("c"), F.col("f.asset_id") == F.col("c.asset_id"), "left")

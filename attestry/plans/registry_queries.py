@@ -356,7 +356,7 @@ def _set_gap(v: Views) -> DataFrame:
     seen = detectors.normalize_observations(v.observations, lower_provider=True).withColumn(
         "provider", F.when(F.col("model") == "m1", F.col("provider"))
     )
-    return aggregates.set_gap(seen, ["asset_id"], "provider", ["sightengine", "hive", "third"]).withColumn(
+    return aggregates.set_gap(seen, ["asset_id"], "provider", ["sightengine", "hive", "third"], v.assets).withColumn(
         "missing", _joined("missing")
     )
 

@@ -204,7 +204,7 @@ def _normalize_audio_tags(v: Views) -> DataFrame:
 
 @query("flatten_nested")
 def _flatten_nested(v: Views) -> DataFrame:
-    return tags.flatten_nested(v.manifest_stores, "asset_id", "store", 8)
+    return tags.flatten_nested(v.manifest_stores, "asset_id", "store")
 
 
 @query("classify_media")

@@ -24,6 +24,7 @@ from attestry.operators import (
 from attestry.plans.catalog import query
 from attestry.plans.views import MAC_KEY, Views, provenance_event_digest, verification_log_digest
 from attestry.session import stored
+from attestry.sources import sinks
 
 AS_OF_YEAR = 2026
 
@@ -285,7 +286,16 @@ def _issued(v: Views) -> DataFrame:
         F.col("ai_disclosure"),
         "certificate_class",
     )
-    signed = certificates.lock_and_sign(rows, MAC_KEY, "key-1")
+    # every third asset has an older certificate too, which no longer fits
+    older = rows.where((i % 3 == 0) & F.col("cert_id").isNotNull()).withColumns(
+        {
+            "cert_id": F.concat(F.lit("cs-"), "asset_id"),
+            "issued_at": F.col("issued_at") - F.make_dt_interval(days=F.lit(1)),
+            "filename": F.lit("old.bin"),
+            "copyright_owner": F.lit("First owner"),
+        }
+    )
+    signed = certificates.lock_and_sign(rows.unionByName(older), MAC_KEY, "key-1")
     license_type = F.when(i % 27 == 0, F.lit("Other")).otherwise(F.col("metadata_lock.license_type"))
     return signed.withColumn("metadata_lock", F.col("metadata_lock").withField("license_type", license_type))
 
@@ -348,7 +358,21 @@ def _tamper_audit(v: Views) -> DataFrame:
     )
     splits = v.split_sessions.withColumn("body_hash", F.sha2("contributors_json", 256))
     sheets = integrity.tamper_audit(splits, "split_sessions", "session_id", "session_hash", F.col("body_hash"))
-    return events.unionByName(logs).unionByName(sheets.drop("stored_hash"), allowMissingColumns=True)
+    # some manifests had a fact changed after they were hashed
+    i = F.substring("asset_id", 4, 20).cast("long")
+    changed = F.when(i % 71 == 0, F.replace("body", F.lit('"filename":"file-'), F.lit('"filename":"fake-'))).otherwise(F.col("body"))
+    unhashed = F.regexp_replace("body", ',"manifest_hash":"[^"]*"', "")
+    manifests = integrity.tamper_audit(
+        sinks.manifest_json(v.assets).withColumn("body", changed), "manifests", "asset_id", "document_hash", F.sha2(unhashed, 256)
+    )
+    digest = F.sha2(F.concat_ws("|", "asset_uid", "filename"), 256)
+    kept = v.metadata.select("asset_id", F.col("derived.metadata_sha256").alias("metadata_sha256"))
+    described = v.assets.select("asset_id", "asset_uid", F.when(F.col("doc_id") % 83 == 0, "moved.bin").otherwise(F.col("filename")).alias("filename"))
+    metadata = integrity.tamper_audit(
+        kept.join(described, "asset_id"), "asset_metadata", "asset_id", "metadata_sha256", digest
+    )
+    quiet = [df.drop("stored_hash") for df in (sheets, manifests, metadata)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), quiet, events.unionByName(logs))
 
 
 def _batch(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -16,10 +16,11 @@ from attestry.streaming import jobs
 
 DEBOUNCE_S = 7200
 STABILITY_S = 3600
+WINDOW_S = 21600
 LIMITS = {
-    "view": jobs.parsed_limit("2/minute", jobs.ROUTE_LIMITS["upload"]),
-    "click": jobs.parsed_limit("broken", "3/minute"),
-    "purchase": jobs.parsed_limit(None, "1/minute"),
+    "view": jobs.parsed_limit("2 per 6 hours", jobs.ROUTE_LIMITS["upload"]),
+    "click": jobs.parsed_limit("broken", "3/6 hours"),
+    "purchase": jobs.parsed_limit(None, "1/6hour"),
 }
 
 
@@ -119,17 +120,17 @@ def _calls(events: DataFrame) -> DataFrame:
 
 @query("fixed_window_limit")
 def _fixed_window_limit(v: Views) -> DataFrame:
-    return jobs.run_to_table(jobs.fixed_window_limit(_calls(_event_stream(v)), LIMITS, "6 hours"), "windows")
+    return jobs.run_to_table(jobs.fixed_window_limit(_calls(_event_stream(v)), LIMITS, WINDOW_S), "windows")
 
 
 @query("fixed_window_limit_batch")
 def _fixed_window_limit_batch(v: Views) -> DataFrame:
-    return jobs.fixed_window_limit(_calls(v.table("events")), LIMITS, "6 hours")
+    return jobs.fixed_window_limit(_calls(v.table("events")), LIMITS, WINDOW_S)
 
 
 @query("limited_requests")
 def _limited_requests(v: Views) -> DataFrame:
-    return jobs.limited_requests(_calls(v.table("events")), LIMITS, 21600).select(
+    return jobs.limited_requests(_calls(v.table("events")), LIMITS, WINDOW_S).select(
         "request_id", "window_start", "nth", "allowed"
     )
 

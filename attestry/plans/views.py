@@ -407,6 +407,8 @@ class Views:
             .alias("model"),
             F.lit("synthetic_media_probability").alias("signal"),
             F.when(e % 53 == 0, F.lit("bad"))
+            .when(e % 61 == 0, F.lit("0.5f"))
+            .when(e % 67 == 0, F.lit(" 5d"))
             .otherwise(F.format_string("%.4f", F.col("value") / 100))
             .alias("probability"),
             F.when(e % 59 == 0, F.lit("degraded")).alias("status"),
@@ -581,11 +583,20 @@ class Views:
             .groupBy("user_id", "run")
             .agg(F.array_sort(F.collect_list(segment)).alias("output"))
         )
-        body = F.struct(F.array(F.struct(F.struct("output").alias("response"))).alias("status"))
+        plain = F.to_json(F.struct(F.array(F.struct(F.struct("output").alias("response"))).alias("status")))
+        # every other run nests its rows elsewhere, and one class row lies apart
+        apart = F.struct(F.lit("AI_generated ").alias("class"), F.lit("0.9995").alias("score"))
+        deep = F.to_json(
+            F.struct(
+                F.struct(F.array(F.array(F.struct(F.struct("output").alias("page")))).alias("pages")).alias("result"),
+                F.array(F.struct(F.struct(apart.alias("note")).alias("inner"))).alias("extra"),
+            )
+        )
+        body = F.when(F.col("run") % 2 == 1, deep).otherwise(plain)
         return grouped.select(
             F.concat_ws(":", F.col("user_id").cast("string"), F.col("run").cast("string")).alias("response_id"),
             F.concat(F.lit("as-"), F.col("user_id").cast("string")).alias("asset_id"),
-            F.to_json(body).alias("response"),
+            body.alias("response"),
         )
 
     @cached_property

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +36,30 @@ def _checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="attestry-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    # a local session without the setting works beside its tables
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/attestry-work"
+
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only by a local session that names none.
+    Only a local session may leave ``spark.checkpoint.dir`` unset; it works in
+    its warehouse folder.  ``release`` deletes what a session has written here.
     """
-    return f"{_checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{_checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this process's intermediate tables; results read from them must be written first."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(conf).delete(place, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

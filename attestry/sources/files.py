@@ -26,13 +26,14 @@ def bounded_binary_scan(
         .load(path)
     )
     name = F.substring_index("path", "/", -1).alias("name")
+    place = F.col("path")
     accepted = files.where(F.col("length") <= limit).select(
-        name, "length", "modificationTime", digests.content_digests(F.col("content")).alias("d")
+        place, name, "length", "modificationTime", digests.content_digests(F.col("content")).alias("d")
     )
     rejected = files.where(F.col("length") > limit).select(
-        name, "length", F.lit(f"file is larger than {max_mb} MB").alias("reason")
+        place, name, "length", F.lit(f"file is larger than {max_mb} MB").alias("reason")
     )
-    return accepted.select("name", "length", "modificationTime", "d.*"), rejected
+    return accepted.select("path", "name", "length", "modificationTime", "d.*"), rejected
 
 
 def _shape(col: Column) -> Column:

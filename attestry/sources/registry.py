@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry import schemas
-from attestry.operators import ordering
+from attestry.operators import connected
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -34,12 +38,13 @@ def registry_write(df: DataFrame, root: str, table: str, mode: str = "overwrite"
     writer.mode(mode).parquet(f"{root}/{table}")
 
 
-def registry_scan(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Typed scan without inference; rows without their key columns are left out."""
+def registry_scan(spark: SparkSession, root: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """Typed scan without inference: (rows, rejected rows with the key columns they lack)."""
     df = spark.read.schema(schemas.table_schema(table)).parquet(f"{root}/{table}")
-    for key in schemas.required_columns(table):
-        df = df.where(F.col(key).isNotNull())
-    return df
+    keys = schemas.required_columns(table)
+    ok = df.where(F.lit(True) if not keys else reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    lacking = F.concat_ws(",", *[F.when(F.col(k).isNull(), F.lit(k)) for k in keys])
+    return ok, df.withColumn("missing_keys", lacking).where("missing_keys <> ''")
 
 
 def schema_evolve(
@@ -63,31 +68,69 @@ def schema_evolve(
     )
 
 
+def _applied(key: str, alt_keys: list[str], columns: list[str], orders: int):
+    """Fold of the updates of linked records over their target rows, in order."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        given = rows[alt_keys].notna().all(axis=1)
+        alts = [tuple(a) if ok else None for a, ok in zip(rows[alt_keys].itertuples(index=False), given)]
+        rows = rows.assign(__alt=alts)
+        old = rows[~rows["__update"]]
+        new = rows[rows["__update"]].sort_values([f"__o{i}" for i in range(orders)], kind="stable")
+        records: dict = {}
+        holders: dict = {}
+        for at, name, alt in [(i, rows.at[i, key], rows.at[i, "__alt"]) for i in [*old.index, *new.index]]:
+            place = name
+            if rows.at[at, "__update"] and name not in records and alt is not None and holders.get(alt):
+                place = min(holders[alt])
+            if place in records:
+                before = rows.at[records.pop(place), "__alt"]
+                holders.get(before, set()).discard(place)
+            records[name] = at
+            if alt is not None:
+                holders.setdefault(alt, set()).add(name)
+        return rows.loc[list(records.values()), columns]
+
+    return fold
+
+
 def keyed_upsert(
     target: DataFrame, updates: DataFrame, key: str, alt_keys: list[str], order: list[Column]
 ) -> DataFrame:
-    """One record per identity after applying ``updates`` to ``target``.
+    """One record per identity after applying ``updates`` to ``target`` one after another.
 
     An update replaces the record with its key, else the record with the same
-    alternative keys (whose key moves to the update's), else it is inserted.
-    Several updates of one identity leave the last one in ``order``.
+    alternative keys (whose key moves to the update's), else it is inserted.  A
+    later update sees what the earlier ones left, so keys may move on and on.
+    Alternative keys count only where none of them is null.
+
+    Records and updates that share a key or alternative keys are linked; each
+    linked set, a few rows about one identity, is folded by itself.  Records
+    that no update touches are passed through.
     """
-    newest_first = [o.desc() for o in order]
-    lacks_alt = F.greatest(*[F.col(k).isNull() for k in alt_keys])
-    apart = updates.withColumn("__apart", F.when(lacks_alt, F.col(key)))
-    latest = ordering.first_per_key(apart, [*alt_keys, "__apart"], newest_first).drop("__apart")
-    latest = ordering.first_per_key(latest, [key], newest_first)
-    by_key = latest.select(F.col(key), F.lit(True).alias("__hit_key"))
-    by_alt = latest.join(target.select(key), key, "left_anti").select(
-        *alt_keys, F.lit(True).alias("__hit_alt")
+    columns = target.columns
+    names = [f"__o{i}" for i in range(len(order))]
+    new = updates.select(*columns, *[o.alias(n) for o, n in zip(order, names)])
+    none = [F.lit(None).cast(new.schema[n].dataType).alias(n) for n in names]
+    rows = target.select(*columns, *none, F.lit(False).alias("__update")).unionByName(
+        new.withColumn("__update", F.lit(True))
+    )
+    has_alt = reduce(and_, [F.col(k).isNotNull() for k in alt_keys])
+    alt = F.when(has_alt, F.concat(F.lit("a"), F.sha2(F.to_json(F.struct(*alt_keys)), 256)))
+    marked = rows.withColumns({"__key": F.concat(F.lit("k"), F.col(key).cast("string")), "__alt": alt})
+    touched = marked.where("__update").select(F.explode(F.array("__key", "__alt")).alias("node")).where("node is not null")
+    touched = touched.distinct()
+    roots = connected.components(
+        marked.where("__alt is not null").select(F.col("__alt").alias("a"), F.col("__key").alias("b"))
     )
-    kept = (
-        target.join(by_key, key, "left")
-        .join(by_alt, alt_keys, "left")
-        .where("__hit_key is null and __hit_alt is null")
-        .select(*target.columns)
+    rooted = marked.join(roots.withColumnRenamed("node", "__key"), "__key", "left")
+    rooted = rooted.withColumn("__root", F.coalesce("root", "__alt", "__key")).drop("root", "__key", "__alt")
+    node_roots = touched.join(roots, "node", "left").select(F.coalesce("root", "node").alias("__root")).distinct()
+    live = rooted.join(node_roots, "__root", "left_semi")
+    done = live.groupBy("__root").applyInPandas(
+        _applied(key, alt_keys, columns, len(order)), target.select(*columns).schema
     )
-    return kept.unionByName(latest.select(*target.columns))
+    return rooted.join(node_roots, "__root", "left_anti").select(*columns).unionByName(done)
 
 
 def missing_score_backfill(meta: DataFrame, score_column: str, scored: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -150,12 +154,24 @@ def stable_export_batch(files: DataFrame, newer_than: Column, stability_s: int)
 ROUTE_LIMITS = {"upload": "20/minute", "scan": "30/minute", "refresh": "10/minute", "manifest": "30/minute"}
 
 
-def parsed_limit(configured: str | None, default: str) -> int:
-    """Count of a limit like ``20/minute``; bad configuration falls back to the default."""
-    count, _, period = (configured or "").strip().partition("/")
-    if period.strip() != "minute" or not count.strip().isdigit():
-        count = default.partition("/")[0]
-    return int(count)
+class Rate(NamedTuple):
+    """Requests that a window of some seconds allows."""
+
+    count: int
+    seconds: int
+
+
+# Periods of a limit in seconds.
+PERIODS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "month": 2592000, "year": 31104000}
+_RATE = re.compile(r"\s*(\d+)\s*(?:/|per)\s*(\d+)?\s*(second|minute|hour|day|month|year)s?\s*", re.I)
+
+
+def parsed_limit(configured: str | None, default: str) -> Rate:
+    """A limit like ``20/minute`` or ``5 per 2 hours``; bad configuration falls back to the default."""
+    found = _RATE.fullmatch(configured or "") or _RATE.fullmatch(default)
+    if not found:
+        raise ValueError(f"not a rate: {default}")
+    return Rate(int(found[1]), int(found[2] or 1) * PERIODS[found[3].lower()])
 
 
 def limit_key(api_key: Column, address: Column) -> Column:
@@ -166,41 +182,48 @@ def limit_key(api_key: Column, address: Column) -> Column:
     ).otherwise(F.concat(F.lit("ip:"), address))
 
 
-def _route_limit(limits: dict[str, int]) -> Column:
-    out = F
-    for route, count in limits.items():
-        out = out.when(F.col("route") == route, F.lit(count))
+def _route_value(limits: dict[str, Rate], field: str, default: int | None) -> Column:
+    out = F.lit(default)
+    for route, rate in limits.items():
+        out = F.when(F.col("route") == route, F.lit(getattr(rate, field))).otherwise(out)
     return out
 
 
+def _within(count: Column, limits: dict[str, Rate]) -> Column:
+    """Routes without a limit let everything through."""
+    return F.coalesce(count <= _route_value(limits, "count", None), F.lit(True))
+
+
 def fixed_window_limit(
-    requests: DataFrame, limits: dict[str, int], duration: str = "1 minute", delay: str = "0 seconds"
+    requests: DataFrame, limits: dict[str, Rate], default_s: int = 60, delay: str = "0 seconds"
 ) -> DataFrame:
     """Requests per (key, route) and window, and whether the limit was passed.
 
-    Counts are combined before the shuffle; a closed window is emitted once.
+    Each route has windows of its own period; routes without a limit are counted
+    by the default and never over it.  Counts are combined before the shuffle; a
+    closed window is emitted once.
     """
     rows = requests.withColumn("event_time", F.col("at").cast("timestamp"))
     rows = rows.withWatermark("event_time", delay) if requests.isStreaming else rows
-    counted = (
-        rows.where(F.col("route").isin(list(limits)))
-        .groupBy(F.window("event_time", duration), "key", "route")
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
-    return counted.select(
+    period = _route_value(limits, "seconds", default_s)
+    parts = []
+    for seconds in sorted({default_s, *(rate.seconds for rate in limits.values())}):
+        window = F.window("event_time", f"{seconds} seconds")
+        counted = rows.where(period == seconds).groupBy(window, "key", "route").agg(F.count(F.lit(1)).alias("requests"))
+        parts.append(counted)
+    return reduce(DataFrame.unionByName, parts).select(
         "key",
         "route",
         F.unix_micros("window.start").alias("window_start"),
         "requests",
-        (F.col("requests") > _route_limit(limits)).alias("over_limit"),
+        (~_within(F.col("requests"), limits)).alias("over_limit"),
     )
 
 
-def limited_requests(requests: DataFrame, limits: dict[str, int], window_s: int = 60) -> DataFrame:
-    """Every request with its number in its window and whether it is allowed."""
-    stamped = requests.where(F.col("route").isin(list(limits))).withColumn(
-        "window_start", F.floor(_micros("at") / (window_s * 1_000_000)) * window_s
-    )
+def limited_requests(requests: DataFrame, limits: dict[str, Rate], default_s: int = 60) -> DataFrame:
+    """Every request with its number in its route's window and whether it is allowed."""
+    period = _route_value(limits, "seconds", default_s).cast("long")
+    stamped = requests.withColumn("window_start", F.floor(_micros("at") / (period * 1_000_000)) * period)
     # a second is the unit a hot window is split by
     numbered = ordering.with_position(
         stamped,
@@ -209,7 +232,7 @@ def limited_requests(requests: DataFrame, limits: dict[str, int], window_s: int
         [F.col("at"), F.col("request_id")],
         "nth",
     )
-    return numbered.withColumn("allowed", F.col("nth") <= _route_limit(limits))
+    return numbered.withColumn("allowed", _within(F.col("nth"), limits))
 
 
 def project_session_reuse(detections: DataFrame) -> DataFrame:

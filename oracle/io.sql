@@ -1,6 +1,25 @@
 -- name: registry_scan
 -- uses: v1
-SELECT asset_id, tenant_id, asset_uid, file_size_bytes, trust_score, h4 AS human_lyrics_present FROM v1 WHERE doc_id % 101 <> 7
+SELECT asset_id, tenant_id, asset_uid, file_size_bytes, trust_score, h4 AS human_lyrics_present, CASE WHEN doc_id % 101 = 7 THEN 'sha256' END AS missing_keys FROM v1
+
+-- name: registry_tables
+-- uses: v5s, v4, v6
+SELECT 'assets' AS "table", count(*) FILTER (doc_id % 101 <> 7) AS ok, count(*) FILTER (doc_id % 101 = 7) AS rejected FROM documents
+UNION ALL SELECT unnest(['provenance_events', 'verification_logs', 'session_events']), count(*), 0 FROM events
+UNION ALL SELECT 'certificates', count(*), 0 FROM v6
+UNION ALL SELECT 'contributors', count(*), 0 FROM lineitem
+UNION ALL SELECT 'split_sessions', count(*), 0 FROM v5s
+UNION ALL SELECT 'asset_metadata', count(*), 0 FROM documents
+UNION ALL SELECT 'clients', count(*), 0 FROM customer
+UNION ALL SELECT unnest(['sessions', 'publications']), count(DISTINCT user_id), 0 FROM events
+UNION ALL SELECT 'observations', count(*) FILTER (trim(provider) <> ''), count(*) FILTER (trim(provider) = '') FROM v4
+UNION ALL SELECT 'passports', count(*), 0 FROM part
+
+-- name: bounded_binary_scan
+SELECT run, length, CASE WHEN ok THEN sha256(body) END AS sha256, CASE WHEN ok THEN md5(body) END AS md5, CASE WHEN ok THEN sha256(body) END AS second_fingerprint,
+  CASE WHEN NOT ok THEN 'file is larger than 1 MB' END AS reason
+FROM (SELECT *, length <= 1048576 AS ok FROM (SELECT run, body, CAST(strlen(body) AS BIGINT) AS length FROM (
+  SELECT greatest(0, CAST(floor((doc_id - 400) / 100) AS BIGINT)) AS run, string_agg(text || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1)))
 
 -- name: registry_scan_events
 -- uses: v2e

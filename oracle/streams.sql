@@ -28,7 +28,7 @@ SELECT * FROM s5w
 
 -- name: limited_requests
 -- uses: s5
-SELECT request_id, w * 21600 AS window_start, nth, nth <= lim AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY key, route, w ORDER BY ts, request_id) AS nth FROM s5)
+SELECT request_id, w * 21600 AS window_start, nth, coalesce(nth <= lim, true) AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY key, route, w ORDER BY ts, request_id) AS nth FROM s5)
 
 -- name: project_session_reuse
 -- uses: s6

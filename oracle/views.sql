@@ -220,7 +220,7 @@ SELECT event_id AS observation_id, 'as-' || user_id AS asset_id, 'src' || (user_
   CASE WHEN event_type IN ('view','click') THEN 'Sightengine ' WHEN event_type IN ('signup','purchase') THEN 'hive' ELSE '  ' END AS provider,
   CASE WHEN event_id % 3 = 0 THEN 'genai' ELSE 'm' || (event_id % 2) END AS model,
   'synthetic_media_probability' AS signal,
-  CASE WHEN event_id % 53 = 0 THEN 'bad' ELSE printf('%.4f', value / 100) END AS probability,
+  CASE WHEN event_id % 53 = 0 THEN 'bad' WHEN event_id % 61 = 0 THEN '0.5f' WHEN event_id % 67 = 0 THEN ' 5d' ELSE printf('%.4f', value / 100) END AS probability,
   CASE WHEN event_id % 59 = 0 THEN 'degraded' END AS status, props AS details, ts AS observed_at
 FROM events
 
@@ -297,7 +297,8 @@ FROM (
   UNION ALL SELECT response_id, asset_id, seg, 2, 'udio', printf('%.2f', (k * 7 % 100) / 100) FROM v8r
   UNION ALL SELECT response_id, asset_id, seg, 3, 'other', 'n/a' FROM v8r
   UNION ALL SELECT response_id, asset_id, seg, 4, 'ai_generated_music', CASE WHEN k % 2 = 0 THEN printf('%.2f', k / 100) ELSE 'bad' END FROM v8r
-  UNION ALL SELECT response_id, asset_id, seg, 5, 'ai_generated_music_cover', CASE WHEN k % 5 = 0 THEN printf('%.2f', (k * 3 % 100) / 100) ELSE 'bad' END FROM v8r)
+  UNION ALL SELECT response_id, asset_id, seg, 5, 'ai_generated_music_cover', CASE WHEN k % 5 = 0 THEN printf('%.2f', (k * 3 % 100) / 100) ELSE 'bad' END FROM v8r
+  UNION ALL SELECT DISTINCT response_id, asset_id, CAST(NULL AS BIGINT), 0, 'ai_generated', '0.9995' FROM v8r WHERE (seg // 1024) % 2 = 1)
 
 -- name: v9
 SELECT c_custkey AS application_id, 'C' || (c_custkey % 1000) || '@Example.com' AS email,
@@ -642,12 +643,12 @@ WHERE size > 0 AND t - since >= 3600000000 GROUP BY 1
 
 -- name: s5
 SELECT event_id AS request_id, CASE WHEN user_id % 3 <> 0 THEN 'tenant-key:' || left(sha256('key-' || (user_id % 10)), 24) ELSE 'ip:10.0.0.' || (user_id % 5) END AS key,
-  event_type AS route, ts, epoch_us(ts) // 21600000000 AS w, CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 1 END AS lim
-FROM events WHERE event_type IN ('view','click','purchase')
+  event_type AS route, ts, epoch_us(ts) // 21600000000 AS w, CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 1 END AS lim
+FROM events
 
 -- name: s5w
 -- uses: s5
-SELECT key, route, w * 21600000000 AS window_start, count(*) AS requests, count(*) > min(lim) AS over_limit FROM s5 GROUP BY 1, 2, 3
+SELECT key, route, w * 21600000000 AS window_start, count(*) AS requests, coalesce(count(*) > min(lim), false) AS over_limit FROM s5 GROUP BY 1, 2, 3
 
 -- name: s6
 SELECT sha256('/projects/' || user_id) AS project_key, event_id, session_started, start IS NULL AS reused FROM (

@@ -11,11 +11,12 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from attestry.session import build_session
+    from attestry.session import build_session, release
 
     session = build_session("8", "tests", spark__sql__shuffle__partitions="4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -47,7 +47,7 @@ def test_thirteen_tables_have_keys():
 def test_tenant_partitions_are_pruned(spark, sf_dir):
     root = shared_dir(spark, "registry")
     registry.registry_write(Views(spark, sf_dir).assets, root, "assets")
-    scan = registry.registry_scan(spark, root, "assets").where("tenant_id = 'src3'").select("asset_id", "tenant_id")
+    scan = registry.registry_scan(spark, root, "assets")[0].where("tenant_id = 'src3'").select("asset_id", "tenant_id")
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tenant_id" in plan and "ReadSchema: struct<asset_uid:string,asset_id:string,sha256:string>" in plan
 
@@ -88,6 +88,21 @@ def test_upsert_rules(spark):
     assert len(_upsert(spark, target, [("n1", None, "t", 1), ("n2", None, "t", 1)])) == 5
 
 
+def test_upserts_follow_moved_keys(spark):
+    assert _upsert(spark, [("k1", "a0", "t", 0)], [("k1", "a1", "t", 1), ("k2", "a1", "t", 2)]) == [("k2", "a1", "t", 2)]
+    # the moved key is gone, so a later update of it is a record of its own
+    moved = [("k1", "a1", "t", 1), ("k2", "a1", "t", 2), ("k1", "a3", "t", 3)]
+    assert _upsert(spark, [("k1", "a0", "t", 0)], moved) == [("k1", "a3", "t", 3), ("k2", "a1", "t", 2)]
+
+
+def test_upsert_with_one_alternative_key(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, asset_id string, version int")
+    out = registry.keyed_upsert(
+        rows(("p1", "a", 0), ("p2", "b", 0)), rows(("p9", "a", 1), ("p3", None, 1)), "id", ["asset_id"], [F.col("version")]
+    )
+    assert sorted(map(tuple, out.collect()), key=str) == [("p2", "b", 0), ("p3", None, 1), ("p9", "a", 1)]
+
+
 def test_upsert_is_idempotent(spark):
     target, updates = [("a1", "u1", "t", 0)], [("b1", "u1", "t", 1)]
     once = _upsert(spark, target, updates)

@@ -98,9 +98,11 @@ def test_registration_over_slices(spark, sf_dir):
 
 
 def test_limits(spark):
-    assert jobs.parsed_limit("7/minute", "20/minute") == 7
+    assert jobs.parsed_limit("7/minute", "20/minute") == (7, 60)
+    assert jobs.parsed_limit("5/second", "20/minute") == (5, 1)
+    assert jobs.parsed_limit("20 per 2 hours", "1/minute") == (20, 7200)
     for bad in (None, "", "x/minute", "7/parsec", "7"):
-        assert jobs.parsed_limit(bad, "20/minute") == 20
+        assert jobs.parsed_limit(bad, "20/minute") == (20, 60)
     row = spark.range(1).select(
         jobs.limit_key(F.lit(" key "), F.lit("1.2.3.4")), jobs.limit_key(F.lit(" "), F.lit("1.2.3.4"))
     ).first()
