@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text
 from attestry.functions.media import literal_map
-from attestry.operators import aggregates, asset_scores, matching
+from attestry.operators import asset_scores, matching
 from attestry.operators.facts import HUMAN_FORMS
 
 SPLIT_SCHEMA = (
@@ -88,14 +88,12 @@ def _has_rights() -> Column:
     return (F.coalesce("copyright_owner", F.lit("")) != "") | (F.coalesce("license_type", F.lit("")) != "")
 
 
-def _node_parts(reg: Registry) -> list[DataFrame]:
-    """Node rows per source; children are limited to known assets."""
-    known = reg.assets.select("asset_id")
-    own = lambda df: df.join(known, "asset_id", "left_semi")
+def _node_parts(reg: Registry) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Node rows of the assets themselves, and of their children of any asset."""
     stamp = lambda name: text.iso_utc(F.col(name)).alias(name)
-    observed = matching.legacy_observation_fallback(reg.assets, own(reg.observations))
-    passports = asset_scores.passport_readiness(own(reg.passports))
-    return [
+    observed = matching.legacy_observation_fallback(reg.assets, reg.observations)
+    passports = asset_scores.passport_readiness(reg.passports)
+    own = [
         _node(
             reg.assets,
             _id("asset"),
@@ -136,8 +134,10 @@ def _node_parts(reg: Registry) -> list[DataFrame]:
             "rights_claim",
             ["copyright_owner", "license_type", "copyright_readiness_score", "copyright_readiness_label"],
         ),
+    ]
+    children = [
         _node(
-            own(reg.contributors),
+            reg.contributors,
             _id("contributor", "contributor_id"),
             "contributor",
             "attribution",
@@ -153,7 +153,7 @@ def _node_parts(reg: Registry) -> list[DataFrame]:
             ],
         ),
         _node(
-            split_record(own(reg.split_sessions)),
+            split_record(reg.split_sessions),
             _id("rights-record:live-split", "session_id"),
             "live_split_record",
             "rights_record",
@@ -187,7 +187,7 @@ def _node_parts(reg: Registry) -> list[DataFrame]:
             ],
         ),
         _node(
-            own(reg.certificates),
+            reg.certificates,
             _id("certificate", "cert_id"),
             "certificate",
             "certificate_attestation",
@@ -202,7 +202,7 @@ def _node_parts(reg: Registry) -> list[DataFrame]:
             ],
         ),
         _node(
-            own(reg.events),
+            reg.events,
             _id("provenance", "event_id"),
             "provenance_event",
             "provenance",
@@ -218,7 +218,7 @@ def _node_parts(reg: Registry) -> list[DataFrame]:
             ],
         ),
         _node(
-            own(reg.anomalies).where("anomaly_score is not null"),
+            reg.anomalies.where("anomaly_score is not null"),
             _id("forensic:metadata"),
             "forensic_observation",
             "forensic_observation",
@@ -234,13 +234,14 @@ def _node_parts(reg: Registry) -> list[DataFrame]:
             ["signal", "probability", "provider", "model", "status"],
         ),
         _node(
-            own(reg.sessions),
+            reg.sessions,
             _id("session"),
             "session_summary",
             "creation_process_evidence",
             ["status", "privacy_mode", "event_count", "chain_valid"],
         ),
     ]
+    return own, children
 
 
 # Relation of each node type to its asset.
@@ -258,19 +259,30 @@ RELATIONS = {
 
 
 def evidence_nodes(reg: Registry) -> DataFrame:
-    """All nodes of all assets; evidence classes stay separate."""
-    return reduce(DataFrame.unionByName, _node_parts(reg))
+    """All nodes of all assets; evidence classes stay separate.
 
+    Children of all sources are united first and meet the assets once.
+    """
+    own, children = _node_parts(reg)
+    known = reduce(DataFrame.unionByName, children).join(reg.assets.select("asset_id"), "asset_id", "left_semi")
+    return reduce(DataFrame.unionByName, own).unionByName(known)
 
-def evidence_edges(reg: Registry, nodes: DataFrame) -> DataFrame:
-    """Edges to the asset, plus rights record -> claim and contributor -> record.
 
-    ``nodes`` is the output of ``evidence_nodes``; store it when both are needed.
-    """
+def _asset_edge() -> Column:
+    """struct(source, target, relation) of a node's edge to its asset; null for the asset."""
     relation = F.try_element_at(literal_map(RELATIONS), F.col("type"))
-    edges = nodes.select(
-        "asset_id", F.col("id").alias("source"), _id("asset").alias("target"), relation.alias("relation")
-    ).where("relation is not null")
+    return F.when(
+        relation.isNotNull(),
+        F.struct(F.col("id").alias("source"), _id("asset").alias("target"), relation.alias("relation")),
+    )
+
+
+def _record_edges(reg: Registry) -> DataFrame:
+    """Rights record -> claim, and contributor or record -> a name that both bear.
+
+    Members of a name point at the name, so a name that many share gives as many
+    edges as it has members, not their pairs.
+    """
     records = reg.split_sessions.join(reg.assets.where(_has_rights()).select("asset_id"), "asset_id", "left_semi")
     claims = records.select(
         "asset_id",
@@ -278,66 +290,95 @@ def evidence_edges(reg: Registry, nodes: DataFrame) -> DataFrame:
         _id("rights").alias("target"),
         F.lit("documents_declared_rights").alias("relation"),
     )
-    known = reg.assets.select("asset_id")
     listed = (
-        split_record(reg.split_sessions.join(known, "asset_id", "left_semi"))
+        split_record(reg.split_sessions)
         .select("asset_id", F.col("session_id").alias("sheet_id"), F.explode("contributors").alias("c"))
         .select("asset_id", "sheet_id", F.col("c.name").alias("sheet_name"))
     )
-    named = reg.contributors.join(known, "asset_id", "left_semi")
-    included = matching.name_match_join(named, listed).select(
+    names = matching.name_match_join(reg.contributors, listed).join(
+        reg.assets.select("asset_id"), "asset_id", "left_semi"
+    )
+    by_contributor = F.col("member") == "contributor"
+    named = names.select(
+        "asset_id",
+        F.when(by_contributor, _id("contributor", "member_id")).otherwise(_id("rights-record:live-split", "member_id")).alias(
+            "source"
+        ),
+        F.concat(_id("name"), F.lit(":"), F.col("name_key")).alias("target"),
+        F.when(by_contributor, "named").otherwise("lists_name").alias("relation"),
+    )
+    return claims.unionByName(named)
+
+
+def evidence_edges(reg: Registry, nodes: DataFrame) -> DataFrame:
+    """Edges to the asset, to the rights claim and to shared names.
+
+    ``nodes`` is the output of ``evidence_nodes``; only ids and types are read.
+    """
+    edges = nodes.select("asset_id", _asset_edge().alias("e")).where("e is not null").select("asset_id", "e.*")
+    return edges.unionByName(_record_edges(reg))
+
+
+ENTRY = "struct<id:string,type:string,evidence_class:string,data:string>"
+EDGE = "struct<source:string,target:string,relation:string>"
+
+
+def graph_entries(reg: Registry) -> DataFrame:
+    """Nodes and edges of all assets as (asset_id, node, edge) rows, one of the two null; one pass over the nodes."""
+    nodes = evidence_nodes(reg).select(
+        "asset_id",
+        F.explode(
+            F.array(
+                F.struct(F.struct("id", "type", "evidence_class", "data").cast(ENTRY).alias("node"), F.lit(None).cast(EDGE).alias("edge")),
+                F.struct(F.lit(None).cast(ENTRY).alias("node"), _asset_edge().cast(EDGE).alias("edge")),
+            )
+        ).alias("entry"),
+    )
+    nodes = nodes.select("asset_id", "entry.*").where("node is not null or edge is not null")
+    return nodes.unionByName(_edge_rows(_record_edges(reg)))
+
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    return edges.select(
         "asset_id",
-        _id("contributor", "contributor_id").alias("source"),
-        _id("rights-record:live-split", "sheet_id").alias("target"),
-        F.lit("included_in_rights_record").alias("relation"),
+        F.lit(None).cast(ENTRY).alias("node"),
+        F.struct("source", "target", "relation").cast(EDGE).alias("edge"),
     )
-    return edges.unionByName(claims).unionByName(included)
 
 
 def graph_document(nodes: DataFrame, edges: DataFrame, per_part: int = 1000) -> DataFrame:
-    """One or more nested documents per asset, about ``per_part`` entries each.
+    """Documents of separate node and edge tables."""
+    rows = nodes.select(
+        "asset_id", F.struct("id", "type", "evidence_class", "data").cast(ENTRY).alias("node"), F.lit(None).cast(EDGE).alias("edge")
+    )
+    return graph_documents(rows.unionByName(_edge_rows(edges)), per_part)
+
+
+def graph_documents(entries: DataFrame, per_part: int = 1000) -> DataFrame:
+    """One or more nested documents per asset, about ``per_part`` nodes and edges each.
 
     A large graph is spread over parts by a hash of its ids, so no group grows
     with the size of one asset; class counts are repeated on every part.
     """
-    counts = (
-        aggregates.evidence_class_counts(nodes)
-        .groupBy("asset_id")
-        .agg(
-            F.sum("node_count").alias("total_nodes"),
-            # the classes are a fixed list of ten
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("evidence_class", "node_count")))).alias(
-                "evidence_counts"
-            ),
-        )
-        .withColumn("parts", F.ceil(F.col("total_nodes") / per_part).cast("int"))
+    per_class = entries.groupBy("asset_id", F.col("node.evidence_class").alias("evidence_class")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    part = lambda *ids: F.pmod(F.xxhash64(*ids), F.col("parts")).cast("int")
-    sized = counts.select("asset_id", "parts")
-    node_parts = (
-        nodes.join(sized, "asset_id")
-        .withColumn("part", part("id"))
-        .groupBy("asset_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "type", "evidence_class", "data"))).alias("nodes"))
-    )
-    edge_parts = (
-        edges.join(sized, "asset_id")
-        .withColumn("part", part("source", "target", "relation"))
-        .groupBy("asset_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("source", "target", "relation"))).alias("edges"))
+    counts = per_class.groupBy("asset_id").agg(
+        F.ceil(F.sum("n") / per_part).cast("int").alias("parts"),
+        # the classes are a fixed list of ten; edges have none
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(F.col("evidence_class").isNotNull(), F.struct("evidence_class", "n"))))
+        ).alias("evidence_counts"),
     )
+    key = F.coalesce(F.col("node.id"), F.concat_ws("|", "edge.source", "edge.target", "edge.relation"))
     return (
-        node_parts.join(edge_parts, ["asset_id", "part"], "full_outer")
-        .join(counts, "asset_id")
-        .select(
-            "asset_id",
-            "part",
-            "parts",
-            _id("asset").alias("root_node_id"),
-            F.coalesce("nodes", F.array().cast("array<struct<id:string,type:string,evidence_class:string,data:string>>")).alias(
-                "nodes"
-            ),
-            F.coalesce("edges", F.array().cast("array<struct<source:string,target:string,relation:string>>")).alias("edges"),
-            "evidence_counts",
+        entries.join(counts.select("asset_id", "parts"), "asset_id")
+        .withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+        .groupBy("asset_id", "part")
+        .agg(
+            F.array_sort(F.collect_list("node")).alias("nodes"),
+            F.array_sort(F.collect_list("edge")).alias("edges"),
         )
+        .join(counts, "asset_id")
+        .select("asset_id", "part", "parts", _id("asset").alias("root_node_id"), "nodes", "edges", "evidence_counts")
     )

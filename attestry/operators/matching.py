@@ -130,22 +130,30 @@ def name_key(col: Column) -> Column:
 
 
 def name_match_join(contributors: DataFrame, split_rows: DataFrame) -> DataFrame:
-    """Contributor nodes included in rights records of the same asset, by name.
+    """(asset_id, name_key, member, member_id): contributors and rights records of an asset
+    whose name the other side bears too.
 
-    Equal rows on either side would give the same edge, so both sides are made
-    distinct first and only distinct edges are joined.
+    The relation is given by its names: all contributors and records of one
+    (asset, name) belong together.  Rows grow with the members, not their pairs.
     """
-    left = (
-        contributors.where(text.clean_text(F.col("name")).isNotNull())
-        .select("asset_id", "contributor_id", name_key(F.col("name")).alias("name_key"))
+    side = lambda df, name, member: (
+        df.where(text.clean_text(F.col(name)).isNotNull())
+        .select(
+            "asset_id",
+            name_key(F.col(name)).alias("name_key"),
+            F.lit(member.removesuffix("_id")).alias("member"),
+            F.col(member).cast("string").alias("member_id"),
+        )
         .distinct()
     )
-    right = (
-        split_rows.where(text.clean_text(F.col("sheet_name")).isNotNull())
-        .select("asset_id", "sheet_id", name_key(F.col("sheet_name")).alias("name_key"))
-        .distinct()
+    rows = side(contributors, "name", "contributor_id").unionByName(side(split_rows, "sheet_name", "sheet_id"))
+    both = (
+        rows.groupBy("asset_id", "name_key")
+        .agg(F.min("member").alias("one"), F.max("member").alias("other"))
+        .where("one <> other")
+        .select("asset_id", "name_key")
     )
-    return left.join(right, ["asset_id", "name_key"]).select("asset_id", "contributor_id", "sheet_id")
+    return rows.join(both, ["asset_id", "name_key"], "left_semi")
 
 
 def legacy_observation_fallback(assets: DataFrame, observations: DataFrame) -> DataFrame:

@@ -459,10 +459,8 @@ def _evidence_class_counts(v: Views) -> DataFrame:
 
 @query("graph_document")
 def _graph_document(v: Views) -> DataFrame:
-    reg = _registry(v)
-    nodes = stored(graph.evidence_nodes(reg), "evidence-nodes")
-    edges = stored(graph.evidence_edges(reg, nodes), "evidence-edges")
-    documents = graph.graph_document(nodes, edges, per_part=50)
+    entries = stored(graph.graph_entries(_registry(v)), "graph-entries")
+    documents = graph.graph_documents(entries, per_part=50)
     return documents.groupBy("asset_id", "parts").agg(
         F.sum(F.size("nodes")).alias("nodes"),
         F.sum(F.size("edges")).alias("edges"),

@@ -87,7 +87,10 @@ FROM v1 s JOIN v1 a ON a.doc_id = CASE WHEN s.doc_id % 2 = 0 THEN s.doc_id ELSE
 
 -- name: name_match_join
 -- uses: v5
-SELECT DISTINCT c.asset_id, c.contributor_id, s.sheet_id FROM v5 c JOIN v5 s ON s.asset_id = c.asset_id AND lower(trim(s.sheet_name)) = lower(trim(c.name)) WHERE trim(s.sheet_name) <> ''
+SELECT DISTINCT asset_id, lower(trim(name)) AS name_key, 'contributor' AS member, contributor_id AS member_id FROM v5
+WHERE (asset_id, lower(trim(name))) IN (SELECT (asset_id, lower(trim(sheet_name))) FROM v5 WHERE trim(sheet_name) <> '')
+UNION ALL SELECT DISTINCT asset_id, lower(trim(sheet_name)), 'sheet', CAST(sheet_id AS VARCHAR) FROM v5
+WHERE trim(sheet_name) <> '' AND (asset_id, lower(trim(sheet_name))) IN (SELECT (asset_id, lower(trim(name))) FROM v5)
 
 -- name: legacy_observation_fallback
 -- uses: v1, v4l

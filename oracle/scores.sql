@@ -170,7 +170,7 @@ SELECT asset_id, evidence_class, count(*) AS node_count FROM vnodes GROUP BY 1,
 
 -- name: graph_document
 -- uses: vnodes, vedges
-SELECT asset_id, CAST(ceil(n / 50) AS INT) AS parts, n AS nodes, e AS edges, p AS provenance_nodes
+SELECT asset_id, CAST(ceil((n + e) / 50) AS INT) AS parts, n AS nodes, e AS edges, p AS provenance_nodes
 FROM (SELECT asset_id, count(*) AS n, nullif(count(*) FILTER (evidence_class = 'provenance'), 0) AS p FROM vnodes GROUP BY 1)
 JOIN (SELECT asset_id, count(*) AS e FROM vedges GROUP BY 1) USING (asset_id)
 

@@ -556,8 +556,10 @@ SELECT asset_id, id AS source, 'asset:' || asset_id AS target, CASE type WHEN 'c
   WHEN 'certificate' THEN 'attests_to' WHEN 'provenance_event' THEN 'records_event_for' WHEN 'forensic_observation' THEN 'observes' ELSE 'binds_creation_process_to' END AS relation
 FROM vnodes WHERE type <> 'asset'
 UNION ALL SELECT s.asset_id, 'rights-record:live-split:' || session_id, 'rights:' || s.asset_id, 'documents_declared_rights' FROM v5s s JOIN v1 USING (asset_id) WHERE copyright_owner IS NOT NULL OR license_type IS NOT NULL
-UNION ALL SELECT DISTINCT c.asset_id, 'contributor:' || c.contributor_id, 'rights-record:live-split:LS-' || s.sheet_id || '-' || ((s.position - 1) // 256), 'included_in_rights_record'
-FROM v5 c JOIN v5 s ON s.asset_id = c.asset_id AND lower(trim(s.sheet_name)) = lower(trim(c.name)) WHERE trim(s.sheet_name) <> '' AND c.asset_id IN (SELECT asset_id FROM v1) AND s.sheet_id % 19 <> 0
+UNION ALL SELECT DISTINCT asset_id, 'contributor:' || contributor_id, 'name:' || asset_id || ':' || lower(trim(name)), 'named' FROM v5
+WHERE asset_id IN (SELECT asset_id FROM v1) AND (asset_id, lower(trim(name))) IN (SELECT (asset_id, lower(trim(sheet_name))) FROM v5 WHERE trim(sheet_name) <> '' AND sheet_id % 19 <> 0)
+UNION ALL SELECT DISTINCT asset_id, 'rights-record:live-split:LS-' || sheet_id || '-' || ((position - 1) // 256), 'name:' || asset_id || ':' || lower(trim(sheet_name)), 'lists_name' FROM v5
+WHERE trim(sheet_name) <> '' AND sheet_id % 19 <> 0 AND asset_id IN (SELECT asset_id FROM v1) AND (asset_id, lower(trim(sheet_name))) IN (SELECT (asset_id, lower(trim(name))) FROM v5)
 
 -- name: vnote
 -- uses: v1
