@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import frames, words
+from attestry.operators.connected import components
 from attestry.session import stored
 
 BITS = 64
@@ -34,8 +35,6 @@ SHINGLE = 3
 SEED = 42
 # Distinct fingerprints of a bucket above which it is dealt again by finer masks.
 BUCKET = 4096
-# A star round that changes nothing ends the loop; this only stops a broken one.
-ROUNDS = 100
 
 
 def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
@@ -147,32 +146,6 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return _in_buckets(plain.select("t", "key", "fp").unionByName(again.select("t", "key", "fp")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b); the root is the smallest node.
-
-    Large-star and small-star rounds (Kiveris et al.): each joins neighbours to
-    the smallest one near, and ends when only stars are left.
-    """
-    now = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    for _ in range(ROUNDS):
-        state = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("xxhash64(b, a) >> 20"))).first()
-        if state == seen:
-            break
-        seen = state
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        # every row now points down from b to a smaller a
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(
-            F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b"))))
-            .alias("e")
-        ).select("e.a", "e.b")
-        now = stored(small.where("a <> b").distinct(), "links")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-
-
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with ``fingerprint`` (16 hex digits) and ``component_id``.
 
