@@ -120,7 +120,7 @@ def _frequencies(docs: DataFrame, text: str, keys: np.ndarray, single: bool) ->
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
 
     out = np.zeros(len(keys), np.int64)
-    counts = docs.select(text).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counts = frames.map_texts(docs.select(text), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     for place, n in counts.toLocalIterator():  # at most a row for each word of the block
         out[place] = n
     return out

@@ -12,6 +12,21 @@ from pyspark.sql import types as T
 
 from attestry.llm import words
 
+# Rows of one Arrow batch, where the session has Spark's default: texts are long.
+BATCH_ROWS = 2000
+_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+# freed batches go back to the machine, which executors and workers share
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def map_texts(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with a bound on the rows of a batch."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_KEY, _ROWS_DEFAULT) == _ROWS_DEFAULT:
+        conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
 
 def with_columns(
     df: DataFrame,
@@ -36,8 +51,7 @@ def with_columns(
                 columns += [out[f.name] for f in new]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    # the text may be read even where it is replaced
-    return df.mapInArrow(apply, schema)
+    return map_texts(df, apply, schema)
 
 
 def with_words_sha256(df: DataFrame, text: str, name: str) -> DataFrame:

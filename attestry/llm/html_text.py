@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry.llm import frames
 from attestry.session import stored
 
 # Containers of a page that vote.
@@ -318,7 +319,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "vote"])
 
     hosts = pages.select(host_of().alias("host"), "html").where("host <> ''")
-    votes = hosts.mapInArrow(run, "host string, path string, vote double")
+    votes = frames.map_texts(hosts, run, "host string, path string, vote double")
     # rounded: sums in another order must not change the winner
     sums = votes.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote"))
     return sums.groupBy("host").agg(F.max_by("path", F.struct("vote", "path")).alias("path"))
@@ -338,4 +339,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(h, p) for h, p in zip(column("html").to_pylist(), column("__path").to_pylist())]
             yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(texts, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return frames.map_texts(joined, run, schema).withColumn("n_chars", F.length("text").cast("long"))

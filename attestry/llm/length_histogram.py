@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm import tokens, words
+from attestry.llm import frames, tokens, words
 
 VOCABULARY = "word_bpe_49k.json"
 # Lengths of one block of suffix sums.
@@ -40,7 +40,7 @@ def lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -
                 size, n = np.unique(sizes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(n)], names=["n_tokens", "n_docs"])
 
-    return docs.select(text).mapInArrow(run, "n_tokens long, n_docs long")
+    return frames.map_texts(docs.select(text), run, "n_tokens long, n_docs long")
 
 
 def histogram(pairs: DataFrame, block: int = BLOCK) -> DataFrame:

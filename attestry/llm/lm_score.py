@@ -203,7 +203,7 @@ def train(texts: DataFrame, order: int = ORDER, least: int = LEAST, shard: int =
     spark = texts.sparkSession
     folder = shared_dir(spark, "trie")
     vocabulary = stored(
-        texts.mapInArrow(_words_of, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "vocabulary"
+        frames.map_texts(texts, _words_of, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "vocabulary"
     )
     size, total = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
     bits = max(1, (size // shard).bit_length())
@@ -215,7 +215,7 @@ def train(texts: DataFrame, order: int = ORDER, least: int = LEAST, shard: int =
         above = sum(shape.sizes[-1])
         # as many shards as the level above, at the least one context each
         shape.per.append(max(1, -(-above // len([s for s in shape.sizes[-1] if s] or [0]))))
-        grams = texts.mapInArrow(_grams_of(shape, level, least), "context long, word long, n long")
+        grams = frames.map_texts(texts, _grams_of(shape, level, least), "context long, word long, n long")
         rows = grams.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         rows = rows.withColumn("shard", F.floor(F.col("context") / shape.per[-1]))
         written = _written(rows, ["context", "word"], _next_level(shape, level))

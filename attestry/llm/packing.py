@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from attestry.llm import tokens, words
+from attestry.llm import frames, tokens, words
 
 WINDOW = 4096
 END = 2
@@ -206,4 +206,4 @@ def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, vocabulary:
         if rows:
             yield table(rows)
 
-    return docs.select("doc_id", text).mapInArrow(apply, schema)
+    return frames.map_texts(docs.select("doc_id", text), apply, schema)

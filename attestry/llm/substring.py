@@ -184,15 +184,17 @@ def repeated_spans(
     """(__k1, __k2, low, high): word spans of a document inside repeated windows."""
     spark = docs.sparkSession
     keyed = _keyed(docs.select("doc_id", text), text)
-    counts = docs.select(text).mapInArrow(_counted(window, gram), "prefix long, n long")
+    counts = frames.map_texts(docs.select(text), _counted(window, gram), "prefix long, n long")
     repeated = stored(counts.groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1"), "prefixes")
     total = repeated.agg(F.sum("n")).first()[0] or 0
     group = max(group, total // LONG_PREFIXES)
     long = np.sort(np.array([r[0] for r in repeated.where(F.col("n") > group).select("prefix").collect()], np.int64).view(np.uint64))
     screen, hot = spark.sparkContext.broadcast(_screen(repeated)), spark.sparkContext.broadcast(long)
     source = keyed.select(text, "__k1", "__k2")
-    short = source.mapInArrow(
-        _suffixes(window, gram, text, screen, hot, False), "prefix long, __k1 long, __k2 long, low int, labels binary"
+    short = frames.map_texts(
+        source,
+        _suffixes(window, gram, text, screen, hot, False),
+        "prefix long, __k1 long, __k2 long, low int, labels binary",
     )
     spans = (
         short.repartition("prefix")
@@ -200,8 +202,10 @@ def repeated_spans(
         .mapInArrow(_deep_nodes(window), "__k1 long, __k2 long, low int, high int")
     )
     if len(long):
-        leaves = source.mapInArrow(
-            _suffixes(window, gram, text, screen, hot, True), "prefix long, label long, __k1 long, __k2 long, low int"
+        leaves = frames.map_texts(
+            source,
+            _suffixes(window, gram, text, screen, hot, True),
+            "prefix long, label long, __k1 long, __k2 long, low int",
         )
         nodes = leaves.groupBy("prefix", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         deep = leaves.join(nodes, ["prefix", "label"], "left_semi")

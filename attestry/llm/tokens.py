@@ -15,7 +15,7 @@ import numpy as np
 from attestry.llm import words
 
 # Distinct words that a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -93,9 +93,10 @@ class Vocabulary:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.at = np.zeros(0, np.uint32)
+        self.size = np.zeros(0, np.uint32)
+        # short ids where they fit: every worker holds these arrays
+        self.ids = np.zeros(0, np.uint16 if len(self.is_byte) <= 1 << 16 else np.uint32)
 
     def __call__(self, found: words.Words, hashes: np.ndarray) -> Encoded:
         keys, one, each = np.unique(hashes, return_index=True, return_inverse=True)
@@ -107,7 +108,7 @@ class Vocabulary:
         if not known.all():
             fresh = self.encode(found.strings(one[~known]))
             size = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            ids = np.fromiter((i for row in fresh for i in row), np.uint32, int(size.sum()))
+            ids = np.fromiter((i for row in fresh for i in row), self.ids.dtype, int(size.sum()))
             at = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, ids])
             self.keys = np.insert(self.keys, place[~known], keys[~known])
@@ -115,7 +116,7 @@ class Vocabulary:
             self.size = np.insert(self.size, place[~known], size)
             place = np.searchsorted(self.keys, keys)
         place = place[each]
-        return Encoded(self.ids, self.at[place], self.size[place])
+        return Encoded(self.ids, self.at[place].astype(np.int64), self.size[place].astype(np.int64))
 
 
 _open: dict[str, Vocabulary] = {}

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are taken in runs of about so many bytes; one longer text is a run alone.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 
 _R = 0x9E3779B97F4A7C15  # odd, so powers can be inverted modulo 2**64
 _Q = 0xD6E8FEB86659FD93
@@ -42,7 +42,7 @@ class _Powers:
 
     def upto(self, n: int) -> np.ndarray:
         if len(self.values) < n:
-            steps = np.full(max(n, 2 * len(self.values)), self.x, np.uint64)
+            steps = np.full(max(n, RUN_BYTES + RUN_BYTES // 4), self.x, np.uint64)
             steps[0] = 1
             self.values = np.cumprod(steps, dtype=np.uint64)
         return self.values[:n]
