@@ -85,10 +85,10 @@ def location_check(location: Column) -> Column:
     level = F.coalesce(F.try_element_at(location, F.lit("level")), F.lit("none"))
     placed = F.map_contains_key(location, "latitude") & F.map_contains_key(location, "longitude")
     reason = F.when(
-        ~level.isin(LOCATION_LEVELS), F.lit("location.level must be none, coarse, or precise_private")
+        ~level.isin(LOCATION_LEVELS), F.lit("location_level_unknown")
     ).when(
         (level == "precise_private") & ~placed,
-        F.lit("precise_private location requires latitude and longitude"),
+        F.lit("location_place_missing"),
     )
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 

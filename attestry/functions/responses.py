@@ -1,19 +1,16 @@
 """Nested detector responses and content-credential stores, row by row.
 
 A document is one row, so its classes, statuses and actions are read inside it:
-no explode, no shuffle.  Detector responses nest to any depth, which column
-expressions cannot follow; a short Arrow function walks them.
+no explode, no shuffle.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text
+from attestry.functions.tags import nesting
 
 # Generator classes an attribution may name.
 GENERATORS = [
@@ -34,56 +31,63 @@ GENERATORS = [
 ]
 
 
-def _walk(document: str | None) -> tuple[int, list[tuple[str, str | None]]]:
-    """Output rows and (class, score) rows of a JSON text, in document order.
+NODE = "array<struct<at: string, node: variant>>"
 
-    A class row is any object with a class and a score; an output row is any
-    object in a list named output.  The stack is explicit, so depth is no limit.
-    """
-    try:
-        stack = [json.loads(document or "null")]
-    except (ValueError, RecursionError):
-        return 0, []
-    outputs, classes = 0, []
-    while stack:
-        node = stack.pop()
-        if isinstance(node, dict):
-            if "class" in node and "score" in node:
-                score = node["score"]
-                score = float(score) if isinstance(score, bool) else score
-                plain = isinstance(score, (str, int, float))
-                classes.append((str(node["class"] or "").strip().lower(), str(score) if plain else None))
-            rows = node.get("output")
-            if isinstance(rows, list):
-                outputs += sum(isinstance(r, dict) for r in rows)
-            stack += reversed(node.values())
-        elif isinstance(node, list):
-            stack += reversed(node)
-    return outputs, classes
-
-
-def _walked(documents: pd.Series) -> pd.DataFrame:
-    rows = [_walk(d) for d in documents]
-    classes = [[{"class": c, "score": s} for c, s in found] for _, found in rows]
-    return pd.DataFrame({"segments": [n for n, _ in rows], "classes": classes})
+
+def _children(nodes: Column) -> Column:
+    """Members of every object and list, with places that sort in document order."""
+    get = F.try_variant_get
+
+    def inner(n: Column) -> Column:
+        step = lambda i: F.concat(n["at"], F.lpad(i.cast("string"), 9, "0"))
+        members = F.map_values(get(n["node"], "$", "map<string, variant>"))
+        items = F.coalesce(members, get(n["node"], "$", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(items, lambda v, i: F.struct(step(i).alias("at"), v.alias("node")))
+
+    return F.flatten(F.transform(nodes, inner)).cast(NODE)
 
 
 def parse_response(responses: DataFrame, col: str = "response") -> DataFrame:
-    """Add ``segments``, the number of output rows, and ``classes`` (class, score) in document order."""
-    walked = F.pandas_udf(_walked, "segments int, classes array<struct<class: string, score: string>>")
-    score = lambda c: text.as_number(c["score"])
+    """Add ``segments``, the number of output rows, and ``classes`` (class, score) in document order.
+
+    A class row is any object with a class and a score; an output row is any
+    object in a list named output, at any depth.  Levels are opened down to the
+    deepest document, which one aggregate finds beforehand; members of one
+    object are visited by name.
+    """
+    levels = responses.agg(F.max(nesting(F.col(col)))).first()[0] or 0
+    root = F.array(F.struct(F.lit("").alias("at"), F.try_parse_json(col).alias("node"))).cast(NODE)
+    opened = responses.withColumn("__level0", root)
+    names = [f"__level{i}" for i in range(max(levels, 1))]
+    for above, name in zip(names, names[1:]):
+        opened = opened.withColumn(name, _children(F.col(above)))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    get = F.try_variant_get
+    objects = F.filter(F.concat(*names), lambda n: is_object(n["node"]))
+    opened = opened.withColumn("__objects", objects).drop(*names)
+    rows_of = lambda n: F.coalesce(get(n["node"], "$.output", "array<variant>"), F.array().cast("array<variant>"))
+    segments = F.aggregate(
+        "__objects", F.lit(0), lambda total, n: total + F.size(F.filter(rows_of(n), is_object))
+    )
+    found = F.array_sort(F.filter(
+        F.transform(
+            "__objects",
+            lambda n: F.struct(
+                n["at"].alias("at"),
+                get(n["node"], "$.class", "string").alias("class"),
+                get(n["node"], "$.score", "string").alias("score"),
+            ),
+        ),
+        lambda c: c["class"].isNotNull() & c["score"].isNotNull(),
+    ))
     scored = F.transform(
-        "__doc.classes",
+        found,
         lambda c: F.struct(
-            c["class"].alias("class"), F.when(score(c).isNotNull(), text.clamp01(score(c))).alias("score")
+            F.lower(text.stripped(c["class"])).alias("class"),
+            F.when(text.as_number(c["score"]).isNotNull(), text.clamp01(text.as_number(c["score"]))).alias("score"),
         ),
     )
-    return (
-        responses.withColumn("__doc", walked(F.col(col)))
-        .withColumn("segments", F.col("__doc.segments"))
-        .withColumn("classes", scored)
-        .drop("__doc")
-    )
+    return opened.withColumn("segments", segments).withColumn("classes", scored).drop("__objects")
 
 
 def class_max(name: str) -> Column:

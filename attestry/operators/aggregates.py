@@ -20,7 +20,7 @@ def _percentage_fault(name: str) -> Column:
     given = F.coalesce(text.stripped(F.col(name)), F.lit(""))
     number = text.as_number(F.col(name))
     return F.when(given == "", F.lit(None)).when(number.isNull(), F.lit(f"invalid {name}")).when(
-        ~number.between(0, 100), F.lit(f"{name} must be 0-100")
+        ~number.between(0, 100), F.lit(f"{name}_range")
     )
 
 
@@ -34,7 +34,7 @@ def split_sheet_validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "split_percentage" in rows.columns:
         ownership = F.coalesce(ownership, F.col("split_percentage"))
     fault = F.coalesce(
-        F.when(text.clean_text(F.col("sheet_name")).isNull(), F.lit("requires a name")),
+        F.when(text.clean_text(F.col("sheet_name")).isNull(), F.lit("name_missing")),
         _percentage_fault("creative_contribution_pct"),
         _percentage_fault("ownership_split_pct"),
         _percentage_fault("ai_assisted_pct"),
@@ -56,8 +56,8 @@ def split_sheet_validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("fault").isNotNull(),
             F.concat(F.lit("contributor "), F.col("at").cast("string"), F.lit(" "), F.col("fault")),
         )
-        .when(F.col("declared") != F.col("contributor_count"), F.lit("every contributor requires an ownership split"))
-        .when(F.abs(F.col("total") - 100.0) > SPLIT_TOLERANCE, F.lit("ownership splits must total 100"))
+        .when(F.col("declared") != F.col("contributor_count"), F.lit("split_missing"))
+        .when(F.abs(F.col("total") - 100.0) > SPLIT_TOLERANCE, F.lit("split_total"))
     )
     judged = sheets.select(
         "sheet_id", "contributor_count", text.rounded(F.col("total"), 4).alias("total"), reason.alias("reason")

@@ -163,7 +163,7 @@ def provenance_mismatch(assets: DataFrame, manifests: DataFrame) -> DataFrame:
     def check(name: str) -> Column:
         stored, copied = F.col(f"a.{name}"), F.col(f"m.{name}")
         shown = lambda c: F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("None"))
-        note = F.concat(F.lit(f"{name} mismatch — manifest: "), shown(copied), F.lit(", db: "), shown(stored))
+        note = F.concat(F.lit(f"{name}:manifest="), shown(copied), F.lit(";stored="), shown(stored))
         return F.when(copied.isNotNull() & ~copied.eqNullSafe(stored), note)
 
     notes = F.filter(F.array(*[check(n) for n in fields]), lambda n: n.isNotNull())

@@ -94,9 +94,9 @@ def asset_binding_check(events: DataFrame, assets: DataFrame) -> tuple[DataFrame
     joined = bound.join(known, ["asset_ref", "tenant_id"], "left")
     declared = F.nullif("declared_sha256", F.lit(""))
     reason = (
-        F.when(F.coalesce("asset_ref", F.lit("")) == "", F.lit("asset_registered requires an asset"))
-        .when(F.col("asset_sha256").isNull(), F.lit("asset not found for this tenant"))
-        .when(declared != F.col("asset_sha256"), F.lit("fingerprint does not match registered asset"))
+        F.when(F.coalesce("asset_ref", F.lit("")) == "", F.lit("asset_missing"))
+        .when(F.col("asset_sha256").isNull(), F.lit("asset_unknown"))
+        .when(declared != F.col("asset_sha256"), F.lit("digest_differs"))
     )
     judged = joined.withColumn("reason", reason)
     ok = judged.where("reason is null").withColumn("sha256", F.col("asset_sha256"))

@@ -109,11 +109,11 @@ def metadata_trust_score(meta: DataFrame) -> DataFrame:
     sha_ok = text.hex_valid(s.field("hashes", "sha256"), 64)
     failures = F.filter(
         F.array(
-            F.when(both_ext & ~_same_text(f_ext, c_ext), F.lit("file/container extension mismatch")),
-            F.when(both_mime & ~_same_text(f_mime, c_mime), F.lit("file/container MIME mismatch")),
-            F.when(~_yes(size > 0), F.lit("file size missing or non-positive")),
-            F.when(~_yes(f_mime.contains("/")), F.lit("MIME type absent or malformed")),
-            F.when(~sha_ok, F.lit("SHA-256 absent or malformed")),
+            F.when(both_ext & ~_same_text(f_ext, c_ext), F.lit("extension_differs")),
+            F.when(both_mime & ~_same_text(f_mime, c_mime), F.lit("mime_differs")),
+            F.when(~_yes(size > 0), F.lit("size_invalid")),
+            F.when(~_yes(f_mime.contains("/")), F.lit("mime_invalid")),
+            F.when(~sha_ok, F.lit("sha256_invalid")),
         ),
         lambda n: n.isNotNull(),
     )
@@ -305,8 +305,8 @@ def metadata_anomaly_rules(meta: DataFrame, as_of_year: int, mime_type: Column |
         )
         .withColumn(
             "anomaly_summary",
-            F.when(F.size("flags") == 0, F.lit("No anomalies detected.")).otherwise(
-                F.concat(F.size("flags").cast("string"), F.lit(" anomaly flag(s) detected: "), listed, F.lit("."))
+            F.when(F.size("flags") == 0, F.lit("none")).otherwise(
+                F.concat(F.size("flags").cast("string"), F.lit(" flags: "), listed, F.lit("."))
             ),
         )
     )

@@ -100,11 +100,11 @@ def contributor_declaration() -> Column:
     creative = F.col("creative_contribution_pct")
     stated = F.when(creative.isNull(), F.lit("undeclared")).otherwise(F.concat(creative.cast("string"), F.lit("%")))
     return F.concat(
-        F.lit("Stored contributor record: "),
+        F.lit("contributor="),
         F.coalesce("name", F.lit("")),
-        F.lit(" — role "),
+        F.lit(";role="),
         F.coalesce("role", F.lit("undeclared")),
-        F.lit(", creative contribution "),
+        F.lit(";creative="),
         stated,
         F.lit("."),
     )

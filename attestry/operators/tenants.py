@@ -29,8 +29,8 @@ def tenant_uid(applications: DataFrame, clients: DataFrame) -> tuple[DataFrame,
         .join(first, "email", "left")
         .withColumn(
             "reason",
-            F.when(F.col("known") | (F.col("application_id") > F.col("first_application")), F.lit("email already registered"))
-            .when(~valid_plan, F.lit("unknown plan")),
+            F.when(F.col("known") | (F.col("application_id") > F.col("first_application")), F.lit("email_known"))
+            .when(~valid_plan, F.lit("plan_unknown")),
         )
         .drop("known", "first_application")
     )

@@ -11,12 +11,12 @@ from attestry.operators.facts import HUMAN_FORMS
 
 # Labels of the declared human forms.
 FORM_LABELS = {
-    "creative_direction": "Human creative direction established",
-    "editing": "Human editing applied",
-    "arrangement": "Human arrangement applied",
-    "lyrics": "Human lyrics added",
-    "performance": "Human performance recorded",
-    "transformation": "Human transformation applied",
+    "creative_direction": "human:creative_direction",
+    "editing": "human:editing",
+    "arrangement": "human:arrangement",
+    "lyrics": "human:lyrics",
+    "performance": "human:performance",
+    "transformation": "human:transformation",
 }
 EVENT_ID_BLOCK = 65536
 
@@ -99,7 +99,7 @@ def transformation_chain(assets: DataFrame, events: DataFrame) -> DataFrame:
         "step",
         F.lit("system_transformation").alias("step_type"),
         F.lit("watermark").alias("form"),
-        F.coalesce(F.nullif("description", F.lit("")), F.lit("Watermark applied")).alias("label"),
+        F.coalesce(F.nullif("description", F.lit("")), F.lit("watermark")).alias("label"),
         F.col("tool_used").alias("tool"),
         text.iso_plain(F.col("timestamp")).alias("timestamp"),
         F.lit("provenance_event").alias("source"),
@@ -111,7 +111,7 @@ def transformation_chain(assets: DataFrame, events: DataFrame) -> DataFrame:
         F.lit(1).alias("step"),
         F.lit("declared_human").alias("step_type"),
         F.lit("ai_modification").alias("form"),
-        F.lit("Human modification of AI output documented").alias("label"),
+        F.lit("ai_output_modified").alias("label"),
         F.lit(None).cast("string").alias("tool"),
         F.lit(None).cast("string").alias("timestamp"),
         F.lit("creator_declaration").alias("source"),

@@ -44,8 +44,8 @@ def json_object_gate(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose text is a JSON object, rejected with reason); blank counts as {}."""
     text = F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit("{}"))
     shape = _shape(text)
-    reason = F.when(shape.isNull(), F.lit("invalid JSON")).when(
-        ~shape.startswith("OBJECT"), F.lit("must be a JSON object")
+    reason = F.when(shape.isNull(), F.lit("not_json")).when(
+        ~shape.startswith("OBJECT"), F.lit("not_an_object")
     )
     judged = df.withColumn(col, text).withColumn("reason", reason)
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")

@@ -66,18 +66,18 @@ def export_artefacts(
     as_json = lambda *cols: F.to_json(F.struct(*cols)).alias("body")
     known = assets.select("asset_id")
     latest = certificates.latest_certificate(certs).select("asset_id", certificates.certificate_json().alias("latest"))
-    stub = F.to_json(F.struct(F.lit("No certificate found").alias("error"), "asset_id"))
+    stub = F.to_json(F.struct(F.lit("certificate_missing").alias("error"), "asset_id"))
     manifest = manifest_json(assets).select("asset_id", "body")
     rebuilt = assets.where("manifest_path is null").select("asset_id")
-    note = F.lit("Original manifest unavailable; reconstructed from stored facts.")
+    note = F.lit("manifest_rebuilt")
     readme = F.concat_ws(
         "\n",
-        F.lit("COPYRIGHT EXPORT PACKAGE"),
-        F.concat(F.lit("ASSET: "), F.col("stored_facts.identity.asset_uid")),
-        F.concat(F.lit("FILENAME: "), F.col("stored_facts.identity.filename")),
-        F.concat(F.lit("COPYRIGHT OWNER: "), F.coalesce("stored_facts.rights.copyright_owner", F.lit("undeclared"))),
-        F.concat(F.lit("LICENSE: "), F.coalesce("stored_facts.rights.license_type", F.lit("undeclared"))),
-        F.lit("Creator attribution does not imply copyright ownership."),
+        F.lit("rights summary"),
+        F.concat(F.lit("asset_uid="), F.col("stored_facts.identity.asset_uid")),
+        F.concat(F.lit("filename="), F.col("stored_facts.identity.filename")),
+        F.concat(F.lit("owner="), F.coalesce("stored_facts.rights.copyright_owner", F.lit("undeclared"))),
+        F.concat(F.lit("license="), F.coalesce("stored_facts.rights.license_type", F.lit("undeclared"))),
+        F.lit("names of creators say nothing about ownership"),
     )
     return {
         "readme": report.select("asset_id", readme.alias("body")),

@@ -30,13 +30,13 @@ class EvidenceLog(StatefulProcessor):
 
     def _refusal(self, kind: str, sequence: int, closed: bool, by_close: bool) -> str | None:
         if kind not in self.allowed:
-            return "unsupported event type"
+            return "type_unknown"
         if closed:
-            return "session is closed"
+            return "after_close"
         if kind == "session_started" and sequence > 0:
-            return "session already started"
+            return "second_start"
         if kind == "session_closed" and not by_close:
-            return "use the close operation"
+            return "close_reserved"
         return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:

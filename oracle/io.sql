@@ -27,7 +27,7 @@ SELECT event_id, asset_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') AS "ti
 
 -- name: json_object_gate
 SELECT event_id, CASE event_id % 10 WHEN 0 THEN '[1,2]' WHEN 1 THEN '{"k": ' WHEN 2 THEN '{}' WHEN 3 THEN '"text"' WHEN 4 THEN '{}' ELSE props END AS body,
-  CASE event_id % 10 WHEN 0 THEN 'must be a JSON object' WHEN 1 THEN 'invalid JSON' WHEN 3 THEN 'must be a JSON object' END AS reason FROM events
+  CASE event_id % 10 WHEN 0 THEN 'not_an_object' WHEN 1 THEN 'not_json' WHEN 3 THEN 'not_an_object' END AS reason FROM events
 
 -- name: json_column_decode
 SELECT event_id, CASE WHEN event_id % 10 < 5 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS items FROM events

@@ -71,8 +71,8 @@ FROM v6 c JOIN v1 a USING (asset_id) WHERE a.tenant_id = 'src3' ORDER BY c.issue
 -- name: asset_binding_check
 -- uses: v3i, v1
 SELECT event_id, CASE WHEN reason IS NULL THEN sha END AS sha256, reason FROM (
-  SELECT e.event_id, a.sha256 AS sha, CASE WHEN ref IS NULL THEN 'asset_registered requires an asset' WHEN a.sha256 IS NULL THEN 'asset not found for this tenant'
-    WHEN declared <> a.sha256 THEN 'fingerprint does not match registered asset' END AS reason
+  SELECT e.event_id, a.sha256 AS sha, CASE WHEN ref IS NULL THEN 'asset_missing' WHEN a.sha256 IS NULL THEN 'asset_unknown'
+    WHEN declared <> a.sha256 THEN 'digest_differs' END AS reason
   FROM (SELECT s.event_id, s.tenant_id, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN 'as-' || (user_id + 1) ELSE s.asset_id END AS ref,
       CASE WHEN k % 3 = 1 THEN repeat('0', 64) WHEN k % 3 = 2 THEN o.sha256 END AS declared
     FROM v3i s LEFT JOIN v1 o ON o.doc_id = s.user_id WHERE event_type = 'asset_registered') e
@@ -119,10 +119,10 @@ SELECT sheet_id, floor(sum(CASE WHEN position % 4 = 0 OR position % 5 = 0 OR she
 -- uses: v5
 SELECT sheet_id, n AS contributor_count, floor(total * 10000 + 0.5) / 10000 AS total,
   CASE WHEN bad IS NOT NULL THEN 'contributor ' || bad || ' ' || fault
-    WHEN declared <> n THEN 'every contributor requires an ownership split' WHEN abs(total - 100) > 0.01 THEN 'ownership splits must total 100' END AS reason
+    WHEN declared <> n THEN 'split_missing' WHEN abs(total - 100) > 0.01 THEN 'split_total' END AS reason
 FROM (SELECT sheet_id, count(*) AS n, count(ownership_split_pct) AS declared, sum(ownership_split_pct) AS total,
     min(position) FILTER (fault IS NOT NULL) AS bad, min_by(fault, position) FILTER (fault IS NOT NULL) AS fault
-  FROM (SELECT *, CASE WHEN trim(sheet_name) = '' THEN 'requires a name' WHEN ownership_split_pct > 100 THEN 'ownership_split_pct must be 0-100' END AS fault FROM v5) GROUP BY 1)
+  FROM (SELECT *, CASE WHEN trim(sheet_name) = '' THEN 'name_missing' WHEN ownership_split_pct > 100 THEN 'ownership_split_pct_range' END AS fault FROM v5) GROUP BY 1)
 
 -- name: verification_counter_check
 -- uses: v7, v7c
@@ -184,17 +184,17 @@ FROM (SELECT asset_id, t, lag(t) OVER (PARTITION BY asset_id ORDER BY event_id)
 -- name: transformation_chain
 -- uses: v1, v2e
 SELECT asset_id, 1 AS section, step, 'declared_human' AS step_type, form, label, CAST(NULL AS VARCHAR) AS tool, CAST(NULL AS VARCHAR) AS "timestamp", 'creator_declaration' AS source
-FROM (SELECT asset_id, 1 AS step, 'creative_direction' AS form, 'Human creative direction established' AS label FROM v1 WHERE h1
-  UNION ALL SELECT asset_id, 2, 'editing', 'Human editing applied' FROM v1 WHERE h2
-  UNION ALL SELECT asset_id, 3, 'arrangement', 'Human arrangement applied' FROM v1 WHERE h3
-  UNION ALL SELECT asset_id, 4, 'lyrics', 'Human lyrics added' FROM v1 WHERE h4
-  UNION ALL SELECT asset_id, 5, 'performance', 'Human performance recorded' FROM v1 WHERE h5
-  UNION ALL SELECT asset_id, 6, 'transformation', 'Human transformation applied' FROM v1 WHERE h6)
+FROM (SELECT asset_id, 1 AS step, 'creative_direction' AS form, 'human:creative_direction' AS label FROM v1 WHERE h1
+  UNION ALL SELECT asset_id, 2, 'editing', 'human:editing' FROM v1 WHERE h2
+  UNION ALL SELECT asset_id, 3, 'arrangement', 'human:arrangement' FROM v1 WHERE h3
+  UNION ALL SELECT asset_id, 4, 'lyrics', 'human:lyrics' FROM v1 WHERE h4
+  UNION ALL SELECT asset_id, 5, 'performance', 'human:performance' FROM v1 WHERE h5
+  UNION ALL SELECT asset_id, 6, 'transformation', 'human:transformation' FROM v1 WHERE h6)
 UNION ALL
-SELECT asset_id, 2, row_number() OVER (PARTITION BY asset_id ORDER BY "timestamp", event_id), 'system_transformation', 'watermark', coalesce(description, 'Watermark applied'), tool_used,
+SELECT asset_id, 2, row_number() OVER (PARTITION BY asset_id ORDER BY "timestamp", event_id), 'system_transformation', 'watermark', coalesce(description, 'watermark'), tool_used,
   strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f'), 'provenance_event' FROM v2e WHERE event_type = 'watermark' AND asset_id IN (SELECT asset_id FROM v1)
 UNION ALL
-SELECT asset_id, 3, 1, 'declared_human', 'ai_modification', 'Human modification of AI output documented', NULL, NULL, 'creator_declaration' FROM v1 WHERE ai_modification_by_human
+SELECT asset_id, 3, 1, 'declared_human', 'ai_modification', 'ai_output_modified', NULL, NULL, 'creator_declaration' FROM v1 WHERE ai_modification_by_human
 
 -- name: strongest_detector
 -- uses: v1, v4n

@@ -11,8 +11,8 @@ SELECT application_id, email,
   CASE WHEN reason IS NULL THEN slug || CASE WHEN nth > 1 THEN '_' || lpad(CAST(nth - 1 AS VARCHAR), 4, '0') ELSE '' END END AS tenant_id, reason
 FROM (SELECT *, row_number() OVER (PARTITION BY slug, reason IS NULL ORDER BY application_id) AS nth
   FROM (SELECT v9.*, 'tn_' || upper(left(md5(lower(email)), 8)) AS slug,
-      CASE WHEN email IN (SELECT 'C' || s_suppkey || '@Example.com' FROM supplier) OR application_id > first_application THEN 'email already registered'
-        WHEN plan NOT IN ('founder','creator','label','enterprise') THEN 'unknown plan' END AS reason
+      CASE WHEN email IN (SELECT 'C' || s_suppkey || '@Example.com' FROM supplier) OR application_id > first_application THEN 'email_known'
+        WHEN plan NOT IN ('founder','creator','label','enterprise') THEN 'plan_unknown' END AS reason
     FROM v9 LEFT JOIN (SELECT email, min(application_id) AS first_application FROM v9 WHERE plan <> 'gold' GROUP BY 1) USING (email)))
 
 -- name: record_digest
@@ -141,9 +141,9 @@ SELECT passport_id, serial AS value, serial_reason IS NULL AS valid, serial_reas
 -- name: resolver_origin_check
 SELECT page_id, CASE WHEN given <> '' AND reason IS NULL THEN 'https://' || regexp_extract(given, '^https://([^/?#]*)', 1) END AS url,
   CASE WHEN given <> '' THEN reason END AS reason
-FROM (SELECT page_id, given, CASE WHEN NOT regexp_matches(given, '^https://[^/?#]') THEN 'Resolver base URL must be an HTTPS origin.'
-    WHEN regexp_matches(given, '^https://[^/?#]*@') OR regexp_matches(given, '[?#].') THEN 'Resolver base URL cannot contain credentials, query, or fragment.'
-    WHEN regexp_matches(given, '^https://[^/?#]+/') THEN 'Resolver base URL must not contain a path.' END AS reason
+FROM (SELECT page_id, given, CASE WHEN NOT regexp_matches(given, '^https://[^/?#]') THEN 'origin_not_https'
+    WHEN regexp_matches(given, '^https://[^/?#]*@') OR regexp_matches(given, '[?#].') THEN 'origin_has_extras'
+    WHEN regexp_matches(given, '^https://[^/?#]+/') THEN 'origin_has_path' END AS reason
   FROM (SELECT page_id, rtrim(trim(CASE WHEN page_id % 10 = 0 THEN ' ' || replace(o, 'http:', 'https:') || '/ '
       WHEN page_id % 10 = 1 THEN regexp_replace(o, '^https?://', 'https://user:pw@')
       WHEN page_id % 10 = 2 THEN replace(o, 'http:', 'https:') || '?q=1' WHEN page_id % 10 = 3 THEN ' ' ELSE url END), '/') AS given
@@ -185,8 +185,8 @@ UNION ALL SELECT asset_id, 1, 'c' || (doc_id % 3), doc_id % 9 <> 0 FROM v8m
 
 -- name: location_check
 SELECT event_id, reason IS NULL AS ok, reason FROM (
-  SELECT event_id, CASE WHEN k % 5 = 3 THEN 'location.level must be none, coarse, or precise_private'
-    WHEN k % 5 = 2 AND (k % 3 = 0 OR k % 7 = 0) THEN 'precise_private location requires latitude and longitude' END AS reason
+  SELECT event_id, CASE WHEN k % 5 = 3 THEN 'location_level_unknown'
+    WHEN k % 5 = 2 AND (k % 3 = 0 OR k % 7 = 0) THEN 'location_place_missing' END AS reason
   FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
 
 -- name: class_max_score

@@ -4,7 +4,7 @@ SELECT * FROM vmts
 
 -- name: metadata_anomaly_rules
 -- uses: vanoms
-SELECT asset_id, anomaly_score, CASE WHEN n_flags = 0 THEN 'No anomalies detected.' ELSE n_flags || ' anomaly flag(s) detected: ' || listed || '.' END AS anomaly_summary,
+SELECT asset_id, anomaly_score, CASE WHEN n_flags = 0 THEN 'none' ELSE n_flags || ' flags: ' || listed || '.' END AS anomaly_summary,
   array_to_string(flags, '|') AS flags, coalesce(fields, '') AS affected_fields FROM vanoms
 
 -- name: asset_trust_score
@@ -19,12 +19,12 @@ SELECT asset_id, CASE WHEN NOT s_mark OR s_collision THEN 'tampered' WHEN ai_det
 -- name: copyright_readiness
 -- uses: vready
 SELECT asset_id, readiness_score, readiness_label,
-  concat_ws('|', CASE WHEN h1 THEN 'Human creative direction documented' END, CASE WHEN h2 THEN 'Human editing documented' END, CASE WHEN h3 THEN 'Human arrangement documented' END,
-    CASE WHEN h4 THEN 'Human lyrics documented' END, CASE WHEN h5 THEN 'Human performance documented' END, CASE WHEN h6 THEN 'Human transformation documented' END,
-    CASE WHEN detected AND is_disclosed THEN 'AI use detected and explicitly disclosed' END, CASE WHEN NOT detected AND form_done THEN 'AI disclosure form completed' END,
-    CASE WHEN modified THEN 'Human modification of AI output documented' END, CASE WHEN contributor_n > 0 THEN contributor_n || ' human contributor(s) documented' END) AS supporting,
-  concat_ws('|', CASE WHEN forms = 0 THEN 'No human authorship fields documented' END, CASE WHEN detected AND NOT is_disclosed THEN 'AI detector signal present without an explicit AI-use declaration' END,
-    CASE WHEN unsupported THEN 'High synthetic-media probability with no documented human authorship or modification' END) AS limiting
+  concat_ws('|', CASE WHEN h1 THEN 'form:creative_direction' END, CASE WHEN h2 THEN 'form:editing' END, CASE WHEN h3 THEN 'form:arrangement' END,
+    CASE WHEN h4 THEN 'form:lyrics' END, CASE WHEN h5 THEN 'form:performance' END, CASE WHEN h6 THEN 'form:transformation' END,
+    CASE WHEN detected AND is_disclosed THEN 'ai_disclosed' END, CASE WHEN NOT detected AND form_done THEN 'ai_form_complete' END,
+    CASE WHEN modified THEN 'ai_output_modified' END, CASE WHEN contributor_n > 0 THEN contributor_n || '_human_contributors' END) AS supporting,
+  concat_ws('|', CASE WHEN forms = 0 THEN 'no_human_forms' END, CASE WHEN detected AND NOT is_disclosed THEN 'ai_undisclosed' END,
+    CASE WHEN unsupported THEN 'synthetic_unsupported' END) AS limiting
 FROM vready
 
 -- name: certificate_class
@@ -124,8 +124,8 @@ FROM (SELECT asset_id, count(*) FILTER (status = 'fail') AS bad, count(*) FILTER
 -- uses: v1, v1m
 SELECT a.asset_id, CASE WHEN m.asset_id IS NOT NULL THEN concat_ws('|',
   CASE WHEN m.second_fingerprint <> a.second_fingerprint OR (m.second_fingerprint IS NOT NULL AND a.second_fingerprint IS NULL)
-    THEN 'second_fingerprint mismatch — manifest: ''' || m.second_fingerprint || ''', db: ' || coalesce('''' || a.second_fingerprint || '''', 'None') END,
-  CASE WHEN m.filename <> a.filename THEN 'filename mismatch — manifest: ''' || m.filename || ''', db: ''' || a.filename || '''' END) END AS mismatches
+    THEN 'second_fingerprint:manifest=''' || m.second_fingerprint || ''';stored=' || coalesce('''' || a.second_fingerprint || '''', 'None') END,
+  CASE WHEN m.filename <> a.filename THEN 'filename:manifest=''' || m.filename || ''';stored=''' || a.filename || '''' END) END AS mismatches
 FROM v1 a LEFT JOIN v1m m USING (asset_id)
 
 -- name: tamper_audit

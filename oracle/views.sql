@@ -321,11 +321,11 @@ FROM (SELECT *, body || ((list_sum(list_transform(range(1, 14), lambda p: CAST(s
 -- name: v10c
 -- uses: v10
 SELECT *, CASE WHEN gtin_reason IS NULL THEN gtin END AS gtin_ok, CASE WHEN serial_reason IS NULL THEN serial END AS serial_ok
-FROM (SELECT *, CASE WHEN NOT regexp_full_match(gtin, '[0-9]{14}') THEN 'GTIN must contain exactly 14 digits.'
+FROM (SELECT *, CASE WHEN NOT regexp_full_match(gtin, '[0-9]{14}') THEN 'gtin_not_14_digits'
     WHEN (list_sum(list_transform(range(1, 14), lambda p: CAST(try_cast(substr(gtin, p, 1) AS INTEGER) AS INTEGER) * CASE WHEN p % 2 = 1 THEN 3 ELSE 1 END)) * 9) % 10
-      <> try_cast(substr(gtin, 14, 1) AS INTEGER) THEN 'GTIN check digit is invalid.' END AS gtin_reason,
-  CASE WHEN serial = '' THEN 'Serial number cannot be empty.' WHEN length(serial) > 20 THEN 'GS1 serial number must be 20 characters or fewer.'
-    WHEN contains(serial, chr(9)) THEN 'Serial number contains unsupported control characters.' END AS serial_reason
+      <> try_cast(substr(gtin, 14, 1) AS INTEGER) THEN 'gtin_check_digit' END AS gtin_reason,
+  CASE WHEN serial = '' THEN 'serial_empty' WHEN length(serial) > 20 THEN 'serial_too_long'
+    WHEN contains(serial, chr(9)) THEN 'serial_control_character' END AS serial_reason
   FROM (SELECT *, trim(gtin14) AS gtin, trim(serial_number) AS serial FROM v10))
 
 -- name: v8m
@@ -407,20 +407,20 @@ SELECT *, floor(greatest(0e0, least(1e0, 5e-1 + CASE WHEN s_second THEN 5e-2 ELS
     + CASE WHEN is_generated THEN -5e-2 ELSE 0e0 END
     + CASE s_level WHEN 'substantial' THEN 12e-2 WHEN 'moderate' THEN 7e-2 WHEN 'minor' THEN 3e-2 ELSE 0e0 END
     + CASE WHEN forms > 0 THEN least(forms * 3e-2, 1e-1) ELSE 0e0 END + CASE WHEN s_daw THEN 4e-2 ELSE 0e0 END)) * 10000 + 0.5) / 10000 AS score,
-  concat_ws('|', CASE WHEN s_second THEN 'BLAKE3 cryptographic hash verified' END,
-    CASE WHEN s_mark THEN 'Invisible watermark verified (' || CAST(floor(s_conf * 100) AS BIGINT) || '% confidence)' WHEN NOT s_mark THEN 'Invisible watermark FAILED' END,
-    CASE WHEN s_phash THEN 'Perceptual fingerprint generated' END,
-    CASE WHEN s_exif THEN 'Authentic EXIF metadata present' WHEN NOT s_exif THEN 'No EXIF metadata detected' END,
-    CASE WHEN s_gps THEN 'GPS location data present' END, CASE WHEN s_creator THEN 'Creator name registered' END,
-    CASE WHEN s_org THEN 'Creator organisation registered' END, CASE WHEN s_copyright THEN 'Copyright notice registered' END,
-    CASE WHEN s_license THEN 'License URL provided' END,
-    CASE WHEN ai_detection_score >= 0.9 THEN 'AI generation detected high confidence (' WHEN ai_detection_score >= 0.7 THEN 'AI generation likely ('
-      WHEN ai_detection_score >= 0.4 THEN 'Possible AI involvement (' WHEN ai_detection_score < 0.2 THEN 'Likely human-created, AI score low (' END
-      || CAST(floor(ai_detection_score * 100) AS BIGINT) || '%)',
-    CASE WHEN is_generated THEN 'Creator disclosed AI-generated content' WHEN is_assisted THEN 'Creator disclosed AI-assisted content' END,
-    CASE s_level WHEN 'substantial' THEN 'Substantial human creative transformation declared' WHEN 'moderate' THEN 'Moderate human transformation declared'
-      WHEN 'minor' THEN 'Minor human transformation declared' END,
-    CASE WHEN forms > 0 THEN forms || ' human contribution signals' END, CASE WHEN s_daw THEN 'DAW software declared' END) AS reasons
+  concat_ws('|', CASE WHEN s_second THEN 'second_fingerprint' END,
+    CASE WHEN s_mark THEN 'hidden_mark_ok:' || CAST(floor(s_conf * 100) AS BIGINT) || '' WHEN NOT s_mark THEN 'hidden_mark_failed' END,
+    CASE WHEN s_phash THEN 'perceptual_hash' END,
+    CASE WHEN s_exif THEN 'exif' WHEN NOT s_exif THEN 'no_exif' END,
+    CASE WHEN s_gps THEN 'gps' END, CASE WHEN s_creator THEN 'creator_name' END,
+    CASE WHEN s_org THEN 'creator_organisation' END, CASE WHEN s_copyright THEN 'copyright_notice' END,
+    CASE WHEN s_license THEN 'license_url' END,
+    CASE WHEN ai_detection_score >= 0.9 THEN 'ai_confident:' WHEN ai_detection_score >= 0.7 THEN 'ai_likely:'
+      WHEN ai_detection_score >= 0.4 THEN 'ai_possible:' WHEN ai_detection_score < 0.2 THEN 'ai_low:' END
+      || CAST(floor(ai_detection_score * 100) AS BIGINT),
+    CASE WHEN is_generated THEN 'disclosed:ai_generated' WHEN is_assisted THEN 'disclosed:ai_assisted' END,
+    CASE s_level WHEN 'substantial' THEN 'transformation:substantial' WHEN 'moderate' THEN 'transformation:moderate'
+      WHEN 'minor' THEN 'transformation:minor' END,
+    CASE WHEN forms > 0 THEN forms || '_human_signals' END, CASE WHEN s_daw THEN 'workstation' END) AS reasons
 FROM vsig
 
 -- name: vready
@@ -564,15 +564,15 @@ WHERE trim(sheet_name) <> '' AND sheet_id % 19 <> 0 AND asset_id IN (SELECT asse
 -- name: vnote
 -- uses: v1
 SELECT asset_id, CASE WHEN ai_detection_score IS NULL THEN CASE ai_disclosure
-      WHEN 'ai_generated' THEN 'Creator declared AI-generated content; detector result is not available.' WHEN 'ai_assisted' THEN 'Creator declared AI-assisted content; detector result is not available.'
-      WHEN 'human' THEN 'Creator declared human-created content; detector result is not available.' WHEN 'unknown' THEN 'Creator marked AI status unknown; detector result is not available.'
-      ELSE 'No creator AI-status declaration or detector result is available.' END
-    WHEN NOT uses AND ai_detection_score >= 0.85 THEN 'High synthetic-media probability is present without a matching AI-use declaration.'
-    WHEN NOT uses AND ai_detection_score >= 0.4 THEN 'Synthetic-media probability indicates possible AI involvement; disclosure may be incomplete.'
-    WHEN ai_detection_score >= 0.4 THEN 'AI involvement is both declared and supported by a detector signal.'
-    WHEN uses THEN 'AI use is declared; the available detector score is below the review threshold.'
-    WHEN ai_disclosure = 'human' THEN 'Human-created status is declared; detector probability is reported separately and is not proof of authorship.'
-    ELSE 'Detector probability is reported as a forensic signal, not a determination.' END AS note
+      WHEN 'ai_generated' THEN 'ai_generated:no_detector' WHEN 'ai_assisted' THEN 'ai_assisted:no_detector'
+      WHEN 'human' THEN 'human:no_detector' WHEN 'unknown' THEN 'unknown:no_detector'
+      ELSE 'no_statement' END
+    WHEN NOT uses AND ai_detection_score >= 0.85 THEN 'high_undeclared'
+    WHEN NOT uses AND ai_detection_score >= 0.4 THEN 'possible_undeclared'
+    WHEN ai_detection_score >= 0.4 THEN 'declared_and_detected'
+    WHEN uses THEN 'declared_below_threshold'
+    WHEN ai_disclosure = 'human' THEN 'human_with_signal'
+    ELSE 'signal_only' END AS note
 FROM (SELECT *, coalesce(ai_disclosure IN ('ai_generated','ai_assisted'), false) AS uses FROM v1)
 
 -- name: vmts
@@ -594,8 +594,8 @@ FROM (SELECT asset_id,
       CASE WHEN make IS NULL AND model IS NULL THEN 'camera' END, CASE WHEN creator IS NULL AND copyright IS NULL THEN 'copyright' END,
       CASE WHEN software IS NULL THEN 'software' END, CASE WHEN make IS NULL THEN 'exif' END, CASE WHEN a_title IS NULL AND a_artist IS NULL THEN 'audio_tags' END,
       CASE WHEN creator IS NULL THEN 'xmp' END, CASE WHEN byline IS NULL THEN 'iptc' END], lambda x: x IS NOT NULL) AS missing,
-    list_filter([CASE WHEN f_ext <> c_ext THEN 'file/container extension mismatch' END, CASE WHEN f_mime <> c_mime THEN 'file/container MIME mismatch' END,
-      CASE WHEN f_size <= 0 THEN 'file size missing or non-positive' END, CASE WHEN coalesce(length(h_sha), 0) <> 64 THEN 'SHA-256 absent or malformed' END], lambda x: x IS NOT NULL) AS failures,
+    list_filter([CASE WHEN f_ext <> c_ext THEN 'extension_differs' END, CASE WHEN f_mime <> c_mime THEN 'mime_differs' END,
+      CASE WHEN f_size <= 0 THEN 'size_invalid' END, CASE WHEN coalesce(length(h_sha), 0) <> 64 THEN 'sha256_invalid' END], lambda x: x IS NOT NULL) AS failures,
     list_filter([CASE WHEN creator IS NOT NULL OR copyright IS NOT NULL THEN 'copyright/creator' END, CASE WHEN make IS NOT NULL OR model IS NOT NULL THEN 'camera device' END,
       CASE WHEN software IS NOT NULL THEN 'software/tool' END, CASE WHEN creator IS NOT NULL THEN 'XMP rights' END, CASE WHEN a_artist IS NOT NULL THEN 'audio artist' END], lambda x: x IS NOT NULL) AS signals
   FROM v2))
@@ -611,8 +611,8 @@ FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'unknown_type' WHEN event_id %
 
 -- name: s1r
 -- uses: s1
-SELECT *, CASE WHEN kind = 'unknown_type' THEN 'unsupported event type' WHEN closed_before THEN 'session is closed'
-  WHEN kind = 'session_started' AND earlier > 0 THEN 'session already started' WHEN kind = 'session_closed' AND NOT by_close THEN 'use the close operation' END AS reason
+SELECT *, CASE WHEN kind = 'unknown_type' THEN 'type_unknown' WHEN closed_before THEN 'after_close'
+  WHEN kind = 'session_started' AND earlier > 0 THEN 'second_start' WHEN kind = 'session_closed' AND NOT by_close THEN 'close_reserved' END AS reason
 FROM (SELECT *, coalesce(bool_or(kind = 'session_closed' AND by_close) OVER w, false) AS closed_before,
     coalesce(sum(CASE WHEN kind = 'unknown_type' OR (kind = 'session_closed' AND NOT by_close) THEN 0 ELSE 1 END) OVER w, 0) AS earlier
   FROM s1 WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

@@ -79,8 +79,8 @@ def test_refusals(spark):
     out = jobs.run_to_table(jobs.evidence_log_stream(jobs.table_stream(spark, path)), "t")
     got = {r["event_id"]: (r["reason"], r["sequence"]) for r in out.collect()}
     assert got == {
-        1: (None, 1), 2: ("session already started", None), 3: (None, 2), 4: ("unsupported event type", None),
-        5: ("use the close operation", None), 6: (None, 3), 7: ("session is closed", None),
+        1: (None, 1), 2: ("second_start", None), 3: (None, 2), 4: ("type_unknown", None),
+        5: ("close_reserved", None), 6: (None, 3), 7: ("after_close", None),
     }
 
 
