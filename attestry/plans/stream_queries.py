@@ -58,16 +58,22 @@ def _submitted(events: DataFrame) -> DataFrame:
         none.alias("location_summary"),
         F.col("props").alias("payload"),
         (e % 2 == 0).alias("by_close"),
+        F.when(e % 13 != 0, F.concat(F.lit("as-"), u.cast("string"))).alias("asset_ref"),
+        F.concat(F.lit("src"), F.when(e % 17 == 0, 99).otherwise(u % 20).cast("string")).alias("tenant_id"),
+        F.when(e % 7 == 0, F.lit("0" * 64)).alias("declared_sha256"),
     )
 
 
 @query("evidence_log_stream")
 def _evidence_log_stream(v: Views) -> DataFrame:
-    return jobs.run_to_table(jobs.evidence_log_stream(_submitted(_event_stream(v))), "evidence-log")
+    # the tenants of the assets follow their numbers, as those of the events do
+    assets = v.assets.withColumn("tenant_id", F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")))
+    bound = jobs.bound_events(_submitted(_event_stream(v)), assets)
+    return jobs.run_to_table(jobs.evidence_log_stream(bound), "evidence-log")
 
 
 def _changes(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").alias("project"), F.col("ts").alias("at"), F.col("event_type").alias("signature"))
+    return events.select(F.col("user_id").alias("project"), "event_id", F.col("ts").alias("at"), F.col("event_type").alias("signature"))
 
 
 @query("debounced_revisions")
@@ -84,6 +90,7 @@ def _scans(events: DataFrame) -> DataFrame:
     u = F.col("user_id")
     ending = F.element_at(F.array(*[F.lit(x) for x in (".wav", ".txt", ".MP3", ".flac")]), (u % 4 + 1).cast("int"))
     return events.select(
+        "event_id",
         F.concat(F.lit("export-"), u.cast("string"), ending).alias("name"),
         F.col("ts").alias("at"),
         F.when(F.col("event_type") == "click", 0).otherwise(100).cast("long").alias("size"),

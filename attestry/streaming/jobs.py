@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from attestry.functions import text
+from attestry.functions import disclosure, text
 from attestry.operators import chain, ordering
 from attestry.session import shared_dir, stored
 from attestry.streaming import processors
@@ -23,15 +23,15 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Stream of a stored table, a bounded number of files per micro-batch.
+def table_stream(spark: SparkSession, path: str, bytes_per_trigger: int = 256 << 20) -> DataFrame:
+    """Stream of a stored table, about so many bytes per micro-batch.
 
     The path is given as a pattern that matches itself, because a plain path
     must be a folder, and a table may be a single file.
     """
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(pattern)
 
 
 def run_available(writer: DataStreamWriter, spark: SparkSession, job: str) -> None:
@@ -54,8 +54,10 @@ def evidence_log_stream(events: DataFrame) -> DataFrame:
     """Accepted events with sequence and hashes, and refused ones with the reason.
 
     ``events`` are session events without sequence; ``by_close`` marks the event
-    of the close operation.  Digests are computed before the state machine.
+    of the close operation, ``refused`` (optional) why an event cannot be taken.
+    Digests are computed before the state machine.
     """
+    refused = F.col("refused") if "refused" in events.columns else F.lit(None).cast("string")
     rows = events.select(
         "session_id",
         "event_id",
@@ -63,6 +65,7 @@ def evidence_log_stream(events: DataFrame) -> DataFrame:
         F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("at"),
         chain.evidence_body_digest().alias("body_digest"),
         "by_close",
+        refused.alias("refused"),
     )
     return rows.groupBy("session_id").transformWithStateInPandas(
         processors.EvidenceLog(chain.EVENT_TYPES),
@@ -73,10 +76,43 @@ def evidence_log_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def bound_events(events: DataFrame, assets: DataFrame) -> DataFrame:
+    """Registrations bound to an asset of their tenant: ``refused`` says why not.
+
+    ``events`` name their asset in asset_ref and may declare a SHA-256; a
+    ``location`` map is checked where there is one.  The payload of a bound
+    event states the asset and its digest.
+    """
+    known = assets.select(
+        F.col("asset_id").alias("__ref"), F.col("tenant_id").alias("__tenant"), F.col("sha256").alias("__sha256")
+    )
+    registers = F.col("event_type") == "asset_registered"
+    match = registers & (F.col("asset_ref") == F.col("__ref")) & (F.col("tenant_id") == F.col("__tenant"))
+    declared = F.nullif("declared_sha256", F.lit(""))
+    refused = F.when(
+        registers,
+        F.when(F.coalesce("asset_ref", F.lit("")) == "", F.lit("asset_missing"))
+        .when(F.col("__sha256").isNull(), F.lit("asset_unknown"))
+        .when(declared != F.col("__sha256"), F.lit("digest_differs")),
+    )
+    if "location" in events.columns:
+        refused = F.coalesce(disclosure.location_check(F.col("location"))["reason"], refused)
+    stated = F.concat(
+        F.lit('{"asset_id":"'), "__ref", F.lit('","given":'), F.coalesce("payload", F.lit("null")),
+        F.lit(',"sha256":"'), "__sha256", F.lit('"}'),
+    )
+    return (
+        events.join(known, match, "left")
+        .withColumn("refused", refused)
+        .withColumn("payload", F.when(F.col("refused").isNull() & registers, stated).otherwise(F.col("payload")))
+        .drop("__ref", "__tenant", "__sha256")
+    )
+
+
 def debounced_revisions(changes: DataFrame, debounce_s: int = 4, delay: str = "0 seconds") -> DataFrame:
-    """Revisions of (project, at, signature) rows after the debounce time."""
+    """Revisions of (project, event_id, at, signature) rows after the debounce time."""
     rows = changes.withColumn("event_time", F.col("at").cast("timestamp")).withWatermark("event_time", delay)
-    rows = rows.select("project", "event_time", F.unix_micros("event_time").alias("at"), "signature")
+    rows = rows.select("project", "event_time", F.unix_micros("event_time").alias("at"), "event_id", "signature")
     return rows.groupBy("project").transformWithStateInPandas(
         processors.Debounce(debounce_s * 1_000_000),
         "project bigint, changed_at bigint, emitted_at bigint, signature string",
@@ -96,7 +132,7 @@ def debounced_revisions_batch(changes: DataFrame, debounce_s: int, delay_s: int
     between passes.
     """
     wait = debounce_s * 1_000_000
-    block, order = ordering.hour_of("at"), [F.col("at")]
+    block, order = ordering.hour_of("at"), [F.col("at"), F.col("event_id")]
     seen = ordering.ordered(changes, ["project"], block, order, previous={"before": F.col("signature")})
     starts = seen.where("before is null or before <> signature").withColumn("is_first", F.col("before").isNull())
     starts = stored(starts.drop("before"), "islands")
@@ -122,12 +158,12 @@ EXPORT_EXTENSIONS = [".wav", ".aif", ".aiff", ".mp3", ".m4a", ".flac"]
 def _export_rows(files: DataFrame, newer_than: Column) -> DataFrame:
     extension = F.concat(F.lit("."), F.lower(F.substring_index("name", ".", -1)))
     return files.where(extension.isin(EXPORT_EXTENSIONS) & (F.col("changed") >= newer_than)).select(
-        F.col("name").alias("path"), "size", _micros("changed").alias("changed"), _micros("at").alias("at"), F.col("at").alias("seen_at")
+        F.col("name").alias("path"), "size", _micros("changed").alias("changed"), _micros("at").alias("at"), F.col("at").alias("seen_at"), "event_id"
     )
 
 
 def stable_export(files: DataFrame, newer_than: Column, stability_s: int = 5) -> DataFrame:
-    """Audio files of (name, at, size, changed) scans, once they are stable."""
+    """Audio files of (event_id, name, at, size, changed) scans, once they are stable."""
     return _export_rows(files, newer_than).drop("seen_at").groupBy("path").transformWithStateInPandas(
         processors.StableExport(stability_s * 1_000_000),
         "path string, emitted_at bigint, size bigint",
@@ -138,7 +174,7 @@ def stable_export(files: DataFrame, newer_than: Column, stability_s: int = 5) ->
 
 def stable_export_batch(files: DataFrame, newer_than: Column, stability_s: int) -> DataFrame:
     rows = _export_rows(files, newer_than)
-    block, order = ordering.hour_of("seen_at"), [F.col("at")]
+    block, order = ordering.hour_of("seen_at"), [F.col("at"), F.col("event_id")]
     marked = ordering.ordered(
         rows, ["path"], block, order, previous={"before": F.struct("size", "changed")}
     ).withColumn(
@@ -147,7 +183,7 @@ def stable_export_batch(files: DataFrame, newer_than: Column, stability_s: int)
     marked = stored(marked.drop("before"), "marked-scans")
     timed = ordering.ordered(marked, ["path"], block, order, running_max={"since": F.col("start")})
     stable = timed.where((F.col("size") > 0) & (F.col("at") - F.col("since") >= stability_s * 1_000_000))
-    return stable.groupBy("path").agg(F.min("at").alias("emitted_at"), F.min_by("size", "at").alias("size"))
+    return stable.groupBy("path").agg(F.min("at").alias("emitted_at"), F.min_by("size", F.struct("at", "event_id")).alias("size"))
 
 
 # Requests per minute of each limited route.
@@ -268,29 +304,20 @@ def idempotent_registration(submissions: DataFrame, order: list[Column]) -> Data
 
 
 def registration_stream(submissions: DataFrame, id_column: str, job: str) -> tuple[DataFrame, DataFrame]:
-    """(registry, responses): each micro-batch registers only unknown identities.
+    """(registry, responses): only unknown identities are registered.
 
-    Every batch owns one folder, so a replayed batch replaces its own rows.
+    The registered id of every identity is keyed state, so a micro-batch reads
+    the state of its own identities and never the registry.
     """
-    spark = submissions.sparkSession
-    registry, responses = shared_dir(spark, f"{job}-registry"), shared_dir(spark, f"{job}-responses")
-    schema = submissions.select("asset_uid", id_column).schema
-
-    def register(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = session.read.schema(schema.add("batch", "long")).parquet(registry)
-        known = known.where(F.col("batch") < batch_id).drop("batch")
-        fresh = idempotent_registration(batch.select("asset_uid", id_column), [F.col(id_column)])
-        fresh.join(known, "asset_uid", "left_anti").write.mode("overwrite").parquet(f"{registry}/batch={batch_id}")
-        stored = session.read.schema(schema).parquet(registry).withColumnRenamed(id_column, "registered_id")
-        answered = batch.select("asset_uid", id_column).join(stored, "asset_uid")
-        answered.withColumn("registration_reused", F.col(id_column) != F.col("registered_id")).write.mode(
-            "overwrite"
-        ).parquet(f"{responses}/batch={batch_id}")
-
-    spark.createDataFrame([], schema).write.parquet(f"{registry}/batch=-1")
-    run_available(submissions.writeStream.foreachBatch(register), spark, job)
-    return spark.read.parquet(registry), spark.read.parquet(responses)
+    rows = submissions.select("asset_uid", F.col(id_column).cast("bigint").alias(id_column))
+    answered = rows.groupBy("asset_uid").transformWithStateInPandas(
+        processors.Registration(id_column),
+        f"{id_column} bigint, asset_uid string, registered_id bigint, registration_reused boolean",
+        "Append",
+        "None",
+    )
+    responses = run_to_table(answered, job)
+    return responses.where("not registration_reused").select("asset_uid", id_column), responses
 
 
 TREE_MID, TREE_LEAF = 3, 6

@@ -7,6 +7,7 @@ the micro-batch itself is bounded by the source's trigger options.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import sys
 from collections.abc import Iterator
 
@@ -15,8 +16,13 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def _sorted(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(rows, ignore_index=True).sort_values(list(by), kind="stable")
+def _sorted(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """Rows of one key in order of their first columns: chunks are sorted one by one and merged."""
+    by = len(columns)
+    chunks = [
+        sorted(zip(*[chunk[c] for c in columns]), key=lambda r: r[:2]) for chunk in rows if by and len(chunk)
+    ]
+    return heapq.merge(*chunks, key=lambda r: r[:2])
 
 
 class EvidenceLog(StatefulProcessor):
@@ -28,7 +34,7 @@ class EvidenceLog(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.session = handle.getValueState("session", "sequence int, head string, closed boolean")
 
-    def _refusal(self, kind: str, sequence: int, closed: bool, by_close: bool) -> str | None:
+    def _refusal(self, kind: str, sequence: int, closed: bool, by_close: bool, refused: str | None) -> str | None:
         if kind not in self.allowed:
             return "type_unknown"
         if closed:
@@ -37,17 +43,16 @@ class EvidenceLog(StatefulProcessor):
             return "second_start"
         if kind == "session_closed" and not by_close:
             return "close_reserved"
-        return None
+        return refused if isinstance(refused, str) else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stored = self.session.get() if self.session.exists() else None
         sequence, head, closed = stored if stored else (0, None, False)
         out = []
-        batch = _sorted(rows, "at", "event_id")
-        for event_id, kind, body, by_close in zip(
-            batch["event_id"], batch["event_type"], batch["body_digest"], batch["by_close"]
+        for _, event_id, kind, body, by_close, refused in _sorted(
+            rows, "at", "event_id", "event_type", "body_digest", "by_close", "refused"
         ):
-            reason = self._refusal(kind, sequence, closed, bool(by_close))
+            reason = self._refusal(kind, sequence, closed, bool(by_close), refused)
             if reason:
                 out.append((key[0], event_id, False, reason, None, None, None))
                 continue
@@ -100,8 +105,7 @@ class Debounce(StatefulProcessor):
         stored = self.project.get() if self.project.exists() else None
         signature, since, emitted, waiting = stored if stored else (None, 0, None, False)
         out = []
-        batch = _sorted(rows, "at")
-        for at, seen in zip(batch["at"], batch["signature"]):
+        for at, _, seen in _sorted(rows, "at", "event_id", "signature"):
             at = int(at)
             if signature is None:
                 signature, since, emitted, waiting = seen, at, seen, False
@@ -146,8 +150,7 @@ class StableExport(StatefulProcessor):
         stored = self.file.get() if self.file.exists() else None
         size, changed, since, emitted = stored if stored else (None, None, 0, False)
         out = []
-        batch = _sorted(rows, "at")
-        for at, now_size, now_changed in zip(batch["at"], batch["size"], batch["changed"]):
+        for at, _, now_size, now_changed in _sorted(rows, "at", "event_id", "size", "changed"):
             at, now_size, now_changed = int(at), int(now_size), int(now_changed)
             if (now_size, now_changed) != (size, changed):
                 size, changed, since = now_size, now_changed, at
@@ -171,8 +174,7 @@ class ProjectSession(StatefulProcessor):
         stored = self.project.get() if self.project.exists() else None
         started, recording = stored if stored else (0, False)
         out = []
-        batch = _sorted(rows, "at")
-        for event_id, at, closes in zip(batch["event_id"], batch["at"], batch["closes"]):
+        for at, event_id, closes in _sorted(rows, "at", "event_id", "closes"):
             if closes:
                 recording = False
                 continue
@@ -180,12 +182,41 @@ class ProjectSession(StatefulProcessor):
             if not recording:
                 started, recording = int(at), True
             out.append((key[0], event_id, started, reused))
-        self.project.update((started, recording))
+        if recording:
+            self.project.update((started, recording))
+        else:  # a closed project starts anew, so nothing has to be kept
+            self.project.clear()
         yield pd.DataFrame(out, columns=["project_key", "event_id", "session_started", "reused"])
 
     def close(self) -> None:
         pass
 
 
+class Registration(StatefulProcessor):
+    """The first submission of an identity registers it; its id is the state."""
+
+    def __init__(self, id_column: str):
+        self.id_column = id_column
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.registered = handle.getValueState("registered", "id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.registered.get()[0] if self.registered.exists() else None
+        kept = []
+        for chunk in rows:
+            kept.append(chunk[self.id_column])
+        if known is None:
+            known = min(int(ids.min()) for ids in kept)
+            self.registered.update((known,))
+        for ids in kept:
+            yield pd.DataFrame(
+                {self.id_column: ids, "asset_uid": key[0], "registered_id": known, "registration_reused": ids != known}
+            )
+
+    def close(self) -> None:
+        pass
+
+
 # executors need not have this package on their path
 register_pickle_by_value(sys.modules[__name__])

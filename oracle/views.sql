@@ -601,20 +601,23 @@ FROM (SELECT asset_id,
   FROM v2))
 
 -- name: s1
-SELECT event_id, 'S-' || user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, kind, event_id % 2 = 0 AS by_close,
+-- uses: v1
+SELECT event_id, refused, 'S-' || user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, kind, event_id % 2 = 0 AS by_close,
   sha256(to_json({'ai_used': CAST(NULL AS BOOLEAN), 'asset_id': 'as-' || user_id, 'creator_id': CAST(NULL AS VARCHAR), 'event_id': event_id, 'event_type': kind,
-    'location_level': CAST(NULL AS VARCHAR), 'location_summary': CAST(NULL AS VARCHAR), 'occurred_at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'payload': props,
+    'location_level': CAST(NULL AS VARCHAR), 'location_summary': CAST(NULL AS VARCHAR), 'occurred_at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'payload': CASE WHEN kind = 'asset_registered' AND refused IS NULL THEN '{"asset_id":"as-' || user_id || '","given":' || coalesce(props, 'null') || ',"sha256":"' || sha || '"}' ELSE props END,
     'privacy_mode': CAST(NULL AS VARCHAR), 'recorded_at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'schema_version': '1.0', 'session_id': 'S-' || user_id,
     'source_name': CAST(NULL AS VARCHAR), 'source_type': 'web'})::VARCHAR) AS body
 FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'unknown_type' WHEN event_id % 211 = 0 THEN 'session_closed' WHEN event_type = 'signup' THEN 'session_started'
-    WHEN event_type = 'view' THEN 'work_saved' WHEN event_type = 'click' THEN 'work_exported' WHEN event_type = 'purchase' THEN 'ai_tool_disclosed' ELSE 'asset_registered' END AS kind FROM events)
+    WHEN event_type = 'view' THEN 'work_saved' WHEN event_type = 'click' THEN 'work_exported' WHEN event_type = 'purchase' THEN 'ai_tool_disclosed' ELSE 'asset_registered' END AS kind,
+    CASE WHEN kind = 'asset_registered' THEN CASE WHEN event_id % 13 = 0 THEN 'asset_missing' WHEN sha IS NULL OR event_id % 17 = 0 THEN 'asset_unknown' WHEN event_id % 7 = 0 THEN 'digest_differs' END END AS refused
+  FROM events LEFT JOIN (SELECT doc_id, sha256 AS sha FROM v1) a ON a.doc_id = user_id)
 
 -- name: s1r
 -- uses: s1
 SELECT *, CASE WHEN kind = 'unknown_type' THEN 'type_unknown' WHEN closed_before THEN 'after_close'
-  WHEN kind = 'session_started' AND earlier > 0 THEN 'second_start' WHEN kind = 'session_closed' AND NOT by_close THEN 'close_reserved' END AS reason
+  WHEN kind = 'session_started' AND earlier > 0 THEN 'second_start' WHEN kind = 'session_closed' AND NOT by_close THEN 'close_reserved' ELSE refused END AS reason
 FROM (SELECT *, coalesce(bool_or(kind = 'session_closed' AND by_close) OVER w, false) AS closed_before,
-    coalesce(sum(CASE WHEN kind = 'unknown_type' OR (kind = 'session_closed' AND NOT by_close) THEN 0 ELSE 1 END) OVER w, 0) AS earlier
+    coalesce(sum(CASE WHEN kind = 'unknown_type' OR (kind = 'session_closed' AND NOT by_close) OR refused IS NOT NULL THEN 0 ELSE 1 END) OVER w, 0) AS earlier
   FROM s1 WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 
 -- name: s1l
@@ -627,20 +630,20 @@ FROM s1l l JOIN s1r r ON r.session_id = l.session_id AND r.pos = l.pos + 1
 
 -- name: s3
 SELECT project, since AS changed_at, since + 7200000000 AS emitted_at, signature FROM (
-  SELECT *, lag(signature) OVER (PARTITION BY project ORDER BY since) AS emitted FROM (
-    SELECT *, lead(since) OVER (PARTITION BY project ORDER BY since) AS next FROM (
-      SELECT user_id AS project, epoch_us(ts) AS since, event_type AS signature, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
+  SELECT *, lag(signature) OVER (PARTITION BY project ORDER BY since, event_id) AS emitted FROM (
+    SELECT *, lead(since) OVER (PARTITION BY project ORDER BY since, event_id) AS next FROM (
+      SELECT user_id AS project, event_id, epoch_us(ts) AS since, event_type AS signature, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
     WHERE before IS NULL OR before <> signature)
   WHERE before IS NULL OR CASE WHEN next IS NOT NULL THEN next - since >= 7200000000
     ELSE (since + 7200000000 + 999) // 1000 * 1000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) END)
 WHERE before IS NOT NULL AND emitted <> signature
 
 -- name: s4
-SELECT path, min(t) AS emitted_at, min_by(size, t) AS size FROM (
-  SELECT *, max(start) OVER (PARTITION BY path ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM (
+SELECT path, min(t) AS emitted_at, min_by(size, (t, event_id)) AS size FROM (
+  SELECT *, max(start) OVER (PARTITION BY path ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM (
     SELECT *, CASE WHEN lag(size) OVER w IS NULL OR lag(size) OVER w <> size OR lag(changed) OVER w <> changed THEN t END AS start FROM (
-      SELECT 'export-' || user_id || ['.wav','.txt','.MP3','.flac'][user_id % 4 + 1] AS path, epoch_us(ts) AS t, CASE WHEN event_type = 'click' THEN 0 ELSE 100 END AS size, date_trunc('day', ts) AS changed
-      FROM events WHERE user_id % 4 <> 1 AND date_trunc('day', ts) >= TIMESTAMP '2024-01-03 00:00:00') WINDOW w AS (PARTITION BY path ORDER BY t)))
+      SELECT event_id, 'export-' || user_id || ['.wav','.txt','.MP3','.flac'][user_id % 4 + 1] AS path, epoch_us(ts) AS t, CASE WHEN event_type = 'click' THEN 0 ELSE 100 END AS size, date_trunc('day', ts) AS changed
+      FROM events WHERE user_id % 4 <> 1 AND date_trunc('day', ts) >= TIMESTAMP '2024-01-03 00:00:00') WINDOW w AS (PARTITION BY path ORDER BY t, event_id)))
 WHERE size > 0 AND t - since >= 3600000000 GROUP BY 1
 
 -- name: s5

@@ -30,7 +30,7 @@ def _same(one, two):
 
 def test_revisions(spark, sf_dir, sliced):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = jobs.run_to_table(jobs.debounced_revisions(q._changes(jobs.table_stream(spark, sliced)), 7200), "t")
+    stream = jobs.run_to_table(jobs.debounced_revisions(q._changes(jobs.table_stream(spark, sliced, 1)), 7200), "t")
     batch = jobs.debounced_revisions_batch(q._changes(events), 7200)
     assert batch.count() > 0
     _same(stream, batch)
@@ -39,13 +39,13 @@ def test_revisions(spark, sf_dir, sliced):
 def test_exports(spark, sf_dir, sliced):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     start = q._session_start()
-    stream = jobs.run_to_table(jobs.stable_export(q._scans(jobs.table_stream(spark, sliced)), start, 3600), "t")
+    stream = jobs.run_to_table(jobs.stable_export(q._scans(jobs.table_stream(spark, sliced, 1)), start, 3600), "t")
     _same(stream, jobs.stable_export_batch(q._scans(events), start, 3600))
 
 
 def test_project_sessions(spark, sf_dir, sliced):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = jobs.run_to_table(jobs.project_session_reuse(q._detections(jobs.table_stream(spark, sliced))), "t")
+    stream = jobs.run_to_table(jobs.project_session_reuse(q._detections(jobs.table_stream(spark, sliced, 1))), "t")
     _same(stream, jobs.project_session_reuse_batch(q._detections(events)))
 
 
@@ -54,7 +54,7 @@ def test_evidence_log_equals_batch_chain(spark, sf_dir, sliced):
     allowed = lambda df: q._submitted(df).withColumns(
         {"event_type": F.lit("work_saved"), "by_close": F.lit(False)}
     )
-    stream = jobs.run_to_table(jobs.evidence_log_stream(allowed(jobs.table_stream(spark, sliced))), "t")
+    stream = jobs.run_to_table(jobs.evidence_log_stream(allowed(jobs.table_stream(spark, sliced, 1))), "t")
     batch = chain.chain_build(allowed(spark.read.parquet(f"{sf_dir}/events.parquet")))
     columns = ["event_id", "sequence", "previous_event_hash", "evidence_hash"]
     assert stream.where("accepted").count() == batch.count()
@@ -76,7 +76,7 @@ def test_refusals(spark):
     )
     events.coalesce(1).write.parquet(path)
     jobs.use_rocksdb(spark)
-    out = jobs.run_to_table(jobs.evidence_log_stream(jobs.table_stream(spark, path)), "t")
+    out = jobs.run_to_table(jobs.evidence_log_stream(jobs.table_stream(spark, path, 1)), "t")
     got = {r["event_id"]: (r["reason"], r["sequence"]) for r in out.collect()}
     assert got == {
         1: (None, 1), 2: ("second_start", None), 3: (None, 2), 4: ("type_unknown", None),
@@ -90,7 +90,7 @@ def test_registration_over_slices(spark, sf_dir):
     again = documents.withColumn("doc_id", F.col("doc_id") + 1_000_000)
     documents.coalesce(1).write.mode("append").parquet(path)
     again.coalesce(1).write.mode("append").parquet(path)
-    registry, responses = jobs.registration_stream(q._submissions(jobs.table_stream(spark, path)), "doc_id", "t")
+    registry, responses = jobs.registration_stream(q._submissions(jobs.table_stream(spark, path, 1)), "doc_id", "t")
     distinct = q._submissions(documents).select("asset_uid").distinct().count()
     assert registry.count() == distinct
     assert responses.where("doc_id >= 1000000 and not registration_reused").count() == 0
