@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import detectors, digests, text
 from attestry.operators import certificates, reports, timeline
 from attestry.session import stored
 
-EXPORT_BUCKETS = 64
-
 
 def manifest_json(assets: DataFrame) -> DataFrame:
     """(asset_id, tenant_id, body) manifests that carry their own hash."""
@@ -103,27 +103,22 @@ def export_artefacts(
     }
 
 
-def evidence_export(artefacts: dict[str, DataFrame], path: str) -> None:
-    """One JSON dataset per artefact, in a fixed number of hash folders.
+def evidence_export(artefacts: dict[str, DataFrame], path: str, files: int | None = None) -> None:
+    """One Parquet dataset per artefact, ranged and sorted by asset.
 
-    A folder per asset would not survive a large registry; the bucket of an
-    asset is known from its id, so one asset is still found without a scan.
+    A folder per asset would not survive a large registry.  Files hold ranges of
+    ids and row groups are sorted, so their statistics lead a reader to one
+    asset.  ``files`` sets the number of ranges; an asset with a long history
+    spreads over several, as rows are ranged by asset and content.
     """
     for name, rows in artefacts.items():
-        placed = rows.withColumn("bucket", bucket_of(F.col("asset_id"))).hint("rebalance", "bucket")
-        placed.write.mode("overwrite").partitionBy("bucket").json(f"{path}/{name}")
-
-
-def bucket_of(asset_id: Column) -> Column:
-    return F.pmod(F.xxhash64(asset_id), F.lit(EXPORT_BUCKETS)).cast("int")
+        keys = [F.col("asset_id"), F.xxhash64("body")]
+        ranged = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
+        ranged.sortWithinPartitions("asset_id").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_export(spark, path: str, names: list[str]) -> DataFrame:
     """(artefact, asset_id, body) rows of a written export."""
-    out = None
-    for name in names:
-        part = spark.read.schema("asset_id string, body string, bucket int").json(f"{path}/{name}")
-        part = part.select(F.lit(name).alias("artefact"), "asset_id", "body")
-        out = part if out is None else out.unionByName(part)
-    return out
-
+    schema = "asset_id string, body string"
+    parts = [spark.read.schema(schema).parquet(f"{path}/{n}").select(F.lit(n).alias("artefact"), "asset_id", "body") for n in names]
+    return reduce(DataFrame.unionByName, parts)
