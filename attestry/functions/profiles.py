@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestry.functions import text
+from attestry.functions.media import literal_map
 
 # Fixed values: (profile, tokens); the order is the priority.
 APP_PROFILES = [
@@ -60,6 +61,61 @@ HARDWARE_PROFILES = [
     ("Elektron Octatrack", ["octatrack mkii", "octatrack"]),
 ]
 
+# File extensions of each program's projects.
+PROJECT_EXTENSIONS = {
+    "Logic Pro": ".logicx",
+    "Ableton Live": ".als",
+    "Pro Tools": ".ptx|.ptf",
+    "FL Studio": ".flp",
+    "Studio One": ".song",
+    "Cubase": ".cpr",
+    "Nuendo": ".npr",
+    "REAPER": ".rpp",
+    "Bitwig Studio": ".bwproject",
+    "GarageBand": ".band",
+    "Adobe Audition": ".sesx",
+    "Reason": ".reason",
+    "Ardour": ".ardour",
+    "Renoise": ".xrns",
+    "LMMS": ".mmp|.mmpz",
+    "Cakewalk": ".cwp",
+    "Tracktion Waveform": ".tracktionedit",
+    "Samplitude / Sequoia": ".vip",
+    "Akai MPC Desktop / MPC Beats": ".xpj",
+    "Serato Studio": ".ssp",
+    "Native Instruments Maschine": ".mxprj|.mprj",
+}
+# Category of each device.
+HARDWARE_CATEGORIES = {
+    "Akai MPC Key 61": "standalone_production_keyboard",
+    "Akai MPC Key 37": "standalone_production_keyboard",
+    "Akai MPC X / X SE": "standalone_mpc",
+    "Akai MPC Live II": "standalone_mpc",
+    "Akai MPC One / One+": "standalone_mpc",
+    "Akai MPC Studio": "mpc_controller",
+    "Akai MPC Touch": "mpc_controller",
+    "Native Instruments Maschine+": "standalone_groovebox",
+    "Native Instruments Maschine": "production_controller",
+    "Ableton Push 3": "standalone_production_controller",
+    "Ableton Move": "standalone_production_instrument",
+    "Roland FANTOM / FANTOM EX": "music_workstation",
+    "Yamaha MONTAGE M": "music_workstation",
+    "Yamaha MODX+": "music_workstation",
+    "Korg NAUTILUS": "music_workstation",
+    "Korg KRONOS": "music_workstation",
+    "Roland MC-707": "groovebox",
+    "Roland MC-101": "groovebox",
+    "Novation Circuit Tracks": "groovebox",
+    "Novation Circuit Rhythm": "groovebox",
+    "Elektron Digitakt": "groovebox_sampler",
+    "Elektron Octatrack": "performance_sampler",
+}
+
+
+def of_profile(profile: Column, values: dict[str, str]) -> Column:
+    """What is known of a matched profile; null for no match."""
+    return F.try_element_at(literal_map(values), profile)
+
 
 def normalized_name(col: Column) -> Column:
     bare = F.replace(F.replace(F.lower(col), F.lit(".app"), F.lit("")), F.lit("_"), F.lit(" "))

@@ -291,12 +291,17 @@ def _dictionary_match(v: Views) -> DataFrame:
         .otherwise(F.col("p_name"))
     )
     device = F.when(k % 4 == 0, F.lit("MPC Live II")).when(k % 4 == 1, F.lit("Maschine+ Rev")).otherwise(F.col("p_name"))
-    return v.table("part").select(
+    matched = v.table("part").select(
         "p_partkey",
         profiles.dictionary_match(running, profiles.APP_PROFILES).alias("app"),
         profiles.dictionary_match(running, profiles.PROCESS_ONLY).alias("process_only"),
         profiles.dictionary_match(device, profiles.HARDWARE_PROFILES).alias("hardware"),
     )
+    return matched.select(
+        "*",
+        profiles.of_profile(F.col("app"), profiles.PROJECT_EXTENSIONS).alias("project_extensions"),
+        profiles.of_profile(F.col("hardware"), profiles.HARDWARE_CATEGORIES).alias("hardware_category"),
+    )
 
 
 @query("manifest_actions")

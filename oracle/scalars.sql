@@ -159,11 +159,13 @@ SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS evidence_form,
 FROM events
 
 -- name: dictionary_match
-SELECT p_partkey, (SELECT min_by(profile, n) FROM (VALUES (1, 'Logic Pro', 'logic pro'), (2, 'Ableton Live', 'ableton live'), (3, 'Akai MPC Desktop / MPC Beats', 'mpc')) t(n, profile, token)
+SELECT *, CASE app WHEN 'Logic Pro' THEN '.logicx' WHEN 'Ableton Live' THEN '.als' WHEN 'Akai MPC Desktop / MPC Beats' THEN '.xpj' END AS project_extensions,
+  ['standalone_mpc','standalone_groovebox',NULL,NULL][p_partkey % 4 + 1] AS hardware_category
+FROM (SELECT p_partkey, (SELECT min_by(profile, n) FROM (VALUES (1, 'Logic Pro', 'logic pro'), (2, 'Ableton Live', 'ableton live'), (3, 'Akai MPC Desktop / MPC Beats', 'mpc')) t(n, profile, token)
     WHERE contains(['logic pro x','mpc software','ableton live 12','serato dj pro',lower(p_name),lower(p_name)][p_partkey % 6 + 1], token)) AS app,
   CASE WHEN p_partkey % 6 = 3 THEN 'Serato DJ Pro' END AS process_only,
   ['Akai MPC Live II','Native Instruments Maschine+',NULL,NULL][p_partkey % 4 + 1] AS hardware
-FROM part
+FROM part)
 
 -- name: manifest_actions
 -- uses: v8m
