@@ -138,7 +138,21 @@ def test_graph_parts_cover_a_large_asset(spark):
     parts = graph.graph_document(nodes, edges, 100)
     rows = parts.select(F.size("nodes").alias("n"), F.size("edges").alias("e"), "parts").collect()
     assert sum(r["n"] for r in rows) == 5000 and sum(r["e"] for r in rows) == 5000
-    assert rows[0]["parts"] == 50 and max(r["n"] for r in rows) < 200
+    # parts follow nodes and edges together
+    assert rows[0]["parts"] == 100 and max(r["n"] + r["e"] for r in rows) < 200
+
+
+def test_graph_parts_follow_edges(spark):
+    nodes = spark.range(100).select(
+        F.lit("a").alias("asset_id"), F.concat(F.lit("n:"), F.col("id").cast("string")).alias("id"),
+        F.lit("provenance_event").alias("type"), F.lit("provenance").alias("evidence_class"), F.lit("{}").alias("data"),
+    )
+    edges = spark.range(5000).select(
+        F.lit("a").alias("asset_id"), F.concat(F.lit("n:"), F.col("id").cast("string")).alias("source"),
+        F.lit("asset:a").alias("target"), F.lit("r").alias("relation"),
+    )
+    rows = graph.graph_document(nodes, edges, 50).select(F.size("nodes").alias("n"), F.size("edges").alias("e"), "parts").collect()
+    assert rows[0]["parts"] == 102 and sum(r["e"] for r in rows) == 5000 and max(r["n"] + r["e"] for r in rows) < 100
 
 
 def test_fingerprint_ignores_listing_order_and_sees_changes(spark):
