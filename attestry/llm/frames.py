@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from attestry.llm import words
+from attestry.llm import tokens, words
 
 # Rows of one Arrow batch, where the session has Spark's default: texts are long.
 BATCH_ROWS = 2000
@@ -20,12 +21,31 @@ _ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000
 pa.set_memory_pool(pa.system_memory_pool())
 
 
-def map_texts(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with a bound on the rows of a batch."""
+def _give_back() -> None:
+    """Return freed memory to the machine, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_texts(df: DataFrame, function, schema, vocabularies: bool = False) -> DataFrame:
+    """``mapInArrow`` with a bound on the rows of a batch.
+
+    A worker lives on from task to task.  A task that needs no vocabularies
+    drops those of earlier ones, and every task gives back what it has freed.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not vocabularies:
+            tokens.forget()
+            _give_back()
+        yield from function(batches)
+        _give_back()
+
     conf = df.sparkSession.conf
     if conf.get(_ROWS_KEY, _ROWS_DEFAULT) == _ROWS_DEFAULT:
         conf.set(_ROWS_KEY, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(task, schema)
 
 
 def with_columns(
@@ -33,6 +53,8 @@ def with_columns(
     compute: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict[str, pa.Array]],
     fields: str | T.StructType,
     text: str = "text",
+    vocabularies: bool = False,
+    size: int = words.RUN_BYTES,
 ) -> DataFrame:
     """Append columns computed from runs of whole texts; the input's columns pass through.
 
@@ -45,13 +67,13 @@ def with_columns(
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in words.runs(batch, text):
+            for part, data, offsets in words.runs(batch, text, size):
                 out = compute(part, data, offsets)
                 columns = [part.column(part.schema.get_field_index(n)) for n in kept]
                 columns += [out[f.name] for f in new]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return map_texts(df, apply, schema)
+    return map_texts(df, apply, schema, vocabularies)
 
 
 def with_words_sha256(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -206,4 +206,4 @@ def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, vocabulary:
         if rows:
             yield table(rows)
 
-    return frames.map_texts(docs.select("doc_id", text), apply, schema)
+    return frames.map_texts(docs.select("doc_id", text), apply, schema, vocabularies=True)

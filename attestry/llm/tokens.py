@@ -122,6 +122,11 @@ class Vocabulary:
 _open: dict[str, Vocabulary] = {}
 
 
+def forget() -> None:
+    """Drop the worker's vocabularies."""
+    _open.clear()
+
+
 def vocabulary(name: str) -> Vocabulary:
     """The worker's copy of a vocabulary."""
     if name not in _open:

@@ -68,9 +68,17 @@ def _sums(values: np.ndarray, x: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte span."""
-    sums, back = _sums(data.astype(np.uint64) + np.uint64(1), _R)
-    return mix((sums[end] - sums[start]) * back[start])
+    """Hash of each byte span, for spans in order; sums are taken over RUN_BYTES at a time."""
+    out = np.empty(len(start), np.uint64)
+    low = 0
+    while low < len(start):
+        first = start[low]
+        high = max(low + 1, int(np.searchsorted(end, first + RUN_BYTES, side="right")))
+        sums, back = _sums(data[first : end[high - 1]].astype(np.uint64) + np.uint64(1), _R)
+        s, e = start[low:high] - first, end[low:high] - first
+        out[low:high] = (sums[e] - sums[s]) * back[s]
+        low = high
+    return mix(out)
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -141,15 +149,17 @@ def find(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> Words
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
-def runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with about RUN_BYTES of text each, with the texts' bytes and offsets."""
+def runs(
+    batch: pa.RecordBatch, column: str, size: int = RUN_BYTES
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with about ``size`` bytes of text each, with the texts' bytes and offsets."""
     texts = batch.column(batch.schema.get_field_index(column))
     if not len(texts):
         return
     data, offsets = buffers(texts)
     low = 0
     while low < len(texts):
-        high = int(np.searchsorted(offsets, offsets[low] + RUN_BYTES, side="right")) - 1
+        high = int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1
         high = min(max(high, low + 1), len(texts))
         yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
