@@ -133,3 +133,55 @@ GROUP BY conv_id
 @query
 def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+ORACLE_SQL["op1_prefix_join"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+),
+windows AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+  FROM (SELECT *, least(10, len(ws)) AS n FROM items WHERE len(ws) > 0), unnest(range(1, len(ws) - n + 2)) t(i)
+),
+places AS (
+  SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+  FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, len(ws) - n + 2)) t(i)
+),
+hits AS (SELECT r, i, n, item FROM places JOIN windows USING (n, k)),
+words AS (SELECT DISTINCT r, j FROM (SELECT DISTINCT r, i, n FROM hits), unnest(range(i, i + n)) t(j))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs
+LEFT JOIN (SELECT r, count(*) AS n_hit FROM words GROUP BY r) USING (r)
+LEFT JOIN (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r) USING (r)
+"""
+
+ORACLE_SQL["op2_substring"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+windows AS (
+  SELECT r, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS k FROM docs, unnest(range(1, len(ws) - 33)) t(i)
+),
+repeated AS (SELECT r, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+words AS (
+  SELECT r, j, word, coalesce(max(hit) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM (SELECT r, j, ws[j] AS word FROM docs, unnest(range(1, len(ws) + 1)) t(j))
+  LEFT JOIN (SELECT r, i AS j, 1 AS hit FROM repeated) USING (r, j)
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN (
+  SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS kept FROM words GROUP BY r
+) USING (r)
+"""

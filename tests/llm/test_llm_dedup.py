@@ -1,10 +1,11 @@
 """Decontamination, substring dedup and SimHash against brute force."""
 
 import cases
+import compare
 import numpy as np
 import plain
 import pytest
-from attestry.llm import decontamination, frames, simhash, substring, words
+from attestry.llm import decontamination, frames, queries, simhash, substring, words
 
 DECON = ["doc_id", "n_words", "n_hit", "n_items", "sha", "contaminated"]
 
@@ -136,3 +137,9 @@ def test_words_and_hashes():
     assert hashes[0] == hashes[4] and hashes[1] == hashes[5] == hashes[7] and len(set(hashes.tolist())) == 4
     grams = words.gram_hashes(hashes, 3)
     assert grams[0] == grams[4] and found.inside(3).tolist() == [True, False, False, True, True, False]
+
+
+@pytest.mark.parametrize("key", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_twins(spark, sf_dir, key):
+    twin = queries.ORACLE_SQL[key]
+    assert compare.compare(queries.QUERIES[key](spark, sf_dir), compare.duck(sf_dir), twin) == []
