@@ -36,6 +36,9 @@ DISCOUNT = 0.75
 # Items of a level in one shard.
 SHARD = 1_500_000
 
+# Bytes of text whose n-grams are counted and looked up at once.
+RUN_BYTES = 5_000_000
+
 END_HASH = np.uint64(0x5DEECE66D2B79F11)
 
 
@@ -73,16 +76,27 @@ def _end_id(trie) -> int:
     return int(trie.words(np.array([END_HASH]))[0][0])
 
 
+def _distinct(contexts: np.ndarray, nexts: np.ndarray):
+    """Distinct (context, word) pairs in order, each row's place among them, and their counts."""
+    if not len(contexts) or max(contexts.max(), nexts.max()) < 1 << 32:
+        packed = contexts.astype(np.uint64) << np.uint64(32) | nexts.astype(np.uint64)
+        pairs, each, n = np.unique(packed, return_inverse=True, return_counts=True)
+        return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), each, n
+    order = np.lexsort((nexts, contexts))
+    cut = frames.starts_of(contexts[order], nexts[order])
+    n = np.diff(np.append(cut, len(order)))
+    each = np.empty(len(order), np.int64)
+    each[order] = np.repeat(np.arange(len(cut)), n)
+    return contexts[order][cut], nexts[order][cut], each, n
+
+
 def _lookup(trie, level: int, contexts: np.ndarray, nexts: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Items of the pairs where both sides are known; equal pairs are looked up once."""
     out = np.full(len(contexts), -1, np.int64)
     at = np.flatnonzero(ok & (contexts >= 0) & (nexts >= 0))
     if len(at):
-        order = np.lexsort((nexts[at], contexts[at]))
-        c, w = contexts[at][order], nexts[at][order]
-        cut = frames.starts_of(c, w)
-        found = trie.find(level, c[cut], w[cut])
-        out[at[order]] = np.repeat(found, np.diff(np.append(cut, len(c))))
+        c, w, each, _ = _distinct(contexts[at], nexts[at])
+        out[at] = trie.find(level, c, w)[each]
     return out
 
 
@@ -91,15 +105,13 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _counted(contexts: np.ndarray, nexts: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((nexts, contexts))
-    c, w = contexts[order], nexts[order]
-    cut = frames.starts_of(c, w)
-    return _batch({"context": c[cut], "word": w[cut], "n": np.diff(np.append(cut, len(c)))})
+    context, word, _, n = _distinct(contexts, nexts)
+    return _batch({"context": context, "word": word, "n": n})
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, data, offsets in words.runs(batch, batch.schema.names[0]):
+        for _, data, offsets in words.runs(batch, batch.schema.names[0], RUN_BYTES):
             distinct, each, _ = _tokens(data, offsets)
             yield _batch({"hash": distinct.view(np.int64), "n": np.bincount(each, minlength=len(distinct))})
 
@@ -111,7 +123,7 @@ def _grams_of(shape: Shape, level: int, least: int):
         trie = opened(shape)
         end = _end_id(trie)
         for batch in batches:
-            for _, data, offsets in words.runs(batch, batch.schema.names[0]):
+            for _, data, offsets in words.runs(batch, batch.schema.names[0], RUN_BYTES):
                 distinct, each, first = _tokens(data, offsets)
                 known, counts = trie.words(distinct)
                 ids, often = known[each], counts[each] >= least
@@ -180,7 +192,7 @@ def _next_level(shape: Shape, level: int):
                     shorter = _unigram(shape, trie.column("count", 1, word))
                 else:
                     middle = trie.column("word", 2, context)
-                    pair = trie.find(2, middle, word)  # kept: a part of a kept n-gram
+                    pair = _lookup(trie, 2, middle, word, np.ones(len(word), bool))  # kept: a part of a kept n-gram
                     shorter = 10 ** decoded(trie.column("prob", 2, pair))
                 logs = np.log10(share + weight[local] * shorter)
                 folder = shape.folder
@@ -265,7 +277,7 @@ def score(docs: DataFrame, shape: Shape, text: str = "text") -> DataFrame:
         }
 
     fields = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return frames.with_columns(docs, compute, fields, text)
+    return frames.with_columns(docs, compute, fields, text, size=RUN_BYTES)
 
 
 def score_corpus(docs: DataFrame, text: str = "text", order: int = ORDER, shard: int = SHARD) -> DataFrame:

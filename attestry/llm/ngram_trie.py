@@ -184,9 +184,8 @@ class Trie:
     def _each(self, base: np.ndarray, items: np.ndarray):
         """(shard, which, local places) of items of a level."""
         shard = np.searchsorted(base, items, side="right") - 1
-        for s in np.unique(shard):
-            which = np.flatnonzero(shard == s)
-            yield int(s), which, items[which] - base[s]
+        for s, which in _split(shard):
+            yield s, which, items[which] - base[s]
 
     def column(self, name: str, level: int, items: np.ndarray) -> np.ndarray:
         """Values of items, from files that are sharded as their level."""
@@ -199,30 +198,41 @@ class Trie:
         """Codes of the weights that contexts of a level give to shorter ones."""
         out = np.zeros(len(contexts), np.int64)
         shard = contexts // self.shape.per[level - 2]
-        for s in np.unique(shard):
+        for s, which in _split(shard):
             if self.shape.sizes[level - 1][s]:
-                which = np.flatnonzero(shard == s)
                 out[which] = self.file(f"weight{level}-{s}")[contexts[which] - s * self.shape.per[level - 2]]
         return out
 
     def find(self, level: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Items of a level, -1 where there is none: successor search inside each context's run."""
+        """Items of a level, -1 where there is none: successor search inside each context's run.
+
+        Contexts come sorted.
+        """
         out = np.full(len(contexts), -1, np.int64)
         per = self.shape.per[level - 2]
         shard = contexts // per
-        for s in np.unique(shard):
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1)) if len(shard) else shard
+        for s, low, high in zip(shard[cuts], cuts, np.append(cuts[1:], len(shard))):
             if not self.shape.sizes[level - 1][s]:
                 continue
-            which = np.flatnonzero(shard == s)
+            which = slice(low, high)
             borders, ids = self.borders(level, s), self.file(f"word{level}-{s}")
             at = contexts[which] - s * per
-            several, each = np.unique(at, return_inverse=True)
-            low, end = borders[several][each], borders[several + 1][each]
-            place = _search(ids, low, end, words[which])
+            new = np.diff(at, prepend=-1) != 0
+            several, each = at[new], np.cumsum(new) - 1
+            start, end = borders[several][each], borders[several + 1][each]
+            place = _search(ids, start, end, words[which])
             out[which] = np.where(place >= 0, self.bases[level - 1][s] + place, -1)
         return out
 
 
+def _split(shard: np.ndarray):
+    """(shard, places) of the shards that occur."""
+    present = np.flatnonzero(np.bincount(shard)) if len(shard) else []
+    for s in present:
+        yield int(s), np.flatnonzero(shard == s) if len(present) > 1 else slice(None)
+
+
 def _search(ids: np.ndarray, low: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     low, high = low.copy(), end.copy()
     live = np.flatnonzero(low < high)

@@ -125,3 +125,21 @@ def test_words_of_control_strings_keep_their_case():
     units = tokens.units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert units.strings(np.arange(len(units.start))) == raw.decode().split()
     assert words.LOWER[ord("A")] == ord("a")
+
+
+def test_distinct_pairs_beyond_32_bits():
+    rng = np.random.default_rng(4)
+    small, words_ = rng.integers(0, 9, 500), rng.integers(0, 9, 500)
+    for contexts in (small, small + (1 << 33)):
+        c, w, each, n = lm_score._distinct(contexts, words_)
+        assert (c[each] == contexts).all() and (w[each] == words_).all() and n.sum() == 500
+        assert sorted(zip(c.tolist(), w.tolist())) == list(zip(c.tolist(), w.tolist()))
+
+
+def test_hashes_of_long_buffers_do_not_depend_on_the_cut(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(5000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    found = words.find(data, np.array([0, len(data)]), ~words.SPACE)
+    whole = found.hashes()
+    monkeypatch.setattr(words, "RUN_BYTES", 50)
+    assert (found.hashes() == whole).all()
