@@ -34,10 +34,10 @@ ORDER = 3
 LEAST = 2
 DISCOUNT = 0.75
 # Items of a level in one shard.
-SHARD = 1_500_000
+SHARD = 400_000
 
 # Bytes of text whose n-grams are counted and looked up at once.
-RUN_BYTES = 5_000_000
+RUN_BYTES = 3_000_000
 
 END_HASH = np.uint64(0x5DEECE66D2B79F11)
 
