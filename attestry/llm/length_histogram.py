@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm import frames, tokens, words
+from attestry.session import stored
 
 VOCABULARY = "word_bpe_49k.json"
 # Lengths of one block of suffix sums.
@@ -40,7 +41,7 @@ def lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -
                 size, n = np.unique(sizes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(n)], names=["n_tokens", "n_docs"])
 
-    return frames.map_texts(docs.select(text), run, "n_tokens long, n_docs long")
+    return frames.map_texts(docs.select(text), run, "n_tokens long, n_docs long", vocabularies=True)
 
 
 def histogram(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -51,7 +52,8 @@ def histogram(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     truncated_tokens          tokens left if every document is cut at L
     share_up_to               share of documents of at most L tokens
     """
-    counts = pairs.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # a row for each length, kept: both sums below read it, and the texts are encoded once
+    counts = stored(pairs.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
     counts = counts.withColumn("__block", F.floor(F.col("n_tokens") / block))
     blocks = counts.groupBy("__block").agg(
         F.sum("n_docs").alias("__docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("__tokens")
