@@ -3,9 +3,10 @@
 The model is an interpolated n-gram model with absolute discounting: a seen
 n-gram keeps its count less ``DISCOUNT``, and what a context does not give to
 kept n-grams goes to the next shorter context, down to word frequencies with
-half a count added.  N-grams of two words and more are kept from ``LEAST``
+half a count added.  N-grams of two words and more are kept from ``least``
 occurrences on, counted over the whole training corpus; a longer n-gram can only
-reach that count if its parts do, so only those are counted at all.
+reach that count if its parts do, so only those are counted at all.  The query
+keeps all of them (``least`` 1); ``LEAST`` is the default of a direct call.
 
 Counting is pre-aggregated in each task and summed by Spark; tasks build the
 trie's shards (``ngram_trie``) and scoring tasks map them.  The model grows with
@@ -35,6 +36,8 @@ LEAST = 2
 DISCOUNT = 0.75
 # Items of a level in one shard.
 SHARD = 400_000
+# N-grams of a shard of a longer level, about.
+GRAMS = 1_000_000
 
 # Bytes of text whose n-grams are counted and looked up at once.
 RUN_BYTES = 3_000_000
@@ -225,8 +228,9 @@ def train(texts: DataFrame, order: int = ORDER, least: int = LEAST, shard: int =
     shape.sizes.append(_shards(written, 1 << bits))
     for level in range(2, order + 1):
         above = sum(shape.sizes[-1])
-        # as many shards as the level above, at the least one context each
-        shape.per.append(max(1, -(-above // len([s for s in shape.sizes[-1] if s] or [0]))))
+        # as many shards as the level above or as the n-grams may need, at the least one context each
+        shards = max(len([s for s in shape.sizes[-1] if s] or [0]), -(-shape.tokens // GRAMS))
+        shape.per.append(max(1, -(-above // shards)))
         grams = frames.map_texts(texts, _grams_of(shape, level, least), "context long, word long, n long")
         rows = grams.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         rows = rows.withColumn("shard", F.floor(F.col("context") / shape.per[-1]))
@@ -280,8 +284,10 @@ def score(docs: DataFrame, shape: Shape, text: str = "text") -> DataFrame:
     return frames.with_columns(docs, compute, fields, text, size=RUN_BYTES)
 
 
-def score_corpus(docs: DataFrame, text: str = "text", order: int = ORDER, shard: int = SHARD) -> DataFrame:
+def score_corpus(
+    docs: DataFrame, text: str = "text", order: int = ORDER, shard: int = SHARD, least: int = LEAST
+) -> DataFrame:
     """All documents scored by a model of those that are not held out."""
     marked = docs.withColumn("held_out", held_out())
-    shape = train(marked.where("not held_out").select(text), order, shard=shard)
+    shape = train(marked.where("not held_out").select(text), order, least, shard)
     return score(marked, shape, text)

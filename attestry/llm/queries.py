@@ -74,7 +74,8 @@ def op1_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score_corpus(docs, least=1).drop("text")
 
 
 @query
