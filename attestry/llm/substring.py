@@ -213,6 +213,11 @@ def repeated_spans(
     return spans
 
 
+def _span_lists(spans: DataFrame) -> DataFrame:
+    """The spans of one document, each once: repeated rows of it give the same ones."""
+    return spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("low", "high")).alias("__spans"))
+
+
 def remove_repeats(
     docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP
 ) -> DataFrame:
@@ -222,8 +227,7 @@ def remove_repeats(
     white space behind them; a text without any is unchanged.
     """
     spans = repeated_spans(docs, text, window, gram, group)
-    # the spans of one document
-    by_doc = spans.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("low", "high")).alias("__spans"))
+    by_doc = _span_lists(spans)
     keyed = _keyed(docs.drop("n_words", "n_removed", "kept_text"), text)
     joined = keyed.join(by_doc, ["__k1", "__k2"], "left").drop("__k1", "__k2")
 
