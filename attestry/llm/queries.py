@@ -12,13 +12,16 @@ from attestry.llm import (
     decontamination,
     frames,
     html_text,
+    importance,
     length_histogram,
     lm_score,
+    ngram_join,
     packing,
     quality,
     sharding,
     simhash,
     substring,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +189,101 @@ FROM docs LEFT JOIN (
   SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS kept FROM words GROUP BY r
 ) USING (r)
 """
+
+
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_ngram_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS k
+  FROM docs, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0
+),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+links AS (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS o FROM shingles x JOIN shingles y USING (k) WHERE x.r <> y.r GROUP BY ALL)
+  JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * o >= 80 * (p.n + q.n - o)
+),
+reached(r, other) AS (
+  SELECT r, r FROM docs UNION SELECT reached.r, links.b FROM reached JOIN links ON reached.other = links.a
+),
+least AS (SELECT reached.r, min(doc_id) AS component_id FROM reached JOIN docs ON docs.r = reached.other GROUP BY reached.r)
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id
+FROM docs JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""
+
+
+@query
+def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_segment_resampling"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT 0 AS target, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+),
+split AS (
+  SELECT target, r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts
+),
+grams AS (
+  SELECT target, r, array_to_string(ws[i:i + n - 1], ' ') AS f
+  FROM split, unnest([1, 2, 3]) s(n), unnest(range(1, len(ws) - n + 2)) t(i)
+),
+names AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM grams)),
+bits(i, k, v) AS (
+  SELECT i, 0, CAST(i AS UBIGINT) FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END FROM bits WHERE k < 8
+),
+steps AS (SELECT list(v ORDER BY i) AS l FROM bits WHERE k = 8),
+crc(h, p, c) AS (
+  SELECT h, 0, CAST(4294967295 AS UBIGINT) FROM names
+  UNION ALL
+  SELECT h, p + 1, xor(l[CAST(xor(c & 255, CAST('0x' || h[2 * p + 1:2 * p + 2] AS UBIGINT)) AS BIGINT) + 1], c >> 8)
+  FROM crc, steps WHERE 2 * p < len(h)
+),
+buckets AS (
+  SELECT f, CAST(xor(c, CAST(4294967295 AS UBIGINT)) % 10000 AS BIGINT) AS bucket
+  FROM names JOIN crc ON crc.h = names.h AND 2 * p = len(names.h)
+),
+counted AS (SELECT target, r, bucket, count(*) AS n FROM grams JOIN buckets USING (f) GROUP BY ALL),
+sums AS (
+  SELECT b AS bucket, coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t
+  FROM range(10000) x(b) LEFT JOIN counted ON bucket = b GROUP BY b
+),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM sums) + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM sums) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM sums
+),
+weights AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN gains USING (bucket) WHERE target = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT)
+      AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (r) WHERE target = 0
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+    5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS draws
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= draws THEN place END AS rank FROM ranked
+"""
+
+
+@query
+def op13_polarisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

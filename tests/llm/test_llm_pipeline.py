@@ -6,6 +6,7 @@ import plain
 import pytest
 from attestry.llm import quality
 from attestry.session import stored
+from test_llm_near_copies import survivors
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,7 +37,7 @@ def test_quality_stage(spark, sf_dir, steps):
 
 def test_dedup_stage(steps):
     before, after = cases.pairs(steps[0]), cases.pairs(steps[1])
-    assert sorted(d for d, _ in after) == sorted({g for _, _, g in plain.near_groups(before)})
+    assert sorted(d for d, _ in after) == survivors(before)
     assert dict(after).items() <= dict(before).items()
 
 
