@@ -15,7 +15,7 @@ Links are needed as far as they join components.  A star round verifies every
 node with the heads of its buckets (a head holds the shingle earliest), which
 joins a large group in rows that grow with its size.  After that only nodes of different
 components meet, in blocks of a bucket: pairs that pass the filters, the suffix
-filter included (sizes of 64 ranges of both sets bound their difference), are
+filter included (sizes of 256 ranges of both sets bound their difference), are
 verified best first, and components are merged in between.  Nothing is capped:
 the last round takes all pairs that are left.
 
@@ -42,6 +42,8 @@ PART, WHOLE = 4, 5
 # Cells of the count sketch, and bits of the suffix filter's ranges.
 CELL_BITS = 18
 RANGE_BITS = 8
+# Documents of a cell from which on its shingles are dealt to several tasks.
+CROWD = 100_000
 # Nodes of a bucket that meet in one unit of work.
 BLOCK = 1024
 # Members verified against one copy of a hub's set.
@@ -108,11 +110,18 @@ def _frequencies(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, text: str, frequencies: np.ndarray) -> DataFrame:
-    """(token, node, size, pos) of the prefix of every set, positions in rare-first order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
+    """(token, node, place) of the prefix shingles that more than one set may hold.
+
+    A place is the position in rare-first order, then the size.  Rows are sorted
+    by shingle, and one that stands alone is left out; a row that repeats its
+    neighbour is a copy's.  Shingles of cells far above the others are dealt to
+    several tasks by node and kept.
+    """
+    deal = np.maximum(1, frequencies // max(CROWD, 4 * int(frequencies.mean())))
+    shared = docs.sparkSession.sparkContext.broadcast((frequencies, deal))
 
     def task(batches):
-        rank = shared.value
+        rank, parts = shared.value
         for batch in batches:
             for _, data, offsets in words.runs(batch, text):
                 values, cuts = shingle_sets(data, offsets)
@@ -121,11 +130,43 @@ def _prefixes(docs: DataFrame, text: str, frequencies: np.ndarray) -> DataFrame:
                 values = values[np.lexsort((values, rank[_cells(values)], owner))]
                 pos = np.arange(len(values)) - cuts[:-1][owner]
                 keep = pos <= size[owner] - -(-PART * size[owner] // WHOLE)
-                owner = owner[keep]
-                columns = [values[keep].view(np.int64), node[owner], size[owner], pos[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size", "pos"])
-
-    return frames.map_texts(docs.select(text), task, "token long, node long, size long, pos long")
+                owner, values, pos = owner[keep], values[keep], pos[keep]
+                crowd = parts[_cells(values)]
+                part = np.where(crowd > 1, 1 + (node[owner] & 0x7FFFFFFF) % crowd, 0)
+                columns = [values.view(np.int64), part, (pos << 31) | size[owner], node[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "part", "place", "node"])
+
+    rows = frames.map_texts(docs.select(text), task, "token long, part long, place long, node long")
+    keys = ["token", "part", "place", "node"]
+    return frames.map_texts(rows.repartition("token", "part").sortWithinPartitions(*keys), _together, "token long, node long, size long, pos long")
+
+
+def _together(batches):
+    """Rows of sorted (token, part, place, node) but repeats and those alone with their token; one row is carried."""
+    last, linked = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(4)]
+        if last is not None:
+            columns = [np.concatenate(pair) for pair in zip(last, columns)]
+        at = frames.starts_of(columns[0], columns[3])
+        token, part, place, node = columns = [c[at] for c in columns]
+        met = part > 0
+        next_to = token[1:] == token[:-1]
+        met[1:] |= next_to
+        met[0] |= linked
+        last, linked = [c[-1:] for c in columns], bool(met[-1])
+        met[:-1] |= next_to
+        yield _met(columns, np.flatnonzero(met[:-1]))
+    if linked:
+        yield _met(last, np.zeros(1, np.int64))
+
+
+def _met(columns, at: np.ndarray) -> pa.RecordBatch:
+    token, _, place, node = (c[at] for c in columns)
+    out = [token, node, place & 0x7FFFFFFF, place >> 31]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["token", "node", "size", "pos"])
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
@@ -175,38 +216,53 @@ def _crossing(most: int | None):
     """Task over units of a bucket: pairs of different labels by the filters, the ``most`` likely of a node."""
 
     def task(batches):
-        for group in frames.sorted_groups(batches, 3):
-            ranges = np.frombuffer(b"".join(group["ranges"].to_pylist()), np.uint8).reshape(len(group["token"]), -1)
-            cut = frames.starts_of(group["token"], group["one"], group["two"])
-            for low, high in zip(cut.tolist(), np.append(cut[1:], len(group["token"])).tolist()):
-                rows = {k: group[k][low:high] for k in ("node", "size", "pos", "label", "block")}
-                within = group["one"][low] == group["two"][low]
-                left = np.flatnonzero(rows["block"] == group["one"][low])
-                right = left if within else np.flatnonzero(rows["block"] == group["two"][low])
-                pairs = _unit(rows, ranges[low:high].astype(np.int16), left, right, within, most)
-                yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b", "more"])
+        for rows in frames.sorted_groups(batches, 3):
+            rows["ranges"] = np.frombuffer(b"".join(rows["ranges"].to_pylist()), np.uint8).reshape(len(rows["token"]), -1)
+            low = frames.starts_of(rows["token"], rows["one"], rows["two"])
+            high = np.append(low[1:], len(rows["token"]))
+            few = high - low <= 16
+            none = np.zeros(0, np.int64)
+            found = [_pairs(rows, *_all_pairs(low[few], high[few]), None)] if few.any() else [(none, none, none > 0)]
+            for first, last in zip(low[~few].tolist(), high[~few].tolist()):
+                for i in range(first, last - 1):
+                    found.append(_pairs(rows, np.full(last - i - 1, i), np.arange(i + 1, last), most))
+            columns = [np.concatenate(c) for c in zip(*found)]
+            columns = [rows["node"][columns[0]], rows["node"][columns[1]], columns[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "more"])
 
     return task
 
 
-def _unit(rows, ranges, left, right, within, most):
-    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for k, i in enumerate(left):
-        other = right[k + 1 :] if within else right
-        other = other[rows["label"][other] != rows["label"][i]]
-        other = other[_possible(rows["size"][i], rows["pos"][i], rows["size"][other], rows["pos"][other])]
-        apart = np.abs(ranges[other] - ranges[i]).sum(axis=1)
-        # of a shared part o: (WHOLE + PART) o >= PART total, and apart <= total - 2 o
-        spare = (WHOLE - PART) * (rows["size"][other] + rows["size"][i]) - (WHOLE + PART) * apart
-        other, spare = other[spare >= 0], spare[spare >= 0]
-        taken = other[np.lexsort((rows["node"][other], -spare))][:most]
-        a.append(np.full(len(taken), rows["node"][i]))
-        b.append(rows["node"][taken])
-        more.append(np.full(len(taken), len(taken) < len(other)))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(more)
-
-
-def _units(rows: DataFrame) -> DataFrame:
+def _all_pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs inside each of the spans."""
+    places = np.arange(int(high.max()))
+    last = np.zeros(len(places), np.int64)
+    for k in range(int((high - low).max())):
+        inside = low + k < high
+        last[(low + k)[inside]] = high[inside]
+    follow = np.maximum(last - places - 1, 0)
+    one = np.repeat(places, follow)
+    return one, one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(follow) - follow, follow)
+
+
+def _pairs(rows, i, j, most):
+    """Those of the pairs that may be similar; with ``most`` (all i the same), the likely ones first."""
+    block, size, pos = rows["block"], rows["size"], rows["pos"]
+    keep = (rows["label"][i] != rows["label"][j]) & ((rows["one"][i] == rows["two"][i]) | (block[i] != block[j]))
+    keep &= _possible(size[i], pos[i], size[j], pos[j])
+    i, j = i[keep], j[keep]
+    apart = np.abs(rows["ranges"][i].astype(np.int16) - rows["ranges"][j]).sum(axis=1)
+    # of a shared part o: (WHOLE + PART) o >= PART total, and apart <= total - 2 o
+    spare = (WHOLE - PART) * (size[i] + size[j]) - (WHOLE + PART) * apart
+    i, j, spare = i[spare >= 0], j[spare >= 0], spare[spare >= 0]
+    more = np.zeros(len(i), bool)
+    if most is not None and len(i) > most:
+        best = np.lexsort((rows["node"][j], -spare))[:most]
+        i, j, more = i[best], j[best], np.ones(most, bool)
+    return i, j, more
+
+
+def _units(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows of mixed buckets, once for each unit of two blocks that they belong to."""
     buckets = rows.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
@@ -216,8 +272,19 @@ def _units(rows: DataFrame) -> DataFrame:
     each = block.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return each.select(
         "token", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"),
-        "node", "size", "pos", "label", "block", "ranges",
-    )
+        "node", "size", "pos", "label", "block",
+    ).join(ranges, "node").select("token", "one", "two", "node", "size", "pos", "label", "block", "ranges")
+
+
+def _candidate_sets(docs: DataFrame, ids: DataFrame, met: DataFrame, text: str) -> DataFrame:
+    """The sets of the nodes that share a prefix shingle, one row each."""
+    some = ids.join(met.select("node").distinct(), "node", "left_semi")
+    first = some.groupBy("node").agg(F.min(F.struct("__k1", "__k2")).alias("k"))
+    chosen = stored(first.select("node", "k.__k1", "k.__k2"), "join-chosen")
+    texts = docs.select("__k1", "__k2", text).join(chosen, ["__k1", "__k2"]).select("node", text)
+    sets = stored(_sets(texts, text), "join-sets")
+    # only repeated rows, of one id and text, have one key
+    return sets if sets.count() == chosen.count() else stored(sets.dropDuplicates(["node"]), "join-sets")
 
 
 def roots(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
@@ -232,22 +299,17 @@ def roots(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
         F.min("node").alias("lo"), F.max("node").alias("hi"),
         F.min_by("node", place).alias("head"), F.min_by("size", place).alias("head_size"), F.min_by("pos", place).alias("head_pos"),
     )
-    shared = stored(buckets.where("lo <> hi").drop("lo", "hi"), "join-buckets")
-    met = stored(prefixes.join(shared, "token").distinct(), "join-met")
+    shared = buckets.where("lo <> hi").drop("lo", "hi")
+    met = stored(prefixes.join(shared, "token"), "join-met")
     heads = met.where("node <> head").where(_possible(*(F.col(c) for c in ("size", "pos", "head_size", "head_pos"))))
-
-    first = ids.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("__k1", "__k2")).alias("k"))
-    chosen = stored(first.select("node", "k.__k1", "k.__k2"), "join-chosen")
-    texts = docs.join(chosen, ["__k1", "__k2"]).select("node", text).dropDuplicates(["node"])
-    sets = stored(_sets(texts, text), "join-sets")
-
+    sets = _candidate_sets(docs, ids, met, text)
     tried = stored(heads.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "join-pairs")
     links = stored(_linked(tried, sets), "join-links")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows = met.select("token", "node", "size", "pos").join(sets.select("node", "ranges"), "node")
+    rows, ranges = met.select("token", "node", "size", "pos"), stored(sets.select("node", "ranges"), "join-ranges")
     found = components(links)
     for most in ROUNDS:
-        units = _units(rows.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")))
+        units = _units(rows.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")), ranges)
         units = units.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
         pairs = stored(frames.map_texts(units, _crossing(most), "a long, b long, more boolean"), "join-pairs")
         new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
