@@ -212,23 +212,44 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where((WHOLE + PART) * both >= PART * size).select("a", "b")
 
 
+def _meetings(rows) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the rows that meet in a unit: all small units at once, a large one row by row."""
+    low = frames.starts_of(rows["token"], rows["one"], rows["two"])
+    high = np.append(low[1:], len(rows["token"]))
+    few = high - low <= 16
+    out = [_all_pairs(low[few], high[few])] if few.any() else []
+    for first, last in zip(low[~few].tolist(), high[~few].tolist()):
+        out += [(np.full(last - i - 1, i), np.arange(i + 1, last)) for i in range(first, last - 1)]
+    return [(i[keep], j[keep]) for i, j in out for keep in [_met_once(rows, i, j)]]
+
+
+def _met_once(rows, i, j) -> np.ndarray:
+    """Pairs of different labels that pass the filters, in the one unit of their blocks."""
+    block, size, pos = rows["block"], rows["size"], rows["pos"]
+    keep = (rows["label"][i] != rows["label"][j]) & ((rows["one"][i] == rows["two"][i]) | (block[i] != block[j]))
+    return keep & _possible(size[i], pos[i], size[j], pos[j])
+
+
+def _partnered(batches):
+    """Rows of units that may be similar to another one there."""
+    for rows in frames.sorted_groups(batches, 3):
+        keep = np.zeros(len(rows["token"]), bool)
+        for i, j in _meetings(rows):
+            keep[i] = keep[j] = True
+        names = ["token", "node", "size", "pos"]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[n][keep]) for n in names], names=names)
+
+
 def _crossing(most: int | None):
-    """Task over units of a bucket: pairs of different labels by the filters, the ``most`` likely of a node."""
+    """Task over units of a bucket: pairs of different labels by all filters, the ``most`` likely of a node."""
 
     def task(batches):
         for rows in frames.sorted_groups(batches, 3):
             rows["ranges"] = np.frombuffer(b"".join(rows["ranges"].to_pylist()), np.uint8).reshape(len(rows["token"]), -1)
-            low = frames.starts_of(rows["token"], rows["one"], rows["two"])
-            high = np.append(low[1:], len(rows["token"]))
-            few = high - low <= 16
-            none = np.zeros(0, np.int64)
-            found = [_pairs(rows, *_all_pairs(low[few], high[few]), None)] if few.any() else [(none, none, none > 0)]
-            for first, last in zip(low[~few].tolist(), high[~few].tolist()):
-                for i in range(first, last - 1):
-                    found.append(_pairs(rows, np.full(last - i - 1, i), np.arange(i + 1, last), most))
-            columns = [np.concatenate(c) for c in zip(*found)]
-            columns = [rows["node"][columns[0]], rows["node"][columns[1]], columns[2]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "more"])
+            found = [_likely(rows, i, j, most) for i, j in _meetings(rows)]
+            for i, j, more in found:
+                columns = [rows["node"][i], rows["node"][j], more]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "more"])
 
     return task
 
@@ -245,25 +266,22 @@ def _all_pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(follow) - follow, follow)
 
 
-def _pairs(rows, i, j, most):
-    """Those of the pairs that may be similar; with ``most`` (all i the same), the likely ones first."""
-    block, size, pos = rows["block"], rows["size"], rows["pos"]
-    keep = (rows["label"][i] != rows["label"][j]) & ((rows["one"][i] == rows["two"][i]) | (block[i] != block[j]))
-    keep &= _possible(size[i], pos[i], size[j], pos[j])
-    i, j = i[keep], j[keep]
-    apart = np.abs(rows["ranges"][i].astype(np.int16) - rows["ranges"][j]).sum(axis=1)
+def _likely(rows, i, j, most):
+    """Pairs that pass the suffix filter; of more than ``most``, all of one i, the likely ones."""
+    size, ranges = rows["size"], rows["ranges"]
+    apart = np.abs(ranges[i].astype(np.int16) - ranges[j]).sum(axis=1)
     # of a shared part o: (WHOLE + PART) o >= PART total, and apart <= total - 2 o
     spare = (WHOLE - PART) * (size[i] + size[j]) - (WHOLE + PART) * apart
     i, j, spare = i[spare >= 0], j[spare >= 0], spare[spare >= 0]
     more = np.zeros(len(i), bool)
-    if most is not None and len(i) > most:
+    if most is not None and len(i) > most and (i == i[0]).all():
         best = np.lexsort((rows["node"][j], -spare))[:most]
         i, j, more = i[best], j[best], np.ones(most, bool)
     return i, j, more
 
 
-def _units(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows of mixed buckets, once for each unit of two blocks that they belong to."""
+def _units(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets of several labels, once for each unit of two blocks that they belong to."""
     buckets = rows.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
     )
@@ -273,7 +291,11 @@ def _units(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return each.select(
         "token", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"),
         "node", "size", "pos", "label", "block",
-    ).join(ranges, "node").select("token", "one", "two", "node", "size", "pos", "label", "block", "ranges")
+    )
+
+
+def _by_unit(units: DataFrame) -> DataFrame:
+    return units.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
 
 
 def _candidate_sets(docs: DataFrame, ids: DataFrame, met: DataFrame, text: str) -> DataFrame:
@@ -293,24 +315,25 @@ def roots(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     ``docs`` has ``__k1``, ``__k2`` and the text, ``ids`` (stored) the keys and the node of each row.
     """
     prefixes = stored(_prefixes(docs, text, _frequencies(docs, text)), "join-prefixes")
+    units = _by_unit(_units(prefixes.withColumn("label", F.col("node"))))
+    met = stored(frames.map_texts(units, _partnered, prefixes.schema).distinct(), "join-met")
     # the head of a bucket holds its shingle earliest
     place = F.shiftleft(F.least("pos", F.lit(1 << 22)), 40).bitwiseOR(F.col("node").bitwiseAND((1 << 40) - 1))
-    buckets = prefixes.groupBy("token").agg(
-        F.min("node").alias("lo"), F.max("node").alias("hi"),
-        F.min_by("node", place).alias("head"), F.min_by("size", place).alias("head_size"), F.min_by("pos", place).alias("head_pos"),
-    )
-    shared = buckets.where("lo <> hi").drop("lo", "hi")
-    met = stored(prefixes.join(shared, "token"), "join-met")
-    heads = met.where("node <> head").where(_possible(*(F.col(c) for c in ("size", "pos", "head_size", "head_pos"))))
+    heads = met.groupBy("token").agg(
+        F.min_by("node", place).alias("head"), F.min_by("size", place).alias("head_size"), F.min_by("pos", place).alias("head_pos")
+    )
+    heads = met.join(heads, "token").where("node <> head")
+    heads = heads.where(_possible(*(F.col(c) for c in ("size", "pos", "head_size", "head_pos"))))
     sets = _candidate_sets(docs, ids, met, text)
     tried = stored(heads.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "join-pairs")
     links = stored(_linked(tried, sets), "join-links")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows, ranges = met.select("token", "node", "size", "pos"), stored(sets.select("node", "ranges"), "join-ranges")
+    ranges = stored(sets.select("node", "ranges"), "join-ranges")
     found = components(links)
     for most in ROUNDS:
-        units = _units(rows.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")), ranges)
-        units = units.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
+        units = _units(met.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+        columns = [*units.columns, "ranges"]
+        units = _by_unit(units.join(ranges, "node").select(columns))
         pairs = stored(frames.map_texts(units, _crossing(most), "a long, b long, more boolean"), "join-pairs")
         new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = stored(new.join(tried, ["a", "b"], "left_anti"), "join-pairs")
