@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     for _ in range(ROUNDS):
         state = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("xxhash64(b, a) >> 20"))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             break
         seen = state
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -41,10 +41,9 @@ def hash_match(requests: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataF
         F.when(one, F.col("only.content_label")).alias("content_label"),
     )
     found = assets.join(asked.select("sha256").distinct(), "sha256", "left_semi")
-    matches = ordering.with_position(
+    matches = ordering.numbered(
         found.select("sha256", "asset_uid", "asset_id", "tenant_id", "created_at", "trust_score", "content_label"),
         ["sha256"],
-        ordering.hour_of("created_at"),
         [F.col("created_at"), F.col("asset_uid"), F.col("asset_id")],
         "match_no",
     )

@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.session import stored
+
 _GROUP = "__group"
 
 
@@ -80,11 +82,28 @@ def ordered(
     return out.select(*kept, *picks)
 
 
-def with_position(
-    df: DataFrame, keys: list[str], block: Column, order: list[Column], name: str = "position"
-) -> DataFrame:
-    """1..n per key."""
-    return ordered(df, keys, block, order, position=name)
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """1..n per key by one range-partitioned, sorted pass.
+
+    Boundaries of (keys, order) come from a sample, so ranges hold about equal
+    rows whatever the keys and times are: a hot key, or many rows of one time,
+    spreads over many ranges.  Each range's rows of a key are counted, and the
+    sums before it are carried in.  Null keys are a key; rows that are equal in
+    all of ``order`` are numbered in any order.
+    """
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    every = [*[F.col(k) for k in keys], *order, F.col("__tie")]
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = tied.repartitionByRange(*every).sortWithinPartitions(*every).drop("__tie")
+    placed = stored(ranged.select("*", F.spark_partition_id().alias("__part"), place.alias("__place")), "numbered")
+    # a struct is never null, so null keys join their sums
+    grouped = placed.withColumn(_GROUP, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "__part"))
+    ranges = Window.partitionBy(*[f"{_GROUP}.k{i}" for i in range(len(keys))]).orderBy(f"{_GROUP}.__part")
+    before = F.coalesce(F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("__place").alias("first"))
+    starts = sums.select(_GROUP, (before - F.col("first") + 1).alias("__start"))
+    kept = [c for c in df.columns if c != name]
+    return grouped.join(starts, _GROUP).select(*kept, (F.col("__start") + F.col("__place")).cast("int").alias(name))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -45,13 +45,7 @@ def first_last_event(events: DataFrame, event_type: str, which: str, fields: lis
 
 def lineage_steps(events: DataFrame) -> DataFrame:
     """Provenance events numbered by time."""
-    return ordering.with_position(
-        events,
-        ["asset_id"],
-        F.coalesce(ordering.hour_of("timestamp"), F.lit("0001-01-01").cast("timestamp")),
-        [F.col("timestamp"), F.col("event_id")],
-        "step",
-    )
+    return ordering.numbered(events, ["asset_id"], [F.col("timestamp"), F.col("event_id")], "step")
 
 
 def chronology_check(events: DataFrame) -> DataFrame:

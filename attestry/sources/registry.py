@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry import schemas
 from attestry.operators import connected
+from attestry.session import stored
+from attestry.sources import merges
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -68,30 +69,40 @@ def schema_evolve(
     )
 
 
-def _applied(key: str, alt_keys: list[str], columns: list[str], orders: int):
-    """Fold of the updates of linked records over their target rows, in order."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        given = rows[alt_keys].notna().all(axis=1)
-        alts = [tuple(a) if ok else None for a, ok in zip(rows[alt_keys].itertuples(index=False), given)]
-        rows = rows.assign(__alt=alts)
-        old = rows[~rows["__update"]]
-        new = rows[rows["__update"]].sort_values([f"__o{i}" for i in range(orders)], kind="stable")
-        records: dict = {}
-        holders: dict = {}
-        for at, name, alt in [(i, rows.at[i, key], rows.at[i, "__alt"]) for i in [*old.index, *new.index]]:
-            place = name
-            if rows.at[at, "__update"] and name not in records and alt is not None and holders.get(alt):
-                place = min(holders[alt])
-            if place in records:
-                before = rows.at[records.pop(place), "__alt"]
-                holders.get(before, set()).discard(place)
-            records[name] = at
-            if alt is not None:
-                holders.setdefault(alt, set()).add(name)
-        return rows.loc[list(records.values()), columns]
-
-    return fold
+def _nodes(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode(F.array("__key", "__alt")).alias("node")).where("node is not null").distinct()
+
+
+def _reached(target: DataFrame, updates: DataFrame) -> DataFrame:
+    """Keys and alternative keys of the updates and of the target rows they lead to.
+
+    The frontier starts with the updates' keys and grows by the keys of target
+    rows that it meets, so all other rows are read but never linked.
+    """
+    pairs = stored(target.select("__key", "__alt"), "upsert-pairs")
+    known = frontier = stored(_nodes(updates), "upsert-keys")
+    while True:
+        met = [pairs.join(frontier.withColumnRenamed("node", by), by, "left_semi") for by in ("__key", "__alt")]
+        new = _nodes(met[0].select("__key", "__alt").unionByName(met[1].select("__key", "__alt")))
+        frontier = stored(new.join(known, "node", "left_anti"), "upsert-keys")
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+
+
+def _roots(live: DataFrame) -> DataFrame:
+    """The rows with ``__root``, the same for all rows that share keys.
+
+    Rows of one alternative key are one set already; only keys that hold
+    several alternative keys join sets, so only those go through the rounds.
+    """
+    links = live.where("__alt is not null").select("__key", "__alt").distinct()
+    of_key = links.groupBy("__key").agg(F.min("__alt").alias("__first"), F.max("__alt").alias("__last"))
+    bridges = links.join(of_key.where("__first <> __last"), "__key").where("__alt <> __first")
+    roots = connected.components(bridges.select(F.col("__first").alias("a"), F.col("__alt").alias("b")))
+    sets = live.join(of_key.select("__key", "__first"), "__key", "left").withColumn("__set", F.coalesce("__alt", "__first"))
+    rooted = sets.join(roots.withColumnRenamed("node", "__set"), "__set", "left")
+    return rooted.withColumn("__root", F.coalesce("root", "__set", "__key")).drop("root", "__set", "__first")
 
 
 def keyed_upsert(
@@ -102,35 +113,31 @@ def keyed_upsert(
     An update replaces the record with its key, else the record with the same
     alternative keys (whose key moves to the update's), else it is inserted.  A
     later update sees what the earlier ones left, so keys may move on and on.
-    Alternative keys count only where none of them is null.
+    Alternative keys count only where none of them is null; updates of one
+    place in the order are taken by key.
 
-    Records and updates that share a key or alternative keys are linked; each
-    linked set, a few rows about one identity, is folded by itself.  Records
-    that no update touches are passed through.
+    Only the updates and the records that they reach are linked and folded, so
+    an upsert costs what it touches plus one read of the target.  Each linked
+    set is a stream sorted by order past its live records (``merges.fold``).
     """
     columns = target.columns
     names = [f"__o{i}" for i in range(len(order))]
-    new = updates.select(*columns, *[o.alias(n) for o, n in zip(order, names)])
-    none = [F.lit(None).cast(new.schema[n].dataType).alias(n) for n in names]
-    rows = target.select(*columns, *none, F.lit(False).alias("__update")).unionByName(
-        new.withColumn("__update", F.lit(True))
-    )
     has_alt = reduce(and_, [F.col(k).isNotNull() for k in alt_keys])
     alt = F.when(has_alt, F.concat(F.lit("a"), F.sha2(F.to_json(F.struct(*alt_keys)), 256)))
-    marked = rows.withColumns({"__key": F.concat(F.lit("k"), F.col(key).cast("string")), "__alt": alt})
-    touched = marked.where("__update").select(F.explode(F.array("__key", "__alt")).alias("node")).where("node is not null")
-    touched = touched.distinct()
-    roots = connected.components(
-        marked.where("__alt is not null").select(F.col("__alt").alias("a"), F.col("__key").alias("b"))
-    )
-    rooted = marked.join(roots.withColumnRenamed("node", "__key"), "__key", "left")
-    rooted = rooted.withColumn("__root", F.coalesce("root", "__alt", "__key")).drop("root", "__key", "__alt")
-    node_roots = touched.join(roots, "node", "left").select(F.coalesce("root", "node").alias("__root")).distinct()
-    live = rooted.join(node_roots, "__root", "left_semi")
-    done = live.groupBy("__root").applyInPandas(
-        _applied(key, alt_keys, columns, len(order)), target.select(*columns).schema
-    )
-    return rooted.join(node_roots, "__root", "left_anti").select(*columns).unionByName(done)
+    marks = {"__key": F.concat(F.lit("k"), F.col(key).cast("string")), "__alt": alt}
+    new = stored(updates.select(*columns, *[o.alias(n) for o, n in zip(order, names)]).withColumns(marks), "upsert-new")
+    old = target.select(*columns).withColumns(marks)
+    known = _reached(old, new)
+    for by in ("__key", "__alt"):
+        old = old.join(known.select(F.col("node").alias(by), F.lit(True).alias(f"{by}_hit")), by, "left")
+    hit = F.coalesce("__key_hit", "__alt_hit", F.lit(False))
+    none = {n: F.lit(None).cast(new.schema[n].dataType) for n in names}
+    met = old.where(hit).drop("__key_hit", "__alt_hit").withColumns(none).withColumn("__update", F.lit(False))
+    live = stored(met.unionByName(new.withColumn("__update", F.lit(True))), "upsert-live")
+    rows = _roots(live).select("__root", "__update", "__alt", *names, *columns).repartition("__root")
+    in_order = ["__root", "__update", *[F.asc_nulls_last(n) for n in names], key, "__alt"]
+    done = rows.sortWithinPartitions(*in_order).mapInArrow(merges.fold(columns, key), target.select(*columns).schema)
+    return old.where(~hit).select(*columns).unionByName(done)
 
 
 def missing_score_backfill(meta: DataFrame, score_column: str, scored: DataFrame, key: str) -> DataFrame:

@@ -135,3 +135,69 @@ def test_export_is_ranged_by_asset(spark):
     spans = sorted(tuple(r) for r in back.groupBy("file").agg(F.min("asset_id"), F.max("asset_id")).drop("file").collect())
     assert len(spans) == 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
     assert sinks.read_export(spark, path, ["history"]).count() == 2000
+
+
+RECORD = "id string, uid string, tenant string, doc long, version int, at long"
+
+
+def plain_upsert(target, updates):
+    """One update after the other over a dictionary."""
+    records = {r[0]: r for r in target}
+    for row in sorted(updates, key=lambda r: r[5]):
+        key, alt = row[0], row[1:3]
+        if key not in records and None not in alt:
+            holders = sorted(k for k, r in records.items() if r[1:3] == alt)
+            if holders:
+                del records[holders[0]]
+        records[key] = row
+    return sorted(records.values(), key=repr)
+
+
+def upserted(spark, target, updates):
+    frame = lambda rows: spark.createDataFrame(rows, RECORD).repartition(4)
+    got = registry.keyed_upsert(frame(target), frame(updates), "id", ["uid", "tenant"], [F.col("at")])
+    return sorted(map(tuple, got.collect()), key=repr)
+
+
+def test_a_hot_alternative_key_and_moved_keys(spark):
+    target = [(f"r{i}", f"u{i}" if i % 7 else None, "t", i, 1, 0) for i in range(300)]
+    target += [(f"twin{i}", "same", "t", i, 1, 0) for i in range(5)]
+    hot = [(f"hot{i}", "same", "t", i, 2, 3 * i) for i in range(500)]
+    chain = [(f"move{i}", f"u{i // 2}", "t", i, 2, 3 * i + 1) for i in range(500)]
+    # each of these takes the key of the record before and its own alternative key
+    chain += [(f"step{(i + 1) // 2}", f"link{i // 2}", "t", i, 2, 3 * i + 2) for i in range(500)]
+    assert upserted(spark, target, hot + chain) == plain_upsert(target, hot + chain)
+
+
+def test_untouched_rows_are_not_linked(spark, monkeypatch):
+    linked, seen = registry.connected.components, []
+    monkeypatch.setattr(registry.connected, "components", lambda edges: seen.append(edges.count()) or linked(edges))
+    target = [(f"r{i}", f"u{i}", "t", i, 1, 0) for i in range(1000)]
+    updates = [("r5", "u6", "t", 0, 2, 1), ("new", "u9", "t", 0, 2, 2), ("other", "z", "t", 0, 2, 3)]
+    assert upserted(spark, target, updates) == plain_upsert(target, updates)
+    # r5 holds two alternative keys; all others are one set by theirs
+    assert seen == [1]
+    assert upserted(spark, [], updates) == plain_upsert([], updates)
+    assert upserted(spark, target, []) == plain_upsert(target, [])
+
+
+def test_a_set_keeps_its_live_records_only(spark):
+    """Batches of one set: what is carried does not grow with its updates."""
+    import pyarrow as pa
+
+    from attestry.sources import merges
+
+    held = []
+
+    def batches():
+        for b in range(200):
+            n = 500
+            ids = [f"k{b * n + i}" for i in range(n)]
+            yield pa.RecordBatch.from_pydict(
+                {"__root": ["r"] * n, "__update": [True] * n, "__alt": ["a"] * n, "id": ids, "v": list(range(n))}
+            )
+            held.append(pa.total_allocated_bytes())
+
+    out = pa.Table.from_batches(list(merges.fold(["id", "v"], "id")(batches())))
+    assert out.column("id").to_pylist() == ["k99999"]
+    assert max(held[100:]) < 2 * max(held[:100])

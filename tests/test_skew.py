@@ -191,3 +191,25 @@ def test_chronology_of_one_hot_asset(spark, tiny_blocks):
         "timestamp", F.when(F.col("event_id") == 700, F.lit("2023-01-01").cast("timestamp_ntz")).otherwise(F.col("timestamp"))
     )
     assert not timeline.chronology_check(late).first()["chronological"]
+
+
+def test_one_key_and_one_time_are_numbered_in_many_ranges(spark):
+    rows = spark.range(1_000_000).select(
+        F.lit("hot").alias("key"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"), (F.col("id") * 7919 % 1_000_003).alias("id")
+    )
+    got = ordering.numbered(rows, ["key"], [F.col("at"), F.col("id")], "n")
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("at", "id")))
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.expr("xxhash64(id, n) >> 24")), F.max("n"), F.min("n")).first()
+    assert digest(got) == digest(want)
+    ranges = rows.repartitionByRange("key", "at", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 600_000
+
+
+def test_numbers_of_null_keys_and_repeated_rows(spark):
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 4 != 0, F.col("id") % 3).alias("key"), (F.col("id") % 50).alias("at"), F.lit("x").alias("n")
+    )
+    got = ordering.numbered(rows, ["key"], [F.col("at")], "n")
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("at")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert ordering.numbered(rows.limit(0), ["key"], [F.col("at")]).count() == 0
