@@ -8,8 +8,9 @@ occurrences on, counted over the whole training corpus; a longer n-gram can only
 reach that count if its parts do, so only those are counted at all.  The query
 keeps all of them (``least`` 1); ``LEAST`` is the default of a direct call.
 
-Counting is pre-aggregated in each task and summed by Spark; tasks build the
-trie's shards (``ngram_trie``) and scoring tasks map them.  The model grows with
+Counting is pre-aggregated in each task; counted n-grams go to the task of their
+shard once for each level, as packed columns, and are added there.  Tasks build
+the trie's shards (``ngram_trie``) and scoring tasks map them.  The model grows with
 the corpus.  Frequent n-grams are one row per task, so there is no hot key.
 
 Null and empty texts are one end token.  A null id counts as the empty string,
@@ -39,6 +40,9 @@ SHARD = 400_000
 # N-grams of a shard of a longer level, about.
 GRAMS = 1_000_000
 
+# N-grams that a task holds before it counts them.
+HELD = 2_000_000
+
 # Bytes of text whose n-grams are counted and looked up at once.
 RUN_BYTES = 3_000_000
 
@@ -107,9 +111,60 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in columns.values()], names=list(columns))
 
 
-def _counted(contexts: np.ndarray, nexts: np.ndarray) -> pa.RecordBatch:
-    context, word, _, n = _distinct(contexts, nexts)
-    return _batch({"context": context, "word": word, "n": n})
+# Rows of n-grams between tasks: those of one shard, as columns of bytes.
+GRAM_ROWS = "shard long, size long, context binary, word binary, n binary"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, first bytes together, then second ones."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << 8 * w)
+    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel().astype(np.int64)
+
+
+class _Counter:
+    """N-grams of a task, counted and cut by shard whenever enough have come together."""
+
+    def __init__(self, per: int):
+        self.per, self.held, self.size = per, [], 0
+
+    def add(self, contexts: np.ndarray, nexts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((contexts, nexts))
+        self.size += len(contexts)
+        if self.size >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        context, word, _, n = _distinct(*(np.concatenate(c) for c in zip(*self.held)))
+        self.held, self.size = [], 0
+        shard = context // self.per
+        rows = []
+        for low, high in _runs(shard):
+            local = context[low:high] - shard[low] * self.per
+            parts = (np.diff(local, prepend=0), word[low:high], n[low:high])
+            rows.append((int(shard[low]), high - low, *map(_packed, parts)))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+        yield pa.RecordBatch.from_arrays(columns, names=["shard", "size", "context", "word", "n"])
+
+
+def _summed(rows, per: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, n) of one shard, in order, equal n-grams added."""
+    columns = []
+    for size, *parts in zip(rows["size"].tolist(), *(rows[k].to_pylist() for k in ("context", "word", "n"))):
+        local, word, n = (_unpacked(raw, size) for raw in parts)
+        columns.append((np.cumsum(local), word, n))
+    local, word, n = (np.concatenate(c) for c in zip(*columns))
+    local, word, each, _ = _distinct(local, word)
+    total = np.bincount(each, n, len(local)).astype(np.int64)
+    keep = total >= least
+    return local[keep] + int(rows["shard"][0]) * per, word[keep], total[keep]
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +175,10 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams_of(shape: Shape, level: int, least: int):
-    """Pairs (item of the level above, word) whose parts are frequent enough."""
+    """Pairs (item of the level above, word) whose parts are frequent enough, counted by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = opened(shape)
+        trie, counter = opened(shape), _Counter(shape.per[level - 2])
         end = _end_id(trie)
         for batch in batches:
             for _, data, offsets in words.runs(batch, batch.schema.names[0], RUN_BYTES):
@@ -133,12 +188,13 @@ def _grams_of(shape: Shape, level: int, least: int):
                 left, before = _pairs(trie, end, ids, first)
                 ok = often & np.where(before >= 0, often[before], True)
                 if level == 2:
-                    yield _counted(left[ok], ids[ok])
+                    yield from counter.add(left[ok], ids[ok])
                     continue
                 pairs = _lookup(trie, 2, left, ids, ok)
                 context = np.where(before >= 0, pairs[before], -1)
                 ok = (context >= 0) & (pairs >= 0)
-                yield _counted(context[ok], ids[ok])
+                yield from counter.add(context[ok], ids[ok])
+        yield from counter.flush()
 
     return run
 
@@ -174,8 +230,8 @@ def _unigram(shape: Shape, counts: np.ndarray) -> np.ndarray:
     return (counts + 0.5) / (shape.tokens + 0.5 * (shape.vocabulary + 1))
 
 
-def _next_level(shape: Shape, level: int):
-    """Write the shards of a level from its rows, sorted by shard, context and word."""
+def _next_level(shape: Shape, level: int, least: int, last: bool):
+    """Write the shards of a level from its packed rows, sorted by shard; the last level needs no counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = opened(shape)
@@ -184,7 +240,9 @@ def _next_level(shape: Shape, level: int):
         for group in frames.sorted_groups(batches, 1):
             for low, high in _runs(group["shard"]):
                 shard = int(group["shard"][low])
-                context, word, n = (group[k][low:high] for k in ("context", "word", "n"))
+                context, word, n = _summed({k: v[low:high] for k, v in group.items()}, per, least)
+                if not len(n):
+                    continue
                 contexts = min(per, above - shard * per)
                 local = context - shard * per
                 totals = trie.column("count", level - 1, np.arange(contexts) + shard * per).astype(float)
@@ -205,8 +263,9 @@ def _next_level(shape: Shape, level: int):
                 save(folder, f"word{level}-{shard}", _narrow(word))
                 save(folder, f"prob{level}-{shard}", coded(logs))
                 save(folder, f"weight{level}-{shard}", coded(np.log10(weight)))
-                save(folder, f"count{level}-{shard}", _narrow(n))
-                yield _batch({"shard": np.array([shard]), "size": np.array([high - low])})
+                if not last:
+                    save(folder, f"count{level}-{shard}", _narrow(n))
+                yield _batch({"shard": np.array([shard]), "size": np.array([len(n)])})
 
     return run
 
@@ -224,26 +283,23 @@ def train(texts: DataFrame, order: int = ORDER, least: int = LEAST, shard: int =
     bits = max(1, (size // shard).bit_length())
     first = vocabulary.withColumn("shard", F.shiftrightunsigned("hash", 64 - bits))
     shape = Shape(folder, total or 0, bits, [], [])
-    written = _written(first, "hash", _first_level(folder))
+    written = _written(first.select("shard", "hash", "n"), _first_level(folder))
     shape.sizes.append(_shards(written, 1 << bits))
     for level in range(2, order + 1):
         above = sum(shape.sizes[-1])
         # as many shards as the level above or as the n-grams may need, at the least one context each
         shards = max(len([s for s in shape.sizes[-1] if s] or [0]), -(-shape.tokens // GRAMS))
         shape.per.append(max(1, -(-above // shards)))
-        grams = frames.map_texts(texts, _grams_of(shape, level, least), "context long, word long, n long")
-        rows = grams.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        rows = rows.withColumn("shard", F.floor(F.col("context") / shape.per[-1]))
-        written = _written(rows, ["context", "word"], _next_level(shape, level))
+        rows = frames.map_texts(texts, _grams_of(shape, level, least), GRAM_ROWS)
+        written = _written(rows, _next_level(shape, level, least, level == order))
         shape.sizes.append(_shards(written, max(1, -(-above // shape.per[-1]))))
     return shape
 
 
-def _written(rows: DataFrame, order, write) -> dict[int, int]:
-    order = [order] if isinstance(order, str) else order
-    parts = rows.repartition("shard").sortWithinPartitions("shard", *order)
-    columns = ["shard", *order, "n"]
-    return {r.shard: r.size for r in parts.select(columns).mapInArrow(write, "shard long, size long").collect()}
+def _written(rows: DataFrame, write) -> dict[int, int]:
+    """Sizes of the shards that tasks have written, each from its own rows."""
+    parts = rows.repartition("shard").sortWithinPartitions("shard")
+    return {r.shard: r.size for r in frames.map_texts(parts, write, "shard long, size long").collect()}
 
 
 def score(docs: DataFrame, shape: Shape, text: str = "text") -> DataFrame:
