@@ -46,6 +46,8 @@ RANGE_BITS = 8
 CROWD = 100_000
 # Nodes of a bucket that meet in one unit of work.
 BLOCK = 1024
+# Rows of keys that are broadcast (24 bytes each); beyond, the join shuffles.
+CARRIED = 1_000_000
 # Members verified against one copy of a hub's set.
 MEMBERS = 256
 # Most candidates of a node in a unit, round by round; the last takes all that are left.
@@ -196,6 +198,11 @@ def _possible(size, pos, other_size, other_pos):
     return fits & ((WHOLE + PART) * (size - pos) >= need) & ((WHOLE + PART) * (other_size - other_pos) >= need)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, broadcast where it has at most ``CARRIED`` rows."""
+    return F.broadcast(table) if table.count() <= CARRIED else table
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, each verified once.
 
@@ -204,9 +211,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).alias("part")
-    dealt = pairs.join(counts, "a").select("a", "b", part)
-    members = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    dealt = stored(pairs.join(counts, "a").select("a", "b", part), "join-dealt")
+    parts = stored(dealt.select("a", "part").distinct(), "join-parts")
+    # the sets stay where they are as long as the pairs are few
+    members = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(_small(dealt), "b")
+    hubs = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(_small(parts), "a")
     met = members.join(hubs, ["a", "part"])
     both, size = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     return met.where((WHOLE + PART) * both >= PART * size).select("a", "b")
@@ -303,7 +312,7 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, met: DataFrame, text: str)
     some = ids.join(met.select("node").distinct(), "node", "left_semi")
     first = some.groupBy("node").agg(F.min(F.struct("__k1", "__k2")).alias("k"))
     chosen = stored(first.select("node", "k.__k1", "k.__k2"), "join-chosen")
-    texts = docs.select("__k1", "__k2", text).join(chosen, ["__k1", "__k2"]).select("node", text)
+    texts = docs.select("__k1", "__k2", text).join(_small(chosen), ["__k1", "__k2"]).select("node", text)
     sets = stored(_sets(texts, text), "join-sets")
     # only repeated rows, of one id and text, have one key
     return sets if sets.count() == chosen.count() else stored(sets.dropDuplicates(["node"]), "join-sets")

@@ -127,7 +127,8 @@ def load(folder: str, name: str) -> np.ndarray:
         with store.open_input_stream(f"{path}/{name}.npy") as data:
             return np.load(io.BytesIO(data.read()))
     array = np.load(f"{place}/{name}.npy", mmap_mode="r" if os.path.getsize(f"{place}/{name}.npy") > 4096 else None)
-    return array
+    # a plain view of the mapping: indexing a memmap object costs more than the lookup
+    return np.asarray(array).view(np.ndarray)
 
 
 @dataclass
@@ -227,10 +228,18 @@ class Trie:
 
 
 def _split(shard: np.ndarray):
-    """(shard, places) of the shards that occur."""
-    present = np.flatnonzero(np.bincount(shard)) if len(shard) else []
-    for s in present:
-        yield int(s), np.flatnonzero(shard == s) if len(present) > 1 else slice(None)
+    """(shard, places) of the shards that occur; one sort, however many there are."""
+    if not len(shard):
+        return
+    if shard.min() == shard.max():
+        yield int(shard[0]), slice(None)
+        return
+    # short keys are sorted by radix
+    keys = shard.astype(np.uint16) if shard.max() < 1 << 16 else shard
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order].astype(np.int64), prepend=-1))
+    for low, high in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+        yield int(shard[order[low]]), order[low:high]
 
 
 def _search(ids: np.ndarray, low: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
