@@ -106,6 +106,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "p
     return grouped.join(starts, _GROUP).select(*kept, (F.col("__start") + F.col("__place")).cast("int").alias(name))
 
 
+def with_position(
+    df: DataFrame, keys: list[str], block: Column, order: list[Column], name: str = "position"
+) -> DataFrame:
+    """1..n per key."""
+    return ordered(df, keys, block, order, position=name)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``.
 
