@@ -1,11 +1,14 @@
 """Main text of web pages by consensus paths of their hosts.
 
-Every page's containers are scored by the running text below them.  A container
-is named by the tags and classes on its way from the root, with numbers
-generalised, so pages of one template share names.  Spark sums the pages' votes
-by host and name; the winning name cuts the text out of each of the host's pages.
-A page where it does not occur, or holds little of the page's text, takes its own
-best container.
+Every page's containers are scored by the running text below them, and the best
+are widened to the whole article: to an ``article`` around them, or to the nearest
+parent whose other children are headings, paragraphs, lists or further parts of
+the same name.  A container is named by the tags and classes on its way from the
+root, with numbers generalised, so pages of one template share names.  Spark sums
+the pages' votes by host and name; all elements of the winning name make the text
+of each of the host's pages.  A page where it does not occur, or holds little of
+the page's text, takes its own best container.  Votes that tie go to the name that
+sorts last.
 
 Votes are a few short rows for each page and are summed before they are
 shuffled, so a host with a third of all pages is no hot key; the winners are one
@@ -33,7 +36,9 @@ from attestry.session import stored
 
 # Containers of a page that vote.
 VOTES = 3
-# Share of the page's best score from which the host's container is taken.
+# Elements that say they hold the article count more.
+BONUS = {"article": 1.5, "main": 1.2}
+# Share of the weight of the page's own article from which the host's container is taken.
 ENOUGH = 0.3
 
 # Element kinds of the HTML standard.
@@ -67,6 +72,12 @@ DROPPED_WORDS = frozenset(
     "pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+# Children that belong to the text of the container they stand in.
+FLOW = frozenset(
+    "address blockquote center dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre table ul".split()
+)
+# Share of link text up to which the surroundings of a container are still text.
+LINKED = 0.34
 HEADER_WORDS = frozenset("header masthead".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
@@ -82,7 +93,7 @@ _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 class Page:
     """Elements of a page in document order and its blocks of text."""
 
-    __slots__ = ("tags", "parents", "steps", "dropped", "headers", "links", "blocks", "sizes", "link_sizes")
+    __slots__ = ("tags", "parents", "steps", "dropped", "headers", "links", "blocks", "sizes", "link_sizes", "kept", "kept_links", "prose")
 
     def __init__(self, source: str):
         self.tags, self.parents, self.steps = ["#root"], [-1], [""]
@@ -220,6 +231,20 @@ class Page:
                 own |= not holds[i] and 2 * sizes[i] <= total
             self.dropped[i] = own or self.dropped[parent]
         self.sizes, self.link_sizes = sizes, link_sizes
+        kept, kept_links = [0] * n, [0] * n
+        for _, pieces in self.blocks:
+            for element, text in pieces:
+                if not self.dropped[element]:
+                    size = len(text.strip())
+                    kept[element] += size
+                    kept_links[element] += size if in_link[element] else 0
+        prose = [t in ("p", "ul", "ol", "dl", "pre", "blockquote") for t in self.tags]
+        for i in range(n - 1, 0, -1):
+            parent = self.parents[i]
+            kept[parent] += kept[i]
+            kept_links[parent] += kept_links[i]
+            prose[parent] |= prose[i] and kept[i] > 0
+        self.kept, self.kept_links, self.prose = kept, kept_links, prose
 
     def path(self, element: int) -> str:
         parts = []
@@ -243,16 +268,60 @@ class Page:
                 element = self.parents[element]
         for element in out:
             density = self.link_sizes[element] / max(1, self.sizes[element])
-            bonus = {"article": 1.5, "main": 1.2}.get(self.tags[element], 1.0)
-            out[element] *= (1 - min(density, 1.0)) * bonus
+            out[element] *= (1 - min(density, 1.0)) * BONUS.get(self.tags[element], 1.0)
         return out
 
-    def text(self, element: int) -> str:
-        """Blocks below an element, each with single spaces, in page order."""
-        inside = [False] * len(self.tags)
-        inside[element] = True
-        for i in range(element + 1, len(self.tags)):
-            inside[i] = inside[self.parents[i]]
+    def weight(self, element: int) -> float:
+        """Running text that an element keeps, semantic elements counting more."""
+        return (self.kept[element] - self.kept_links[element]) * BONUS.get(self.tags[element], 1.0)
+
+    def _is_text(self, element: int) -> bool:
+        return self.kept_links[element] <= LINKED * self.kept[element]
+
+    def _is_part(self, element: int) -> bool:
+        """Whether an element may be one of several parts under one name."""
+        return self._is_text(element) and ("." in self.steps[element] or self.prose[element])
+
+    def _joins(self, parent: int, child: int, children: list[int]) -> bool:
+        """Whether what stands beside a child belongs to the same article."""
+        if self.tags[parent] == "main":
+            rest = self.kept[parent] - self.kept[child]
+            return self.kept_links[parent] - self.kept_links[child] <= LINKED * rest
+        for other in children:
+            if other != child and self.kept[other]:
+                same = self.steps[other] == self.steps[child] and self._is_part(other)
+                if not same and not (self.tags[other] in FLOW and self._is_text(other)):
+                    return False
+        return True
+
+    def widened(self, elements: list[int]) -> list[int]:
+        """Each container's article: the ``article`` around it, or as far out as text stands beside it."""
+        children: dict[int, list[int]] = {}
+        for i in range(1, len(self.tags)):
+            children.setdefault(self.parents[i], []).append(i)
+        out = []
+        for element in elements:
+            way, at = [], element
+            while at > 0:
+                way.append(at)
+                at = self.parents[at]
+            articles = [e for e in way if self.tags[e] == "article"]
+            best = articles[-1] if articles else element
+            if not articles:
+                for child, parent in zip(way, way[1:]):
+                    if self.tags[parent] == "html" or not self._joins(parent, child, children[parent]):
+                        break
+                    if self.kept[parent] > self.kept[child]:
+                        best = parent
+            out.append(best)
+        return out
+
+    def text(self, elements: list[int]) -> str:
+        """Blocks below some elements, each with single spaces, in page order."""
+        chosen = set(elements)
+        inside = [i in chosen for i in range(len(self.tags))]
+        for i in range(1, len(self.tags)):
+            inside[i] |= inside[self.parents[i]]
         out = []
         for _, pieces in self.blocks:
             raw = "".join(t for e, t in pieces if inside[e] and not self.dropped[e])
@@ -267,34 +336,37 @@ def _best(scores: dict[int, float]) -> list[int]:
 
 
 def votes_of(source: str | None) -> list[tuple[str, float]]:
-    """The best containers' paths with their share of the best score."""
+    """The best containers' articles with their share of the best score."""
     if not source:
         return []
     page = Page(source)
     scores = page.scores()
+    ranked = _best(scores)[:VOTES]
+    most = max(scores.values(), default=0.0) or 1.0
     shares: dict[str, float] = {}
-    for element in _best(scores)[:VOTES]:
-        path = page.path(element)
-        shares[path] = max(shares.get(path, 0.0), scores[element] / max(scores.values(), default=1.0) if scores[element] else 0.0)
+    for element, article in zip(ranked, page.widened(ranked)):
+        path = page.path(article)
+        shares[path] = max(shares.get(path, 0.0), scores[element] / most)
     return list(shares.items())
 
 
 def extract(source: str | None, path: str | None) -> str:
-    """Text of the container on a path, or of the page's own best one."""
+    """Text of the elements on a path, or of the page's own best article."""
     if not source:
         return ""
     page = Page(source)
-    scores = page.scores()
-    ranked = _best(scores)
+    ranked = _best(page.scores())
     if not ranked:
-        return page.text(0)
-    chosen = ranked[0]
+        return page.text([0])
+    chosen = page.widened(ranked[:1])
     if path is not None:
-        for element in ranked:
-            if page.path(element) == path:
-                if scores[element] >= ENOUGH * scores[chosen]:
-                    chosen = element
-                break
+        last = path.rpartition("/")[2]
+        found = [e for e in range(1, len(page.tags)) if page.steps[e] == last and page.kept[e] and page.path(e) == path]
+        if found:
+            largest = max(found, key=lambda e: page.kept[e])
+            found = [e for e in found if e == largest or page._is_part(e)]
+            if sum(map(page.weight, found)) >= ENOUGH * page.weight(chosen[0]):
+                chosen = found
     return page.text(chosen)
 
 
