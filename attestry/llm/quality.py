@@ -12,14 +12,15 @@ judged by its non-ASCII share.  Repeated rows are judged each.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm import frames, tokens, words
+from attestry.session import stored
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -40,6 +41,26 @@ class Band:
     entropy: float
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A band fitted on labelled rows, inside a wide one.
+
+    Characters per piece and per token are means over a text's words, so they
+    scatter with the root of their number: the limits are a centre and the
+    deviations below and above it times that root.  ``longest`` bounds the number
+    of words, as no sample says more about longer texts.  ``share`` is the
+    weight of the fitted limits against the wide ones.
+    """
+
+    wide: Band
+    share: float
+    longest: int
+    piece: tuple[float, float, float]
+    token: tuple[float, float, float]
+    fallback: float
+    entropy: float
+
+
 # Bands by language, then by script for other languages, where no labelled rows
 # say better.  They are wide: prose lies well inside, blobs and loops outside.
 LANGUAGE_BANDS = {
@@ -55,14 +76,14 @@ SCRIPT_BANDS = {
 # Share of non-ASCII letters from which a text counts as another script.
 OTHER_SCRIPT_SHARE = 0.5
 
-# Bounds of the labelled sample that bands are fitted on, and of its rows by
-# language below which a language keeps its wide band.
+# Bound of the labelled sample of each language that bands are fitted on.
 FIT_ROWS = 20_000
-FIT_LEAST = 100
-# A fitted band holds all but this share of the clean rows at either end, and
-# is then widened by FIT_MARGIN.
-FIT_SHARE = 0.001
-FIT_MARGIN = 0.01
+# A fitted band reaches beyond the clean rows' ends by this share of its half width.
+FIT_MARGIN = 0.2
+# The same for the ends of the byte share and the entropy, which have one side.
+SIDE_MARGIN = 0.02
+# Rows at which a language's band lies half-way between its wide band and the fitted one.
+FIT_HALF = 4
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -154,44 +175,86 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return frames.with_columns(docs, compute, FIELDS, text, vocabularies=True)
 
 
-def _within(band: Band):
+def _root(longest: int):
+    """Square root of the number of words, as far as fitted texts go."""
+    return F.sqrt(F.greatest(F.least("n_words", F.lit(longest)), F.lit(1)))
+
+
+def _within(band: Band | Fitted):
+    if isinstance(band, Band):
+        return (
+            F.col("chars_per_piece").between(band.piece_low, band.piece_high)
+            & F.col("chars_per_token").between(band.token_low, band.token_high)
+            & (F.col("fallback_share") <= band.fallback)
+            & (F.col("token_entropy") >= band.entropy)
+        )
+    blend = lambda fitted, wide: F.lit(band.share) * fitted + F.lit((1 - band.share) * wide)
+    root, wide = _root(band.longest), band.wide
+    near = lambda name, at, low, high: F.col(name).between(
+        blend(at[0] + at[1] / root, low), blend(at[0] + at[2] / root, high)
+    )
     return (
-        F.col("chars_per_piece").between(band.piece_low, band.piece_high)
-        & F.col("chars_per_token").between(band.token_low, band.token_high)
-        & (F.col("fallback_share") <= band.fallback)
-        & (F.col("token_entropy") >= band.entropy)
+        near("chars_per_piece", band.piece, wide.piece_low, wide.piece_high)
+        & near("chars_per_token", band.token, wide.token_low, wide.token_high)
+        & (F.col("fallback_share") <= blend(F.lit(band.fallback), wide.fallback))
+        & (F.col("token_entropy") >= blend(F.lit(band.entropy), wide.entropy))
     )
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[str, Band]:
-    """Bands by language from at most ``rows`` labelled documents of good quality.
+def fit_bands(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[str, Fitted]:
+    """Bands by language from at most ``rows`` labelled documents of good quality in each.
 
-    The sample is the rows with the smallest hash of their id, so it does not
-    depend on file order.  Documents without a language or a label take no part.
+    A language's sample is its rows with the smallest hash of their id, so it does
+    not depend on file order nor on other languages.  A band is the clean rows'
+    extremes and a margin, drawn towards the wide band where rows are few: ``n``
+    rows weigh ``n / (n + FIT_HALF)``.  Documents without a language or a label
+    take no part.
     """
-    order = F.xxhash64("doc_id")
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    sample = good.orderBy(order, "doc_id").limit(rows)
-    taken = docs.select("doc_id", "text", "lang").where("lang is not null").join(F.broadcast(sample), "doc_id", "left_semi")
-    measured = measure(taken).where(F.col("n_words") >= MIN_WORDS)
-    ends = [FIT_SHARE, 1 - FIT_SHARE]
-    fitted = measured.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("chars_per_piece", F.array(*map(F.lit, ends))).alias("piece"),
-        F.percentile("chars_per_token", F.array(*map(F.lit, ends))).alias("token"),
-        F.percentile("fallback_share", F.lit(ends[1])).alias("fallback"),
-        F.percentile("token_entropy", F.lit(ends[0])).alias("entropy"),
+    spoken = docs.select("doc_id", "lang").where("lang is not null").join(good, "doc_id", "left_semi")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = spoken.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= rows).select("doc_id", "lang").distinct()
+    taken = docs.select("doc_id", "text", "lang").join(sample, ["doc_id", "lang"], "left_semi")
+    measures = ["n_words", "chars_per_piece", "chars_per_token", "fallback_share", "token_entropy"]
+    measured = stored(measure(taken).where("not other_script").where(F.col("n_words") >= MIN_WORDS).select("lang", *measures), "fit-rows")
+    centre = lambda name: (F.sum(F.col(name) * F.col("n_words")) / F.sum("n_words")).alias(f"{name}_at")
+    centres = measured.groupBy("lang").agg(F.max("n_words").alias("longest"), centre("chars_per_piece"), centre("chars_per_token"))
+    ends = lambda name: [
+        f((F.col(name) - F.col(f"{name}_at")) * F.sqrt("n_words")).alias(f"{name}_{side}") for side, f in (("low", F.min), ("high", F.max))
+    ]
+    fitted = (
+        measured.join(centres, "lang")
+        .groupBy("lang", "longest", "chars_per_piece_at", "chars_per_token_at")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *ends("chars_per_piece"),
+            *ends("chars_per_token"),
+            F.max("fallback_share").alias("fallback"),
+            F.min("token_entropy").alias("entropy"),
+        )
     )
-    low, high = 1 - FIT_MARGIN, 1 + FIT_MARGIN
-    wide = [f.name for f in fields(Band)]
-    out = {}
-    for r in fitted.where(F.col("n") >= FIT_LEAST).collect():  # a row for each language of the sample
-        values = (r.piece[0] * low, r.piece[1] * high, r.token[0] * low, r.token[1] * high)
-        out[r.lang] = Band(**dict(zip(wide, (*values, r.fallback * high + 0.01, r.entropy * low))))
-    return out
-
 
-def judge(docs: DataFrame, bands: dict[str, Band] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    def limits(r, name: str) -> tuple[float, float, float]:
+        low, high = r[f"{name}_low"], r[f"{name}_high"]
+        more = FIT_MARGIN * (high - low) / 2
+        # rounded: sums in another order must not move a limit
+        return round(r[f"{name}_at"], 9), round(low - more, 9), round(high + more, 9)
+
+    return {
+        r.lang: Fitted(
+            LANGUAGE_BANDS.get(r.lang, SCRIPT_BANDS["latin"]),
+            r.n / (r.n + FIT_HALF),
+            r.longest,
+            limits(r, "chars_per_piece"),
+            limits(r, "chars_per_token"),
+            r.fallback * (1 + SIDE_MARGIN) + 0.01,
+            r.entropy * (1 - SIDE_MARGIN),
+        )
+        for r in fitted.collect()  # a row for each language
+    }
+
+
+def judge(docs: DataFrame, bands: dict[str, Band | Fitted] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """Documents with their measures, ``base_failed``, ``band_failed`` and ``kept``.
 
     ``bands`` go before the wide ones.  Every input column passes through; a

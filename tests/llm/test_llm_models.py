@@ -112,7 +112,7 @@ def test_fitted_bands(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     bands = quality.fit_bands(docs, labels)
-    assert "en" in bands and bands["en"].piece_low < bands["en"].piece_high
+    assert "en" in bands and bands["en"].piece[1] < 0 < bands["en"].piece[2]
     judged = quality.judge(docs, bands).join(labels, "doc_id").where("not base_failed")
     good, bad = (judged.where(f"quality = {q}") for q in (1, 0))
     assert good.where("kept").count() >= 0.98 * good.count()
@@ -143,3 +143,49 @@ def test_hashes_of_long_buffers_do_not_depend_on_the_cut(monkeypatch):
     whole = found.hashes()
     monkeypatch.setattr(words, "RUN_BYTES", 50)
     assert (found.hashes() == whole).all()
+
+
+def test_bands_keep_clean_rows_they_were_not_fitted_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    bands = quality.fit_bands(docs, labels.where("doc_id % 2 = 0"))
+    judged = quality.judge(docs, bands).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed")
+    good = judged.where("quality = 1")
+    assert good.where("not kept").count() < 0.005 * good.count()
+
+
+def test_a_languages_sample_is_its_own(spark):
+    """A hot language takes no rows from a rare one."""
+    rows = [(i, cases.PROSE, "en" if i % 10 else "de") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    few = quality.fit_bands(docs, labels, rows=10)
+    alone = quality.fit_bands(docs.where("lang = 'de'"), labels, rows=10)
+    assert alone["de"] == few["de"]
+
+
+def test_fitted_bands_and_verdicts_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    bands = quality.fit_bands(docs, labels)
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    rows = quality.judge(docs, bands).collect()
+    for lang, band in bands.items():
+        fit = [r for r in rows if r.lang == lang and r.doc_id in good and r.n_words >= 50 and not r.other_script]
+        total = sum(r.n_words for r in fit)
+        for name, got in (("chars_per_piece", band.piece), ("chars_per_token", band.token)):
+            at = sum(r[name] * r.n_words for r in fit) / total
+            ends = [(r[name] - at) * r.n_words**0.5 for r in fit]
+            more = 0.1 * (max(ends) - min(ends))
+            assert got == pytest.approx((at, min(ends) - more, max(ends) + more))
+        assert band.share == len(fit) / (len(fit) + 4) and band.longest == max(r.n_words for r in fit)
+        for r in (r for r in rows if r.lang == lang and not r.other_script and r.n_words):
+            root, wide, w = min(r.n_words, band.longest) ** 0.5, band.wide, band.share
+            inside = r.fallback_share <= w * band.fallback + (1 - w) * wide.fallback
+            inside &= r.token_entropy >= w * band.entropy + (1 - w) * wide.entropy
+            for value, at, low, high in (
+                (r.chars_per_piece, band.piece, wide.piece_low, wide.piece_high),
+                (r.chars_per_token, band.token, wide.token_low, wide.token_high),
+            ):
+                inside &= w * (at[0] + at[1] / root) + (1 - w) * low <= value <= w * (at[0] + at[2] / root) + (1 - w) * high
+            assert r.kept == (inside and not r.base_failed)
