@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text
-from attestry.functions.tags import nesting
+from attestry.functions.tags import levels_of
 
 # Generator classes an attribution may name.
 GENERATORS = [
@@ -51,20 +51,22 @@ def parse_response(responses: DataFrame, col: str = "response") -> DataFrame:
     """Add ``segments``, the number of output rows, and ``classes`` (class, score) in document order.
 
     A class row is any object with a class and a score; an output row is any
-    object in a list named output, at any depth.  Levels are opened down to the
-    deepest document, which one aggregate finds beforehand; members of one
-    object are visited by name.
+    object in a list named output, at any depth.  One fold opens a document level
+    by level, as often as this document is deep; members of one object are
+    visited by name.
     """
-    levels = responses.agg(F.max(nesting(F.col(col)))).first()[0] or 0
     root = F.array(F.struct(F.lit("").alias("at"), F.try_parse_json(col).alias("node"))).cast(NODE)
-    opened = responses.withColumn("__level0", root)
-    names = [f"__level{i}" for i in range(max(levels, 1))]
-    for above, name in zip(names, names[1:]):
-        opened = opened.withColumn(name, _children(F.col(above)))
     is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     get = F.try_variant_get
-    objects = F.filter(F.concat(*names), lambda n: is_object(n["node"]))
-    opened = opened.withColumn("__objects", objects).drop(*names)
+    walked = F.aggregate(
+        levels_of(F.col(col)),
+        F.struct(root.alias("level"), F.array().cast(NODE).alias("objects")),
+        lambda at, _: F.struct(
+            _children(at["level"]).alias("level"),
+            F.concat(at["objects"], F.filter(at["level"], lambda n: is_object(n["node"]))).alias("objects"),
+        ),
+    )
+    opened = responses.withColumn("__objects", walked["objects"])
     rows_of = lambda n: F.coalesce(get(n["node"], "$.output", "array<variant>"), F.array().cast("array<variant>"))
     segments = F.aggregate(
         "__objects", F.lit(0), lambda total, n: total + F.size(F.filter(rows_of(n), is_object))

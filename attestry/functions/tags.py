@@ -209,41 +209,52 @@ def nesting(document: Column) -> Column:
     return walked["most"]
 
 
+def levels_of(document: Column) -> Column:
+    """An array with an element for each level of a JSON text; empty for null."""
+    depth = F.coalesce(nesting(document), F.lit(0))
+    return F.slice(F.sequence(F.lit(0), depth), F.lit(1), depth)
+
+
+PLACE = "array<struct<path: string, node: variant>>"
+
+
+def _members(place: Column) -> Column:
+    """Members of an object or list with their paths; of anything else none."""
+    get = F.try_variant_get
+    named = F.map_entries(get(place["node"], "$", "map<string, variant>"))
+    before = F.when(place["path"] == "", "").otherwise(F.concat(place["path"], F.lit(".")))
+    step = lambda i: F.concat(place["path"], F.lit("["), i.cast("string"), F.lit("]"))
+    by_name = F.transform(named, lambda e: F.struct(F.concat(before, e["key"]).alias("path"), e["value"].alias("node")))
+    items = get(place["node"], "$", "array<variant>")
+    by_place = F.transform(items, lambda v, i: F.struct(step(i).alias("path"), v.alias("node")))
+    return F.coalesce(by_name.cast(PLACE), by_place.cast(PLACE), F.array().cast(PLACE))
+
+
 def flatten_nested(df: DataFrame, key: str, document: str) -> DataFrame:
     """(key, path, value) of every leaf of a JSON document, like ``a.b[0].c``.
 
-    Every level opens the containers and passes leaves through, so the job is
-    one chain of generators without a shuffle.  It has as many levels as the
-    deepest document, which one aggregate finds beforehand.
+    One fold opens a document level by level, as often as this document is deep,
+    and keeps the leaves of each level; a document is one row, so there is no
+    shuffle and no look at the data before.  Containers without members, nulls
+    and texts that are no JSON container have no leaves.
     """
-    max_depth = df.agg(F.max(nesting(F.col(document)))).first()[0] or 0
-    spark = df.sparkSession
     shape = lambda c: F.schema_of_variant(c)
     opens = lambda c: F.coalesce(shape(c).startswith("OBJECT") | shape(c).startswith("ARRAY"), F.lit(False))
-    rows = df.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("node")).where(opens(F.col("node")))
-    for _ in range(max_depth):
-        rows = rows.withColumn("inner", F.when(opens(F.col("node")), F.col("node")))
-        parts = spark.tvf.variant_explode_outer(F.col("inner").outer()).toDF("at", "name", "child")
-        step = F.when(
-            F.col("name").isNotNull(),
-            F.concat(F.col("path"), F.when(F.col("path") == "", "").otherwise("."), F.col("name")),
-        ).otherwise(F.concat(F.col("path"), F.lit("["), F.col("at").cast("string"), F.lit("]")))
-        rows = (
-            rows.lateralJoin(parts)
-            # an opened container without members has no leaves
-            .where("inner is null or child is not null")
-            .select(
-                key,
-                F.when(F.col("inner").isNull(), F.col("path")).otherwise(step).alias("path"),
-                F.when(F.col("inner").isNull(), F.col("node")).otherwise(F.col("child")).alias("node"),
-            )
+    leaf = "array<struct<path: string, value: string>>"
+
+    def opened(at: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(at["level"], _members))
+        inner = F.filter(below, lambda p: opens(p["node"]))
+        ends = F.transform(
+            F.filter(below, lambda p: ~opens(p["node"])),
+            lambda p: F.struct(p["path"].alias("path"), F.try_variant_get(p["node"], "$", "string").alias("value")),
         )
-    scalar = ~opens(F.col("node"))
-    return rows.select(
-        key,
-        "path",
-        F.when(scalar, F.try_variant_get("node", "$", "string")).otherwise(F.to_json("node")).alias("value"),
-    )
+        return F.struct(inner.cast(PLACE).alias("level"), F.concat(at["leaves"], ends.cast(leaf)).alias("leaves"))
+
+    root = F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(document).alias("node"))).cast(PLACE)
+    start = F.struct(root.alias("level"), F.array().cast(leaf).alias("leaves"))
+    leaves = F.aggregate(levels_of(F.col(document)), start, opened)["leaves"]
+    return df.select(key, F.explode(leaves).alias("leaf")).select(key, "leaf.path", "leaf.value")
 
 
 def canonical_struct(col: Column, kind: T.DataType) -> Column:

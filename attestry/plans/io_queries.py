@@ -126,12 +126,7 @@ def _document_sink(v: Views) -> DataFrame:
     path = shared_dir(v.spark, "documents")
     sinks.document_sink(sinks.manifest_json(v.assets), path, "manifests")
     sinks.document_sink(sinks.certificate_documents(v.certificates), path, "certificates")
-    schema = "asset_id string, document_hash string, body string, tenant_id string"
-    kinds = [
-        v.spark.read.schema(schema).json(f"{path}/{kind}").withColumn("kind", F.lit(kind))
-        for kind in ("manifests", "certificates")
-    ]
-    return reduce(DataFrame.unionByName, kinds).select(
+    return sinks.read_documents(v.spark, path).select(
         "kind", "asset_id", "tenant_id", "document_hash", F.length("body").alias("length")
     )
 
@@ -157,7 +152,7 @@ def _append_only_sink(v: Views) -> DataFrame:
     sinks.append_observations(v.observations.where(~early), path, "2")
     # a replay of the second run changes nothing
     sinks.append_observations(v.observations.where(~early), path, "2")
-    return v.spark.read.parquet(path).select("observation_id", "run", "provider", "model", "probability", "status")
+    return sinks.read_observations(v.observations, path).select("observation_id", "run", "provider", "model", "probability", "status")
 
 
 def _records(rows: DataFrame, asset_id: Column, version: Column) -> DataFrame:

@@ -127,7 +127,8 @@ def _calls(events: DataFrame) -> DataFrame:
 
 @query("fixed_window_limit")
 def _fixed_window_limit(v: Views) -> DataFrame:
-    return jobs.run_to_table(jobs.fixed_window_limit(_calls(_event_stream(v)), LIMITS, WINDOW_S), "windows")
+    counts = jobs.fixed_window_limit(_calls(_event_stream(v)), LIMITS, WINDOW_S)
+    return jobs.run_upserted(counts, "windows", ["key", "route", "window_start"])
 
 
 @query("fixed_window_limit_batch")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import detectors, digests, text
 from attestry.operators import certificates, reports, timeline
 from attestry.session import stored
+from attestry.sources import commits
 
 
 def manifest_json(assets: DataFrame) -> DataFrame:
@@ -35,23 +36,42 @@ def certificate_documents(certs: DataFrame) -> DataFrame:
     )
 
 
+DOCUMENT = "asset_id string, document_hash string, body string, tenant_id string, kind string"
+
 def document_sink(documents: DataFrame, path: str, kind: str) -> None:
     """One JSON line per document, in folders by tenant.
 
-    Rebalancing gives files of even size and splits a hot tenant.
+    The documents of a kind are replaced by one commit, so the earlier ones stay
+    readable until the new ones are whole.  Rebalancing gives files of even size
+    and splits a hot tenant.
     """
-    documents.hint("rebalance", "tenant_id").write.mode("overwrite").partitionBy("tenant_id").json(f"{path}/{kind}")
+    commits.commit(documents.hint("rebalance", "tenant_id"), path, f"kind={kind}", "json", ("tenant_id",))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Committed documents of all kinds."""
+    return commits.committed(spark, path, DOCUMENT, "json")
+
+
+def _valid(observations: DataFrame) -> DataFrame:
+    return detectors.normalize_observations(observations, lower_provider=True).select(
+        "observation_id", "asset_id", "tenant_id", "provider", "model", "signal", "probability", "status", "details", "observed_at"
+    )
 
 
 def append_observations(observations: DataFrame, path: str, run: str) -> None:
     """Append valid observations of one run; earlier runs are never touched.
 
-    The run's folder is replaced as a whole, so a replayed batch adds nothing.
+    A replayed run commits its rows anew, and readers see the last commit of
+    each run, so it adds nothing; a run lost half-way is not seen at all.
     """
-    valid = detectors.normalize_observations(observations, lower_provider=True).select(
-        "observation_id", "asset_id", "tenant_id", "provider", "model", "signal", "probability", "status", "details", "observed_at"
-    )
-    valid.write.mode("overwrite").parquet(f"{path}/run={run}")
+    commits.commit(_valid(observations), path, f"run={run}")
+
+
+def read_observations(observations: DataFrame, path: str) -> DataFrame:
+    """Committed rows with their ``run``; ``observations`` gives the types of its columns."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in _valid(observations).schema]
+    return commits.committed(observations.sparkSession, path, ", ".join([*fields, "run int"]))
 
 
 def export_artefacts(

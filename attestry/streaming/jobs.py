@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from attestry.functions import disclosure, text
@@ -50,6 +50,24 @@ def run_to_table(stream: DataFrame, job: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_upserted(stream: DataFrame, job: str, keys: list[str]) -> DataFrame:
+    """Run a stream that updates rows; the last row of every key, read back.
+
+    A micro-batch is a folder of its own, so a repeated one replaces itself.
+    """
+    spark = stream.sparkSession
+    path = shared_dir(spark, job)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    run_available(stream.writeStream.outputMode("update").foreachBatch(write), spark, job)
+    others = [c for c in stream.columns if c not in keys]
+    written = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(path)
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last"))
+    return last.select(*[c if c in keys else F.col("last")[c].alias(c) for c in stream.columns])
+
+
 def evidence_log_stream(events: DataFrame) -> DataFrame:
     """Accepted events with sequence and hashes, and refused ones with the reason.
 
@@ -231,26 +249,28 @@ def _within(count: Column, limits: dict[str, Rate]) -> Column:
 
 
 def fixed_window_limit(
-    requests: DataFrame, limits: dict[str, Rate], default_s: int = 60, delay: str = "0 seconds"
+    requests: DataFrame, limits: dict[str, Rate], default_s: int = 60, delay_s: int = 0
 ) -> DataFrame:
     """Requests per (key, route) and window, and whether the limit was passed.
 
     Each route has windows of its own period; routes without a limit are counted
-    by the default and never over it.  Counts are combined before the shuffle; a
-    closed window is emitted once.
+    by the default and never over it.  Counts are combined before the shuffle.
+    A stream counts in one keyed state for all periods and gives a window's row
+    anew when it changes (``run_upserted`` keeps the last); a window leaves the
+    state once the longest period and ``delay_s`` have passed since its end.
     """
-    rows = requests.withColumn("event_time", F.col("at").cast("timestamp"))
-    rows = rows.withWatermark("event_time", delay) if requests.isStreaming else rows
-    period = _route_value(limits, "seconds", default_s)
-    parts = []
-    for seconds in sorted({default_s, *(rate.seconds for rate in limits.values())}):
-        window = F.window("event_time", f"{seconds} seconds")
-        counted = rows.where(period == seconds).groupBy(window, "key", "route").agg(F.count(F.lit(1)).alias("requests"))
-        parts.append(counted)
-    return reduce(DataFrame.unionByName, parts).select(
+    period = _route_value(limits, "seconds", default_s).cast("long")
+    end = (F.floor(_micros("at") / (period * 1_000_000)) + 1) * period
+    rows = requests.withColumn("window_end", F.timestamp_seconds(end))
+    if requests.isStreaming:
+        # ends lie up to one period ahead of the clock
+        longest = max([default_s, *(rate.seconds for rate in limits.values())])
+        rows = rows.withWatermark("window_end", f"{longest + delay_s} seconds")
+    counted = rows.groupBy("key", "route", "window_end").agg(F.count(F.lit(1)).alias("requests"))
+    return counted.select(
         "key",
         "route",
-        F.unix_micros("window.start").alias("window_start"),
+        (F.unix_micros("window_end") - period * 1_000_000).alias("window_start"),
         "requests",
         (~_within(F.col("requests"), limits)).alias("over_limit"),
     )

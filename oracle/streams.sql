@@ -20,7 +20,7 @@ SELECT path, emitted_at, size FROM s4
 
 -- name: fixed_window_limit
 -- uses: s5w
-SELECT key, route, window_start, requests, over_limit FROM s5w WHERE window_start + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)
+SELECT * FROM s5w
 
 -- name: fixed_window_limit_batch
 -- uses: s5w

@@ -214,3 +214,21 @@ def test_responses_are_read_at_any_depth(spark):
         assert (row["probability"], row["segment_count"]) == (best, segments)
     tops = [r["attribution"] and r["attribution"]["class"] for r in responses.top_attribution(df).collect()]
     assert tops == [r[3] for r in rows]
+
+
+def test_nested_walks_start_no_job_and_follow_each_document(spark):
+    deep = '{"a":' * 39 + '{"class":"udio","score":0.4}' + "}" * 39
+    flat = '{"class":"udio","score":0.25,"n":[1,{"b":null}],"e":{}}'
+    df = spark.createDataFrame([(1, deep), (2, flat), (3, "7"), (4, None)], "id long, response string")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    parsed, leaves = responses.parse_response(df), tags.flatten_nested(df, "id", "response")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+    alone = tags.flatten_nested(df.where("id = 2"), "id", "response")
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert abs(size(leaves) - size(alone)) <= 1
+    assert {r.id: [c["score"] for c in r.classes] for r in parsed.collect()} == {1: [0.4], 2: [0.25], 3: [], 4: []}
+    got = {(r.id, r.path, r.value) for r in leaves.collect()}
+    way = "a." * 39
+    expected = {(1, way + "class", "udio"), (1, way + "score", "0.4")}
+    expected |= {(2, "class", "udio"), (2, "score", "0.25"), (2, "n[0]", "1"), (2, "n[1].b", None)}
+    assert got == expected

@@ -55,11 +55,38 @@ def test_tenant_partitions_are_pruned(spark, sf_dir):
 def test_replayed_run_appends_nothing(spark, sf_dir):
     path, rows = shared_dir(spark, "obs"), Views(spark, sf_dir).observations
     sinks.append_observations(rows, path, "1")
-    once = spark.read.parquet(path).count()
+    once = sinks.read_observations(rows, path).count()
     sinks.append_observations(rows, path, "1")
-    assert spark.read.parquet(path).count() == once
+    assert sinks.read_observations(rows, path).count() == once > 0
     sinks.append_observations(rows, path, "2")
-    assert spark.read.parquet(path).count() == 2 * once
+    assert sinks.read_observations(rows, path).count() == 2 * once
+
+
+def test_a_run_lost_half_way_leaves_earlier_rows(spark, sf_dir):
+    path, rows = shared_dir(spark, "obs"), Views(spark, sf_dir).observations
+    assert sinks.read_observations(rows, path).count() == 0
+    sinks.append_observations(rows, path, "1")
+    before = sinks.read_observations(rows, path)
+    once = before.count()
+    broken = rows.withColumn("asset_id", F.when(F.col("observation_id") > 100, F.raise_error(F.lit("lost"))).otherwise(F.col("asset_id")))
+    for run in ("1", "2"):
+        with pytest.raises(Exception, match="lost"):
+            sinks.append_observations(broken, path, run)
+    after = sinks.read_observations(rows, path)
+    assert after.count() == once and after.exceptAll(before).count() == 0
+
+
+def test_documents_stay_until_new_ones_are_whole(spark):
+    path = shared_dir(spark, "documents")
+    old = spark.createDataFrame([("a", "t", "h1", "{}"), ("b", None, "h2", "{}")], "asset_id string, tenant_id string, document_hash string, body string")
+    sinks.document_sink(old, path, "manifests")
+    broken = old.withColumn("body", F.when(F.col("asset_id") == "b", F.raise_error(F.lit("lost"))).otherwise("{}"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.document_sink(broken, path, "manifests")
+    assert {r.document_hash for r in sinks.read_documents(spark, path).collect()} == {"h1", "h2"}
+    sinks.document_sink(old.limit(0), path, "certificates")
+    sinks.document_sink(old.withColumn("document_hash", F.lit("h3")).limit(1), path, "manifests")
+    assert [(r.kind, r.document_hash) for r in sinks.read_documents(spark, path).collect()] == [("manifests", "h3")]
 
 
 UPSERT = "asset_id string, asset_uid string, tenant_id string, version int"

@@ -107,3 +107,14 @@ def test_limits(spark):
         jobs.limit_key(F.lit(" key "), F.lit("1.2.3.4")), jobs.limit_key(F.lit(" "), F.lit("1.2.3.4"))
     ).first()
     assert row[0].startswith("tenant-key:") and len(row[0]) == 35 and row[1] == "ip:1.2.3.4"
+
+
+def test_open_windows_have_rows(spark, sf_dir, sliced):
+    """Over several micro-batches every window, open ones too, has its last count."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    limits = q.LIMITS | {"error": jobs.Rate(1, 60), "signup": jobs.Rate(5, 86400)}
+    counts = jobs.fixed_window_limit(q._calls(jobs.table_stream(spark, sliced, 1)), limits, q.WINDOW_S)
+    stream = jobs.run_upserted(counts, "t", ["key", "route", "window_start"])
+    batch = jobs.fixed_window_limit(q._calls(events), limits, q.WINDOW_S)
+    _same(stream, batch)
+    assert stream.agg(F.sum("requests")).first()[0] == events.count()
