@@ -76,8 +76,11 @@ SCRIPT_BANDS = {
 # Share of non-ASCII letters from which a text counts as another script.
 OTHER_SCRIPT_SHARE = 0.5
 
-# Bound of the labelled sample of each language that bands are fitted on.
-FIT_ROWS = 20_000
+# Bound of the labelled sample of each language that bands are fitted on, the
+# steps of its hash scale for each halving, and the ids up to which it is broadcast.
+FIT_ROWS = 5_000
+FIT_STEPS = 8
+FIT_BROADCAST = 200_000
 # A fitted band reaches beyond the clean rows' ends by this share of its half width.
 FIT_MARGIN = 0.2
 # The same for the ends of the byte share and the entropy, which have one side.
@@ -201,20 +204,32 @@ def _within(band: Band | Fitted):
     )
 
 
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, lang) of at most ``rows`` good documents of each language, those with the smallest hashes.
+
+    Hashes are counted by steps of a geometric scale, a few hundred for each
+    language, and all steps that fit are taken; no language is sorted in one task.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    spoken = docs.select("doc_id", "lang").where("lang is not null").join(good, "doc_id", "left_semi").distinct()
+    small = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1)) + F.lit(1.0)
+    known = stored(spoken.withColumn("step", F.floor((63 - F.log2(small)) * FIT_STEPS).cast("int")), "fit-ids")
+    deeper = Window.partitionBy("lang").orderBy(F.desc("step"))
+    counts = known.groupBy("lang", "step").count().withColumn("upto", F.sum("count").over(deeper))
+    cuts = counts.where(F.col("upto") <= rows).groupBy("lang").agg(F.min("step").alias("cut"))
+    sample = stored(known.join(cuts, "lang").where("step >= cut").select("doc_id", "lang"), "fit-sample")
+    return F.broadcast(sample) if sample.count() <= FIT_BROADCAST else sample
+
+
 def fit_bands(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[str, Fitted]:
     """Bands by language from at most ``rows`` labelled documents of good quality in each.
 
-    A language's sample is its rows with the smallest hash of their id, so it does
-    not depend on file order nor on other languages.  A band is the clean rows'
+    A language's sample depends neither on file order nor on other languages.  A band is the clean rows'
     extremes and a margin, drawn towards the wide band where rows are few: ``n``
     rows weigh ``n / (n + FIT_HALF)``.  Documents without a language or a label
     take no part.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    spoken = docs.select("doc_id", "lang").where("lang is not null").join(good, "doc_id", "left_semi")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = spoken.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= rows).select("doc_id", "lang").distinct()
-    taken = docs.select("doc_id", "text", "lang").join(sample, ["doc_id", "lang"], "left_semi")
+    taken = docs.join(_sample(docs, labels, rows), ["doc_id", "lang"], "left_semi").select("text", "lang")
     measures = ["n_words", "chars_per_piece", "chars_per_token", "fallback_share", "token_entropy"]
     measured = stored(measure(taken).where("not other_script").where(F.col("n_words") >= MIN_WORDS).select("lang", *measures), "fit-rows")
     centre = lambda name: (F.sum(F.col(name) * F.col("n_words")) / F.sum("n_words")).alias(f"{name}_at")

@@ -189,3 +189,11 @@ def test_fitted_bands_and_verdicts_against_a_plain_version(spark):
             ):
                 inside &= w * (at[0] + at[1] / root) + (1 - w) * low <= value <= w * (at[0] + at[2] / root) + (1 - w) * high
             assert r.kept == (inside and not r.base_failed)
+
+
+def test_samples_are_bounded_and_nearly_full(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 20 = 0 THEN 'de' WHEN id % 3 > 0 THEN 'en' END AS lang")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    sizes = {r.lang: r["count"] for r in quality._sample(docs.union(docs), labels, 3_000).groupBy("lang").count().collect()}
+    assert sizes["de"] == 2_000 and 2_600 <= sizes["en"] <= 3_000
+    assert quality._sample(docs, labels.limit(0), 10).count() == 0
