@@ -97,6 +97,47 @@ def test_shards(spark, small, odd, empty, monkeypatch, parts):
     assert sharding.shard(empty).count() == 0
 
 
+def line_of(docs):
+    """(hash of the text, its bytes and one) of every record, in order."""
+    from pyspark.sql import functions as F
+
+    body = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    return sorted((r[0], r[1]) for r in docs.select(F.xxhash64(body), F.octet_length(body) + 1).collect())
+
+
+def test_shards_are_stretches_of_the_line(spark, small, odd):
+    """Plain version: exact borders on the sorted line, held against the sampled ones."""
+    hot = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('copy ', 50), repeat(md5(string(id)), 8)) as text")
+    for docs in (small, odd, hot):
+        line = line_of(docs)
+        total = sum(size for _, size in line)
+        rows = sharding.shard(docs).collect()
+        sums = [sum(r["size"] for r in rows if r.shard <= s) for s in range(sharding.SHARDS)]
+        slack = total / sharding.SHARDS / sharding.UNITS
+        behind = np.cumsum([size for _, size in line])
+        for s, sum_ in enumerate(sums[:-1]):
+            target = total * (s + 1) / sharding.SHARDS
+            holding = line[int(np.searchsorted(behind, target, side="right"))][1]
+            assert abs(sum_ - target) <= max(slack, holding / 2) + 1
+        # what the shards hold follows the line: a text lies in one shard, or in neighbours
+        by_text = {}
+        for r in rows:
+            by_text.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+        large = {k for k, v in by_text.items() if len(v) > 1}
+        for key in large:
+            assert sum(r["size"] for r in rows if (r.text_crc32, r["size"]) == key) > slack
+            assert sorted(by_text[key]) == list(range(min(by_text[key]), max(by_text[key]) + 1))
+    assert len(large) == 1
+
+
+def test_other_boundaries_move_records(small, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGES", 32)
+    monkeypatch.setattr(sharding, "UNITS", 4)
+    monkeypatch.setattr(sharding, "SAMPLE", 1)
+    one, other = ({(r.doc_id, r.shard) for r in sharding.shard(small, seed=s).collect()} for s in (1, 9))
+    assert len(one) == len(other) == small.count() and one != other
+
+
 def test_overfull_ranges_are_cut_again(small, monkeypatch):
     monkeypatch.setattr(sharding, "OVERFULL", 0.2)
     rows = sharding.shard(small).collect()
