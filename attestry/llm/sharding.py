@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.session import stored
@@ -65,26 +65,26 @@ class Range:
     rows: tuple[int, int]
 
 
-def _at_or_below(places: list[Place]) -> Column:
-    """Number of sorted places at or below a record, by bisection."""
+def _at_or_below(places: list[Place]) -> str:
+    """Number of sorted places at or below a record, by bisection, as one SQL expression."""
     if not places:
-        return F.lit(0)
+        return "0"
     middle = len(places) // 2
     key, row = places[middle]
-    ahead = F.col("key") < F.lit(key)
+    # nothing lies ahead of the start, whose number has no literal
+    ahead = "false" if places[middle] == START else f"key < {key}L"
     if row >= 0:
-        ahead |= (F.col("key") == F.lit(key)) & (F.col("row") < F.lit(row))
-    return F.when(ahead, _at_or_below(places[:middle])).otherwise(
-        F.lit(middle + 1) + _at_or_below(places[middle + 1 :])
-    )
+        ahead += f" or (key = {key}L and row < {row}L)"
+    below, above = _at_or_below(places[:middle]), _at_or_below(places[middle + 1 :])
+    return f"case when {ahead} then {below} else {middle + 1} + {above} end"
 
 
 def _in_ranges(records: DataFrame, ends: list[tuple[Place, Place | None]]) -> DataFrame:
     """Records inside sorted, disjoint ranges, with the ``range`` they lie in."""
     places = sorted({p for pair in ends for p in pair if p is not None})
     owner = {low: i for i, (low, _) in enumerate(ends)}
-    owners = F.array(F.lit(None).cast("int"), *[F.lit(owner.get(p)).cast("int") for p in places])
-    return records.withColumn("range", owners[_at_or_below(places)]).where("range is not null")
+    owners = ", ".join(str(owner.get(p, "null")) for p in places)
+    return records.withColumn("range", F.expr(f"array(null, {owners})[{_at_or_below(places)}]")).where("range is not null")
 
 
 def _sums(records: DataFrame, ends: list[tuple[Place, Place | None]]) -> dict[int, tuple]:
@@ -181,7 +181,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", seed: int =
     places = [p for p in borders(rows, shards, seed) if p is not None]
     bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS))
     dealt = rows.select(
-        "doc_id", "size", "text_crc32", "row", _at_or_below(places).alias("shard"), bucket.alias("bucket")
+        "doc_id", "size", "text_crc32", "row", F.expr(_at_or_below(places)).alias("shard"), bucket.alias("bucket")
     )
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # a row for each bucket
