@@ -119,7 +119,11 @@ def chain_failures(events: DataFrame) -> DataFrame:
 
 def chain_verify(events: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(failure rows, one summary per session)."""
-    checked = chain_failures(events)
+    return verdicts(chain_failures(events), sessions)
+
+
+def verdicts(checked: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from events with their ``failures``."""
     per_event = checked.select(
         "session_id", "event_id", F.explode("failures").alias("reason")
     )

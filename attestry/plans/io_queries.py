@@ -134,9 +134,9 @@ def _document_sink(v: Views) -> DataFrame:
 @query("evidence_export")
 def _evidence_export(v: Views) -> DataFrame:
     path = shared_dir(v.spark, "export")
-    artefacts = sinks.export_artefacts(v.assets, v.provenance_events, v.certificates, v.stored_split_rows)
-    sinks.evidence_export(artefacts, path)
-    written = sinks.read_export(v.spark, path, list(artefacts))
+    rows = sinks.export_rows(v.assets, v.provenance_events, v.certificates, v.stored_split_rows)
+    sinks.export_all(rows, path)
+    written = sinks.read_all(v.spark, path)
     return written.groupBy("artefact").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("asset_id").alias("assets"),

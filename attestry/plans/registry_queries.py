@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import detectors, text
-from attestry.operators import aggregates, certificates, chain, facts, matching, timeline
+from attestry.operators import aggregates, block_heads, certificates, chain, facts, matching, timeline
 from attestry.plans.catalog import query
 from attestry.plans.views import Views
+from attestry.session import stored
 
 
 def _joined(col) -> Column:
@@ -379,6 +380,17 @@ def _chain_failures(v: Views) -> DataFrame:
     return chain.chain_verify(v.session_events, v.sessions)[0]
 
 
+@query("chain_block_heads")
+def _chain_block_heads(v: Views) -> DataFrame:
+    return block_heads.block_heads(v.session_chain)
+
+
+@query("chain_block_failures")
+def _chain_block_failures(v: Views) -> DataFrame:
+    heads = stored(block_heads.block_heads(v.session_chain), "block-heads")
+    return block_heads.block_failures(v.session_events, heads)
+
+
 @query("completion_check")
 def _completion_check(v: Views) -> DataFrame:
     _, summary = chain.chain_verify(v.session_events, v.sessions)

@@ -74,22 +74,21 @@ def read_observations(observations: DataFrame, path: str) -> DataFrame:
     return commits.committed(observations.sparkSession, path, ", ".join([*fields, "run int"]))
 
 
-def export_artefacts(
-    assets: DataFrame, events: DataFrame, certs: DataFrame, contributors: DataFrame
-) -> dict[str, DataFrame]:
-    """The nine export artefacts as (asset_id, body) rows.
+def export_rows(assets: DataFrame, events: DataFrame, certs: DataFrame, contributors: DataFrame) -> DataFrame:
+    """(artefact, asset_id, body) rows of the nine export artefacts.
 
-    Histories and contributor lists are one row per entry, so an asset with a
-    long history spreads over many rows instead of one document.
+    The six artefacts of one row for each asset are bodies of one joined row, opened
+    at last, so what they share is computed once.  Histories and contributor lists
+    are one row per entry, so an asset with a long history spreads over many rows
+    instead of one document.
     """
-    report = stored(reports.copyright_report(assets, events, certs, contributors), "report")
-    as_json = lambda *cols: F.to_json(F.struct(*cols)).alias("body")
+    as_json = lambda *cols: F.to_json(F.struct(*cols))
+    entries = lambda name, rows, *cols: rows.select(F.lit(name).alias("artefact"), "asset_id", as_json(*cols).alias("body"))
     known = assets.select("asset_id")
+    report = reports.copyright_report(assets, events, certs, contributors)
     latest = certificates.latest_certificate(certs).select("asset_id", certificates.certificate_json().alias("latest"))
-    stub = F.to_json(F.struct(F.lit("certificate_missing").alias("error"), "asset_id"))
-    manifest = manifest_json(assets).select("asset_id", "body")
-    rebuilt = assets.where("manifest_path is null").select("asset_id")
-    note = F.lit("manifest_rebuilt")
+    manifest = manifest_json(assets).select("asset_id", F.col("body").alias("manifest"))
+    rebuilt = assets.select("asset_id", F.col("manifest_path").isNull().alias("rebuilt"))
     readme = F.concat_ws(
         "\n",
         F.lit("rights summary"),
@@ -99,28 +98,58 @@ def export_artefacts(
         F.concat(F.lit("license="), F.coalesce("stored_facts.rights.license_type", F.lit("undeclared"))),
         F.lit("names of creators say nothing about ownership"),
     )
-    return {
-        "readme": report.select("asset_id", readme.alias("body")),
-        "stored_facts": report.select("asset_id", as_json("stored_facts")),
-        "certificate": known.join(latest, "asset_id", "left").select("asset_id", F.coalesce("latest", stub).alias("body")),
-        "provenance_manifest": manifest.join(rebuilt.withColumn("rebuilt", F.lit(True)), "asset_id", "left").select(
-            "asset_id", F.when(F.col("rebuilt"), F.to_json(F.struct(note.alias("note"), "body"))).otherwise(F.col("body")).alias("body")
-        ),
-        "contributor_declarations": reports.human_contributors(contributors.join(known, "asset_id", "left_semi")).select(
-            "asset_id", as_json("contributor_id", "name", "role", "declares")
-        ),
-        "workflow_analysis": timeline.transformation_chain(assets, events).select(
-            "asset_id", as_json("section", "step", "step_type", "form", "label", "source")
+    stub = as_json(F.lit("certificate_missing").alias("error"), "asset_id")
+    noted = as_json(F.lit("manifest_rebuilt").alias("note"), F.col("manifest").alias("body"))
+    bodies = {
+        "readme": readme,
+        "stored_facts": as_json("stored_facts"),
+        "certificate": F.coalesce("latest", stub),
+        "provenance_manifest": F.when(F.col("rebuilt"), noted).otherwise(F.col("manifest")),
+        "timestamps": as_json("timestamps"),
+        "authorship_summary": as_json("stored_facts.copyright_readiness", "disclosure_note", "provenance_continuity"),
+    }
+    artefacts = F.array(*[F.struct(F.lit(name).alias("artefact"), body.alias("body")) for name, body in bodies.items()])
+    wide = report.join(latest, "asset_id", "left").join(manifest, "asset_id", "left").join(rebuilt, "asset_id", "left")
+    opened = wide.select("asset_id", F.explode(artefacts).alias("one")).select("one.artefact", "asset_id", "one.body")
+    lists = [
+        entries(
+            "contributor_declarations",
+            reports.human_contributors(contributors.join(known, "asset_id", "left_semi")),
+            "contributor_id", "name", "role", "declares",
         ),
-        "timestamps": report.select("asset_id", as_json("timestamps")),
-        "audit_history": timeline.lineage_steps(events.join(known, "asset_id", "left_semi")).select(
-            "asset_id",
-            as_json("step", "event_id", "event_type", "description", "tool_used", "actor_name", "human_or_ai", "event_hash"),
+        entries(
+            "workflow_analysis",
+            timeline.transformation_chain(assets, events),
+            "section", "step", "step_type", "form", "label", "source",
         ),
-        "authorship_summary": report.select(
-            "asset_id", as_json("stored_facts.copyright_readiness", "disclosure_note", "provenance_continuity")
+        entries(
+            "audit_history",
+            timeline.lineage_steps(events.join(known, "asset_id", "left_semi")),
+            "step", "event_id", "event_type", "description", "tool_used", "actor_name", "human_or_ai", "event_hash",
         ),
-    }
+    ]
+    return reduce(DataFrame.unionByName, lists, opened)
+
+
+EXPORT = "asset_id string, body string, artefact string"
+
+
+def export_all(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """All artefacts by one write, in folders by artefact, ranged and sorted by asset.
+
+    The rows are stored before they are ranged, as ranging samples its input and
+    would evaluate it twice.  An export is one commit: a reader sees the earlier
+    one until this one is whole.
+    """
+    keys = [F.col("artefact"), F.col("asset_id"), F.xxhash64("body")]
+    once = stored(rows, "export-rows")
+    ranged = once.repartitionByRange(files, *keys) if files else once.repartitionByRange(*keys)
+    commits.commit(ranged.sortWithinPartitions("artefact", "asset_id"), path, "export=all", by=("artefact",))
+
+
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """(artefact, asset_id, body) rows of the last whole export."""
+    return commits.committed(spark, path, EXPORT).select("artefact", "asset_id", "body")
 
 
 def evidence_export(artefacts: dict[str, DataFrame], path: str, files: int | None = None) -> None:

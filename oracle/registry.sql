@@ -224,6 +224,20 @@ SELECT session_id, event_count, head_hash, head_mismatch, event_failures, failur
 -- uses: v3p, v3v
 SELECT * FROM v3p UNION ALL SELECT session_id, head_event_id, 'session_head_mismatch' FROM v3v WHERE head_mismatch
 
+-- name: chain_block_heads
+-- uses: v3h
+SELECT * FROM v3h
+
+-- name: chain_block_failures
+-- uses: v3h, v3f
+SELECT coalesce(h.session_id, e.session_id) AS session_id, coalesce(h.block, e.block) AS block,
+  CASE WHEN h.session_id IS NULL THEN 'unknown_block' WHEN e.session_id IS NULL THEN 'missing_block' ELSE 'block_mismatch' END AS reason
+FROM v3h h FULL JOIN (
+  SELECT session_id, (sequence - 1) // 1024 AS block,
+    sha256(string_agg(CASE WHEN recomputed = evidence_hash THEN evidence_hash ELSE evidence_hash || '!' || recomputed END, ',' ORDER BY sequence, event_id)) AS seen
+  FROM v3f GROUP BY ALL) e ON e.session_id = h.session_id AND e.block = h.block
+WHERE seen IS DISTINCT FROM block_digest
+
 -- name: completion_check
 -- uses: v3x
 SELECT session_id, len(missing) = 0 AS eligible, array_to_string(missing, '|') AS missing, event_count FROM v3x

@@ -142,6 +142,12 @@ FROM v3l l JOIN v3b b ON b.session_id = l.session_id AND b.sequence = l.sequence
 -- uses: v3b, v3l
 SELECT b.*, l.previous_event_hash, l.evidence_hash FROM v3b b JOIN v3l l USING (session_id, sequence)
 
+-- name: v3h
+-- uses: v3c
+SELECT *, sha256(coalesce(lag(block_digest) OVER (PARTITION BY session_id ORDER BY block), '') || ':' || block || ':' || block_digest) AS block_head
+FROM (SELECT session_id, (sequence - 1) // 1024 AS block, count(*) AS events, sha256(string_agg(evidence_hash, ',' ORDER BY sequence)) AS block_digest
+  FROM v3c GROUP BY ALL)
+
 -- name: v3e
 -- uses: v3c
 SELECT * EXCLUDE (payload, body_digest), CASE WHEN user_id % 10 = 0 AND sequence = 3 THEN '{"k": 999}' ELSE payload END AS payload

@@ -164,6 +164,33 @@ def test_export_is_ranged_by_asset(spark):
     assert sinks.read_export(spark, path, ["history"]).count() == 2000
 
 
+def test_whole_export_is_one_commit(spark, sf_dir):
+    v, path = Views(spark, sf_dir), shared_dir(spark, "export")
+    rows = sinks.export_rows(v.assets, v.provenance_events, v.certificates, v.stored_split_rows)
+    assert sinks.read_all(spark, path).count() == 0
+    sinks.export_all(rows, path, files=6)
+    back = sinks.read_all(spark, path)
+    n = back.count()
+    assert {r.artefact for r in back.select("artefact").distinct().collect()} == {
+        "readme", "stored_facts", "certificate", "provenance_manifest", "timestamps", "authorship_summary",
+        "contributor_declarations", "workflow_analysis", "audit_history",
+    }
+    per_asset = back.where("artefact in ('readme', 'certificate', 'provenance_manifest')").groupBy("asset_id").count()
+    assert per_asset.where("count <> 3").count() == 0 and per_asset.count() == v.assets.count()
+    # no artefact's folder is written by more tasks than there are ranges, and ranges do not overlap
+    files = back.where("artefact = 'audit_history'").withColumn("file", F.input_file_name())
+    spans = sorted(tuple(r) for r in files.groupBy("file").agg(F.min("asset_id"), F.max("asset_id")).drop("file").collect())
+    assert len(spans) <= 6 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    broken = spark.range(50).select(
+        F.lit("readme").alias("artefact"),
+        F.col("id").cast("string").alias("asset_id"),
+        F.when(F.col("id") == 49, F.raise_error(F.lit("lost"))).otherwise("{}").alias("body"),
+    )
+    with pytest.raises(Exception, match="lost"):
+        sinks.export_all(broken, path)
+    assert sinks.read_all(spark, path).count() == n
+
+
 RECORD = "id string, uid string, tenant string, doc long, version int, at long"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from attestry.operators import chain, graph, integrity, matching, ordering, timeline
 from attestry.plans.views import Views
+from attestry.session import stored
 from attestry.streaming import jobs
 
 
@@ -98,6 +99,46 @@ def test_one_session_with_all_events(spark, sf_dir, tiny_blocks):
     assert [r["reason"] for r in failures.collect()] == ["evidence_hash_mismatch"]
 
 
+def test_block_heads_of_a_hot_session(spark, sf_dir, tiny_blocks):
+    """A third of the events in one session; heads find the changed blocks and spare the rest a walk."""
+    from attestry.operators import block_heads
+
+    inputs = Views(spark, sf_dir).session_inputs.drop("sequence")
+    hot = inputs.withColumn("session_id", F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(F.col("session_id")))
+    built = stored(chain.chain_build(hot), "built")
+    heads = stored(block_heads.block_heads(built, 16), "heads")
+    assert heads.agg(F.max("events")).first()[0] == 16
+    assert heads.where("session_id = 'hot'").count() == -(-built.where("session_id = 'hot'").count() // 16)
+    assert block_heads.block_failures(built, heads, 16).count() == 0
+    at = F.col("sequence")
+    is_hot = F.col("session_id") == "hot"
+    changed = (
+        built.where(~(is_hot & (at == 40)))  # block 2
+        .withColumn("payload", F.when(is_hot & (at == 100), F.lit("{}")).otherwise(F.col("payload")))  # block 6
+        .withColumn("evidence_hash", F.when(is_hot & (at == 200), F.lit("ff")).otherwise(F.col("evidence_hash")))  # block 12
+        .where(~(is_hot & at.between(305, 320)))  # block 19
+    )
+    # one sequence number many times over: counted, not collected
+    changed = changed.union(changed.where(is_hot & (at == 10)).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("again"))
+    extra = changed.where(is_hot & (at == 1)).withColumn("sequence", F.lit(None).cast("int")).withColumn("session_id", F.lit(None).cast("string"))
+    found = block_heads.block_failures(changed.union(extra), heads, 16).collect()
+    assert {tuple(r) for r in found} == {
+        ("hot", 0, "block_mismatch"), ("hot", 2, "block_mismatch"), ("hot", 6, "block_mismatch"),
+        ("hot", 12, "block_mismatch"), ("hot", 19, "missing_block"), (None, -1, "unknown_block"),
+    }
+    forged = heads.withColumn("block_digest", F.when(is_hot & (F.col("block") == 3), F.lit("00")).otherwise(F.col("block_digest")))
+    assert {tuple(r) for r in block_heads.block_failures(built, forged, 16).collect()} == {
+        ("hot", 3, "block_head_mismatch"), ("hot", 4, "block_head_mismatch")
+    }
+    sessions = built.groupBy("session_id").agg(F.max_by("evidence_hash", "sequence").alias("current_hash"))
+    plain = chain.chain_verify(changed, sessions)
+    spared = block_heads.verify_by_blocks(changed, sessions, heads, 16)
+    for one, two in zip(plain, spared):
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    none = built.limit(0)
+    assert block_heads.block_heads(none).count() == 0 and block_heads.block_failures(none, heads.limit(0)).count() == 0
+
+
 def test_input_order_does_not_matter(spark, sf_dir):
     events = Views(spark, sf_dir).session_inputs
     one = chain.chain_build(events).select("event_id", "evidence_hash")
