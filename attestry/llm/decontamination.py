@@ -10,9 +10,12 @@ window must start, the text's borders bound that place, a digest of the words
 there filters, and the words themselves are compared last.
 
 The index covers at most ``BLOCK_WORDS`` words of items, which bounds its
-broadcast.  A larger benchmark is taken in blocks of items by hash of their id;
-each block adds its hits to the documents.  Documents are never shuffled, so a
-passage that a third of them share is no hot key.
+broadcast and what the driver reads.  Items are cut into chunks that overlap by
+all but one word of a window, equal chunks of one item are one, and chunks are
+numbered by running word totals; blocks are stretches of these totals.  So a long
+item, or one id that many rows share, spreads over blocks.  Each block adds its
+hits to the documents.  Documents are never shuffled, so a passage that a third
+of them share is no hot key.
 
 Null and empty texts have no words; items without words have no windows; an item
 without id counts under the empty name; repeated items are one item, repeated
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm import frames, words
@@ -37,8 +40,10 @@ WINDOW = 10
 SHINGLE = 2
 # Words of the items in one broadcast index.
 BLOCK_WORDS = 1_000_000
+# Words of a chunk of an item, and cells in which running totals of chunks are formed.
+CHUNK = 4096
+CELLS = 4096
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SCREEN = 1 << 22
 
 
@@ -242,14 +247,54 @@ def _screen_of(index: Index) -> np.ndarray:
     return index.screen
 
 
+def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(block, name, chunk, n_words): all windows of all items, in blocks of at most ``block_words`` words.
+
+    A block holds one chunk at least, also where ``block_words`` is below a window.
+    """
+    chunk = max(window, min(CHUNK, block_words // 2))
+    step = chunk - window + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in words.runs(batch, "text"):
+                found = _find(data, offsets)
+                plain, low, high = words.joined(found)
+                names, chunks, counts = [], [], []
+                for name, first, last in zip(part.column(0).to_pylist(), found.first[:-1].tolist(), found.first[1:].tolist()):
+                    # a chunk for every ``step`` windows; an item below a window is one
+                    for at in range(first, max(first + 1, last - window + 1) if last > first else first, step):
+                        end = min(at + chunk, last)
+                        names.append(name)
+                        chunks.append(plain[low[at] : high[end - 1]].decode())
+                        counts.append(end - at)
+                columns = [pa.array(names, pa.string()), pa.array(chunks, pa.string()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "chunk", "n_words"])
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text")
+    distinct = frames.map_texts(rows, run, "name string, chunk string, n_words long").distinct()
+    key = F.xxhash64("name", "chunk")
+    chunks = stored(distinct.select("*", key.alias("key"), F.pmod(key, F.lit(CELLS)).alias("cell")), "chunks")
+    # a row for each cell
+    behind = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = chunks.groupBy("cell").agg(F.sum("n_words").alias("n"))
+    starts = sums.select("cell", F.coalesce(F.sum("n").over(behind), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("cell").orderBy("key", "name", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("n_words").over(inside), F.lit(0))
+    # what begins inside a stretch ends at most a chunk behind it
+    stretch = max(1, block_words - chunk)
+    return chunks.join(F.broadcast(starts), "cell").select(
+        F.floor(before / stretch).alias("block"), "name", "chunk", "n_words"
+    )
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Documents with ``n_words``, ``n_hit``, ``n_items``, ``item_ids`` (sorted as strings),
     ``hit_spans`` (word spans) and ``contaminated``."""
-    count = F.coalesce(F.regexp_count(F.translate("text", _UPPER, _UPPER.lower()), F.lit(_WORD)), F.lit(0))
-    total = benchmark.agg(F.sum(count)).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
+    items = stored(blocks_of(benchmark, window, block_words), "items")
+    blocks = sorted(r.block for r in items.select("block").distinct().collect())  # one number for each block
     added = ["n_words", "n_hit", "n_items", "item_ids", "hit_spans", "contaminated"]
     out = docs.drop(*added).withColumns(
         {
@@ -258,15 +303,15 @@ def contamination(
             "__items": F.array().cast("array<string>"),
         }
     )
-    for block in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").collect()
+    for block in blocks:
+        rows = items.where(F.col("block") == block).select("name", "chunk").collect()  # block_words at most
         windows = _windows(rows, window)
         grams = [_shingles(h) for h in windows.hashes]
         keys = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         single = any(len(h) == 1 for h in windows.hashes)
         counts = _frequencies(docs, text, keys, single) if len(keys) else np.zeros(0, np.int64)
         out = _add_hits(out, text, _index(windows, keys, counts))
-        if block + 1 < blocks:
+        if block != blocks[-1]:
             out = stored(out, "hits")
     # blocks may hit the same words: merge their spans, which are sorted block by block
     merged = F.aggregate(
@@ -286,7 +331,7 @@ def contamination(
         ).otherwise(F.concat(done, F.array(s))),
     )
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
-    out = out.withColumn("hit_spans", merged if blocks > 1 else F.col("__spans"))
+    out = out.withColumn("hit_spans", merged if len(blocks) > 1 else F.col("__spans"))
     return (
         out.withColumn("n_words", F.col("__n_words"))
         .withColumn("item_ids", F.array_sort("__items"))
@@ -295,6 +340,3 @@ def contamination(
         .withColumn("contaminated", F.col("n_hit") > 0)
         .drop("__n_words", "__spans", "__items")
     )
-
-
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

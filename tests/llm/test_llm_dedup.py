@@ -40,6 +40,25 @@ def test_contamination_of_odd_rows(spark, odd, block):
     assert {"lang", "source", "n_chars", "score"} <= set(found.columns)
 
 
+def test_blocks_hold_their_words_with_null_ids(spark):
+    """Half the items without an id, one very long: no block above its words, no window lost."""
+    texts = [(None if i % 2 else i, " ".join(f"w{(i * 31 + j) % 997}" for j in range(40))) for i in range(200)]
+    texts += [(7, " ".join(f"v{j * 7919 % 5003}" for j in range(20_000))), (8, "two words"), (9, ""), (None, None), texts[1]]
+    items = spark.createDataFrame(texts, "item_id long, text string").repartition(5)
+    chunks = decontamination.blocks_of(items, block_words=2000).collect()
+    sums = {}
+    for r in chunks:
+        assert r.n_words == len(r.chunk.split(" "))
+        sums[r.block] = sums.get(r.block, 0) + r.n_words
+    assert max(sums.values()) <= 2000 and len(sums) > 10
+    windows = lambda name, ws: {(name, tuple(ws[i : i + 10])) for i in range(max(1, len(ws) - 9)) if ws}
+    got = set().union(*(windows(r.name, r.chunk.split(" ")) for r in chunks))
+    want = set().union(*(windows("" if i is None else str(i), (t or "").split()) for i, t in texts))
+    assert got == want
+    # every start of a window lies in one chunk, and the repeated row counts once
+    assert sum(max(1, r.n_words - 9) for r in chunks) == 200 * 31 + 20_000 - 9 + 1
+
+
 def test_contamination_of_the_small_table(spark, sf_dir, small):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     expected = plain.contamination(cases.pairs(small), [(r.item_id, r.text) for r in items.collect()])
