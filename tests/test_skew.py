@@ -254,3 +254,32 @@ def test_numbers_of_null_keys_and_repeated_rows(spark):
     want = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("at")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert ordering.numbered(rows.limit(0), ["key"], [F.col("at")]).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 200, 1 << 17])
+def test_hot_keys_alone_go_by_blocks(spark, skewed, monkeypatch, hot):
+    """Totals, positions and neighbours are the same with all, one or none of the keys split."""
+    monkeypatch.setattr(ordering, "HOT", hot)
+    rows = skewed.withColumn("key", F.when(F.col("key") != 7, F.col("key")))
+    got = ordering.ordered(
+        rows, ["key"], F.floor(F.col("at") / 10), [F.col("at")], "n",
+        previous={"before": F.col("value")}, following={"after": F.col("value")},
+        running_max={"top": F.col("value")}, total={"sum": F.col("value")},
+    )
+    w = Window.partitionBy("key").orderBy("at")
+    want = rows.select(
+        "key", "at", "value", F.lag("value").over(w).alias("before"), F.lead("value").over(w).alias("after"),
+        F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
+        F.sum("value").over(Window.partitionBy("key")).alias("sum"), F.row_number().over(w).alias("n"),
+    ).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    marks = ordering._marked(rows, ["key"]).where("__hot").select("key").distinct().count()
+    assert marks == {0: rows.select("key").distinct().count(), 200: 1, 1 << 17: 0}[hot]
+
+
+def test_split_rows_shuffle_their_lines_once(spark, sf_dir):
+    """Positions and sheet totals come from one exchange of the lines; only counts meet besides."""
+    frame = Views(spark, sf_dir).split_rows
+    frame.collect()
+    wide = [line for line in _plan(frame).split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(__group" in line]
+    assert len(wide) <= 1
