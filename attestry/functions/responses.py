@@ -31,20 +31,49 @@ GENERATORS = [
 ]
 
 
-NODE = "array<struct<at: string, node: variant>>"
+NODE = "array<struct<at: string, members: map<string, variant>, items: array<variant>>>"
+OBJECT = "array<struct<at: string, class: string, score: string, rows: int>>"
 
 
-def _children(nodes: Column) -> Column:
-    """Members of every object and list, with places that sort in document order."""
+def _opened(at: Column, value: Column) -> Column:
+    """A value with its members or items, each taken out once; a scalar has neither."""
     get = F.try_variant_get
+    return F.struct(
+        at.alias("at"),
+        get(value, "$", "map<string, variant>").alias("members"),
+        get(value, "$", "array<variant>").alias("items"),
+    )
+
+
+def _children(nodes: Column) -> Column:
+    """Objects and lists below those of a level, with places that sort in document order."""
 
     def inner(n: Column) -> Column:
         step = lambda i: F.concat(n["at"], F.lpad(i.cast("string"), 9, "0"))
-        members = F.map_values(get(n["node"], "$", "map<string, variant>"))
-        items = F.coalesce(members, get(n["node"], "$", "array<variant>"), F.array().cast("array<variant>"))
-        return F.transform(items, lambda v, i: F.struct(step(i).alias("at"), v.alias("node")))
+        return F.transform(F.coalesce(F.map_values(n["members"]), n["items"]), lambda v, i: _opened(step(i), v))
 
-    return F.flatten(F.transform(nodes, inner)).cast(NODE)
+    return _containers(F.flatten(F.transform(nodes, inner)))
+
+
+def _containers(nodes: Column) -> Column:
+    return F.filter(nodes, lambda n: n["members"].isNotNull() | n["items"].isNotNull())
+
+
+def _objects(nodes: Column) -> Column:
+    """Class, score and number of output rows of a level's objects that have any."""
+    get = F.try_variant_get
+    member = lambda n, name, kind: get(F.try_element_at(n["members"], F.lit(name)), "$", kind)
+    is_object = lambda v: get(v, "$", "map<string, variant>").isNotNull()
+    read = F.transform(
+        F.filter(nodes, lambda n: n["members"].isNotNull()),
+        lambda n: F.struct(
+            n["at"].alias("at"),
+            member(n, "class", "string").alias("class"),
+            member(n, "score", "string").alias("score"),
+            F.greatest(F.lit(0), F.size(F.filter(member(n, "output", "array<variant>"), is_object))).alias("rows"),
+        ),
+    )
+    return F.filter(read, lambda o: (o["rows"] > 0) | (o["class"].isNotNull() & o["score"].isNotNull()))
 
 
 def parse_response(responses: DataFrame, col: str = "response") -> DataFrame:
@@ -53,41 +82,27 @@ def parse_response(responses: DataFrame, col: str = "response") -> DataFrame:
     A class row is any object with a class and a score; an output row is any
     object in a list named output, at any depth.  One fold opens a document level
     by level, as often as this document is deep; members of one object are
-    visited by name.
+    visited by name.  Scalars leave the fold at once.
     """
-    root = F.array(F.struct(F.lit("").alias("at"), F.try_parse_json(col).alias("node"))).cast(NODE)
-    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    get = F.try_variant_get
+    root = _containers(F.array(_opened(F.lit(""), F.try_parse_json(col)))).cast(NODE)
     walked = F.aggregate(
         levels_of(F.col(col)),
-        F.struct(root.alias("level"), F.array().cast(NODE).alias("objects")),
+        F.struct(root.alias("level"), F.array().cast(OBJECT).alias("objects")),
         lambda at, _: F.struct(
             _children(at["level"]).alias("level"),
-            F.concat(at["objects"], F.filter(at["level"], lambda n: is_object(n["node"]))).alias("objects"),
+            F.concat(at["objects"], _objects(at["level"])).alias("objects"),
         ),
     )
     opened = responses.withColumn("__objects", walked["objects"])
-    rows_of = lambda n: F.coalesce(get(n["node"], "$.output", "array<variant>"), F.array().cast("array<variant>"))
-    segments = F.aggregate(
-        "__objects", F.lit(0), lambda total, n: total + F.size(F.filter(rows_of(n), is_object))
+    segments = F.aggregate("__objects", F.lit(0), lambda total, o: total + o["rows"])
+    found = F.sort_array(F.filter("__objects", lambda o: o["class"].isNotNull() & o["score"].isNotNull()))
+    numbers = F.transform(
+        found,
+        lambda c: F.struct(F.lower(text.stripped(c["class"])).alias("class"), text.as_number(c["score"]).alias("score")),
     )
-    found = F.array_sort(F.filter(
-        F.transform(
-            "__objects",
-            lambda n: F.struct(
-                n["at"].alias("at"),
-                get(n["node"], "$.class", "string").alias("class"),
-                get(n["node"], "$.score", "string").alias("score"),
-            ),
-        ),
-        lambda c: c["class"].isNotNull() & c["score"].isNotNull(),
-    ))
     scored = F.transform(
-        found,
-        lambda c: F.struct(
-            F.lower(text.stripped(c["class"])).alias("class"),
-            F.when(text.as_number(c["score"]).isNotNull(), text.clamp01(text.as_number(c["score"]))).alias("score"),
-        ),
+        numbers,
+        lambda c: F.struct(c["class"].alias("class"), F.when(c["score"].isNotNull(), text.clamp01(c["score"])).alias("score")),
     )
     return opened.withColumn("segments", segments).withColumn("classes", scored).drop("__objects")
 

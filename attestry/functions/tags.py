@@ -195,8 +195,10 @@ def normalize_sections(df: DataFrame, tags: str, extension: str, mime: str) -> D
 
 def nesting(document: Column) -> Column:
     """Depth of the containers of a JSON text, by its brackets outside strings."""
-    bare = F.regexp_replace(document, r'"(?:[^"\\]|\\.)*"', "")
-    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    bare = F.regexp_replace(document, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    # of neighbours that hold nothing one is enough
+    lone = F.regexp_replace(F.regexp_replace(bare, r"[^\[\]{}]++", ""), r"(?:\{\}|\[\])(?=\{\}|\[\])", "")
+    brackets = F.split(lone, "")
     step = lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     walked = F.aggregate(
@@ -211,8 +213,7 @@ def nesting(document: Column) -> Column:
 
 def levels_of(document: Column) -> Column:
     """An array with an element for each level of a JSON text; empty for null."""
-    depth = F.coalesce(nesting(document), F.lit(0))
-    return F.slice(F.sequence(F.lit(0), depth), F.lit(1), depth)
+    return F.array_repeat(F.lit(0), F.coalesce(nesting(document), F.lit(0)))
 
 
 PLACE = "array<struct<path: string, node: variant>>"

@@ -232,3 +232,14 @@ def test_nested_walks_start_no_job_and_follow_each_document(spark):
     expected = {(1, way + "class", "udio"), (1, way + "score", "0.4")}
     expected |= {(2, "class", "udio"), (2, "score", "0.25"), (2, "n[0]", "1"), (2, "n[1].b", None)}
     assert got == expected
+
+
+def test_documents_are_measured_once_and_scalars_are_not_opened(spark):
+    texts = ["[[],[[]],{}]", '{"a":[{},{},{"b":[]},{}],"c":"[[[{\\"["}', '"[[["', "[]", "7", None]
+    df = spark.createDataFrame([(t,) for t in texts], "response string")
+    assert [r[0] for r in df.select(tags.nesting(F.col("response"))).collect()] == [3, 4, 0, 1, 0, None]
+    assert [r[0] for r in df.select(F.size(tags.levels_of(F.col("response")))).collect()] == [3, 4, 0, 1, 0, 0]
+    measured = df.select(tags.levels_of(F.col("response")).alias("levels"))._jdf.queryExecution().optimizedPlan().toString()
+    assert measured.count("aggregate(") == 1
+    plan = responses.parse_response(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in plan
