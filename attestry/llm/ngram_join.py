@@ -337,7 +337,8 @@ def roots(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     tried = stored(heads.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "join-pairs")
     links = stored(_linked(tried, sets), "join-links")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    ranges = stored(sets.select("node", "ranges"), "join-ranges")
+    # a column of the stored sets, read alone
+    ranges = sets.select("node", "ranges")
     found = components(links)
     for most in ROUNDS:
         units = _units(met.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))

@@ -85,3 +85,11 @@ def test_candidates_grow_with_a_group(spark, monkeypatch):
         return sum(counts)
 
     assert verified(800) <= 2.2 * verified(400)
+
+
+def test_ranges_are_stored_with_the_sets_only(spark, sf_dir, monkeypatch):
+    kept = []
+    store = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: kept.append(("ranges" in df.columns, name)) or store(df, name))
+    ngram_join.classes(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)).count()
+    assert [name for has, name in kept if has] == ["join-sets"]
