@@ -38,7 +38,7 @@ def _tables(v: Views) -> dict[str, DataFrame]:
         "assets": v.assets.withColumn("sha256", F.when(i % 101 != 7, F.col("sha256"))),
         "provenance_events": v.provenance_events,
         "certificates": v.certificates,
-        "contributors": v.split_rows,
+        "contributors": v.stored_split_rows,
         "split_sessions": v.split_sessions,
         "verification_logs": v.verification_logs,
         "asset_metadata": v.metadata.select(F.col("asset_id").alias("id"), "asset_id", "asset_uid", "raw_tags"),

@@ -36,7 +36,7 @@ def registry_write(df: DataFrame, root: str, table: str, mode: str = "overwrite"
         writer = rows.hint("rebalance", "tenant_id").write.partitionBy("tenant_id")
     else:
         writer = rows.write
-    writer.mode(mode).parquet(f"{root}/{table}")
+    writer.mode(mode).option("compression", "zstd").parquet(f"{root}/{table}")
 
 
 def registry_scan(spark: SparkSession, root: str, table: str) -> tuple[DataFrame, DataFrame]:

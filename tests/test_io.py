@@ -255,3 +255,11 @@ def test_a_set_keeps_its_live_records_only(spark):
     out = pa.Table.from_batches(list(merges.fold(["id", "v"], "id")(batches())))
     assert out.column("id").to_pylist() == ["k99999"]
     assert max(held[100:]) < 2 * max(held[:100])
+
+
+def test_registry_tables_derive_split_rows_once(spark, sf_dir):
+    from attestry.plans import io_queries
+    from attestry.plans.views import Views
+
+    views = Views(spark, sf_dir)
+    assert io_queries._tables(views)["contributors"] is views.stored_split_rows
