@@ -283,3 +283,12 @@ def test_split_rows_shuffle_their_lines_once(spark, sf_dir):
     frame.collect()
     wide = [line for line in _plan(frame).split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(__group" in line]
     assert len(wide) <= 1
+
+
+@pytest.mark.parametrize("key", ["split_sheet_validate", "limited_requests", "chronology_check", "debounced_revisions_batch"])
+def test_queries_with_many_hot_keys(spark, sf_dir, tiny_blocks, monkeypatch, key):
+    import compare
+
+    monkeypatch.setattr(ordering, "HOT", 0)
+    twin = contract.oracle_sql()[key]
+    assert compare.compare(contract.queries()[key](spark, sf_dir), compare.duck(sf_dir), twin) == []
