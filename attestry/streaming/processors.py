@@ -20,7 +20,7 @@ def _sorted(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
     """Rows of one key in order of their first columns: chunks are sorted one by one and merged."""
     by = len(columns)
     chunks = [
-        sorted(zip(*[chunk[c] for c in columns]), key=lambda r: r[:2]) for chunk in rows if by and len(chunk)
+        sorted(zip(*[chunk[c].tolist() for c in columns]), key=lambda r: r[:2]) for chunk in rows if by and len(chunk)
     ]
     return heapq.merge(*chunks, key=lambda r: r[:2])
 
@@ -46,7 +46,7 @@ class EvidenceLog(StatefulProcessor):
         return refused if isinstance(refused, str) else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.session.get() if self.session.exists() else None
+        stored = self.session.get()
         sequence, head, closed = stored if stored else (0, None, False)
         out = []
         for _, event_id, kind, body, by_close, refused in _sorted(
@@ -79,7 +79,8 @@ class Debounce(StatefulProcessor):
     """Emit a changed signature once it has stayed for the debounce time.
 
     State: (signature, since, last emitted signature, waiting); times are in
-    microseconds, timers in milliseconds of event time.
+    microseconds, timers in milliseconds of event time.  A waiting key has one
+    timer, that of its state, so changes inside a micro-batch set none.
     """
 
     def __init__(self, debounce_us: int):
@@ -102,8 +103,9 @@ class Debounce(StatefulProcessor):
         return pd.DataFrame(rows, columns=["project", "changed_at", "emitted_at", "signature"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.project.get() if self.project.exists() else None
+        stored = self.project.get()
         signature, since, emitted, waiting = stored if stored else (None, 0, None, False)
+        timer = self._due(since) if waiting else None
         out = []
         for at, _, seen in _sorted(rows, "at", "event_id", "signature"):
             at = int(at)
@@ -115,13 +117,15 @@ class Debounce(StatefulProcessor):
             if waiting and at - since >= self.debounce_us and signature != emitted:
                 out.append(self._row(key, since, signature))
                 emitted = signature
-            if waiting:
-                self.handle.deleteTimer(self._due(since))
             signature, since, waiting = seen, at, True
-        if waiting:
-            self.handle.registerTimer(self._due(since))
+        due = self._due(since) if waiting else None
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
         self.project.update((signature, since, emitted, waiting))
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         signature, since, emitted, waiting = self.project.get()
@@ -131,7 +135,8 @@ class Debounce(StatefulProcessor):
                 out.append(self._row(key, since, signature))
                 emitted = signature
             self.project.update((signature, since, emitted, False))
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -147,7 +152,7 @@ class StableExport(StatefulProcessor):
         self.file = handle.getValueState("file", "size bigint, changed bigint, since bigint, emitted boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.file.get() if self.file.exists() else None
+        stored = self.file.get()
         size, changed, since, emitted = stored if stored else (None, None, 0, False)
         out = []
         for at, _, now_size, now_changed in _sorted(rows, "at", "event_id", "size", "changed"):
@@ -158,7 +163,8 @@ class StableExport(StatefulProcessor):
                 emitted = True
                 out.append((key[0], at, size))
         self.file.update((size, changed, since, emitted))
-        yield pd.DataFrame(out, columns=["path", "emitted_at", "size"])
+        if out:
+            yield pd.DataFrame(out, columns=["path", "emitted_at", "size"])
 
     def close(self) -> None:
         pass
@@ -171,7 +177,7 @@ class ProjectSession(StatefulProcessor):
         self.project = handle.getValueState("project", "started bigint, recording boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.project.get() if self.project.exists() else None
+        stored = self.project.get()
         started, recording = stored if stored else (0, False)
         out = []
         for at, event_id, closes in _sorted(rows, "at", "event_id", "closes"):
@@ -186,7 +192,8 @@ class ProjectSession(StatefulProcessor):
             self.project.update((started, recording))
         else:  # a closed project starts anew, so nothing has to be kept
             self.project.clear()
-        yield pd.DataFrame(out, columns=["project_key", "event_id", "session_started", "reused"])
+        if out:
+            yield pd.DataFrame(out, columns=["project_key", "event_id", "session_started", "reused"])
 
     def close(self) -> None:
         pass
@@ -202,7 +209,8 @@ class Registration(StatefulProcessor):
         self.registered = handle.getValueState("registered", "id bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.registered.get()[0] if self.registered.exists() else None
+        stored = self.registered.get()
+        known = stored[0] if stored else None
         kept = []
         for chunk in rows:
             kept.append(chunk[self.id_column])

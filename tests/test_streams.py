@@ -127,3 +127,50 @@ def test_registration_in_a_session_of_its_own(spark, sf_dir):
     fresh.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = contract.queries()["idempotent_registration"](fresh, sf_dir)
     assert got.where("not registration_reused").count() == got.select("asset_uid").distinct().count() > 0
+
+
+class _Calls:
+    """A keyed state that counts what a processor asks of it."""
+
+    def __init__(self, value=None):
+        self.value, self.timers, self.calls = value, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("changes", [10, 1000])
+def test_debounce_calls_do_not_grow_with_the_changes(changes):
+    """A key's changes inside a micro-batch ask its state a fixed number of times and give no empty frames."""
+    import pandas as pd
+
+    from attestry.streaming import processors
+
+    state = _Calls()
+    debounce = processors.Debounce(1_000_000)
+    debounce.init(state)
+    rows = pd.DataFrame(
+        {"at": range(changes), "event_id": range(changes), "signature": ["ab"[i % 2] for i in range(changes)]}
+    )
+    assert list(debounce.handleInputRows((1,), iter([rows]), None)) == []
+    assert state.calls == 3 and len(state.timers) == 1
+    later = rows.assign(at=rows["at"] + 5_000_000)
+    state.calls = 0
+    out = list(debounce.handleInputRows((1,), iter([later]), None))
+    assert [len(frame) for frame in out] == [1]
+    assert state.calls == 4 and len(state.timers) == 1
