@@ -203,22 +203,54 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= CARRIED else table
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, each verified once.
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with a column of both their sets, as x and y.
 
-    The set of ``a`` is carried once for each part of its pairs, that of ``b``
-    once for each pair, so a hub of many pairs is split.
+    That of ``a`` is carried once for each part of its pairs, that of ``b`` once
+    for each pair, so a hub of many pairs is split.
     """
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).alias("part")
-    dealt = stored(pairs.join(counts, "a").select("a", "b", part), "join-dealt")
+    dealt = stored(pairs.join(counts, "a").select(*pairs.columns, part), "join-dealt")
     parts = stored(dealt.select("a", "part").distinct(), "join-parts")
     # the sets stay where they are as long as the pairs are few
-    members = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(_small(dealt), "b")
-    hubs = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(_small(parts), "a")
-    met = members.join(hubs, ["a", "part"])
+    members = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(_small(dealt), "b")
+    hubs = sets.select(F.col("node").alias("a"), F.col(column).alias("x")).join(_small(parts), "a")
+    return members.join(hubs, ["a", "part"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, each verified once."""
     both, size = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return met.where((WHOLE + PART) * both >= PART * size).select("a", "b")
+    return _beside(pairs, sets, "shingles").where((WHOLE + PART) * both >= PART * size).select("a", "b")
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, total) that pass the suffix filter; only their ranges are carried."""
+
+    def task(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (_matrix(batch.column(k)) for k in (3, 4))
+            keep = pa.array(_spare(batch.column(2).to_numpy(), one, two) >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    met = _beside(pairs, sets, "ranges").select("a", "b", "total", "x", "y")
+    return frames.map_texts(met, task, "a long, b long")
+
+
+def _matrix(ranges: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(ranges.to_pylist()), np.uint8).reshape(len(ranges), -1)
+
+
+def _spare(total: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Suffix filter, below zero where sets of these ranges cannot be similar enough.
+
+    Of a shared part o: (WHOLE + PART) o >= PART total, and apart <= total - 2 o.
+    """
+    apart = np.abs(one.astype(np.int16) - two).sum(axis=1)
+    return (WHOLE - PART) * total - (WHOLE + PART) * apart
 
 
 def _meetings(rows) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -254,7 +286,7 @@ def _crossing(most: int | None):
 
     def task(batches):
         for rows in frames.sorted_groups(batches, 3):
-            rows["ranges"] = np.frombuffer(b"".join(rows["ranges"].to_pylist()), np.uint8).reshape(len(rows["token"]), -1)
+            rows["ranges"] = _matrix(rows["ranges"])
             found = [_likely(rows, i, j, most) for i, j in _meetings(rows)]
             for i, j, more in found:
                 columns = [rows["node"][i], rows["node"][j], more]
@@ -278,9 +310,7 @@ def _all_pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _likely(rows, i, j, most):
     """Pairs that pass the suffix filter; of more than ``most``, all of one i, the likely ones."""
     size, ranges = rows["size"], rows["ranges"]
-    apart = np.abs(ranges[i].astype(np.int16) - ranges[j]).sum(axis=1)
-    # of a shared part o: (WHOLE + PART) o >= PART total, and apart <= total - 2 o
-    spare = (WHOLE - PART) * (size[i] + size[j]) - (WHOLE + PART) * apart
+    spare = _spare(size[i] + size[j], ranges[i], ranges[j])
     i, j, spare = i[spare >= 0], j[spare >= 0], spare[spare >= 0]
     more = np.zeros(len(i), bool)
     if most is not None and len(i) > most and (i == i[0]).all():
@@ -334,8 +364,10 @@ def roots(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     heads = met.join(heads, "token").where("node <> head")
     heads = heads.where(_possible(*(F.col(c) for c in ("size", "pos", "head_size", "head_pos"))))
     sets = _candidate_sets(docs, ids, met, text)
-    tried = stored(heads.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "join-pairs")
-    links = stored(_linked(tried, sets), "join-links")
+    total = (F.col("size") + F.col("head_size")).alias("total")
+    tried = stored(heads.select(F.col("head").alias("a"), F.col("node").alias("b"), total).distinct(), "join-pairs")
+    # ranges are far smaller than sets
+    links = stored(_linked(stored(_near(tried, sets), "join-near"), sets), "join-links")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # a column of the stored sets, read alone
     ranges = sets.select("node", "ranges")

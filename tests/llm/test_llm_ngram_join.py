@@ -93,3 +93,22 @@ def test_ranges_are_stored_with_the_sets_only(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ngram_join, "stored", lambda df, name: kept.append(("ranges" in df.columns, name)) or store(df, name))
     ngram_join.classes(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)).count()
     assert [name for has, name in kept if has] == ["join-sets"]
+
+
+def test_whole_sets_are_carried_for_pairs_with_near_ranges_only(spark, monkeypatch):
+    """Texts that share half of their words, and so prefix shingles, never have their sets compared."""
+    rng, linked, seen = random.Random(11), ngram_join._linked, []
+
+    def counting(pairs, sets):
+        seen.append(pairs.count())
+        return linked(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "_linked", counting)
+    halves = [prose(rng, 40) for _ in range(30)]
+    far = [" ".join(half + prose(rng, 40)) for half in halves for _ in range(2)]
+    docs, df = table(spark, far)
+    cases.same(ngram_join.classes(df).collect(), joined(docs))
+    assert seen and seen[0] == 0
+    copies = [" ".join(half + [f"x{i}"]) for half in halves[:5] for i in range(2)]
+    docs, df = table(spark, far + copies)
+    cases.same(ngram_join.classes(df).collect(), joined(docs))
