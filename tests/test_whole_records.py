@@ -57,3 +57,17 @@ def test_graph_documents_hold_their_nodes_and_edges(spark, tables):
     assert [c["name"] for c in data["rights-record:live-split:LS-1-0"]["contributors"]] == ["Supplier 7", "  SUPPLIER 8 "]
     counts = {r.asset_id: json.loads(r.evidence_counts) for r in documents}
     assert counts["as-1"]["provenance"] == EVENTS and sum(sum(c.values()) for c in counts.values()) == len(nodes)
+
+
+def test_public_records_come_with_their_timeline(spark, tables):
+    rows = contract.queries()["public_record"](spark, tables).collect()
+    records = [r for r in rows if r.kind == "record"]
+    events = [r for r in rows if r.kind == "event"]
+    # session 1 is a proof, 2 a public one; 3 keeps its own mode
+    assert {r.session_id for r in records} == {"S-1", "S-2", "S-3"} and all(r.started_at and r.closed_at for r in records)
+    assert {r.session_id: r.event_count for r in records} == {s: sum(e.session_id == s for e in events) for s in ("S-1", "S-2", "S-3")}
+    first = [e for e in events if e.session_id == "S-1" and e.sequence == 1]
+    assert [(e.event_id, e.event_type, e.occurred_at) for e in first] == [(0, "session_started", "2024-01-01T00:00:00.000000Z")]
+    # only the place that may be shown, and the links of the chain
+    assert [(e.location_level, e.location_summary, len(e.evidence_hash)) for e in first] == [("coarse", None, 64)]
+    assert not {"payload", "source_name", "creator_id"} & set(rows[0].asDict())
