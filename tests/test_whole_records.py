@@ -5,8 +5,13 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from attestry import session
+from attestry.operators import chain, graph, matching
+from attestry.plans import score_queries
+from attestry.plans.views import Views
 
 EVENTS = 130
 
@@ -71,3 +76,44 @@ def test_public_records_come_with_their_timeline(spark, tables):
     # only the place that may be shown, and the links of the chain
     assert [(e.location_level, e.location_summary, len(e.evidence_hash)) for e in first] == [("coarse", None, 64)]
     assert not {"payload", "source_name", "creator_id"} & set(rows[0].asDict())
+
+
+def test_graph_documents_store_no_nodes(spark, tables, monkeypatch):
+    """Nodes are counted and written, not stored in between; events of unknown assets build no chain."""
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, purpose: made.append((purpose, df.columns)) or session.stored(df, purpose))
+    monkeypatch.setattr(score_queries, "stored", graph.stored)
+    views = Views(spark, tables)
+    assert score_queries._graph_document(views).count() > 0
+    assert made and not any({"node", "data"} & set(columns) for _, columns in made)
+    assert "known_session_chain" in views.__dict__ and not {"session_chain", "stored_session_inputs"} & set(views.__dict__)
+
+
+def test_sessions_of_known_assets(spark, sf_dir):
+    views = Views(spark, sf_dir)
+    known = views.assets.where("doc_id < 5").select("asset_id")
+    some = Views(spark, sf_dir)
+    some.__dict__["assets"] = some.assets.where("doc_id < 5")
+    wanted = chain.public_session_summary(views.sessions, views.session_events).join(known, "asset_id", "left_semi")
+    got = chain.public_session_summary(some.known_sessions, some.known_session_events).join(known, "asset_id", "left_semi")
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.select(got.columns).collect()))
+    assert 0 < wanted.count() and some.known_session_chain.count() < views.session_chain.count()
+
+
+def test_likely_members_lose_none(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 7 = 0, null, concat('k', id)) as key", "id")
+    known = rows.where("id % 10 = 3").select("key")
+    kept = matching.likely_members(rows, "key", known)
+    assert known.join(kept, "key", "left_anti").where("key is not null").count() == 0
+    assert kept.columns == rows.columns and kept.count() < 4_000
+    assert matching.likely_members(rows, "key", known.limit(0)).count() == 0
+
+
+def test_large_assets_get_several_parts(spark, tables):
+    """Parts follow nodes and their edges together, as where both are given."""
+    views = Views(spark, tables)
+    rows = graph.registry_documents(score_queries._registry(views), per_part=20).select("asset_id", "parts", F.size("nodes").alias("n"), F.size("edges").alias("e")).collect()
+    for asset in {r.asset_id for r in rows}:
+        own = [r for r in rows if r.asset_id == asset]
+        assert {r.parts for r in own} == {-(-sum(r.n + r.e for r in own) // 20)}
+    assert max(r.n + r.e for r in rows) < 60
